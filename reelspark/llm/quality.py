@@ -90,7 +90,7 @@ class Machine:
         return 1 / (1 + np.exp(-np.clip(self.margin(x).astype(np.float64), -40, 40)))
 
     @classmethod
-    def fit(cls, x: np.ndarray, y: np.ndarray, epochs: int = 12, rate: float = 0.1, decay: float = 1e-5, seed: int = 7, batch: int = 128) -> Machine:
+    def fit(cls, x: np.ndarray, y: np.ndarray, epochs: int = 30, rate: float = 0.5, decay: float = 1e-5, seed: int = 7, batch: int = 128) -> Machine:
         """AdaGrad on log loss; the rows of x in their order decide the result. Without rows every score is 0.5."""
         random = np.random.default_rng(seed)
         x = x.astype(np.float32, copy=False)
