@@ -14,7 +14,9 @@ files that count: what a failed or repeated task attempt left is never read.
 
 from __future__ import annotations
 
+import functools
 import io
+import itertools
 import re
 import uuid
 import zlib
@@ -62,24 +64,33 @@ class Encoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         out: list[bytes | None] = [None] * len(texts)
-        pieces = {}
+        get, parts, new = self.known.get, {}, {}
         for i, text in enumerate(texts):
             if self.by_piece and not _OTHER.search(text):
-                pieces[i] = _PIECE.findall(text)
-        known = self.known
-        new = list({p for found in pieces.values() for p in found if p not in known})
-        if len(known) + len(new) > 2 * CACHE_ENTRIES:
-            known.clear()
-            new = list(set().union(*pieces.values()))
-        known.update(zip(new, self._bytes(new)))
-        for i, found in pieces.items():
-            out[i] = b"".join([known[p] for p in found])
+                pieces = _PIECE.findall(text)
+                ids = [get(p) for p in pieces]
+                if None in ids:
+                    new.update((p, b"") for p, x in zip(pieces, ids) if x is None)
+                    parts[i] = (pieces, ids)
+                else:
+                    out[i] = b"".join(ids)
+        new = dict(zip(new, self._bytes(list(new))))
+        for i, (pieces, ids) in parts.items():
+            out[i] = b"".join([new[p] if x is None else x for p, x in zip(pieces, ids)])
+        # what comes first is mostly what comes often; once full, the rest is encoded block by block
+        self.known.update(itertools.islice(new.items(), max(0, CACHE_ENTRIES - len(self.known))))
         whole = [i for i, x in enumerate(out) if x is None]
         for i, ids in zip(whole, self._bytes([texts[i] for i in whole])):
             out[i] = ids
         return out
 
 
+@functools.cache
+def encoder(tokenizer_json: str) -> Encoder:
+    """One for each process, so that a worker's later tasks find the pieces of its earlier ones."""
+    return Encoder(tokenizer_json)
+
+
 def key_hash(keys: np.ndarray) -> np.ndarray:
     """Two keys per document, its id and which of the rows with that id it is, as one 64-bit hash."""
     k = keys.astype(np.int64).view(np.uint64).reshape(-1, 2)
@@ -224,11 +235,11 @@ def write_tokens(spark: SparkSession, docs: DataFrame, folder: str, tokenizer_pa
         tokenizer_json = f.read()
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, writer, before = Encoder(tokenizer_json), None, (None, 0)
-        end = np.array([end_id], encoder.dtype).tobytes()
+        ids_of, writer, before = encoder(tokenizer_json), None, (None, 0)
+        end = np.array([end_id], ids_of.dtype).tobytes()
         for b in blocks(batches):
-            writer = writer or _ShardWriter(folder, encoder.dtype)
-            for key, ids in zip(b.column(0).to_pylist(), encoder.encode([x or "" for x in b.column(1).to_pylist()])):
+            writer = writer or _ShardWriter(folder, ids_of.dtype)
+            for key, ids in zip(b.column(0).to_pylist(), ids_of.encode([x or "" for x in b.column(1).to_pylist()])):
                 before = (key, before[1] + 1 if key == before[0] else 0)
                 writer.add(before, ids + end)
         if writer:
