@@ -15,17 +15,17 @@ def _tidy(edges: DataFrame, a: str, b: str) -> DataFrame:
 def components(edges: DataFrame, a: str = "u", b: str = "v") -> DataFrame:
     """(node, component) for every node of an edge; component is the smallest node reachable.
 
-    Nodes have a random order, new in each round. A round points every node at
-    the first of its neighbours and itself, and replaces edges by those between
-    the targets, until none is left: stars end after two rounds, chains lose a
-    part of their nodes in each. Firsts are combined before the shuffle, joins
+    A round points every node at the first of its neighbours and itself, and
+    replaces edges by those between the targets, until none is left. The order is
+    by id in the first rounds, which ends stars around small ids at once, then a
+    random one, new in each round, in which chains lose a part of their nodes. Firsts are combined before the shuffle, joins
     are equi-joins that AQE can split at hot nodes, and each round's tables are
     checkpointed. Edges with a null end or from a node to itself are no edges;
     no edges give an empty table.
     """
     rest, steps = cut(_tidy(edges, a, b)), []
     while not rest.isEmpty():
-        order = lambda node: F.xxhash64(node, F.lit(len(steps)))
+        order = (lambda node: F.col(node)) if len(steps) < 2 else (lambda node: F.xxhash64(node, F.lit(len(steps))))
         both = rest.select(F.col("u").alias("node"), F.col("v").alias("other")).unionAll(rest.select(F.col("v"), F.col("u")))
         first = both.groupBy("node").agg(F.min_by("other", order("other")).alias("other"))
         step = cut(first.select("node", F.when(order("node") <= order("other"), F.col("node")).otherwise(F.col("other")).alias("parent")))

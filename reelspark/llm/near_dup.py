@@ -10,10 +10,11 @@ of BANDS bands are candidates: a pair at similarity 0.75 is missed with
 probability (1 - 0.75 ** 4) ** 32, below 6e-6. Links are confirmed on full sets.
 
 Only one document of those with the same set takes part in the search. Within a
-bucket, members are compared with one hub each round, not with each other;
-buckets that still hold several components are then compared in full, but only
-across components (these pairs alone can add a link), so nothing is lost and a
-large group of copies costs a linear number of pairs.
+bucket, members are compared with one hub, not with each other. Members of
+buckets that then hold several components are compared in full, but only across
+components (these pairs alone can add a link), in blocks, by an exact prefix filter
+on their rarest shingles: nothing is lost, no table holds all pairs of a group, and
+texts that merely share a frequent passage never meet.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import WordHashes, blocks, cut, materialize, mix, shingles, table
@@ -33,8 +34,10 @@ SKETCH, BANDS, ROWS = 128, 32, 4
 SHINGLE_WORDS = 5
 #: Similarity as percentages: 100 * intersection >= PERCENT * union.
 PERCENT = 75
-#: Hub rounds over mixed buckets before they are compared in full.
-HUB_ROUNDS = 6
+#: Buckets of several components meet a second hub first if they hold more pairs across components for each member.
+PAIRS_EACH = 16
+#: About as many documents and characters are in one block of the full comparison.
+BLOCK_DOCS, BLOCK_CHARS = 256, 4_000_000
 _ROUND_SEEDS = mix(np.arange(1, 2 * SKETCH + 1, dtype=np.uint64) * np.uint64(0xD1B54A32D192ED03))
 
 
@@ -124,7 +127,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id"
     labels = components(links)
     failed = cut(tried.join(links, ["u", "v"], "left_anti"))
     if not failed.isEmpty():
-        labels = _settle(spark, members, texts, tried, links, labels, failed)
+        labels = _settle(members, texts, labels, failed)
     reps = labels.select(F.col("node").alias("rep"), "component")
     found = classes.join(reps, "rep", "left").select("set_key", F.coalesce("component", "rep").alias("component_id"))
     return rows.drop("bands").join(found, "set_key", "left").select(
@@ -132,31 +135,113 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id"
     )
 
 
-def _settle(spark: SparkSession, members: DataFrame, texts: DataFrame, tried: DataFrame, links: DataFrame, labels: DataFrame, failed: DataFrame) -> DataFrame:
-    """Compare what is left across components of one bucket: first with changing hubs, then in full."""
+def _shingle_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    hashes = WordHashes()
+    for b in blocks(batches, 64):
+        sets = [shingles(text, hashes, SHINGLE_WORDS) for text in b.column("text").to_pylist()]
+        sizes = np.array([len(s) for s in sets], np.int64)
+        keys = np.array([xxhash.xxh3_64_intdigest(s.tobytes()) for s in sets], np.uint64).view(np.int64)
+        ids = b.column("doc_id").to_numpy()
+        yield pa.record_batch([pa.array(np.repeat(ids, sizes)), pa.array(np.repeat(keys, sizes)), pa.array(np.repeat(sizes, sizes)), pa.array(np.concatenate(sets).view(np.int64))], ["id", "set", "n", "shingle"])
+
+
+def _block_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links across labels between two blocks of documents, whose rows come one after the other."""
+    hashes = WordHashes()
+
+    def links(rows: list[tuple]) -> pa.RecordBatch:
+        sets = [shingles(r[4], hashes, SHINGLE_WORDS) for r in rows]
+        size = np.array([len(x) for x in sets], np.int64)
+        label, second = np.array([r[3] for r in rows]), np.array([r[1] for r in rows], bool)
+        left, right = np.flatnonzero(~second), np.flatnonzero(second) if second.any() else np.arange(len(rows))
+        doc, value = np.repeat(np.arange(len(rows)), size), np.concatenate(sets)
+        kinds, code = np.unique(value, return_inverse=True)
+        both = np.zeros((len(left), len(right)), np.float32)
+        place = np.full((2, len(rows)), -1)
+        place[0, left], place[1, right] = np.arange(len(left)), np.arange(len(right))
+        for at in range(0, len(kinds), 4096):
+            here = (code >= at) & (code < at + 4096)
+            held = np.zeros((2, max(len(left), len(right)), 4096), np.float32)
+            for side in (0, 1):
+                some = here & (place[side][doc] >= 0)
+                held[side, place[side][doc[some]], code[some] - at] = 1
+            both += held[0, : len(left)] @ held[1, : len(right)].T
+        union = size[left][:, None] + size[right][None, :] - both
+        found = (100 * both >= PERCENT * union) & (both > 0) & (label[left][:, None] != label[right][None, :])
+        i, j = np.nonzero(found)
+        ids = np.array([r[2] for r in rows], np.int64)
+        return pa.record_batch([pa.array(np.minimum(ids[left[i]], ids[right[j]])), pa.array(np.maximum(ids[left[i]], ids[right[j]]))], ["u", "v"])
+
+    rows: list[tuple] = []
+    for b in batches:
+        for r in zip(*(b.column(c).to_pylist() for c in ("pair", "second", "id", "label", "text"))):
+            if rows and rows[0][0] != r[0]:
+                yield links(rows)
+                rows = []
+            rows.append(r)
+    if rows:
+        yield links(rows)
+
+
+def _prefix_links(members: DataFrame, texts: DataFrame) -> DataFrame:
+    """All links (u, v) across labels between members (id, label, leader).
+
+    Shingles are ranked by how many members have them, rarest first. Sets x and y
+    of the similarity sought share one of the first |x| - ceil(0.75 |x|) + 1 of x and the
+    like of y, or else their common part would be too small. So texts that only
+    share a frequent passage never meet, and shingles of a single component add nothing.
+    Members are put into blocks of BLOCK_DOCS by their leader; blocks that share
+    such a shingle are compared, each pair of blocks in one go.
+    """
+    docs = cut(members.join(texts.select(F.col("doc_id").alias("id"), "text"), "id"))
+    parts = docs.groupBy("leader").agg(F.greatest(F.count("*") / BLOCK_DOCS, F.sum(F.length("text")) / BLOCK_CHARS).alias("parts"))
+    docs = cut(docs.join(parts, "leader").select("id", "label", "text", F.xxhash64("leader", F.pmod(F.xxhash64("id"), F.ceil("parts"))).alias("block")))
+    rows = docs.select(F.col("id").alias("doc_id"), "text").mapInArrow(_shingle_rows, "id long, set long, n long, shingle long")
+    held = rows.groupBy("shingle").agg(F.count("*").alias("held"))
+    rank = F.row_number().over(Window.partitionBy("id", "set").orderBy("held", "shingle"))
+    prefix = rows.join(held, "shingle").withColumn("rank", rank).where(f"rank <= n - ({PERCENT} * n + 99) div 100 + 1 and held > 1").select("shingle", "id")
+    held_in = prefix.join(docs.select("id", "label", "block").distinct(), "id").groupBy("shingle", "block").agg(F.min("label").alias("a"), F.max("label").alias("b"))
+    held_in = cut(held_in)
+    open_ = held_in.groupBy("shingle").agg(F.min("a").alias("low"), F.max("b").alias("high")).where("low < high").select("shingle")
+    held_in = held_in.join(open_, "shingle", "left_semi").select("shingle", "block", "a", "b")
+    other = held_in.select("shingle", F.col("block").alias("block_v"), F.col("a").alias("a_v"), F.col("b").alias("b_v"))
+    pairs = held_in.join(other, "shingle").where("block <= block_v and least(a, a_v) < greatest(b, b_v)").select("block", "block_v").distinct()
+    sides = pairs.select(F.struct("block", "block_v").alias("pair"), F.explode(F.when(F.col("block") == F.col("block_v"), F.array(F.struct(F.lit(False).alias("second"), "block"))).otherwise(F.array(F.struct(F.lit(False).alias("second"), F.col("block").alias("block")), F.struct(F.lit(True).alias("second"), F.col("block_v").alias("block"))))).alias("side"))
+    sides = sides.select(F.concat_ws(":", "pair.block", "pair.block_v").alias("pair"), "side.second", "side.block")
+    n = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = sides.join(docs, "block").select("pair", "second", "id", "label", "text").repartition(n, "pair").sortWithinPartitions("pair", "second", "id")
+    return dealt.mapInArrow(_block_links, "u long, v long").distinct()
+
+
+def _settle(members: DataFrame, texts: DataFrame, labels: DataFrame, failed: DataFrame) -> DataFrame:
+    """Compare what is left across components of one bucket: with another hub where much is left, then in full.
+
+    New links join components, so only components' ids go into the next contraction.
+    """
     mixed = members.join(failed.select(F.col("u").alias("hub"), F.col("v").alias("id")), ["hub", "id"], "left_semi").select("bucket").distinct()
-    members = cut(members.select("bucket", "id").join(mixed, "bucket", "left_semi"))
-    for turn in range(HUB_ROUNDS + 1):
-        now = members.join(labels.withColumnRenamed("node", "id"), "id", "left").select("bucket", "id", F.coalesce("component", "id").alias("label"))
-        open_ = now.groupBy("bucket").agg(F.min("label").alias("a"), F.max("label").alias("b"), F.min_by("id", F.xxhash64("id", F.lit(turn))).alias("hub")).where("a < b").select("bucket", "hub")
-        now = cut(now.join(open_, "bucket"))
-        by_label = now.groupBy("bucket", "label").agg(F.count("*").alias("n")).groupBy("bucket").agg((F.sum("n") * F.sum("n") - F.sum(F.col("n") * F.col("n"))).alias("n"))
-        left, ids = (by_label.agg(F.sum("n") / 2).first()[0] or 0), now.count()
+    members = members.select("bucket", "id", F.col("hub").alias("leader")).join(mixed, "bucket", "left_semi")
+    for turn in range(2):
+        now = members.join(labels.withColumnRenamed("node", "id"), "id", "left").select("bucket", "id", "leader", F.coalesce("component", "id").alias("label"))
+        open_ = now.groupBy("bucket").agg(F.min("label").alias("a"), F.max("label").alias("b"), F.min_by("id", F.xxhash64("id")).alias("hub")).where("a < b").select("bucket", "hub")
+        members = cut(now.join(open_, "bucket"))
+        by_label = members.groupBy("bucket", "label").agg(F.count("*").alias("n")).groupBy("bucket").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("own"))
+        rows, left = by_label.agg(F.sum("n"), F.sum(F.col("n") * F.col("n") - F.col("own")) / 2).first()
         if not left:
             return labels
-        last = turn == HUB_ROUNDS or left <= 4 * ids
+        last = turn == 1 or left <= PAIRS_EACH * rows
         if last:
-            other = now.select("bucket", F.col("id").alias("v"), F.col("label").alias("label_v"))
-            pairs = now.select("bucket", F.col("id").alias("u"), "label").join(other, "bucket").where("u < v and label <> label_v").select("u", "v")
+            links = _prefix_links(members.groupBy("id", "label").agg(F.min("leader").alias("leader")), texts)
         else:
-            hub_label = now.where("id = hub").select("bucket", F.col("label").alias("hub_label"))
-            pairs = now.join(hub_label, "bucket").where("label <> hub_label").select(F.least("id", "hub").alias("u"), F.greatest("id", "hub").alias("v"))
-        pairs = cut(pairs.distinct().join(tried, ["u", "v"], "left_anti"))
-        links = cut(links.unionAll(_confirmed(pairs, texts)))
-        labels = components(links)
+            hubs = members.where("id = hub").select("bucket", F.col("label").alias("hub_label"))
+            pairs = members.join(hubs, "bucket").where("label <> hub_label").select(F.least("id", "hub").alias("u"), F.greatest("id", "hub").alias("v")).distinct()
+            links = _confirmed(pairs, texts)
+        of = lambda end: labels.select(F.col("node").alias(end), F.col("component").alias(f"c_{end}"))
+        joins = components(links.join(of("u"), "u", "left").join(of("v"), "v", "left").select(F.coalesce("c_u", "u").alias("u"), F.coalesce("c_v", "v").alias("v")))
+        both = labels.unionAll(joins.select("node", F.col("node").alias("component"))).groupBy("node").agg(F.min("component").alias("at"))
+        labels = cut(both.join(joins.select(F.col("node").alias("at"), "component"), "at", "left").select("node", F.coalesce("component", "at").alias("component")))
         if last:
             return labels
-        tried = cut(tried.unionAll(pairs))
+        members = members.select("bucket", "id", "leader")
     return labels
 
 
