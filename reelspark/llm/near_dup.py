@@ -221,7 +221,7 @@ def _settle(members: DataFrame, texts: DataFrame, labels: DataFrame, failed: Dat
     mixed = members.join(failed.select(F.col("u").alias("hub"), F.col("v").alias("id")), ["hub", "id"], "left_semi").select("bucket").distinct()
     members = members.select("bucket", "id", F.col("hub").alias("leader")).join(mixed, "bucket", "left_semi")
     for turn in range(2):
-        now = members.join(labels.withColumnRenamed("node", "id"), "id", "left").select("bucket", "id", "leader", F.coalesce("component", "id").alias("label"))
+        now = cut(members.join(labels.withColumnRenamed("node", "id"), "id", "left").select("bucket", "id", "leader", F.coalesce("component", "id").alias("label")))
         open_ = now.groupBy("bucket").agg(F.min("label").alias("a"), F.max("label").alias("b"), F.min_by("id", F.xxhash64("id")).alias("hub")).where("a < b").select("bucket", "hub")
         members = cut(now.join(open_, "bucket"))
         by_label = members.groupBy("bucket", "label").agg(F.count("*").alias("n")).groupBy("bucket").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("own"))
