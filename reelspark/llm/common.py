@@ -14,7 +14,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 
 #: Entries a worker's word cache may hold before it starts afresh; bounds memory, never results.
-CACHE_ENTRIES = 400_000
+CACHE_ENTRIES = 200_000
 
 #: Documents that a task works on at once.
 BLOCK_ROWS = 256
