@@ -1,6 +1,37 @@
-"""All registered queries of the media operators, and their SQL."""
+"""All registered queries of the media operators, and the same statements in DuckDB's dialect."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+import re
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
+from reelspark.operators import blocks, colour, container, geometry, metrics, naming
+
+from .fixtures import TABLES, with_views
+
+STATEMENTS: dict[str, str] = colour.OPERATORS | geometry.OPERATORS | container.OPERATORS | metrics.OPERATORS | naming.OPERATORS | blocks.OPERATORS
+
+
+def run(statement: str) -> Callable[[SparkSession, str], DataFrame]:
+    """A query that runs the statement over the Parquet tables of a folder."""
+    sql = with_views(statement, duck=False)
+    used = [t for t in TABLES if re.search(rf"\b{t}\b", sql)]
+
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        for t in used:
+            spark.read.parquet(f"{sf_dir}/{t}.parquet").createOrReplaceTempView(t)
+        return spark.sql(sql)
+
+    return query
+
+
+def duck(statement: str) -> str:
+    sql = with_views(statement, duck=True)
+    sql = re.sub(r"\bdiv\b", "//", sql).replace("explode(sequence(", "unnest(generate_series(")
+    return sql.replace("REGEXP_LIKE", "regexp_matches").replace("varchar(20)", "varchar")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {k: run(v) for k, v in STATEMENTS.items()}
+ORACLE_SQL: dict[str, str] = {k: duck(v) for k, v in STATEMENTS.items()}
