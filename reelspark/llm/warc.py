@@ -293,9 +293,9 @@ def _each_file(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _order_key(head: bytes, r: ArcRecord) -> str:
-    """What decides which of equal payloads stays: the X-Page-Id of the response if it has one, else date and place."""
+    """What decides which of equal payloads stays: the X-Page-Id of the response, or below all of these, date and place."""
     found = re.search(rb"\r\nX-Page-Id: (-?\d+)\r\n", head)
-    return f"{int(found[1]) + 2**63:020d}" if found else f"{r.timestamp}:{r.record_id}"
+    return f"1:{int(found[1]) + 2**63:020d}" if found else f"0:{r.timestamp}:{r.record_id}"
 
 
 def convert(spark: SparkSession, arcs: str, warcs: str, revisit_bytes: int = REVISIT_BYTES) -> None:
@@ -371,7 +371,7 @@ def archive_pages(spark: SparkSession, pages: DataFrame, revisit_bytes: int = RE
     2), these are converted, and the WARC archives are read back. Null html:
     empty payload; null url: a dash. Each row is a record; rows with the same id
     and payload have equal keys, one of them stays. A null page_id isn't
-    written to the head and comes back null. An empty table gives an empty result.
+    written to the head, is below all others, and comes back null. An empty table gives an empty result.
     """
     arcs, warcs = scratch_path(spark, "arc"), scratch_path(spark, "warc")
     html = F.coalesce(F.col("html").cast("string"), F.lit(""))
