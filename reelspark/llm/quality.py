@@ -96,6 +96,7 @@ class Machine:
         x = x.astype(np.float32, copy=False)
         m = cls(0.0, np.zeros(x.shape[1], np.float32), random.normal(0, 0.02, (x.shape[1], FACTORS)).astype(np.float32))
         if not len(x):
+            m.factors[:] = 0
             return m
         m.bias = float(np.log((y.sum() + 1) / (len(y) - y.sum() + 1)))
         gb, gw, gv = 1.0, np.full_like(m.weights, 0.1), np.full_like(m.factors, 0.1)
