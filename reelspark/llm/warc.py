@@ -33,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import blocks, filesystem, scratch_path, table
+from .common import blocks, filesystem, materialize, scratch_path, table
 
 REVISIT_BYTES = 1000
 #: A file is closed and the next begun beyond so many bytes.
@@ -379,7 +379,8 @@ def archive_pages(spark: SparkSession, pages: DataFrame, revisit_bytes: int = RE
     head = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n"), F.when(page.isNotNull(), F.concat(F.lit("X-Page-Id: "), page.cast("string"), F.lit("\r\n"))).otherwise(""), F.lit("Content-Length: "), F.octet_length(html).cast("string"), F.lit("\r\n\r\n"))
     write_arcs(spark, pages.select(F.col("url").cast("string").alias("url"), F.lit("20000101000000").alias("date"), F.lit("text/html").alias("content_type"), head.alias("head"), html.alias("payload"), F.coalesce(F.pmod(page, F.lit(2)) + 1, F.lit(1)).cast("int").alias("version")), arcs)
     convert(spark, arcs, warcs, revisit_bytes)
-    back = read_warcs(spark, warcs).withColumn("page_id", F.regexp_extract("http_head", r"\r\nX-Page-Id: (-?\d+)\r\n", 1).try_cast("long"))
+    # what the archives say is a short row for each record; kept, so that they are read once and not for each use below
+    back = materialize(spark, read_warcs(spark, warcs), "records").withColumn("page_id", F.regexp_extract("http_head", r"\r\nX-Page-Id: (-?\d+)\r\n", 1).try_cast("long"))
     targets = back.where("type <> 'revisit'").select(F.col("record_id").alias("refers_to_id"), F.col("page_id").alias("refers_to"))
     revisits = back.where("type = 'revisit'").join(targets, "refers_to_id", "left")
     rest = back.where("type <> 'revisit'").withColumn("refers_to", F.lit(None).cast("long"))
