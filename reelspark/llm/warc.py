@@ -38,6 +38,8 @@ from .common import blocks, filesystem, materialize, scratch_path, table
 REVISIT_BYTES = 1000
 #: A file is closed and the next begun beyond so many bytes.
 FILE_BYTES = 64 << 20
+#: Bytes of an archive that are read at once. Small, as each gzip member copies what of them lies behind it.
+READ_BYTES = 1 << 16
 #: Fixed values of the formats.
 FIELDS = {1: "URL IP-address Archive-date Content-type Archive-length", 2: "URL IP-address Archive-date Content-type Result-code Checksum Location Offset Filename Archive-length"}
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -93,49 +95,62 @@ class ArcReader:
 
     def __init__(self, stream, archive: str):
         self.stream, self.archive, self.version, self.at = stream, archive, 1, 0
-        self.buffer, self.inflate, self.ended = b"", None, False
-        head = stream.read(2)
-        if head == b"\x1f\x8b":
+        self.buffer, self.pos, self.inflate, self.ended = b"", 0, None, False
+        head = stream.read(READ_BYTES)
+        if head[:2] == b"\x1f\x8b":
             self.inflate = zlib.decompressobj(31)
         self._feed(head)
 
     def _feed(self, data: bytes) -> None:
+        """Put what data holds behind the bytes not yet taken, copying these once."""
+        parts = [self.buffer[self.pos :]]
         if self.inflate is None:
-            self.buffer += data
-            return
-        while data:
-            self.buffer += self.inflate.decompress(data)
+            parts.append(data)
+        while self.inflate is not None and data:
+            parts.append(self.inflate.decompress(data))
             data = self.inflate.unused_data
             if self.inflate.eof:
                 self.inflate = zlib.decompressobj(31)
+        self.buffer, self.pos = b"".join(parts), 0
 
     def _more(self) -> bool:
-        data = b"" if self.ended else self.stream.read(1 << 20)
+        data = b"" if self.ended else self.stream.read(READ_BYTES)
         self.ended = not data
         if data:
             self._feed(data)
         return bool(data)
 
     def _line(self) -> bytes | None:
-        while b"\n" not in self.buffer:
+        searched = self.pos
+        while (end := self.buffer.find(b"\n", searched)) < 0:
+            behind = len(self.buffer) - self.pos
             if not self._more():
+                end = len(self.buffer)
                 break
-        if not self.buffer:
+            searched = self.pos + behind
+        if self.pos == len(self.buffer):
             return None
-        line, _, self.buffer = self.buffer.partition(b"\n")
+        line = self.buffer[self.pos : end]
+        self.pos = min(end + 1, len(self.buffer))
         self.at += len(line) + 1
         return line
 
     def _bytes(self, n: int) -> bytes:
-        parts, have = [self.buffer], len(self.buffer)
-        while have < n:
-            self.buffer = b""
-            if not self._more():
-                break
-            parts.append(self.buffer)
-            have += len(self.buffer)
-        whole = b"".join(parts)
-        out, self.buffer = whole[:n], whole[n:]
+        if len(self.buffer) - self.pos < n:
+            parts = [self.buffer[self.pos :]]
+            have = len(parts[0])
+            while have < n:
+                self.buffer, self.pos = b"", 0
+                if not self._more():
+                    break
+                parts.append(self.buffer)
+                have += len(self.buffer)
+            # what is left over of the last part stays
+            self.pos = len(self.buffer) - max(0, have - n)
+            out = b"".join(parts)[:n]
+        else:
+            out = self.buffer[self.pos : self.pos + n]
+            self.pos += n
         self.at += len(out)
         return out
 
