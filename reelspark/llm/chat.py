@@ -13,6 +13,7 @@ taking one away restores every text.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import re
 from collections.abc import Iterator
@@ -42,17 +43,20 @@ class Template:
 
     def __post_init__(self) -> None:
         self.controls = [*{m: None for pair in self.marks.values() for m in pair}, *self.named]
-        esc = re.escape(self.escape_mark)
-        any_of = lambda some: re.compile("|".join(f"({re.escape(c[0])})({esc}{some})({re.escape(c[1:])})" for c in self.controls))
+        esc, rests = f"(?:{re.escape(self.escape_mark)})", {}
+        for c in self.controls:
+            rests.setdefault(c[0], []).append(re.escape(c[1:]))
+        # alternatives begin with plain characters, so that the search skips to one of these
+        any_of = lambda some: re.compile("|".join(f"{re.escape(first)}{esc}{some}(?:{'|'.join(rest)})" for first, rest in rests.items()))
         self._plain, self._escaped = any_of("*"), any_of("+")
         self._opens = {pair[0]: (role, pair[1]) for role, pair in self.marks.items()}
         self._token = re.compile("|".join(re.escape(c) for c in sorted(self.controls, key=len, reverse=True)))
 
     def escape(self, text: str) -> str:
-        return self._plain.sub(lambda m: (g := [x for x in m.groups() if x is not None])[0] + g[1] + self.escape_mark + g[2], text)
+        return self._plain.sub(lambda m: m[0][0] + self.escape_mark + m[0][1:], text)
 
     def unescape(self, text: str) -> str:
-        return self._escaped.sub(lambda m: (g := [x for x in m.groups() if x is not None])[0] + g[1][: -len(self.escape_mark)] + g[2], text)
+        return self._escaped.sub(lambda m: m[0][0] + m[0][1 + len(self.escape_mark) :], text)
 
     def turn(self, role: str | None, text: str | None) -> tuple[str, str, str]:
         """(what stands before the text, the escaped text, what stands behind)."""
@@ -82,8 +86,14 @@ class Template:
 
 def chat_tokenizer(tokenizer_json: str, template: Template) -> Tokenizer:
     """The tokenizer with the template's control strings as special tokens behind its own ids, and untrimmed offsets."""
+    return _chat_tokenizer(tokenizer_json, tuple(template.controls))
+
+
+@functools.cache
+def _chat_tokenizer(tokenizer_json: str, controls: tuple[str, ...]) -> Tokenizer:
+    """One for each process, so that a worker's later tasks needn't load it again."""
     t = Tokenizer.from_str(tokenizer_json)
-    t.add_special_tokens([AddedToken(c, special=True, normalized=False) for c in template.controls])
+    t.add_special_tokens([AddedToken(c, special=True, normalized=False) for c in controls])
     t.post_processor = processors.ByteLevel(trim_offsets=False)
     return t
 
