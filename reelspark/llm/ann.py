@@ -31,6 +31,8 @@ K = 20
 FACTOR = 0.75
 #: Vectors in a shard, about; bounds what a task holds.
 SHARD_VECTORS = 25_000
+#: Shards that smaller tables are dealt to all the same, so that several tasks work, while a shard has at least LEAST_VECTORS.
+SHARDS, LEAST_VECTORS = 16, 512
 LEAF = 128
 QUERY_BLOCK = 2048
 
@@ -134,12 +136,12 @@ def _matrix(column: pa.Array) -> np.ndarray:
 
 
 def build_index(spark: SparkSession, vectors: DataFrame, folder: str, shard_vectors: int = SHARD_VECTORS) -> list[str]:
-    """Write one tree for each shard under folder; returns the shards' names, about rows / shard_vectors of them.
+    """Write one tree for each shard under folder; returns the shards' names: about rows / shard_vectors of them, or up to SHARDS where that is more.
 
     All vectors must have one length; those of the commonest length's first batch decide, others fail the build.
     """
     stats = vectors.agg(F.count("*").alias("n"), F.max(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x)).alias("norm2")).first()
-    shards, norm = max(1, -(-stats.n // shard_vectors)), float(stats.norm2 or 0) ** 0.5
+    shards, norm = max(1, -(-stats.n // shard_vectors), min(SHARDS, stats.n // LEAST_VECTORS)), float(stats.norm2 or 0) ** 0.5
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # a task may be dealt several shards, one after the other
