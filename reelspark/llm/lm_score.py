@@ -19,6 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -72,7 +73,7 @@ def train(docs: DataFrame, target_ids: DataFrame, id_col: str = "doc_id", text_c
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, out = WordHashes(), np.zeros((2, VOCABULARY + BIGRAM_CELLS), np.int64)
         for b in blocks(batches):
-            for good, part in ((g, b.filter(pa.compute.equal(b.column("good"), g))) for g in (True, False)):
+            for good, part in ((g, b.filter(pc.equal(b.column("good"), g))) for g in (True, False)):
                 cells = [np.zeros(0, np.int64)]
                 for text in part.column("text").to_pylist():
                     ids = token_ids(text, hashes)
