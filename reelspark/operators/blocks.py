@@ -19,6 +19,11 @@ def _errors(entries: list[str], value: str) -> str:
     return "least(" + ", ".join(f"abs({value} - ({e})) * 8 + {k}" for k, e in enumerate(entries)) + ")"
 
 
+def _pick(entries: list[str], code: str) -> str:
+    """The palette entry that a code names."""
+    return f"case {code} " + " ".join(f"when {k} then {e}" for k, e in enumerate(entries)) + " end"
+
+
 _E8, _E6 = _palette("hi", "lo", 8, 3), _palette("mid_lo", "mid_hi", 6, 2)
 
 OPERATORS: dict[str, str] = {
@@ -50,6 +55,24 @@ OPERATORS: dict[str, str] = {
         k as (select frame_no, y, x, code, c0 > c1 as four, ((c0 >> 11) << 3) + (c0 >> 13) as r0, ((c1 >> 11) << 3) + (c1 >> 13) as r1 from c)
         select frame_no, y, x, cast(case code when 0 then r0 when 1 then r1 when 2 then case when four then (2 * r0 + r1) div 3 else (r0 + r1) div 2 end else case when four then (r0 + 2 * r1) div 3 else 0 end end as bigint) as r,
           case when not four and code = 3 then 0 else 255 end as a from k""",
+    # sixteen codes of three bits, the first in the lowest bits, as six bytes in hexadecimal digits
+    "bc4_pack": f"""
+        with e as ({_ENDS}), p as ({_PX}),
+        c as (select p.frame_no, p.block_y, p.block_x, max(hi) as a0, max(lo) as a1, sum(({_errors(_E8, "p.v")} % 8) * (cast(1 as bigint) << cast(3 * i as int))) as bits
+              from p join e on e.frame_no = p.frame_no and e.block_y = p.block_y and e.block_x = p.block_x group by p.frame_no, p.block_y, p.block_x)
+        select frame_no, cast(block_y as bigint) as block_y, cast(block_x as bigint) as block_x, printf('%02x%02x%02x%02x%02x%02x%02x%02x', cast(a0 as bigint), cast(a1 as bigint), {", ".join(f"cast(bits as bigint) >> {8 * k} & 255" for k in range(6))}) as packed from c""",
+    # two scalar blocks side by side, each with its own truncating palette
+    "bc5_decode": f"""
+        with e as ({_ENDS}), p as (select frame_no, y div 4 as block_y, x div 4 as block_x, (y % 4) * 4 + x % 4 as i, luma % 8 as code_r, luma div 8 % 8 as code_g from px_luma),
+        k as (select p.*, e.hi, e.lo from p join e on e.frame_no = p.frame_no and e.block_y = p.block_y and e.block_x = p.block_x)
+        select frame_no, cast(block_y as bigint) as block_y, cast(block_x as bigint) as block_x, cast(i as bigint) as i,
+          cast({_pick(_palette("hi", "lo", 8, 0), "code_r")} as bigint) as r, cast({_pick(_palette("hi", "lo", 8, 0), "code_g")} as bigint) as g from k""",
+    # always four colours, whatever the order of the endpoints, and an alpha palette of eight or six steps by the order of its own
+    "bc3_decode": f"""
+        with c as (select frame_no, y, x, r * 256 + g as c0, b * 256 + r as c1, (r + g + b) % 4 as code, g as a0, b as a1, r % 8 as alpha_code from px_rgb),
+        k as (select frame_no, y, x, code, alpha_code, a0, a1, ((c0 >> 11) << 3) + (c0 >> 13) as r0, ((c1 >> 11) << 3) + (c1 >> 13) as r1 from c)
+        select frame_no, y, x, cast({_pick(["r0", "r1", "(2 * r0 + r1) div 3", "(r0 + 2 * r1) div 3"], "code")} as bigint) as r,
+          cast(case when a0 > a1 then {_pick(_palette("a0", "a1", 8, 0), "alpha_code")} else {_pick(_palette("a0", "a1", 6, 0), "alpha_code")} end as bigint) as a from k""",
     "dxt_unpack": "select frame_no, y, x, luma from px_luma where x < 6 and y < 7",
     "edge_replicate": """
         with t as (select y, x, least(y, 5) as sy, least(x, 6) as sx from (select explode(sequence(0, 7)) as y) ys cross join (select explode(sequence(0, 7)) as x) xs)

@@ -34,6 +34,11 @@ OPERATORS: dict[str, str] = {
     "audio_rate_resolve": """
         with a as (select event_id, case when event_id % 4 = 0 then 0 else 44100 end as source_rate, case when event_id % 3 = 0 then 48000 end as wanted, event_id % 70 as channels from events)
         select event_id, channels between 1 and 64 as channels_ok, coalesce(wanted, nullif(source_rate, 0), 48000) as rate from a""",
+    # the tag at the head of the first packet overrides what the sample description says; an unknown or missing tag keeps it
+    "variant_peek": """
+        with dim_tag as (select * from (values (1, 'DXT1'), (2, 'DXT5'), (3, 'YCG6'), (4, 'YG10')) as t(tag, variant)),
+        f as (select source_id, size % 7 as tag, case when source_id % 2 = 0 then 'DXT1' else 'DXT5' end as described from packets_meta where frame_no = 0)
+        select f.source_id, coalesce(d.variant, f.described) as variant, d.variant is not null as peeked from f left join dim_tag d on d.tag = f.tag""",
     "first_frame": "select source_id, frame_no, size from packets_meta where frame_no = 0",
     "movie_filter": """
         with n as (select page_id, url, lower(regexp_extract(url, '[.]([A-Za-z0-9]+)([?#].*)?$', 1)) as ext from pages)

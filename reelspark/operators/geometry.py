@@ -23,6 +23,20 @@ OPERATORS: dict[str, str] = {
     "resize_nearest": """
         with g as (select y, x, y * 8 div 12 as sy, x * 8 div 12 as sx from (select explode(sequence(0, 11)) as y) ys cross join (select explode(sequence(0, 11)) as x) xs)
         select p.frame_no, cast(g.y as bigint) as y, cast(g.x as bigint) as x, p.luma from g join px_luma p on p.y = g.sy and p.x = g.sx""",
+    # an opposite corner stays; the side follows the pointer in steps of 4, at least 4, up to the edge of the source
+    "crop_drag": """
+        with c as (select geom_id, name, src_w, src_h, src_w div 4 as x, src_h div 4 as y, greatest(4, src_w div 8 * 4) as w, greatest(4, src_h div 8 * 4) as h, (geom_id * 7) % 900 - 450 as dx, (geom_id * 11) % 700 - 350 as dy, geom_id % 4 as corner from geom),
+        r as (select geom_id, name, x, y, w, h, corner, case when corner in (0, 2) then x + w else src_w - x end as room_w, case when corner in (0, 1) then y + h else src_h - y end as room_h,
+                case when corner in (0, 2) then w - dx else w + dx end as want_w, case when corner in (0, 1) then h - dy else h + dy end as want_h from c),
+        s as (select geom_id, name, x, y, w, h, corner, least(room_w div 4 * 4, greatest(4, (greatest(0, want_w) + 2) div 4 * 4)) as new_w, least(room_h div 4 * 4, greatest(4, (greatest(0, want_h) + 2) div 4 * 4)) as new_h from r)
+        select geom_id, name, cast(case when corner in (0, 2) then x + w - new_w else x end as bigint) as x, cast(case when corner in (0, 1) then y + h - new_h else y end as bigint) as y, cast(new_w as bigint) as w, cast(new_h as bigint) as h from s""",
+    # centres of target pixels mapped onto the source, weights in 1/24 of a pixel, edges repeated; exact in integers, so a solid colour stays
+    "resize_bilinear": """
+        with a as (select t, least(7, greatest(0, (2 * t + 1) * 8 - 12) div 24) as lo, greatest(0, (2 * t + 1) * 8 - 12) % 24 as part from (select explode(sequence(0, 11)) as t) ts),
+        g as (select v.t as y, h.t as x, v.lo as y0, least(7, v.lo + 1) as y1, v.part as py, h.lo as x0, least(7, h.lo + 1) as x1, h.part as px from a v cross join a h),
+        k as (select y, x, y0 as sy, x0 as sx, (24 - py) * (24 - px) as weight from g union all select y, x, y0, x1, (24 - py) * px from g
+              union all select y, x, y1, x0, py * (24 - px) from g union all select y, x, y1, x1, py * px from g)
+        select p.frame_no, cast(k.y as bigint) as y, cast(k.x as bigint) as x, cast((sum(k.weight * p.luma) + 288) div 576 as bigint) as luma from k join px_luma p on p.y = k.sy and p.x = k.sx group by p.frame_no, k.y, k.x""",
     "resize_auto": "select geom_id, name, case when src_w = dst_w and src_h = dst_h then 'bilinear' when dst_w <= src_w and dst_h <= src_h then 'lanczos' else 'bilinear' end as filter from geom",
     "letterbox_rect": f"""
         with i as (select geom_id, name, dst_w, dst_h,
