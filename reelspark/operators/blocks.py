@@ -4,8 +4,14 @@ from __future__ import annotations
 
 _PX = "select frame_no, y div 4 as block_y, x div 4 as block_x, (y % 4) * 4 + x % 4 as i, luma as v from px_luma"
 # 8-mode interpolates six steps of 1/7 between max and min; 6-mode four of 1/5 between the extremes inside 0..255, and has 0 and 255
-_ENDS = f"""
-    select frame_no, block_y, block_x, max(v) as hi, min(v) as lo, min(case when v > 0 and v < 255 then v end) as mid_lo, max(case when v > 0 and v < 255 then v end) as mid_hi from ({_PX}) p group by frame_no, block_y, block_x"""
+def _ends(px: str) -> str:
+    return f"""
+    select frame_no, block_y, block_x, max(v) as hi, min(v) as lo, min(case when v > 0 and v < 255 then v end) as mid_lo, max(case when v > 0 and v < 255 then v end) as mid_hi from ({px}) p group by frame_no, block_y, block_x"""
+
+
+_ENDS = _ends(_PX)
+# alpha where frames without an alpha channel count as opaque
+_ALPHA = "select frame_no, y div 4 as block_y, x div 4 as block_x, (y % 4) * 4 + x % 4 as i, case when frame_no % 3 = 0 then 255 else a end as v from px_rgba"
 
 
 def _palette(a: str, b: str, mode: int, half: int) -> list[str]:
@@ -26,6 +32,43 @@ def _pick(entries: list[str], code: str) -> str:
 
 _E8, _E6 = _palette("hi", "lo", 8, 3), _palette("mid_lo", "mid_hi", 6, 2)
 
+
+def _encode(px: str) -> str:
+    """Scalar blocks with the better of both modes, eight steps on ties."""
+    return f"""
+        with e as ({_ends(px)}), p as ({px}),
+        c as (select p.frame_no, p.block_y, p.block_x, p.i, hi, lo, mid_lo, mid_hi, {_errors(_E8, "p.v")} as e8, case when mid_lo < mid_hi then {_errors(_E6, "p.v")} end as e6
+              from p join e on e.frame_no = p.frame_no and e.block_y = p.block_y and e.block_x = p.block_x),
+        s as (select *, sum(e8 div 8) over (partition by frame_no, block_y, block_x) as sum8, sum(e6 div 8) over (partition by frame_no, block_y, block_x) as sum6 from c)
+        select frame_no, cast(block_y as bigint) as block_y, cast(block_x as bigint) as block_x, cast(max(case when sum6 < sum8 then mid_lo else hi end) as bigint) as a0, cast(max(case when sum6 < sum8 then mid_hi else lo end) as bigint) as a1,
+          cast(sum((case when sum6 < sum8 then e6 % 8 else e8 % 8 end) * (cast(1 as bigint) << cast(3 * i as int))) as bigint) as indices, cast(max(least(sum8, coalesce(sum6, sum8))) as bigint) as error
+        from s group by frame_no, block_y, block_x"""
+
+
+def _squares(entries: list[str], value: str) -> str:
+    return "least(" + ", ".join(f"({value} - ({e})) * ({value} - ({e})) * 8 + {k}" for k, e in enumerate(entries)) + ")"
+
+
+def _short(value: str, top: int) -> str:
+    """An 8-bit value as one of top + 1 levels, to the nearest."""
+    return f"(({value} * {top} + 128 + (({value} * {top} + 128) >> 8)) >> 8)"
+
+
+def _ops(stream: str) -> str:
+    """Opcodes of a stream (source_id, channel, n, v) of blocks, the first of which has none: 3 is a new block
+    of eight bytes, 0 the block before 4 to 258 times more, 1 once more."""
+    return f"""
+        with b as (select source_id, channel, n, v, case when v = lag(v) over (partition by source_id, channel order by n) then 0 else 1 end as change from ({stream}) p),
+        r as (select source_id, channel, n, sum(change) over (partition by source_id, channel order by n rows between unbounded preceding and current row) as run from b),
+        g as (select source_id, channel, min(n) as start_at, count(*) - 1 as again from r group by source_id, channel, run),
+        m as (select source_id, channel, start_at, again div 258 as whole, again % 258 as rest from g where again > 0),
+        o as (select source_id, channel, start_at, whole, rest, explode(sequence(cast(1 as bigint), cast(whole + case when rest >= 4 then 1 else rest end as bigint))) as k from m)
+        select source_id, channel, cast(start_at as bigint) as block, cast(3 as bigint) as op, cast(1 as bigint) as covers, cast(8 as bigint) as bytes from g where start_at > 0
+        union all
+        select source_id, channel, cast(start_at + 1 + case when k <= whole or rest >= 4 then 258 * (k - 1) else 257 * whole + k - 1 end as bigint), cast(case when k <= whole or rest >= 4 then 0 else 1 end as bigint),
+          cast(case when k <= whole then 258 when rest >= 4 then rest else 1 end as bigint), cast(case when k <= whole or rest >= 4 then 1 else 0 end as bigint) from o"""
+
+
 OPERATORS: dict[str, str] = {
     "plane_blocks": f"select frame_no, cast(block_y as bigint) as block_y, cast(block_x as bigint) as block_x, cast(i as bigint) as i, v from ({_PX}) p",
     "bc1_constant": "select frame_no, cast(y div 4 as bigint) as block_y, cast(x div 4 as bigint) as block_x, min(r) = max(r) and min(g) = max(g) and min(b) = max(b) as constant, max(r) as r, max(g) as g, max(b) as b from px_rgb group by frame_no, y div 4, x div 4",
@@ -40,14 +83,33 @@ OPERATORS: dict[str, str] = {
         with e as ({_ENDS}), p as ({_PX})
         select p.frame_no, cast(p.block_y as bigint) as block_y, cast(p.block_x as bigint) as block_x, cast(p.i as bigint) as i, cast({_errors(_E8, "p.v")} % 8 as bigint) as entry, cast({_errors(_E8, "p.v")} div 8 as bigint) as error
         from p join e on e.frame_no = p.frame_no and e.block_y = p.block_y and e.block_x = p.block_x""",
-    "bc4_encode": f"""
+    "bc4_encode": _encode(_PX),
+    "hapa_blocks": _encode(_ALPHA),
+    # both modes with each endpoint up to three away from the extremes; squared errors, the first of the smallest
+    "bc4_refined": f"""
         with e as ({_ENDS}), p as ({_PX}),
-        c as (select p.frame_no, p.block_y, p.block_x, p.i, hi, lo, mid_lo, mid_hi, {_errors(_E8, "p.v")} as e8, case when mid_lo < mid_hi then {_errors(_E6, "p.v")} end as e6
-              from p join e on e.frame_no = p.frame_no and e.block_y = p.block_y and e.block_x = p.block_x),
-        s as (select *, sum(e8 div 8) over (partition by frame_no, block_y, block_x) as sum8, sum(e6 div 8) over (partition by frame_no, block_y, block_x) as sum6 from c)
-        select frame_no, cast(block_y as bigint) as block_y, cast(block_x as bigint) as block_x, cast(max(case when sum6 < sum8 then mid_lo else hi end) as bigint) as a0, cast(max(case when sum6 < sum8 then mid_hi else lo end) as bigint) as a1,
-          cast(sum((case when sum6 < sum8 then e6 % 8 else e8 % 8 end) * (cast(1 as bigint) << cast(3 * i as int))) as bigint) as indices, cast(max(least(sum8, coalesce(sum6, sum8))) as bigint) as error
-        from s group by frame_no, block_y, block_x""",
+        c as (select frame_no, block_y, block_x, hi, lo, explode(sequence(0, 97)) as k from e where lo < hi),
+        t as (select frame_no, block_y, block_x, k, least(255, greatest(0, hi + k % 7 - 3)) as h, least(255, greatest(0, lo + k div 7 % 7 - 3)) as l from c),
+        d as (select frame_no, block_y, block_x, k, case when k < 49 then greatest(h, l) else least(h, l) end as hi, case when k < 49 then least(h, l) else greatest(h, l) end as lo from t where h <> l),
+        x as (select d.frame_no, d.block_y, d.block_x, k, hi, lo, i, case when k < 49 then {_squares(_E8, "v")} else {_squares(_palette("hi", "lo", 6, 2), "v")} end as e
+              from d join p on d.frame_no = p.frame_no and d.block_y = p.block_y and d.block_x = p.block_x),
+        s as (select frame_no, block_y, block_x, k, max(hi) as a0, max(lo) as a1, sum((e % 8) * (cast(1 as bigint) << cast(3 * i as int))) as indices, sum(e div 8) as error from x group by frame_no, block_y, block_x, k),
+        f as (select *, row_number() over (partition by frame_no, block_y, block_x order by error, k) as n from s)
+        select frame_no, cast(block_y as bigint) as block_y, cast(block_x as bigint) as block_x, cast(a0 as bigint) as a0, cast(a1 as bigint) as a1, cast(indices as bigint) as indices, cast(error as bigint) as error from f where n = 1
+        union all select frame_no, cast(block_y as bigint), cast(block_x as bigint), cast(lo as bigint), cast(lo as bigint), cast(0 as bigint), cast(0 as bigint) from e where lo = hi""",
+    # pixels on the axis between the block's extremes in 5, 6 and 5 bits, told apart at the middles of the four colours
+    "bc1_match": f"""
+        with e as (select frame_no, y div 4 as block_y, x div 4 as block_x, {", ".join(f"{_short(f'{f}({c})', 63 if c == 'g' else 31)} as {c}{n}" for n, f in enumerate(("max", "min")) for c in "rgb")} from px_rgb group by frame_no, y div 4, x div 4),
+        w as (select frame_no, block_y, block_x, (r0 << 11) + (g0 << 5) + b0 as c0, (r1 << 11) + (g1 << 5) + b1 as c1, {", ".join(f"({c}{n} << {2 if c == 'g' else 3}) + ({c}{n} >> {4 if c == 'g' else 2}) as {c}{n}" for n in (0, 1) for c in "rgb")} from e),
+        d as (select *, r0 - r1 as dr, g0 - g1 as dg, b0 - b1 as db from w),
+        s as (select *, r0 * dr + g0 * dg + b0 * db as s0, r1 * dr + g1 * dg + b1 * db as s1,
+                (2 * r0 + r1) div 3 * dr + (2 * g0 + g1) div 3 * dg + (2 * b0 + b1) div 3 * db as s2, (2 * r1 + r0) div 3 * dr + (2 * g1 + g0) div 3 * dg + (2 * b1 + b0) div 3 * db as s3 from d),
+        m as (select s.frame_no, s.block_y, s.block_x, c0, c1, (p.y % 4) * 4 + p.x % 4 as i, p.r * dr + p.g * dg + p.b * db as dot, (s1 + s3) >> 1 as low, (s3 + s2) >> 1 as half, (s2 + s0) >> 1 as high
+              from s join px_rgb p on p.frame_no = s.frame_no and p.y div 4 = s.block_y and p.x div 4 = s.block_x)
+        select frame_no, cast(block_y as bigint) as block_y, cast(block_x as bigint) as block_x, cast(max(c0) as bigint) as c0, cast(max(c1) as bigint) as c1,
+          cast(sum((case when dot < half then case when dot < low then 1 else 3 end when dot < high then 2 else 0 end) * (cast(1 as bigint) << cast(2 * i as int))) as bigint) as mask from m group by frame_no, block_y, block_x""",
+    "cgo_ops": _ops("select source_id, 0 as channel, frame_no as n, size div 700 as v from packets_meta"),
+    "cgo_ops2": _ops("select source_id, 0 as channel, frame_no as n, size div 700 as v from packets_meta union all select source_id, 1 as channel, frame_no as n, event_id * 11 % 50 div 40 as v from packets_meta"),
     # decoders cut off where encoders round
     "bc4_decode": "with e as (" + _ENDS + ") select frame_no, cast(block_y as bigint) as block_y, cast(block_x as bigint) as block_x, " + ", ".join(f"cast({e} as bigint) as p{k}" for k, e in enumerate(_palette("hi", "lo", 8, 0))) + " from e",
     "bc1_decode": """
