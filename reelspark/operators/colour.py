@@ -4,10 +4,10 @@ from __future__ import annotations
 
 OPERATORS: dict[str, str] = {
     # floors of right shifts hold for negative sums too
-    "ycocg_forward": "select frame_no, y, x, (r + 2 * g + b + 2) >> 2 as luma, (r - b) >> 1 as co, (2 * g - r - b) >> 1 as cg from px_rgb",
+    "ycocg_forward": "select frame_no, y, x, (r + 2 * g + b + 2) >> 2 as luma, (r - b) >> 1 as co, (2 * g - r - b) >> 2 as cg from px_rgb",
     # sums over the corners that exist, rounded half away from zero by their number, biased and clamped
     "chroma_subsample": """
-        with c as (select frame_no, y div 2 as cy, x div 2 as cx, cast(sum((r - b) >> 1) as bigint) as co, cast(sum((2 * g - r - b) >> 1) as bigint) as cg, count(*) as n from px_rgb group by frame_no, y div 2, x div 2)
+        with c as (select frame_no, y div 2 as cy, x div 2 as cx, cast(sum((r - b) >> 1) as bigint) as co, cast(sum((2 * g - r - b) >> 2) as bigint) as cg, count(*) as n from px_rgb group by frame_no, y div 2, x div 2)
         select frame_no, cast(cy as bigint) as cy, cast(cx as bigint) as cx,
           cast(least(255, greatest(0, 128 + case when co >= 0 then (co + n div 2) div n else -((-co + n div 2) div n) end)) as bigint) as co,
           cast(least(255, greatest(0, 128 + case when cg >= 0 then (cg + n div 2) div n else -((-cg + n div 2) div n) end)) as bigint) as cg from c""",
@@ -26,7 +26,7 @@ OPERATORS: dict[str, str] = {
           cast(case a when 0 then 0 when 255 then g else (g * a + 127) div 255 end as bigint) as g, cast(case a when 0 then 0 when 255 then b else (b * a + 127) div 255 end as bigint) as b from px_rgba""",
     "swizzle": "select frame_no, y, x, b as c0, g as c1, r as c2, a as c3 from px_rgba",
     "scaled_ycocg": """
-        with p as (select frame_no, y, x, (r + 2 * g + b + 2) >> 2 as luma, (r - b) >> 1 as co, (2 * g - r - b) >> 1 as cg from px_rgb),
+        with p as (select frame_no, y, x, (r + 2 * g + b + 2) >> 2 as luma, (r - b) >> 1 as co, (2 * g - r - b) >> 2 as cg from px_rgb),
         m as (select *, max(greatest(abs(co), abs(cg))) over (partition by frame_no, y div 4, x div 4) as top from p),
         s as (select *, case when top <= 31 then 4 when top <= 63 then 2 else 1 end as scale from m)
         select frame_no, y, x, cast(least(255, greatest(0, co * scale + 128)) as int) as co8, cast(least(255, greatest(0, cg * scale + 128)) as int) as cg8,

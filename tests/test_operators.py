@@ -34,6 +34,87 @@ def test_query_matches_sql(spark, duck, key):
     assert rows(got.columns, got.collect()) == rows(columns, want.fetchall())
 
 
+def blocks_of(spark, view):
+    """(frame, block row, block column) to its sixteen pixels in order."""
+    from reelspark.plans.fixtures import with_views
+
+    spark.read.parquet(f"{SF}/embeddings.parquet").createOrReplaceTempView("embeddings")
+    out = {}
+    for r in spark.sql(with_views(f"select * from {view} where frame_no < 12", duck=False)).collect():
+        out.setdefault((r.frame_no, r.y // 4, r.x // 4), {})[r.y % 4 * 4 + r.x % 4] = r
+    return {k: [v[i] for i in range(16)] for k, v in out.items()}
+
+
+def palette(a, b, eight):
+    n = 7 if eight else 5
+    return [a, b] + [((n - k) * a + k * b + n // 2) // n for k in range(1, n)] + ([] if eight else [0, 255])
+
+
+def test_refined_blocks_by_brute_force(spark):
+    got = {(r.frame_no, r.block_y, r.block_x): r for r in registry.QUERIES["bc4_refined"](spark, SF).where("frame_no < 12").collect()}
+    want = blocks_of(spark, "px_luma")
+    assert set(got) == set(want)
+    for key, pixels in want.items():
+        v, best = [p.luma for p in pixels], None
+        tried = [(mode, low, high) for mode in (0, 1) for low in range(-3, 4) for high in range(-3, 4)]
+        for mode, low, high in tried:
+            a, b = min(255, max(0, max(v) + high)), min(255, max(0, min(v) + low))
+            if a == b:
+                continue
+            a, b = (max(a, b), min(a, b)) if mode == 0 else (min(a, b), max(a, b))
+            entries = palette(a, b, mode == 0)
+            codes = [min(range(8), key=lambda k: ((x - entries[k]) ** 2, k)) for x in v]
+            error = sum((x - entries[c]) ** 2 for x, c in zip(v, codes))
+            if best is None or error < best[0]:
+                best = (error, a, b, sum(c << 3 * i for i, c in enumerate(codes)))
+        r = got[key]
+        assert (r.error, r.a0, r.a1, r.indices) == (best if min(v) < max(v) else (0, v[0], v[0], 0))
+
+
+def test_colour_match_takes_a_near_colour(spark):
+    """Golden rows of one block by hand, and every code's colour no farther along the axis than the others."""
+    widen = lambda c: [(c >> 11 << 3) + (c >> 13), ((c >> 5 & 63) << 2) + (c >> 9 & 3), ((c & 31) << 3) + ((c & 31) >> 2)]
+    got = {(r.frame_no, r.block_y, r.block_x): r for r in registry.QUERIES["bc1_match"](spark, SF).where("frame_no < 12").collect()}
+    for key, pixels in blocks_of(spark, "px_rgb").items():
+        r = got[key]
+        first, last = widen(r.c0), widen(r.c1)
+        colours = [first, last, [(2 * x + y) // 3 for x, y in zip(first, last)], [(x + 2 * y) // 3 for x, y in zip(first, last)]]
+        axis = [x - y for x, y in zip(first, last)]
+        on = lambda c: sum(x * y for x, y in zip(c, axis))
+        for i, p in enumerate(pixels):
+            away = [abs(on((p.r, p.g, p.b)) - on(c)) for c in colours]
+            assert away[r.mask >> 2 * i & 3] <= min(away) + 1
+
+
+def test_opcodes_cover_every_block_but_the_first(spark):
+    from pyspark.sql import functions as F
+
+    ops = registry.QUERIES["cgo_ops2"](spark, SF)
+    assert ops.where("op = 0 and covers not between 4 and 258 or op in (1, 3) and covers <> 1").isEmpty()
+    events = spark.read.parquet(f"{SF}/events.parquet").groupBy(F.col("user_id").alias("source_id")).agg((F.count("*") - 1).alias("n"))
+    covered = ops.groupBy("source_id", "channel").agg(F.sum("covers").alias("covered"), F.min("block").alias("first"), F.max(F.col("block") + F.col("covers") - 1).alias("last"))
+    assert covered.join(events, "source_id").where("covered <> n or first <> 1 or last <> n").isEmpty()
+    assert ops.where("op = 0").count() > 0
+
+
+@pytest.mark.parametrize("length, want", [(1, []), (2, [(1, 1, 1)]), (4, [(1, 1, 1), (2, 1, 1), (3, 1, 1)]), (5, [(1, 0, 4)]), (262, [(1, 0, 258), (259, 1, 1), (260, 1, 1), (261, 1, 1)]), (263, [(1, 0, 258), (259, 0, 4)])])
+def test_long_runs_are_split(spark, length, want):
+    from reelspark.operators.blocks import _ops
+
+    got = spark.sql(_ops(f"select 0 as source_id, 0 as channel, id as n, 7 as v from range({length})"))
+    assert sorted((r.block, r.op, r.covers) for r in got.collect()) == want
+
+
+def test_resize_keeps_a_solid_colour(spark):
+    sql = registry.STATEMENTS["resize_lanczos"].replace("px_luma", "(select 0 as frame_no, id div 8 as y, id % 8 as x, 201 as luma from range(64))")
+    assert [r.luma for r in spark.sql(sql).collect()] == [201] * 16
+
+
+def test_chroma_golden(spark):
+    sql = registry.STATEMENTS["chroma_subsample"].replace("px_rgb", "(select 0 as frame_no, id div 2 as y, id % 2 as x, 200 as r, 100 as g, 50 as b from range(4))")
+    assert [(r.co, r.cg) for r in spark.sql(sql).collect()] == [(203, 115)]
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
 
