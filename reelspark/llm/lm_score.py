@@ -29,6 +29,8 @@ VOCABULARY = 1 << 17
 BIGRAM_CELLS = 1 << 20
 #: Added mass: a tenth of a word for each id of the vocabulary; BETA words' worth of the word model after each word.
 ALPHA, BETA = 0.1 * VOCABULARY, 4.0
+#: Up to so many ids of target documents are broadcast, some 70 MB; more are joined by a shuffle.
+BROADCAST_IDS = 1_000_000
 
 
 def token_ids(text: str | None, hashes: WordHashes) -> np.ndarray:
@@ -66,8 +68,14 @@ class Models:
 
 
 def train(docs: DataFrame, target_ids: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Models:
-    """Count docs; target_ids has the ids (column id_col) of the target's documents, repeated ids counting once."""
+    """Count docs; target_ids has the ids (column id_col) of the target's documents, repeated ids counting once.
+
+    The ids are counted first: up to BROADCAST_IDS go to the texts, beyond that
+    both are shuffled by id, with the same result.
+    """
     good = target_ids.select(F.col(id_col).alias("__id")).where("__id is not null").distinct().withColumn("__good", F.lit(True))
+    if good.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS:
+        good = F.broadcast(good)
     rows = docs.select(F.col(id_col).alias("__doc"), F.col(text_col).cast("string").alias("text")).join(good, F.col("__doc") == F.col("__id"), "left").select("text", F.coalesce("__good", F.lit(False)).alias("good"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
