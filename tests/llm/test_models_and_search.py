@@ -2,6 +2,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from reelspark.llm import ann, lm_score, quality
@@ -51,7 +52,9 @@ def test_scores_use_neither_labels_nor_metadata_columns(spark):
     assert {r.score for r in quality.score(docs, empty).collect()} == {0.5}
 
 
-def test_losses_against_plain_counts(spark):
+@pytest.mark.parametrize("bound", [lm_score.BROADCAST_IDS, 1])
+def test_losses_against_plain_counts(spark, monkeypatch, bound):
+    monkeypatch.setattr(lm_score, "BROADCAST_IDS", bound)
     texts = [(1, "a b a b c"), (2, "a c c"), (3, None), (4, ""), (5, "b"), (6, "z " * 20_000), (6, "a b"), (None, "c a")]
     docs = spark.createDataFrame([(d, t, 0, "y", "s") for d, t in texts], DOCS)
     target = spark.createDataFrame([(1,), (1,), (5,), (None,), (99,)], "doc_id long")
