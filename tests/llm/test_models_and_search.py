@@ -52,6 +52,41 @@ def test_scores_use_neither_labels_nor_metadata_columns(spark):
     assert {r.score for r in quality.score(docs, empty).collect()} == {0.5}
 
 
+def plain_losses(texts, good, asked):
+    """Mean losses of asked texts under counts by whole words, with a vocabulary that may outgrow VOCABULARY."""
+    one, two = [Counter(), Counter()], [Counter(), Counter()]
+    for i, text in enumerate(texts):
+        for side in (0, 1) if i in good else (1,):
+            one[side].update(text.split())
+            two[side].update(zip(text.split(), text.split()[1:]))
+    n = [sum(c.values()) for c in one]
+    mass, out = 0.1 * max(lm_score.VOCABULARY, len(one[1])), []
+    for text in asked:
+        tokens, loss = text.split(), [[], []]
+        for side, scale in enumerate((1.0, n[0] / n[1])):
+            for h, w in zip([None, *tokens], tokens):
+                p = (one[side][w] * scale + 0.1) / (n[0] + mass)
+                loss[side].append(-np.log(p if h is None else (two[side][h, w] * scale + lm_score.BETA * p) / (one[side][h] * scale + lm_score.BETA)))
+        out.append([float(np.mean(x)) for x in loss])
+    return out
+
+
+def test_counts_grow_with_the_corpus(spark, monkeypatch):
+    """More distinct words and bigrams than any fixed table of a model held, and a word that is everywhere."""
+    monkeypatch.setattr(lm_score, "PACK_TOKENS", 5000)
+    r = np.random.default_rng(3)
+    texts = [" ".join(x for w in r.integers(0, 10**7, 250).tolist() for x in ("the", f"w{w}")) for _ in range(800)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3, "doc_id")
+    target = docs.where("doc_id < 200").select("doc_id")
+    models = lm_score.train(docs, target)
+    assert models.vocabulary > lm_score.VOCABULARY and len(models.hot) == 1
+    for asked in (docs, spark.createDataFrame(list(enumerate(texts[:50] + ["never seen the words"])), "doc_id long, text string")):
+        got = {x.doc_id: x for x in lm_score.score(asked, models).collect()}
+        of = [x.text for x in asked.orderBy("doc_id").collect()]
+        for i, want in enumerate(plain_losses(texts, set(range(200)), of)):
+            assert np.allclose([got[i].target_loss, got[i].background_loss], want, rtol=1e-9)
+
+
 @pytest.mark.parametrize("bound", [lm_score.BROADCAST_IDS, 1])
 def test_losses_against_plain_counts(spark, monkeypatch, bound):
     monkeypatch.setattr(lm_score, "BROADCAST_IDS", bound)
