@@ -1,6 +1,14 @@
-"""Operator 3: repeated passages by content-defined chunks.
+"""Operator 3: repeated passages of WORDS words and more, whole_passages, and of content-defined chunks, repeated_passages.
 
-A gear hash rolls over the UTF-8 bytes: h = 2 * h + G[byte]. A chunk ends where
+whole_passages misses none and has no bound on length. A text's words are joined by
+single spaces. Of each PLACES consecutive hashes of GRAM bytes the smallest is a mark of
+the text; whatever its surroundings, a stretch of GRAM + PLACES - 1 = 99 bytes, which
+any 50 words have, has marks of its own, and in a stretch that occurs twice all of
+them do. So only stretches of WORDS words whose marks all occur elsewhere are hashed (96
+bits), at every word, and compared; those that occurred before, joined where they
+overlap, are the passages, from their first word to their last.
+
+repeated_passages takes whole chunks only, so it loses the ends of a passage. A gear hash rolls over the UTF-8 bytes: h = 2 * h + G[byte]. A chunk ends where
 the top bits of the low 16 bits of h are zero. Bit j of h depends on the last
 j + 1 bytes only, so an end depends on the 16 bytes before it, and chunks after an
 insertion are the same again as soon as one end lies behind it. Chunks are
@@ -23,13 +31,15 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import blocks, mix, table
+from .common import WordHashes, blocks, materialize, mix, table
 
+WORDS, GRAM, PLACES = 50, 32, 68
 AVERAGE_BITS = 5
 AVERAGE = 1 << AVERAGE_BITS
 #: Least bytes of whole chunks in a repeated passage: what is left of 50 words when the cut-off ends of both sides are taken away.
 MIN_BYTES = 128
 GEAR = (mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) & np.uint64(0xFFFF)).astype(np.uint16)
+BYTE_HASH = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD1B54A32D192ED03))
 
 
 def chunk_ends(data: bytes, bits: int = AVERAGE_BITS) -> np.ndarray:
@@ -93,6 +103,117 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     return out.where(F.col("n_bytes") >= min_bytes).select("doc_id", "start", "end", "n_bytes", "n_chunks", "first_doc_id")
 
 
+def word_bounds(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First byte of each word and the byte after it. Words are parted by space; in scripts without spaces each character is one."""
+    space = (data == 32) | ((data >= 9) & (data <= 13))
+    after = np.append(data[1:], 0)
+    alone = ((data >= 0xE3) & (data <= 0xE9)) | ((data == 0xE0) & (after >= 0xB8) & (after <= 0xBB)) | ((data == 0xE1) & (((after >= 0x80) & (after <= 0x82)) | (after == 0x9E) | (after == 0x9F)))
+    before = np.append(True, space[:-1])
+    before[3:] |= alone[:-3]
+    starts = ~space & (before | alone)
+    ends = np.append(starts[1:] | space[1:], True) & ~space
+    return np.flatnonzero(starts), np.flatnonzero(ends) + 1
+
+
+def _rolled(h: np.ndarray, size: int, factor: int) -> np.ndarray:
+    """Polynomial hashes of all stretches of size values, by halving: the first half, then the rest behind it."""
+    if size == 1:
+        return h
+    half, odd = divmod(size, 2)
+    part = _rolled(h, half, factor)
+    n = len(h) - size + 1
+    out = part[:n] * np.uint64(pow(factor, half, 1 << 64)) + part[half : half + n]
+    return out * np.uint64(factor) + h[size - 1 :] if odd else out
+
+
+def stretches(h: np.ndarray, size: int, factor: int) -> np.ndarray:
+    return mix(_rolled(h, size, factor)) if len(h) >= size else np.zeros(0, np.uint64)
+
+
+def marks(text: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Hash at each byte, and the smallest of PLACES hashes from each byte on."""
+    h = stretches(BYTE_HASH[np.frombuffer(text, np.uint8)], GRAM, 0x9E3779B97F4A7C15)
+    if len(h) < PLACES:
+        return h, h[:0]
+    least, n = h, 1
+    while 2 * n <= PLACES:
+        least, n = np.minimum(least[:-n], least[n:]), 2 * n
+    return h, np.minimum(least[: len(h) - PLACES + 1], least[PLACES - n :]) if PLACES > n else least
+
+
+def joined_words(text: str) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray]:
+    """Words joined by one space where any was, the place of each in that, and its bytes in the text."""
+    raw = text.encode("utf-8", "surrogatepass")
+    data = np.frombuffer(raw, np.uint8)
+    starts, ends = word_bounds(data)
+    gap = np.append(starts[1:] > ends[:-1], False) if len(starts) else np.zeros(0, bool)
+    at = np.cumsum(ends - starts + gap) - (ends - starts + gap)
+    if raw.isascii():
+        joined = b" ".join(raw[a:b] for a, b in zip(starts.tolist(), ends.tolist()))
+    else:
+        joined = b"".join(raw[a:b] + b" " * g for a, b, g in zip(starts.tolist(), ends.tolist(), gap.tolist()))
+    return joined, at, starts, ends
+
+
+def _mark_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for block in blocks(batches, 128):
+        found, ids, again = [], [], []
+        for doc_id, text in zip(block.column(0).to_pylist(), block.column(1).to_pylist()):
+            h, least = marks(joined_words(text)[0])
+            own = np.unique(least)
+            places = np.sort(h[np.isin(h, own)])
+            found.append(own)
+            ids.append(np.full(len(own), doc_id))
+            again.append(np.searchsorted(places, own, "right") - np.searchsorted(places, own) > 1)
+        yield pa.record_batch([pa.array(np.concatenate(found).view(np.int64)), pa.array(np.concatenate(ids)), pa.array(np.concatenate(again))], ["mark", "doc_id", "again"])
+
+
+def _stretch_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    hashes = WordHashes()
+    for block in blocks(batches, 128):
+        out: list[list] = [[] for _ in range(7)]
+        for doc_id, text, known in zip(block.column("doc_id").to_pylist(), block.column("text").to_pylist(), block.column("marks").to_pylist()):
+            joined, at, starts, ends = joined_words(text)
+            if len(at) < WORDS:
+                continue
+            least = marks(joined)[1]
+            wrong = np.concatenate([[0], np.cumsum(~np.isin(least, np.array(known, np.int64).view(np.uint64)))])
+            first = np.arange(len(at) - WORDS + 1)
+            stop = at[first + WORDS - 1] + (ends - starts)[first + WORDS - 1] - (GRAM + PLACES - 1) + 1
+            first = first[wrong[np.maximum(stop, at[first])] == wrong[at[first]]]
+            h = hashes.of([joined[a:b] for a, b in zip(at.tolist(), (at + ends - starts).tolist())])
+            a = stretches(h, WORDS, 0x9E3779B97F4A7C15)[first]
+            b = (stretches(h, WORDS, 0xD1B54A32D192ED03)[first] >> np.uint64(32)).astype(np.uint32)
+            again = np.ones(len(a), bool)
+            again[np.unique(a, return_index=True)[1]] = False
+            for column, values in zip(out, (a.view(np.int64), b.view(np.int32), np.full(len(a), doc_id), first.astype(np.int32), starts[first].astype(np.int32), ends[first + WORDS - 1].astype(np.int32), again)):
+                column.append(values)
+        if out[0]:
+            yield pa.record_batch([pa.array(np.concatenate(x)) for x in out], ["a", "b", "doc_id", "seq", "start", "end", "again"])
+
+
+def whole_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, start, end, n_bytes, n_chunks, first_doc_id) of each passage of at least WORDS words that occurred before.
+
+    As repeated_passages, but exact: n_chunks is the number of stretches of WORDS
+    words in the passage that occurred before, each in one piece. Case counts,
+    the space between words doesn't; a run without space is one word.
+    """
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("doc_id is not null and text <> ''")
+    found = rows.mapInArrow(_mark_rows, "mark long, doc_id long, again boolean")
+    common = found.groupBy("mark").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("last"), F.max("again").alias("again")).where("last > least or again").select("mark")
+    known = found.select("mark", "doc_id").join(common, "mark").groupBy("doc_id").agg(F.collect_set("mark").alias("marks"))
+    tried = rows.join(known, "doc_id").select("doc_id", "text", "marks").mapInArrow(_stretch_rows, "a long, b int, doc_id long, seq int, start int, end int, again boolean")
+    tried = materialize(docs.sparkSession, tried, "stretches")
+    owners = tried.groupBy("a", "b").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("last"), F.max("again").alias("again")).where("last > owner or again").select("a", "b", "owner")
+    again = tried.join(owners, ["a", "b"]).where("doc_id <> owner or again").select("doc_id", "seq", "start", "end", "owner")
+    before = Window.partitionBy("doc_id").orderBy("start", "end", "seq")
+    new = F.coalesce(F.col("start") >= F.max("end").over(before.rowsBetween(Window.unboundedPreceding, -1)), F.lit(True)).cast("int")
+    runs = again.withColumn("new", new).withColumn("run", F.sum("new").over(before.rowsBetween(Window.unboundedPreceding, 0))).groupBy("doc_id", "run")
+    out = runs.agg(F.min("start").alias("start"), F.max("end").alias("end"), F.count("*").alias("n_chunks"), F.min("owner").alias("first_doc_id"))
+    return out.select("doc_id", "start", "end", (F.col("end") - F.col("start")).cast("long").alias("n_bytes"), "n_chunks", "first_doc_id")
+
+
 def without_passages(docs: DataFrame, passages: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with the reported passages cut out of the texts; every row and other column stays."""
     spans = passages.groupBy(F.col("doc_id").alias("__id")).agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("__spans"))
@@ -116,4 +237,4 @@ def without_passages(docs: DataFrame, passages: DataFrame, id_col: str = "doc_id
 
 
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return repeated_passages(table(spark, sf_dir, "documents"))
+    return whole_passages(table(spark, sf_dir, "documents"))

@@ -1,10 +1,11 @@
 import hashlib
 import math
 import random
+import re
 from collections import Counter
 
 from reelspark.llm.mixing import OP7_SQL, RATE_STEP, SEED, TERMS, op7_poisson_mix, replicate
-from reelspark.llm.substring_dedup import AVERAGE_BITS, GEAR, MIN_BYTES, chunk_ends, repeated_passages, without_passages
+from reelspark.llm.substring_dedup import AVERAGE_BITS, GEAR, MIN_BYTES, WORDS, chunk_ends, repeated_passages, whole_passages, without_passages
 
 from .helpers import SF, duck, same_rows
 
@@ -82,6 +83,46 @@ def test_passages_against_brute_force(spark):
     assert all(len(texts[d]) < len(given[d]) - 100 for d in (*range(21, 26), 40))
 
 
+def plain_stretches(docs):
+    """(doc_id, start, end) of all stretches of WORDS words that occurred before, joined where they overlap."""
+    found, first = {}, {}
+    for d, text in docs:
+        bounds = [(m.start(), m.end()) for m in re.finditer(rb"[^\x20\x09-\x0D]+", text.encode())] if d is not None and text else []
+        found[d] = [(tuple(text.encode()[a:b] for a, b in bounds[i : i + WORDS]), bounds[i][0], bounds[i + WORDS - 1][1]) for i in range(len(bounds) - WORDS + 1)]
+        for w, *_ in found[d]:
+            first[w] = min(first.get(w, d), d)
+    out = []
+    for d, mine in found.items():
+        seen, spans = set(), []
+        for w, a, b in mine:
+            if first[w] != d or w in seen:
+                if spans and a < spans[-1][1]:
+                    spans[-1][1] = b
+                else:
+                    spans.append([a, b])
+            seen.add(w)
+        out += [(d, a, b) for a, b in spans]
+    return sorted(out)
+
+
+def test_whole_passages_have_their_real_ends(spark):
+    """Passages of just over and under 50 words in other surroundings, short words, a stretch without variety, and repeats of repeats."""
+    r = random.Random(11)
+    say = lambda n, k=5000: " ".join(r.choice(["straße", "night", "Über", "a"]) + str(r.randrange(k)) for _ in range(n))
+    short = lambda n: " ".join(r.choice("abcdefghij") for _ in range(n))
+    docs = [*passages_corpus(), (60, "z " * 300), (61, f"{say(9)} {'z ' * 70} {say(9)}")]
+    for n in range(300):
+        shared = short(51) if n % 3 == 0 else say(49 + n % 5)
+        docs += [(1000 + 2 * n, f"{say(12)} {shared} {say(7)}"), (1001 + 2 * n, f"{say(5)}\n{shared}  {say(20)}")]
+    df = spark.createDataFrame([(d, t, "1", "2", "3", "4") for d, t in docs], DOCS)
+    got = whole_passages(df).collect()
+    want = plain_stretches(docs)
+    assert sorted((x.doc_id, x.start, x.end) for x in got) == want
+    assert {1001 + 2 * n for n in range(300) if n % 3 == 0 or n % 5} <= {d for d, *_ in want}
+    assert all(x.n_bytes == x.end - x.start and x.first_doc_id <= x.doc_id for x in got)
+    assert whole_passages(df.limit(0)).collect() == []
+
+
 def test_passages_of_an_empty_table(spark):
     assert repeated_passages(spark.createDataFrame([], DOCS)).collect() == []
 
