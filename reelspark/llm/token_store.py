@@ -48,15 +48,18 @@ class Encoder:
     Byte-level pieces are encoded independently of each other, so each new piece
     goes through the library once and its ids are remembered (for a bounded
     number of pieces). Texts with characters outside Latin letters, ASCII digits,
-    marks and spaces go through the library whole.
+    marks and spaces, and texts that contain an added token such as <|endoftext|>,
+    go through the library whole.
     """
 
     def __init__(self, tokenizer_json: str):
         self.tokenizer = Tokenizer.from_str(tokenizer_json)
-        self.tokenizer.encode_special_tokens = True
         self.wide = self.tokenizer.get_vocab_size() > 65536
         self.dtype = np.dtype("<u4" if self.wide else "<u2")
         self.by_piece = '"ByteLevel"' in tokenizer_json and '"use_regex":true' in re.sub(r"\s", "", tokenizer_json) and '"normalizer":null' in re.sub(r"\s", "", tokenizer_json)
+        # a normalized token may match other spellings; only where there is no normalizer, which by_piece asks for, is its content all that it matches
+        added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values() if t.content]
+        self.added = re.compile("|".join(map(re.escape, added)) if added else r"(?!)")
         self.known: dict[str, bytes] = {}
 
     def _bytes(self, texts: list[str]) -> list[bytes]:
@@ -66,7 +69,7 @@ class Encoder:
         out: list[bytes | None] = [None] * len(texts)
         get, parts, new = self.known.get, {}, {}
         for i, text in enumerate(texts):
-            if self.by_piece and not _OTHER.search(text):
+            if self.by_piece and not _OTHER.search(text) and not self.added.search(text):
                 pieces = _PIECE.findall(text)
                 ids = [get(p) for p in pieces]
                 if None in ids:

@@ -98,6 +98,16 @@ def test_pieces_encode_like_whole_texts(text):
     assert np.frombuffer(e.encode([text])[0], e.dtype).tolist() == e.tokenizer.encode(text, add_special_tokens=False).ids
 
 
+def test_added_tokens_in_texts_are_encoded_as_the_library_does(spark):
+    docs = [(1, "a <|endoftext|> b"), (2, "after it"), (3, "<|endoftext|>"), (4, "x<|endoftext|><|endoftext|>y <|endoftext"), (5, "日<|endoftext|>本"), (6, "end")]
+    t = Tokenizer.from_file(tokenizer_file())
+    assert 50256 in t.encode(docs[0][1], add_special_tokens=False).ids
+    folder = "file://" + tempfile.mkdtemp(prefix="spark-")
+    write_tokens(spark, spark.createDataFrame(docs, "doc_id long, text string"), folder + "/a", tokenizer_file())
+    rows = [tuple(r) for r in read_tokens(spark, folder + "/a").select("doc_id", "start", "n_tokens", "ids_crc32").collect()]
+    assert sorted(rows, key=lambda r: r[1]) == plain_store(docs)
+
+
 def test_perfect_hash_is_minimal_and_knows_strangers():
     for n in (0, 1, 2, 1000, 20_000):
         keys = np.stack([np.arange(n), np.zeros(n, np.int64)], 1)
