@@ -25,7 +25,13 @@ OPERATORS: dict[str, str] = {
         d as (select source_id, count(*) as frames, (max(ticks) + 512) / 15360.0e0 as duration from p group by source_id)
         select source_id, frames, cast(duration as double) as duration, cast(case when duration > 0 then frames / duration else 30.0e0 end as double) as fps from d""",
     "dims_resolve": "select geom_id, name, case when geom_id % 4 = 0 then dst_w else src_w end as w, case when geom_id % 4 = 0 then dst_h else src_h end as h from geom",
-    "packet_slice": "select doc_id, substring(text, 1 + cast(doc_id % 3 as int), 16) as packet, length(substring(text, 1 + cast(doc_id % 3 as int), 16)) < 16 as short_read from documents",
+    # entries of 256 to 258 bytes, in order, that cover all bytes of a text; the last one's may end early, and an empty text has one that reads none
+    "packet_slice": """
+        with d as (select doc_id, hex(text) as digits, 256 + doc_id % 3 as size from documents),
+        n as (select doc_id, digits, size, coalesce(length(digits) div 2, 0) as bytes from d),
+        e as (select doc_id, digits, size, bytes, explode(sequence(cast(0 as bigint), cast(greatest(0, bytes - 1) div size as bigint))) as idx from n)
+        select doc_id, idx, cast(idx * size as bigint) as file_offset, cast(size as bigint) as expected, cast(least(size, bytes - idx * size) as bigint) as actual,
+          coalesce(substring(digits, cast(2 * idx * size + 1 as int), cast(2 * size as int)), '') as packet, least(size, bytes - idx * size) < size as short_read from e""",
     "frame_count_est": "select event_id, cast(round((event_id % 1000) / 8.0 * 25.0) as bigint) as frames from events",
     "rational_fps": """
         with t as (select event_id, case when event_id % 5 = 0 then 0 else 30000 end as timescale, case event_id % 3 when 0 then 1001 when 1 then 1000 else 0 end as ticks from events)

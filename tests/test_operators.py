@@ -124,3 +124,18 @@ def test_ycocg_golden(spark, rgb, want):
     r, g, b = rgb
     sql = registry.STATEMENTS["ycocg_forward"].replace("px_rgb", f"(select 0 as frame_no, 0 as y, 0 as x, {r} as r, {g} as g, {b} as b)")
     assert tuple(spark.sql(sql).select("luma", "co", "cg").first()) == want
+
+
+def test_packets_cover_every_byte(spark):
+    """By hand: the packets of a text put together are its UTF-8 bytes, and only the last is short."""
+    found = {}
+    for r in registry.QUERIES["packet_slice"](spark, SF).collect():
+        found.setdefault(r.doc_id, []).append(r)
+    docs = {r.doc_id: (r.text or "").encode() for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    assert set(found) == set(docs)
+    for doc_id, data in docs.items():
+        size, mine = 256 + doc_id % 3, sorted(found[doc_id], key=lambda r: r.idx)
+        assert b"".join(bytes.fromhex(r.packet) for r in mine) == data
+        for i, r in enumerate(mine):
+            got = data[i * size : (i + 1) * size]
+            assert (r.idx, r.file_offset, r.expected, r.actual, bytes.fromhex(r.packet), r.short_read) == (i, i * size, size, len(got), got, len(got) < size)
