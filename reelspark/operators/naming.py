@@ -24,10 +24,13 @@ OPERATORS: dict[str, str] = {
     "timecode_format": """
         with f as (select event_id, case event_id % 3 when 0 then 24 when 1 then 30 else 25 end as fps from events)
         select event_id, printf('%02d:%02d:%02d:%02d', event_id div (3600 * fps), event_id div (60 * fps) % 60, event_id div fps % 60, event_id % fps) as timecode from f""",
-    "timecode_parse": """
-        with t as (select event_id, concat('00:', cast(event_id % 70 as varchar(20)), case when event_id % 9 = 0 then ': 5' else ':05' end, case when event_id % 10 = 0 then '' else ':12' end) as code from events),
-        p as (select event_id, code, regexp_extract(trim(code), '^([+]?[0-9]+):([+]?[0-9]+):([+]?[0-9]+):([+]?[0-9]+)$', 2) as m from t)
-        select event_id, code, case when m <> '' then cast(cast(m as bigint) * 60 * 25 + 5 * 25 + 12 as bigint) end as frame from p""",
+    # all four fields count, at the rounded rate of at least one; other than four fields of digits, or no positive rate, gives null
+    "timecode_parse": f"""
+        with t as (select event_id, case event_id % 5 when 0 then 24.0e0 when 1 then 29.97e0 when 2 then 59.94e0 when 3 then 0.3e0 else 0.0e0 end as fps,
+            concat(case when event_id % 11 = 0 then '  ' when event_id % 13 = 0 then '+' else '' end, cast(event_id div 2 % 30 as varchar(20)), ':', cast(event_id % 70 as varchar(20)), case when event_id % 9 = 0 then ': ' else ':' end, cast(event_id div 3 % 65 as varchar(20)),
+              case when event_id % 10 = 0 then '' else concat(':', cast(event_id div 7 % 61 as varchar(20))) end) as code from events),
+        p as (select event_id, code, fps, {", ".join(f"regexp_extract(trim(code), '^([+]?[0-9]+|-0+):([+]?[0-9]+|-0+):([+]?[0-9]+|-0+):([+]?[0-9]+|-0+)$', {k}) as {c}" for k, c in enumerate("hmsf", 1))} from t)
+        select event_id, code, fps, case when h <> '' and fps > 0 then cast((cast(h as bigint) * 3600 + cast(m as bigint) * 60 + cast(s as bigint)) * cast(greatest(1, floor(fps + 0.5e0)) as bigint) + cast(f as bigint) as bigint) end as frame from p""",
     "crop_badge": "select geom_id, name, case when src_w = dst_w and src_h = dst_h then 'full' else concat(cast(src_w as varchar(20)), 'x', cast(src_h as varchar(20)), ' of ', name) end as badge from geom",
     "parse_request": """
         with r as (select event_id, concat(cast(event_id % 50 as varchar(20)), ':', case when event_id % 7 = 0 then 'x' else cast(event_id % 97 as varchar(20)) end) as span, event_id % 70 as chunks from events),

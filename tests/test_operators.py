@@ -139,3 +139,17 @@ def test_packets_cover_every_byte(spark):
         for i, r in enumerate(mine):
             got = data[i * size : (i + 1) * size]
             assert (r.idx, r.file_offset, r.expected, r.actual, bytes.fromhex(r.packet), r.short_read) == (i, i * size, size, len(got), got, len(got) < size)
+
+
+def test_timecodes_count_every_field(spark):
+    """By hand: hours, minutes, seconds and frames at the rounded rate; null where a field or the rate is missing."""
+    parsed = set()
+    for r in registry.QUERIES["timecode_parse"](spark, SF).collect():
+        fields = r.code.strip(" ").split(":")
+        want = None
+        if len(fields) == 4 and not any(" " in f for f in fields) and r.fps > 0:
+            h, m, s, f = map(int, fields)
+            want = (h * 3600 + m * 60 + s) * max(1, math.floor(r.fps + 0.5)) + f
+            parsed.add((h, m, s, f, r.fps))
+        assert r.frame == want
+    assert all(len({p[k] for p in parsed}) > 3 for k in range(5))
