@@ -20,13 +20,15 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import WordHashes, blocks, table
 
 BUCKETS = 1 << 12
 FACTORS = 8
+#: Rows of one id that are fitted at most.
+ID_ROWS = 2
 SAMPLE = 12_000
 THRESHOLD = 0.3
 FOLDS = 5
@@ -127,10 +129,11 @@ def _text_rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = SAMPLE) -> Machine:
-    """Fit on at most `sample` labelled rows outside the held-out fold.
+    """Fit on the rows of at most `sample` labelled ids outside the held-out fold.
 
     Labels other than 0 and 1, and ids with both, are not used; a repeated
-    label counts once, each row of a repeated id counts.
+    label counts once. Of the rows of a repeated id, ID_ROWS count, the first by a
+    hash of what is fitted; so at most ID_ROWS * sample rows come to the driver.
     """
     known = labels.select(F.col(id_col).alias("doc_id"), F.col(label_col).cast("int").alias("y")).where("doc_id is not null and y in (0, 1)")
     known = known.where(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.min("y").alias("y"), F.max("y").alias("z")).where("y = z").drop("z")
@@ -144,7 +147,9 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
             at = [np.flatnonzero(row) for row in x]
             yield pa.record_batch([b.column("doc_id").cast(pa.string()), b.column("y"), pa.array([a.astype("<u2").tobytes() for a in at], pa.binary()), pa.array([row[a].tobytes() for a, row in zip(at, x)], pa.binary())], ["doc_id", "y", "at", "x"])
 
-    got = rows.mapInArrow(prepare, "doc_id string, y int, at binary, x binary").toArrow().sort_by([("doc_id", "ascending"), ("at", "ascending"), ("x", "ascending")]).slice(0, 2 * sample)
+    nth = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("at", "x"), "at", "x"))
+    some = rows.mapInArrow(prepare, "doc_id string, y int, at binary, x binary").withColumn("nth", nth).where(F.col("nth") <= ID_ROWS).drop("nth")
+    got = some.toArrow().sort_by([("doc_id", "ascending"), ("at", "ascending"), ("x", "ascending")])
     x = np.zeros((got.num_rows, BUCKETS + STRUCTURE), np.float32)
     for i, (at, value) in enumerate(zip(got["at"].to_pylist(), got["x"].to_pylist())):
         x[i, np.frombuffer(at, "<u2")] = np.frombuffer(value, np.float32)

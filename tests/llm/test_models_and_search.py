@@ -52,6 +52,15 @@ def test_scores_use_neither_labels_nor_metadata_columns(spark):
     assert {r.score for r in quality.score(docs, empty).collect()} == {0.5}
 
 
+def test_a_repeated_id_leaves_room_for_others(spark, monkeypatch):
+    fitted = []
+    monkeypatch.setattr(quality.Machine, "fit", lambda x, y: fitted.append(y))
+    ids = [i for i in range(1, 40) if zlib.crc32(str(i).encode()) % 5][:6]
+    docs = spark.createDataFrame([(ids[0], f"copy {i}") for i in range(200)] + [(i, "other text") for i in ids[1:]], "doc_id long, text string")
+    quality.fit(docs, spark.createDataFrame([(i, int(i == ids[0])) for i in ids], "doc_id long, quality int"), sample=6)
+    assert sorted(fitted[0].tolist()) == [0] * 5 + [1] * 2
+
+
 def plain_losses(texts, good, asked):
     """Mean losses of asked texts under counts by whole words, with a vocabulary that may outgrow VOCABULARY."""
     one, two = [Counter(), Counter()], [Counter(), Counter()]
