@@ -18,7 +18,10 @@ OPERATORS: dict[str, str] = {
           case when id % 5 = 0 then ' [640x360]' else '' end, case when id % 2 = 0 then concat(' [', {mmsscc('i', 'fps')}, '-', {mmsscc('coalesce(o, 339)', 'fps')}, ']') else '' end, '.mov') as name from ({_N}) n""",
     # taken numbers count from the base's 1; the next is one more than the largest, gaps stay
     "collision_free_name": """
-        with taken as (select source as stem, cast(doc_id % 9 as bigint) as n from documents where doc_id % 4 <> 0), best as (select stem, max(greatest(n, 1)) as top from taken group by stem),
+        with files as (select source as stem, concat(source, case when doc_id % 7 = 0 then '' when doc_id % 5 = 0 then '_take' else concat('_', cast(doc_id % 90 as varchar(20))) end, '.mov') as name from documents),
+        parsed as (select stem, name, regexp_extract(substring(name, length(stem) + 1), '^_([0-9]+)[.]mov$', 1) as digits from files),
+        taken as (select stem, case when digits <> '' then cast(digits as bigint) else cast(1 as bigint) end as n from parsed where digits <> '' or name = concat(stem, '.mov')),
+        best as (select stem, max(greatest(n, 1)) as top from taken group by stem),
         wanted as (select distinct source as stem from documents)
         select wanted.stem, case when top is null then concat(wanted.stem, '.mov') else concat(wanted.stem, '_', cast(top + 1 as varchar(20)), '.mov') end as name from wanted left join best on best.stem = wanted.stem""",
     "timecode_format": """
@@ -55,7 +58,7 @@ OPERATORS: dict[str, str] = {
         select event_id, coalesce(least(coalesce(wanted, source_rate), cap), coalesce(wanted, source_rate)) as rate, coalesce(coalesce(wanted, source_rate) > cap, false) as warned from a""",
     "preset_upsert": """
         with held as (select distinct lower(trim(source)) as k, min(doc_id) over (partition by lower(trim(source))) as id from documents where doc_id % 2 = 0),
-        fresh as (select lower(trim(source)) as k, max(doc_id) as id, max(n_chars) as size from documents where doc_id % 3 = 0 group by lower(trim(source)))
+        fresh as (select lower(trim(source)) as k, max(doc_id) as id, max(n_chars) as size from documents where doc_id % 2 <> 0 group by lower(trim(source)))
         select coalesce(held.k, fresh.k) as name, coalesce(held.id, fresh.id) as id, fresh.size as size from held full outer join fresh on fresh.k = held.k""",
     "select_after_remove": """
         with n as (select job_id, priority, lead(job_id) over (partition by priority order by job_id) as next_id, lag(job_id) over (partition by priority order by job_id) as last_id from jobs)

@@ -153,3 +153,14 @@ def test_timecodes_count_every_field(spark):
             parsed.add((h, m, s, f, r.fps))
         assert r.frame == want
     assert all(len({p[k] for p in parsed}) > 3 for k in range(5))
+
+
+def test_presets_and_names_use_every_document(spark):
+    """By hand: a source of one document, whatever its id, keeps its preset, and the next name follows the largest number taken."""
+    def run(key, ids):
+        docs = "(select id as doc_id, concat('s', cast(id as string)) as source, 5 as n_chars from values " + ", ".join(f"({i}L)" for i in ids) + " as v(id))"
+        return spark.sql(registry.STATEMENTS[key].replace("from documents", f"from {docs} documents")).collect()
+
+    assert sorted((r.name, r.id) for r in run("preset_upsert", range(12))) == sorted((f"s{i}", i) for i in range(12))
+    # s4_4 and s8_8 are taken, s7 is the base, s5_take is no number
+    assert {r.stem: r.name for r in run("collision_free_name", (4, 5, 7, 8))} == {"s4": "s4_5.mov", "s5": "s5.mov", "s7": "s7_2.mov", "s8": "s8_9.mov"}
