@@ -8,83 +8,118 @@ the index: bit levels of a minimal perfect hash (each level sets the bits that
 exactly one remaining key hashes to; rank of a key's bit is its slot), and for
 each slot a 32-bit fingerprint of the key, first id and number of ids. A lookup
 costs one hash per level, a rank and a fingerprint comparison. Shards hold
-ascending ranges of keys. manifest/ (Parquet, committed by Spark) names the
+ascending ranges of keys and end at SHARD_BYTES. manifest/ (Parquet, committed by Spark) names the
 files that count: what a failed or repeated task attempt left is never read.
 """
 
 from __future__ import annotations
 
+import array
+import bisect
 import functools
 import io
 import itertools
-import re
+import json
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from .common import CACHE_ENTRIES, blocks, filesystem, mix, scratch_path, table
+from .common import filesystem, mix, scratch_path, table
 
 MAGIC, VERSION = b"RSTK", 1
 END_ID = 0
 #: Bits of a level for each remaining key.
 GAMMA = 2.0
+#: Bytes of text that are encoded at once, whole texts at least, and runs that go through the library in one text.
+TEXT_BYTES, RUNS_AT_ONCE = 32 << 20, 1000
+#: Bytes of ids from which a shard ends and the task begins the next.
+SHARD_BYTES = 1 << 30
 
-# Within these characters the pre-tokenizer's pieces can be told by a plain pattern; other texts are encoded whole.
+# Within these characters the pre-tokenizer's pieces can be told by plain rules; other texts are encoded whole.
 _LETTERS, _SPACE = "A-Za-zÀ-ÖØ-öø-ɏ", " \t\n\r\x0b\x0c"
-_OTHER = re.compile(r"[^\x00-\x1b\x20-\x7fÀ-ÖØ-öø-ɏ]")
-_PIECE = re.compile(rf" ?[{_LETTERS}]+|'(?:s|t|re|ve|m|ll|d)| ?[0-9]+| ?[^{_SPACE}{_LETTERS}0-9]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+")
+_OTHER = r"[^\x00-\x1b\x20-\x7fÀ-ÖØ-öø-ɏ]"
+#: A space that no mark follows.
+_WIDE_SPACE = rf" (?:[{_SPACE}]|$)"
+#: Stands before a text's first run, as no space does; one of the characters that _OTHER keeps out.
+_FIRST = "\x1f"
+#: Ends each of the runs that go through the library in one text.
+_END = "\x0b"
+#: Runs that would grow together with _END, or hold it.
+_ALONE = rf"^{_FIRST}?(?:$|[{_SPACE}])|[{_SPACE}]$|{_END}"
 
 
 class Encoder:
     """ids of texts, from a tokenizers file in JSON.
 
-    Byte-level pieces are encoded independently of each other, so each new piece
-    goes through the library once and its ids are remembered (for a bounded
-    number of pieces). Texts with characters outside Latin letters, ASCII digits,
-    marks and spaces, and texts that contain an added token such as <|endoftext|>,
-    go through the library whole.
+    Byte-level pieces are encoded independently of each other, and none goes on
+    over a space that a mark follows. So a block's distinct runs between spaces go
+    through the library once, many in one text, and each text takes its runs' ids.
+    Texts with characters outside Latin letters, ASCII digits, marks and spaces,
+    with a space that no mark follows, or with an added token such as
+    <|endoftext|>, go through the library whole.
     """
 
     def __init__(self, tokenizer_json: str):
         self.tokenizer = Tokenizer.from_str(tokenizer_json)
         self.wide = self.tokenizer.get_vocab_size() > 65536
         self.dtype = np.dtype("<u4" if self.wide else "<u2")
-        self.by_piece = '"ByteLevel"' in tokenizer_json and '"use_regex":true' in re.sub(r"\s", "", tokenizer_json) and '"normalizer":null' in re.sub(r"\s", "", tokenizer_json)
-        # a normalized token may match other spellings; only where there is no normalizer, which by_piece asks for, is its content all that it matches
+        end = self._ids([_END])[0]
+        how = json.loads(tokenizer_json)
+        split = how.get("pre_tokenizer") or {}
+        self.by_run = len(end) == 1 and not how.get("normalizer") and split.get("type") == "ByteLevel" and split.get("use_regex", True) and not split.get("add_prefix_space")
+        self.end = end[0] if self.by_run else None
+        # a normalized token may match other spellings; only where there is no normalizer, which by_run asks for, is its content all that it matches
         added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values() if t.content]
-        self.added = re.compile("|".join(map(re.escape, added)) if added else r"(?!)")
-        self.known: dict[str, bytes] = {}
-
-    def _bytes(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, self.dtype).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def encode(self, texts: list[str]) -> list[bytes]:
+        self.whole = "|".join([_OTHER, _WIDE_SPACE, *(rf"\Q{x}\E" for x in added)])
+
+    def _ids(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, self.dtype) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _of_runs(self, runs: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Parts of (ids, number of ids of each run), in order."""
+        for at in range(0, len(runs), RUNS_AT_ONCE):
+            (ids,) = self._ids([_END.join(runs[at : at + RUNS_AT_ONCE]) + _END])
+            ends = np.flatnonzero(ids == self.end)
+            yield np.delete(ids, ends), np.diff(ends, prepend=-1) - 1
+
+    def encode(self, texts: pa.Array) -> list[bytes]:
+        """ids of each text as little-endian bytes; null: none."""
+        texts = pc.fill_null(texts.cast(pa.string()), "")
+        whole = pc.match_substring_regex(texts, self.whole) if self.by_run else pa.array([True] * len(texts), pa.bool_())
         out: list[bytes | None] = [None] * len(texts)
-        get, parts, new = self.known.get, {}, {}
-        for i, text in enumerate(texts):
-            if self.by_piece and not _OTHER.search(text) and not self.added.search(text):
-                pieces = _PIECE.findall(text)
-                ids = [get(p) for p in pieces]
-                if None in ids:
-                    new.update((p, b"") for p, x in zip(pieces, ids) if x is None)
-                    parts[i] = (pieces, ids)
-                else:
-                    out[i] = b"".join(ids)
-        new = dict(zip(new, self._bytes(list(new))))
-        for i, (pieces, ids) in parts.items():
-            out[i] = b"".join([new[p] if x is None else x for p, x in zip(pieces, ids)])
-        # what comes first is mostly what comes often; once full, the rest is encoded block by block
-        self.known.update(itertools.islice(new.items(), max(0, CACHE_ENTRIES - len(self.known))))
-        whole = [i for i, x in enumerate(out) if x is None]
-        for i, ids in zip(whole, self._bytes([texts[i] for i in whole])):
-            out[i] = ids
+        at = np.flatnonzero(whole)
+        for i, ids in zip(at.tolist(), self._ids(texts.filter(whole).to_pylist())):
+            out[i] = ids.tobytes()
+        at = np.flatnonzero(pc.invert(whole))
+        if not len(at):
+            return out
+        split = pc.split_pattern(pc.binary_join_element_wise(_FIRST, texts.take(pa.array(at)), ""), " ")
+        runs = split.flatten().dictionary_encode()
+        names = runs.dictionary
+        alone, first = (np.asarray(x) for x in (pc.match_substring_regex(names, _ALONE), pc.starts_with(names, _FIRST)))
+        parts, order = [], []
+        for which, said in ((~alone & ~first, lambda r: " " + r), (~alone & first, lambda r: r[1:])):
+            order.append(np.flatnonzero(which))
+            parts += self._of_runs(list(map(said, names.filter(pa.array(which)).to_pylist())))
+        order.append(np.flatnonzero(alone))
+        parts += [(x, np.array([len(x)])) for x in self._ids([r[1:] if r[:1] == _FIRST else " " + r for r in names.filter(pa.array(alone)).to_pylist()])]
+        place = np.empty(len(names), np.int32)
+        place[np.concatenate(order)] = np.arange(len(names), dtype=np.int32)
+        ends = np.concatenate([[0], *(n for _, n in parts)]).cumsum() * self.dtype.itemsize
+        ids = pa.Array.from_buffers(pa.large_binary(), len(names), [None, pa.py_buffer(ends), pa.py_buffer(np.concatenate([x for x, _ in parts]))])
+        ids = ids.take(pa.array(place[runs.indices.to_numpy()]))
+        ends = np.frombuffer(ids.buffers()[1], np.int64)[split.offsets.to_numpy()].tolist()
+        raw = memoryview(ids.buffers()[2])
+        for i, a, b in zip(at.tolist(), ends, ends[1:]):
+            out[i] = bytes(raw[a:b])
         return out
 
 
@@ -156,6 +191,10 @@ class PerfectHash:
         return out
 
 
+#: What the manifest says of a shard: name, first and last key with their numbers among the rows of one id, documents and ids.
+MANIFEST = pa.schema([("shard", pa.string()), ("first_key", pa.int64()), ("first_nth", pa.int64()), ("last_key", pa.int64()), ("last_nth", pa.int64()), ("docs", pa.int64()), ("ids", pa.int64())])
+
+
 class _ShardWriter:
     """Streams one shard: ids go to the file as they come, only keys and lengths stay in memory."""
 
@@ -164,13 +203,15 @@ class _ShardWriter:
         fs.create_dir(f"{path}/shards", recursive=True)
         task = TaskContext.get()
         self.name = f"shards/{task.partitionId() if task else 0:06d}-{uuid.uuid4().hex}"
-        self.fs, self.path, self.dtype, self.keys, self.sizes = fs, f"{path}/{self.name}", dtype, [], []
+        self.fs, self.path, self.dtype, self.bytes = fs, f"{path}/{self.name}", dtype, 0
+        self.keys, self.sizes = array.array("q"), array.array("q")
         self.file = fs.open_output_stream(self.path)
         self.file.write(MAGIC + bytes([VERSION, dtype.itemsize]) + bytes(10))
 
     def add(self, key: tuple[int, int], ids: bytes) -> None:
         self.file.write(ids)
-        self.keys.append(key)
+        self.bytes += len(ids)
+        self.keys.extend(key)
         self.sizes.append(len(ids) // self.dtype.itemsize)
 
     def close(self) -> dict:
@@ -185,7 +226,7 @@ class _ShardWriter:
         np.savez(data, keys=keys, sizes=sizes, fingerprints=index.fingerprints, starts=starts, lengths=lengths, level_words=np.array([len(x) for x in index.levels]), words=np.concatenate([np.zeros(0, np.uint64), *index.levels]))
         with self.fs.open_output_stream(f"{self.path}.mph") as f:
             f.write(data.getvalue())
-        return {"shard": self.name, "first_key": int(keys[0, 0]), "last_key": int(keys[-1, 0]), "docs": len(keys), "ids": int(sizes.sum())}
+        return dict(zip(MANIFEST.names, (self.name, *keys[0].tolist(), *keys[-1].tolist(), len(keys), int(sizes.sum()))))
 
 
 class Shard:
@@ -226,13 +267,23 @@ class Shard:
                 yield key, nth, start, np.frombuffer(f.read(size * self.dtype.itemsize), self.dtype)
 
 
-def write_tokens(spark: SparkSession, docs: DataFrame, folder: str, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = END_ID) -> None:
+def _sized(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The same rows in pieces of up to TEXT_BYTES of text, or of one row."""
+    for batch in batches:
+        sizes = np.asarray(pc.fill_null(pc.binary_length(batch.column(1)), 0), np.int64)
+        cuts = np.flatnonzero(np.diff(sizes.cumsum() // TEXT_BYTES)) + 1
+        for a, b in itertools.pairwise([0, *cuts.tolist(), batch.num_rows]):
+            yield batch.slice(a, b - a)
+
+
+def write_tokens(spark: SparkSession, docs: DataFrame, folder: str, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = END_ID, shard_bytes: int = SHARD_BYTES) -> None:
     """Encode every whole text of docs and write a store in ascending order of id_col.
 
     Null text: empty, so only the end id. Rows that share an id keep one entry
     each, told apart by their number among these rows, ordered by text. A null
     id isn't addressable and sorts first, under the smallest integer. An empty
-    table writes an empty manifest. Other columns play no part.
+    table writes an empty manifest. Other columns play no part. All rows of one
+    id pass through one task, as a stream; only their keys and sizes are held.
     """
     with open(tokenizer_path, encoding="utf-8") as f:
         tokenizer_json = f.read()
@@ -240,17 +291,20 @@ def write_tokens(spark: SparkSession, docs: DataFrame, folder: str, tokenizer_pa
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids_of, writer, before = encoder(tokenizer_json), None, (None, 0)
         end = np.array([end_id], ids_of.dtype).tobytes()
-        for b in blocks(batches):
+        for b in _sized(batches):
             writer = writer or _ShardWriter(folder, ids_of.dtype)
-            for key, ids in zip(b.column(0).to_pylist(), ids_of.encode([x or "" for x in b.column(1).to_pylist()])):
+            for key, ids in zip(b.column(0).to_pylist(), ids_of.encode(b.column(1))):
+                if writer.bytes > shard_bytes:
+                    yield pa.RecordBatch.from_pylist([writer.close()], MANIFEST)
+                    writer = _ShardWriter(folder, ids_of.dtype)
                 before = (key, before[1] + 1 if key == before[0] else 0)
                 writer.add(before, ids + end)
         if writer:
-            yield pa.RecordBatch.from_pylist([writer.close()], pa.schema([("shard", pa.string()), ("first_key", pa.int64()), ("last_key", pa.int64()), ("docs", pa.int64()), ("ids", pa.int64())]))
+            yield pa.RecordBatch.from_pylist([writer.close()], MANIFEST)
 
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63))).alias("key"), F.col(text_col).cast("string").alias("text"))
     shards = rows.repartitionByRange(*_partitions(spark), "key").sortWithinPartitions("key", "text")
-    shards.mapInArrow(encode, "shard string, first_key long, last_key long, docs long, ids long").write.parquet(f"{folder}/manifest")
+    shards.mapInArrow(encode, "shard string, first_key long, first_nth long, last_key long, last_nth long, docs long, ids long").write.parquet(f"{folder}/manifest")
 
 
 def _partitions(spark: SparkSession) -> list[int]:
@@ -258,9 +312,9 @@ def _partitions(spark: SparkSession) -> list[int]:
 
 
 def shard_list(spark: SparkSession, folder: str) -> list[dict]:
-    """The manifest in key order, a row for each shard, with the ids before it; as many rows as write tasks."""
+    """The manifest in key order, a row for each shard, with the ids before it; a row for each write task, or for each SHARD_BYTES if these are more."""
     rows, total = [], 0
-    for r in sorted(spark.read.parquet(f"{folder}/manifest").collect(), key=lambda r: (r.first_key, r.last_key)):
+    for r in sorted(spark.read.parquet(f"{folder}/manifest").collect(), key=lambda r: (r.first_key, r.first_nth)):
         rows.append(r.asDict() | {"before": total})
         total += r.ids
     return rows
@@ -295,12 +349,23 @@ def read_tokens(spark: SparkSession, folder: str) -> DataFrame:
     return todo.repartition(len(listed)).mapInArrow(scan, schema)
 
 
+class Store:
+    """A store opened for keyed access: the manifest is read once, and a shard's index when a key first falls into it."""
+
+    def __init__(self, spark: SparkSession, folder: str):
+        self.folder, self.shards = folder, shard_list(spark, folder)
+        self.first = [(r["first_key"], r["first_nth"]) for r in self.shards]
+        self.opened = functools.lru_cache(maxsize=64)(lambda name: Shard(folder, name))
+
+    def get(self, key: int, nth: int = 0) -> np.ndarray | None:
+        """One document's ids, or None: its shard by the manifest's key ranges, its place by the shard's index."""
+        at = bisect.bisect_right(self.first, (key, nth)) - 1
+        return None if at < 0 else self.opened(self.shards[at]["shard"]).get(key, nth)
+
+
 def lookup(spark: SparkSession, folder: str, key: int, nth: int = 0) -> np.ndarray | None:
-    """One document's ids by key: its shard by the manifest's key ranges, its place by the shard's index."""
-    for r in shard_list(spark, folder):
-        if r["first_key"] <= key <= r["last_key"]:
-            return Shard(folder, r["shard"]).get(key, nth)
-    return None
+    """One document's ids by key; for many keys, keep a Store."""
+    return Store(spark, folder).get(key, nth)
 
 
 def tokenizer_file(name: str = "byte_bpe_50k.json") -> str:

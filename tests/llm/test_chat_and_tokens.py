@@ -3,12 +3,13 @@ import tempfile
 import zlib
 
 import numpy as np
+import pyarrow as pa
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 from reelspark.llm.chat import OP5_SQL, Template, format_chats, loss_mask, op5_chat_format, read_chats
-from reelspark.llm.token_store import PerfectHash, encoder, key_hash, lookup, op8_token_store, read_tokens, tokenizer_file, write_tokens
+from reelspark.llm.token_store import PerfectHash, Store, encoder, key_hash, lookup, op8_token_store, read_tokens, tokenizer_file, write_tokens
 
 from .helpers import SF, duck, same_rows
 
@@ -91,11 +92,25 @@ def test_odd_documents_and_lookups(spark):
 
 
 @settings(max_examples=100, deadline=None)
-@given(st.text(alphabet=st.sampled_from("ab Z9é'stll \n\t.,-\x1f\x0b日ǅßÿ_"), max_size=60))
-def test_pieces_encode_like_whole_texts(text):
+@given(st.lists(st.text(alphabet=st.sampled_from("ab Z9é'stll \n\t.,-\x1f\x0b日ǅßÿ_"), max_size=60)))
+def test_runs_encode_like_whole_texts(texts):
     with open(tokenizer_file(), encoding="utf-8") as f:
         e = encoder(f.read())
-    assert np.frombuffer(e.encode([text])[0], e.dtype).tolist() == e.tokenizer.encode(text, add_special_tokens=False).ids
+    assert e.by_run
+    assert [np.frombuffer(x, e.dtype).tolist() for x in e.encode(pa.array(texts, pa.string()))] == [e.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_shards_roll_over_by_size_also_within_the_rows_of_one_id(spark):
+    docs = [(i // 40, f"word {i:04d}") for i in range(120)]
+    folder = "file://" + tempfile.mkdtemp(prefix="spark-")
+    write_tokens(spark, spark.createDataFrame(docs, "doc_id long, text string"), folder + "/a", tokenizer_file(), shard_bytes=64)
+    store = Store(spark, folder + "/a")
+    assert len(store.shards) >= 9
+    rows = [tuple(r) for r in read_tokens(spark, folder + "/a").select("doc_id", "start", "n_tokens", "ids_crc32").collect()]
+    assert sorted(rows, key=lambda r: r[1]) == plain_store(docs)
+    t = Tokenizer.from_file(tokenizer_file())
+    for i, (d, text) in enumerate(docs):
+        assert store.get(d, i % 40).tolist() == [*t.encode(text).ids, 0]
 
 
 def test_added_tokens_in_texts_are_encoded_as_the_library_does(spark):
