@@ -1,24 +1,18 @@
-"""Operator 3: repeated passages of WORDS words and more, whole_passages, and of content-defined chunks, repeated_passages.
-
-whole_passages misses none and has no bound on length. A text's words are joined by
-single spaces. Of each PLACES consecutive hashes of GRAM bytes the smallest is a mark of
-the text; whatever its surroundings, a stretch of GRAM + PLACES - 1 = 99 bytes, which
-any 50 words have, has marks of its own, and in a stretch that occurs twice all of
-them do. So only stretches of WORDS words whose marks all occur elsewhere are hashed (96
-bits), at every word, and compared; those that occurred before, joined where they
-overlap, are the passages, from their first word to their last.
-
-repeated_passages takes whole chunks only, so it loses the ends of a passage. A gear hash rolls over the UTF-8 bytes: h = 2 * h + G[byte]. A chunk ends where
-the top bits of the low 16 bits of h are zero. Bit j of h depends on the last
-j + 1 bytes only, so an end depends on the 16 bytes before it, and chunks after an
-insertion are the same again as soon as one end lies behind it. Chunks are
-AVERAGE bytes long on average and have no least or greatest size: a text without
-an end in it is one chunk.
-
-Chunks are deduplicated by digest (96 bits). The document of smallest id that
-holds a chunk owns it; every other occurrence, in another document or again in
-the owner, is a repeat. Runs of repeats that follow each other and cover at least
-MIN_BYTES bytes are passages that occurred before.
+"""Operator 3: repeated passages of WORDS words and more, by content-defined chunks.
+
+A text's words are joined by single spaces. A gear hash rolls over the bytes:
+h = 2 * h + G[byte] in 16 bits, so h depends on the last GRAM bytes. A chunk ends
+where h is the smallest of some WINDOW consecutive ones: so chunks are at most
+WINDOW bytes long, and those after an insertion are the same again within
+GRAM + WINDOW bytes. Whatever its surroundings, a stretch of 50 words (99 bytes at
+least) that occurs twice has the same chunks both times, one at least, from at most
+WINDOW + 15 bytes behind its start to WINDOW - 1 before its end.
+
+Chunks are deduplicated by digest (64 bits). Runs of chunks that occur more than
+once, with these margins, hold every repeated stretch. Within runs that can have 50
+words, each stretch of 50 words is hashed exactly (96 bits) and compared: those that
+occurred before, joined where they overlap, are the passages, from their first word
+to their last.
 """
 
 from __future__ import annotations
@@ -27,80 +21,74 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WordHashes, blocks, materialize, mix, table
+from .common import blocks, materialize, mix, table
 
-WORDS, GRAM, PLACES = 50, 32, 68
-AVERAGE_BITS = 5
-AVERAGE = 1 << AVERAGE_BITS
-#: Least bytes of whole chunks in a repeated passage: what is left of 50 words when the cut-off ends of both sides are taken away.
-MIN_BYTES = 128
+WORDS, GRAM, WINDOW = 50, 16, 42
+#: Bytes by which a repeated stretch can go on before and behind its common chunks.
+BEFORE, BEHIND = WINDOW + GRAM - 1, WINDOW - 1
+#: Fewer bytes can't hold WORDS words.
+LEAST_BYTES = 2 * WORDS - 1
 GEAR = (mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) & np.uint64(0xFFFF)).astype(np.uint16)
 BYTE_HASH = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD1B54A32D192ED03))
+FACTORS = (0x9E3779B97F4A7C15, 0xD1B54A32D192ED03)
+#: Digests that are frequent in one of SAMPLE ids, at most HOT of them, don't travel to one task each. Bounds a broadcast, never results.
+SAMPLE, HOT, HOT_LEAST = 64, 10_000, 16
 
 
-def chunk_ends(data: bytes, bits: int = AVERAGE_BITS) -> np.ndarray:
-    """Ends of the chunks of data, the last one its length. The rolling sum is built by doubling: 16 bytes in four steps."""
-    if not data:
-        return np.zeros(0, np.int64)
+def _slid(x: np.ndarray, size: int, of: np.ufunc) -> np.ndarray:
+    """of (minimum or maximum) over each size consecutive values, by doubling."""
+    if len(x) < size:
+        return x[:0]
+    out, n = x, 1
+    while 2 * n <= size:
+        out, n = of(out[:-n], out[n:]), 2 * n
+    return of(out[: len(x) - size + 1], out[size - n :]) if size > n else out
+
+
+def chunk_ends(data: bytes) -> np.ndarray:
+    """The byte after each end of a chunk. The rolling sum is built by doubling: GRAM bytes in four steps."""
     h = GEAR[np.frombuffer(data, np.uint8)]
     for step in (1, 2, 4, 8):
         shifted = h[:-step] << np.uint16(step)
         h = h.copy()
         h[step:] += shifted
-    ends = np.flatnonzero(h >> np.uint16(16 - bits) == 0) + 1
-    return ends if len(ends) and ends[-1] == len(data) else np.append(ends, len(data))
+    h = h[GRAM - 1 :]
+    least = _slid(h, WINDOW, np.minimum)
+    if not len(least):
+        return np.zeros(0, np.int64)
+    # smallest of some window: the largest of the minima of the windows around it
+    around = np.zeros(len(least) + 2 * (WINDOW - 1), np.uint16)
+    around[WINDOW - 1 : WINDOW - 1 + len(least)] = least
+    return np.flatnonzero(_slid(around, WINDOW, np.maximum) == h) + GRAM
 
 
-def digests(data: bytes, ends: np.ndarray) -> tuple[list[int], list[int]]:
-    """96-bit digests of the chunks, as a signed long and an int."""
-    view, at, a, b = memoryview(data), 0, [], []
-    for end in ends.tolist():
-        d = xxhash.xxh3_128_intdigest(view[at:end])
-        a.append((d & 0xFFFFFFFFFFFFFFFF) - (1 << 63))
-        b.append((d >> 64 & 0xFFFFFFFF) - (1 << 31))
-        at = end
-    return a, b
+_powers: dict[int, np.ndarray] = {}
 
 
-def _chunk_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for block in blocks(batches, 128):
-        out: list[list] = [[] for _ in range(7)]
-        for doc_id, text in zip(block.column(0).to_pylist(), block.column(1).to_pylist()):
-            data = (text or "").encode("utf-8", "surrogatepass")
-            ends = chunk_ends(data)
-            a, b = digests(data, ends)
-            seen: set = set()
-            again = [(x in seen) or seen.add(x) is not None for x in zip(a, b)]
-            for column, values in zip(out, (a, b, [doc_id] * len(a), range(len(a)), [0, *ends[:-1].tolist()] if len(a) else [], ends.tolist(), again)):
-                column.extend(values)
-        yield pa.record_batch([pa.array(x, t) for x, t in zip(out, (pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.bool_()))], ["a", "b", "doc_id", "seq", "start", "end", "again"])
-
-
-def chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(a, b, doc_id, seq, start, end, again), a row for each chunk: digest, place, byte range, and whether the document had it before."""
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("doc_id is not null and text <> ''")
-    return rows.mapInArrow(_chunk_rows, "a long, b int, doc_id long, seq int, start int, end int, again boolean")
-
-
-def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_bytes: int = MIN_BYTES) -> DataFrame:
-    """(doc_id, start, end, n_bytes, n_chunks, first_doc_id) of each passage that occurred before.
-
-    start and end are byte offsets of the UTF-8 text; first_doc_id is the
-    smallest owner among the passage's chunks. Null ids and null or empty texts
-    take no part. Rows that share an id are one document's parts: their repeats of
-    each other are not reported. An empty table gives an empty result.
-    """
-    found = chunks(docs, id_col, text_col)
-    owners = found.groupBy("a", "b").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("last"), F.max(F.col("again").cast("int")).alias("again")).where("last > owner or again = 1").select("a", "b", "owner")
-    again = found.join(owners, ["a", "b"]).where("doc_id <> owner or again").select("doc_id", "seq", "start", "end", "owner")
-    run = Window.partitionBy("doc_id").orderBy("seq", "start")
-    runs = again.withColumn("run", F.col("seq") - F.row_number().over(run)).groupBy("doc_id", "run")
-    out = runs.agg(F.min("start").alias("start"), F.max("end").alias("end"), F.sum(F.col("end") - F.col("start")).alias("n_bytes"), F.count("*").alias("n_chunks"), F.min("owner").alias("first_doc_id"))
-    return out.where(F.col("n_bytes") >= min_bytes).select("doc_id", "start", "end", "n_bytes", "n_chunks", "first_doc_id")
+def powers(factor: int, n: int) -> np.ndarray:
+    """factor ** 0, 1, 2, ... n in 64 bits, remembered up to a million."""
+    held = _powers.get(factor)
+    if held is None or len(held) <= n:
+        out = np.ones(max(n + 1, 1 << 16), np.uint64)
+        size = 1
+        while size < len(out):
+            out[size : 2 * size] = out[: min(size, len(out) - size)] * np.uint64(pow(factor, size, 1 << 64))
+            size *= 2
+        if n > 1 << 20:
+            return out
+        _powers[factor] = held = out
+    return held
+
+
+def spans_hash(data: bytes, starts: np.ndarray, ends: np.ndarray, factor: int) -> np.ndarray:
+    """64-bit polynomial hash of each span of bytes, from sums up to each byte."""
+    values = BYTE_HASH[np.frombuffer(data, np.uint8)]
+    sums = np.zeros(len(values) + 1, np.uint64)
+    np.cumsum(values * powers(factor, len(values))[: len(values)], out=sums[1:])
+    return mix((sums[ends] - sums[starts]) * powers(pow(factor, -1, 1 << 64), len(values))[starts])
 
 
 def word_bounds(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -115,32 +103,6 @@ def word_bounds(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(starts), np.flatnonzero(ends) + 1
 
 
-def _rolled(h: np.ndarray, size: int, factor: int) -> np.ndarray:
-    """Polynomial hashes of all stretches of size values, by halving: the first half, then the rest behind it."""
-    if size == 1:
-        return h
-    half, odd = divmod(size, 2)
-    part = _rolled(h, half, factor)
-    n = len(h) - size + 1
-    out = part[:n] * np.uint64(pow(factor, half, 1 << 64)) + part[half : half + n]
-    return out * np.uint64(factor) + h[size - 1 :] if odd else out
-
-
-def stretches(h: np.ndarray, size: int, factor: int) -> np.ndarray:
-    return mix(_rolled(h, size, factor)) if len(h) >= size else np.zeros(0, np.uint64)
-
-
-def marks(text: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """Hash at each byte, and the smallest of PLACES hashes from each byte on."""
-    h = stretches(BYTE_HASH[np.frombuffer(text, np.uint8)], GRAM, 0x9E3779B97F4A7C15)
-    if len(h) < PLACES:
-        return h, h[:0]
-    least, n = h, 1
-    while 2 * n <= PLACES:
-        least, n = np.minimum(least[:-n], least[n:]), 2 * n
-    return h, np.minimum(least[: len(h) - PLACES + 1], least[PLACES - n :]) if PLACES > n else least
-
-
 def joined_words(text: str) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray]:
     """Words joined by one space where any was, the place of each in that, and its bytes in the text."""
     raw = text.encode("utf-8", "surrogatepass")
@@ -148,70 +110,111 @@ def joined_words(text: str) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray]:
     starts, ends = word_bounds(data)
     gap = np.append(starts[1:] > ends[:-1], False) if len(starts) else np.zeros(0, bool)
     at = np.cumsum(ends - starts + gap) - (ends - starts + gap)
-    if raw.isascii():
-        joined = b" ".join(raw[a:b] for a, b in zip(starts.tolist(), ends.tolist()))
+    if gap[:-1].all():
+        joined = b" ".join(raw.split())
     else:
         joined = b"".join(raw[a:b] + b" " * g for a, b, g in zip(starts.tolist(), ends.tolist(), gap.tolist()))
     return joined, at, starts, ends
 
 
-def _mark_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _batch(columns: list[list[np.ndarray]], schema: list[tuple[str, type]]) -> pa.RecordBatch:
+    return pa.record_batch([pa.array(np.concatenate([np.zeros(0, t), *x]).astype(t)) for x, (_, t) in zip(columns, schema)], [n for n, _ in schema])
+
+
+def _repeats(*keys: np.ndarray) -> np.ndarray:
+    """Whether each row's keys came in an earlier row."""
+    order = np.lexsort((np.arange(len(keys[0])), *keys))
+    again = np.zeros(len(order), bool)
+    again[order[1:]] = np.logical_and.reduce([k[order[1:]] == k[order[:-1]] for k in keys])
+    return again
+
+
+_CHUNK = [("digest", np.int64), ("doc_id", np.int64), ("part", np.int32), ("seq", np.int32), ("first", np.int32), ("words", np.int32), ("again", np.bool_)]
+_STRETCH = [("a", np.int64), ("b", np.int32), ("doc_id", np.int64), ("part", np.int32), ("seq", np.int32), ("start", np.int32), ("end", np.int32), ("again", np.bool_)]
+
+
+def _chunk_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for block in blocks(batches, 128):
-        found, ids, again = [], [], []
-        for doc_id, text in zip(block.column(0).to_pylist(), block.column(1).to_pylist()):
-            h, least = marks(joined_words(text)[0])
-            own = np.unique(least)
-            places = np.sort(h[np.isin(h, own)])
-            found.append(own)
-            ids.append(np.full(len(own), doc_id))
-            again.append(np.searchsorted(places, own, "right") - np.searchsorted(places, own) > 1)
-        yield pa.record_batch([pa.array(np.concatenate(found).view(np.int64)), pa.array(np.concatenate(ids)), pa.array(np.concatenate(again))], ["mark", "doc_id", "again"])
+        out: list[list] = [[] for _ in _CHUNK]
+        for doc_id, part, text in zip(*(block.column(x).to_pylist() for x in ("doc_id", "part", "text"))):
+            joined, at, *_ = joined_words(text)
+            ends = chunk_ends(joined)
+            if len(at) < WORDS or len(ends) < 2:
+                continue
+            a, b = ends[:-1], ends[1:]
+            digest = spans_hash(joined, a, b, FACTORS[0]).view(np.int64)
+            first = np.searchsorted(at, a - BEFORE)
+            for column, values in zip(out, (digest, np.full(len(a), doc_id), np.full(len(a), part), np.arange(len(a)), first, np.searchsorted(at, b + BEHIND) - first, _repeats(digest))):
+                column.append(values)
+        yield _batch(out, _CHUNK)
+
+
+def chunks(rows: DataFrame) -> DataFrame:
+    """A row for each chunk between two ends: digest, document, place, the words that a repeated stretch with it can reach (the first of them and how many), and whether its text had it before."""
+    return rows.mapInArrow(_chunk_rows, "digest long, doc_id long, part int, seq int, first int, words int, again boolean")
+
+
+def common_chunks(rows: DataFrame) -> DataFrame:
+    """The chunks whose digest occurs more than once, in one document or several.
+
+    Every chunk travels once, to its digest; those of frequent digests, found in
+    a sample of the ids, stay where they are.
+    """
+    occurs_again = (F.col("last") > F.col("least")) | F.col("any_again")
+    ends = [F.min("doc_id").alias("least"), F.max("doc_id").alias("last"), F.max("again").alias("any_again")]
+    sample = chunks(rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(SAMPLE)) == 0)).groupBy("digest").agg(F.count("*").alias("n"), *ends)
+    hot = materialize(rows.sparkSession, sample.where((F.col("n") >= HOT_LEAST) & occurs_again).orderBy(F.desc("n"), "digest").limit(HOT).select("digest"), "hot-chunks")
+    found = chunks(rows).join(F.broadcast(hot.withColumn("hot", F.lit(True))), "digest", "left")
+    w = Window.partitionBy("digest", "deal")
+    # chunks of hot digests are dealt by their document
+    dealt = found.withColumn("deal", F.when(F.col("hot"), F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20))))
+    dealt = dealt.select("*", F.min("doc_id").over(w).alias("least"), F.max("doc_id").over(w).alias("last"), F.max("again").over(w).alias("any_again"))
+    return dealt.where(F.col("hot") | occurs_again).select("doc_id", "part", "seq", "first", "words")
+
+
+def candidates(common: DataFrame) -> DataFrame:
+    """(doc_id, part, regions): the ranges of words of each text that a run of common chunks can reach, of WORDS words at least."""
+    run = F.col("seq") - F.dense_rank().over(Window.partitionBy("doc_id", "part").orderBy("seq"))
+    runs = common.withColumn("run", run).groupBy("doc_id", "part", "run").agg(F.min("first").alias("first"), F.max(F.col("first") + F.col("words")).alias("stop"))
+    return runs.where(F.col("stop") - F.col("first") >= WORDS).groupBy("doc_id", "part").agg(F.collect_list(F.struct("first", "stop")).alias("regions"))
 
 
 def _stretch_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    hashes = WordHashes()
     for block in blocks(batches, 128):
-        out: list[list] = [[] for _ in range(7)]
-        for doc_id, text, known in zip(block.column("doc_id").to_pylist(), block.column("text").to_pylist(), block.column("marks").to_pylist()):
+        out: list[list] = [[] for _ in _STRETCH]
+        for doc_id, part, text, regions in zip(*(block.column(x).to_pylist() for x in ("doc_id", "part", "text", "regions"))):
             joined, at, starts, ends = joined_words(text)
-            if len(at) < WORDS:
-                continue
-            least = marks(joined)[1]
-            wrong = np.concatenate([[0], np.cumsum(~np.isin(least, np.array(known, np.int64).view(np.uint64)))])
-            first = np.arange(len(at) - WORDS + 1)
-            stop = at[first + WORDS - 1] + (ends - starts)[first + WORDS - 1] - (GRAM + PLACES - 1) + 1
-            first = first[wrong[np.maximum(stop, at[first])] == wrong[at[first]]]
-            h = hashes.of([joined[a:b] for a, b in zip(at.tolist(), (at + ends - starts).tolist())])
-            a = stretches(h, WORDS, 0x9E3779B97F4A7C15)[first]
-            b = (stretches(h, WORDS, 0xD1B54A32D192ED03)[first] >> np.uint64(32)).astype(np.uint32)
-            again = np.ones(len(a), bool)
-            again[np.unique(a, return_index=True)[1]] = False
-            for column, values in zip(out, (a.view(np.int64), b.view(np.int32), np.full(len(a), doc_id), first.astype(np.int32), starts[first].astype(np.int32), ends[first + WORDS - 1].astype(np.int32), again)):
+            first = np.unique(np.concatenate([np.arange(r["first"], r["stop"] - WORDS + 1) for r in regions]))
+            a, b = at[first], (at + ends - starts)[first + WORDS - 1]
+            one, two = spans_hash(joined, a, b, FACTORS[0]).view(np.int64), (spans_hash(joined, a, b, FACTORS[1]) >> np.uint64(32)).astype(np.uint32).view(np.int32)
+            for column, values in zip(out, (one, two, np.full(len(a), doc_id), np.full(len(a), part), first, starts[first], ends[first + WORDS - 1], _repeats(one, two))):
                 column.append(values)
-        if out[0]:
-            yield pa.record_batch([pa.array(np.concatenate(x)) for x in out], ["a", "b", "doc_id", "seq", "start", "end", "again"])
+        yield _batch(out, _STRETCH)
 
 
 def whole_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, start, end, n_bytes, n_chunks, first_doc_id) of each passage of at least WORDS words that occurred before.
-
-    As repeated_passages, but exact: n_chunks is the number of stretches of WORDS
-    words in the passage that occurred before, each in one piece. Case counts,
-    the space between words doesn't; a run without space is one word.
+    """(doc_id, start, end, n_bytes, n_stretches, first_doc_id) of each passage of at least WORDS words that occurred before, in a document of smaller id or earlier in its own.
+
+    start and end are byte offsets of the UTF-8 text, from the passage's first
+    word to its last; n_stretches counts the stretches of WORDS words in it;
+    first_doc_id is the smallest document with one of them. Case counts, the
+    space between words doesn't; a run without space is one word. Null ids and
+    null or empty texts take no part. Rows that share an id are one document's
+    parts: a passage that only such rows share isn't reported, a row given twice
+    counts once, and texts of one id are told apart by 32 bits of hash. An empty
+    table gives an empty result; other columns play no part.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("doc_id is not null and text <> ''")
-    found = rows.mapInArrow(_mark_rows, "mark long, doc_id long, again boolean")
-    common = found.groupBy("mark").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("last"), F.max("again").alias("again")).where("last > least or again").select("mark")
-    known = found.select("mark", "doc_id").join(common, "mark").groupBy("doc_id").agg(F.collect_set("mark").alias("marks"))
-    tried = rows.join(known, "doc_id").select("doc_id", "text", "marks").mapInArrow(_stretch_rows, "a long, b int, doc_id long, seq int, start int, end int, again boolean")
+    text = F.col(text_col).cast("string")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.hash(text).alias("part"), text.alias("text")).where(F.col("doc_id").isNotNull() & (F.octet_length("text") >= LEAST_BYTES))
+    tried = rows.join(candidates(common_chunks(rows)), ["doc_id", "part"]).mapInArrow(_stretch_rows, "a long, b int, doc_id long, part int, seq int, start int, end int, again boolean")
     tried = materialize(docs.sparkSession, tried, "stretches")
     owners = tried.groupBy("a", "b").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("last"), F.max("again").alias("again")).where("last > owner or again").select("a", "b", "owner")
-    again = tried.join(owners, ["a", "b"]).where("doc_id <> owner or again").select("doc_id", "seq", "start", "end", "owner")
-    before = Window.partitionBy("doc_id").orderBy("start", "end", "seq")
+    again = tried.join(owners, ["a", "b"]).where("doc_id <> owner or again").select("doc_id", "part", "seq", "start", "end", "owner").distinct()
+    before = Window.partitionBy("doc_id", "part").orderBy("start", "end", "seq")
     new = F.coalesce(F.col("start") >= F.max("end").over(before.rowsBetween(Window.unboundedPreceding, -1)), F.lit(True)).cast("int")
-    runs = again.withColumn("new", new).withColumn("run", F.sum("new").over(before.rowsBetween(Window.unboundedPreceding, 0))).groupBy("doc_id", "run")
-    out = runs.agg(F.min("start").alias("start"), F.max("end").alias("end"), F.count("*").alias("n_chunks"), F.min("owner").alias("first_doc_id"))
-    return out.select("doc_id", "start", "end", (F.col("end") - F.col("start")).cast("long").alias("n_bytes"), "n_chunks", "first_doc_id")
+    runs = again.withColumn("new", new).withColumn("run", F.sum("new").over(before.rowsBetween(Window.unboundedPreceding, 0))).groupBy("doc_id", "part", "run")
+    out = runs.agg(F.min("start").alias("start"), F.max("end").alias("end"), F.count("*").alias("n_stretches"), F.min("owner").alias("first_doc_id"))
+    return out.select("doc_id", "start", "end", (F.col("end") - F.col("start")).cast("long").alias("n_bytes"), "n_stretches", "first_doc_id")
 
 
 def without_passages(docs: DataFrame, passages: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -5,43 +5,24 @@ import re
 from collections import Counter
 
 from reelspark.llm.mixing import OP7_SQL, RATE_STEP, SEED, TERMS, op7_poisson_mix, replicate
-from reelspark.llm.substring_dedup import AVERAGE_BITS, GEAR, MIN_BYTES, WORDS, chunk_ends, repeated_passages, whole_passages, without_passages
+from reelspark.llm.substring_dedup import GEAR, GRAM, WINDOW, WORDS, chunk_ends, whole_passages, without_passages
 
 from .helpers import SF, duck, same_rows
 
 DOCS = "doc_id long, text string, seq string, owner string, run string, a string"
 
 
-def plain_chunks(data):
-    out, h, at = [], 0, 0
+def plain_ends(data):
+    h, hashes = 0, []
     for i, byte in enumerate(data):
         h = (2 * h + int(GEAR[byte])) & 0xFFFF
-        if h >> (16 - AVERAGE_BITS) == 0 or i == len(data) - 1:
-            out.append((at, i + 1))
-            at = i + 1
-    return out
-
-
-def plain_passages(docs):
-    held, first = {}, {}
-    for d, text in docs:
-        if d is not None and text:
-            data = text.encode()
-            held[d] = [(a, b, data[a:b]) for a, b in plain_chunks(data)]
-            for *_, c in held[d]:
-                first[c] = min(first.get(c, d), d)
-    out = []
-    for d, chunks in held.items():
-        seen, run = set(), []
-        for a, b, c in [*chunks, (None, None, None)]:
-            if c is not None and (first[c] != d or c in seen):
-                run.append((a, b, first[c]))
-            else:
-                if run and run[-1][1] - run[0][0] >= MIN_BYTES:
-                    out.append((d, run[0][0], run[-1][1], run[-1][1] - run[0][0], len(run), min(x[2] for x in run)))
-                run = []
-            seen.add(c)
-    return out
+        if i >= GRAM - 1:
+            hashes.append(h)
+    found = set()
+    for i in range(len(hashes) - WINDOW + 1):
+        least = min(hashes[i : i + WINDOW])
+        found |= {j + GRAM for j in range(i, i + WINDOW) if hashes[j] == least}
+    return sorted(found)
 
 
 def passages_corpus():
@@ -54,28 +35,37 @@ def passages_corpus():
     return docs
 
 
-def test_chunks_against_a_byte_by_byte_hash():
+def test_chunk_ends_against_a_byte_by_byte_hash():
     r = random.Random(1)
-    for n in (0, 1, 2, 15, 16, 17, 400, 5000):
-        data = bytes(r.randrange(256) for _ in range(n))
-        assert chunk_ends(data).tolist() == [b for _, b in plain_chunks(data)]
+    for n in (0, 1, 15, 16, 57, 58, 59, 100, 400, 3000):
+        for data in (bytes(r.randrange(256) for _ in range(n)), b"ab " * (n // 3)):
+            ends = chunk_ends(data).tolist()
+            assert ends == plain_ends(data)
+            assert all(b - a <= WINDOW for a, b in zip(ends, ends[1:]))
 
 
-def test_chunks_resist_insertions():
+def test_chunks_resist_insertions_and_99_bytes_share_one():
     r = random.Random(6)
-    data = bytes(r.randrange(97, 123) for _ in range(20_000))
+    say = lambda n: bytes(r.randrange(97, 123) for _ in range(n))
+    data = say(20_000)
     other = data[:9000] + b"inserted" + data[9000:]
-    cut = lambda x: Counter(x[a:b] for a, b in plain_chunks(x))
-    assert sum((cut(data) - cut(other)).values()) <= 2
-
-
-def test_passages_against_brute_force(spark):
+    cut = lambda x: Counter(x[a:b] for a, b in zip(chunk_ends(x).tolist(), chunk_ends(x).tolist()[1:]))
+    assert sum((cut(data) - cut(other)).values()) <= 8
+    for _ in range(500):
+        shared, left, right = say(99), say(70), say(300)
+        places = []
+        for x, shift in ((left + shared + right, 70), (right + shared + left, 300)):
+            ends = [e - shift for e in chunk_ends(x).tolist()]
+            places.append({(a, b) for a, b in zip(ends, ends[1:]) if a >= GRAM and b <= 99})
+        both = sorted(places[0] & places[1])
+        assert both and both[0][0] <= WINDOW + GRAM - 1 and both[-1][1] >= 99 - WINDOW + 1
+
+
+def test_passages_are_cut_out(spark):
     docs = passages_corpus()
     df = spark.createDataFrame([(d, t, "1", "2", "3", "4") for d, t in docs], DOCS)
-    found = repeated_passages(df)
-    got = sorted(tuple(r) for r in found.collect())
-    assert got == sorted(plain_passages(docs))
-    assert {r[0] for r in got} == {*range(21, 26), 40}
+    found = whole_passages(df)
+    assert {r.doc_id for r in found.collect()} == {*range(21, 26), 40}
     cut = without_passages(df, found)
     assert cut.columns == df.columns
     texts, given = {r.doc_id: r.text for r in cut.collect()}, dict(docs)
@@ -83,6 +73,17 @@ def test_passages_against_brute_force(spark):
     assert all(len(texts[d]) < len(given[d]) - 100 for d in (*range(21, 26), 40))
 
 
+def test_rows_given_twice_keep_their_passages(spark):
+    r = random.Random(4)
+    say = lambda n: " ".join(f"w{r.randrange(5000)}" for _ in range(n))
+    shared = say(80)
+    docs = [(1, f"{say(20)} {shared} {say(20)}"), (2, f"{say(30)} {shared} {say(10)}"), (3, say(100)), (3, f"{say(40)} {shared}"), (4, say(200))]
+    df = lambda rows: spark.createDataFrame(rows, "doc_id long, text string")
+    once = sorted(tuple(x) for x in whole_passages(df(docs)).collect())
+    assert [x[0] for x in once] == [2, 3] and all(x[-1] == 1 for x in once)
+    assert sorted(tuple(x) for x in whole_passages(df(docs + docs)).collect()) == once
+
+
 def plain_stretches(docs):
     """(doc_id, start, end) of all stretches of WORDS words that occurred before, joined where they overlap."""
     found, first = {}, {}
@@ -124,7 +125,7 @@ def test_whole_passages_have_their_real_ends(spark):
 
 
 def test_passages_of_an_empty_table(spark):
-    assert repeated_passages(spark.createDataFrame([], DOCS)).collect() == []
+    assert whole_passages(spark.createDataFrame([], DOCS)).collect() == []
 
 
 def test_mix_matches_sql(spark):
