@@ -61,10 +61,18 @@ def _delete_scratch() -> None:
             return
 
 
+#: Spark then deletes an execution's shuffle files as soon as it ends.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def materialize(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
-    """Write df to the shared folder and read it again: cuts lineage, survives lost executors."""
-    path = scratch_path(spark, name)
-    df.write.parquet(path)
+    """Write df to the shared folder and read it again: cuts lineage, survives lost executors, and needs its shuffle files no more."""
+    path, before = scratch_path(spark, name), spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before) if before is not None else spark.conf.unset(CLEANUP)
     return spark.read.schema(df.schema).parquet(path)
 
 

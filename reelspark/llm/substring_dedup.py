@@ -130,7 +130,7 @@ def _repeats(*keys: np.ndarray) -> np.ndarray:
 
 
 _CHUNK = [("digest", np.int64), ("doc_id", np.int64), ("part", np.int32), ("seq", np.int32), ("first", np.int32), ("words", np.int32), ("again", np.bool_)]
-_STRETCH = [("a", np.int64), ("b", np.int32), ("doc_id", np.int64), ("part", np.int32), ("seq", np.int32), ("start", np.int32), ("end", np.int32), ("again", np.bool_)]
+_STRETCH = [("a", np.int64), ("b", np.int32), ("doc_id", np.int64), ("part", np.int32), ("place", np.int64), ("again", np.bool_)]
 
 
 def _chunk_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -154,22 +154,36 @@ def chunks(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(_chunk_rows, "digest long, doc_id long, part int, seq int, first int, words int, again boolean")
 
 
+def frequent(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Keys that are frequent among these rows and occur in two documents, or twice in one: at most HOT."""
+    found = rows.groupBy(*keys).agg(F.count("*").alias("n"), *(F.expr(x).alias(n) for n, x in _OCCURRENCES.items())).where(f"n >= {HOT_LEAST} and {_REPEATED}")
+    return materialize(rows.sparkSession, found.orderBy(F.desc("n"), *keys).limit(HOT).select(*keys), "frequent")
+
+
+def in_sample(rows: DataFrame) -> DataFrame:
+    return rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(SAMPLE)) == 0)
+
+
+#: Of the rows of one key: first and last document, and whether one has it twice.
+_OCCURRENCES = {"least": "min(doc_id)", "last": "max(doc_id)", "any_again": "max(again)"}
+_REPEATED = "(last > least or any_again)"
+
+
+def _with_occurrences(rows: DataFrame, keys: list[str], hot: DataFrame) -> DataFrame:
+    """rows with the smallest and largest document of their keys, each sent once to its key's task; rows of hot keys are dealt by document, and know only of those dealt along."""
+    found = rows.join(F.broadcast(hot), keys, "left").withColumn("deal", F.when(F.col("hot"), F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20))))
+    w = Window.partitionBy(*keys, "deal")
+    return found.select("*", *(F.expr(x).over(w).alias(n) for n, x in _OCCURRENCES.items()))
+
+
 def common_chunks(rows: DataFrame) -> DataFrame:
     """The chunks whose digest occurs more than once, in one document or several.
 
     Every chunk travels once, to its digest; those of frequent digests, found in
-    a sample of the ids, stay where they are.
+    a sample of the ids, are dealt out.
     """
-    occurs_again = (F.col("last") > F.col("least")) | F.col("any_again")
-    ends = [F.min("doc_id").alias("least"), F.max("doc_id").alias("last"), F.max("again").alias("any_again")]
-    sample = chunks(rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(SAMPLE)) == 0)).groupBy("digest").agg(F.count("*").alias("n"), *ends)
-    hot = materialize(rows.sparkSession, sample.where((F.col("n") >= HOT_LEAST) & occurs_again).orderBy(F.desc("n"), "digest").limit(HOT).select("digest"), "hot-chunks")
-    found = chunks(rows).join(F.broadcast(hot.withColumn("hot", F.lit(True))), "digest", "left")
-    w = Window.partitionBy("digest", "deal")
-    # chunks of hot digests are dealt by their document
-    dealt = found.withColumn("deal", F.when(F.col("hot"), F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20))))
-    dealt = dealt.select("*", F.min("doc_id").over(w).alias("least"), F.max("doc_id").over(w).alias("last"), F.max("again").over(w).alias("any_again"))
-    return dealt.where(F.col("hot") | occurs_again).select("doc_id", "part", "seq", "first", "words")
+    hot = frequent(chunks(in_sample(rows)), ["digest"]).withColumn("hot", F.lit(True))
+    return _with_occurrences(chunks(rows), ["digest"], hot).where(f"hot or {_REPEATED}").select("doc_id", "part", "seq", "first", "words")
 
 
 def candidates(common: DataFrame) -> DataFrame:
@@ -187,11 +201,16 @@ def _stretch_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             first = np.unique(np.concatenate([np.arange(r["first"], r["stop"] - WORDS + 1) for r in regions]))
             a, b = at[first], (at + ends - starts)[first + WORDS - 1]
             one, two = spans_hash(joined, a, b, FACTORS[0]).view(np.int64), (spans_hash(joined, a, b, FACTORS[1]) >> np.uint64(32)).astype(np.uint32).view(np.int32)
-            for column, values in zip(out, (one, two, np.full(len(a), doc_id), np.full(len(a), part), first, starts[first], ends[first + WORDS - 1], _repeats(one, two))):
+            for column, values in zip(out, (one, two, np.full(len(a), doc_id), np.full(len(a), part), starts[first] << 32 | ends[first + WORDS - 1], _repeats(one, two))):
                 column.append(values)
         yield _batch(out, _STRETCH)
 
 
+def stretches(rows: DataFrame, regions: DataFrame) -> DataFrame:
+    """A row for each stretch of WORDS words in the regions of the texts: hash, document, place (first byte in the high half, the byte behind in the low one), and whether its text had it before."""
+    return rows.join(regions, ["doc_id", "part"]).mapInArrow(_stretch_rows, "a long, b int, doc_id long, part int, place long, again boolean")
+
+
 def whole_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, start, end, n_bytes, n_stretches, first_doc_id) of each passage of at least WORDS words that occurred before, in a document of smaller id or earlier in its own.
 
@@ -206,14 +225,17 @@ def whole_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     text = F.col(text_col).cast("string")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.hash(text).alias("part"), text.alias("text")).where(F.col("doc_id").isNotNull() & (F.octet_length("text") >= LEAST_BYTES))
-    tried = rows.join(candidates(common_chunks(rows)), ["doc_id", "part"]).mapInArrow(_stretch_rows, "a long, b int, doc_id long, part int, seq int, start int, end int, again boolean")
-    tried = materialize(docs.sparkSession, tried, "stretches")
-    owners = tried.groupBy("a", "b").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("last"), F.max("again").alias("again")).where("last > owner or again").select("a", "b", "owner")
-    again = tried.join(owners, ["a", "b"]).where("doc_id <> owner or again").select("doc_id", "part", "seq", "start", "end", "owner").distinct()
-    before = Window.partitionBy("doc_id", "part").orderBy("start", "end", "seq")
+    regions = materialize(docs.sparkSession, candidates(common_chunks(rows)), "regions")
+    keys, tried = ["a", "b"], stretches(rows, regions)
+    hot = tried.join(F.broadcast(frequent(stretches(in_sample(rows), in_sample(regions)), keys)), keys).groupBy(*keys).agg(F.min("doc_id").alias("hot_least")).withColumn("hot", F.lit(True))
+    owner = F.coalesce("hot_least", "least")
+    again = _with_occurrences(tried, keys, hot).where(f"hot or {_REPEATED}").where((F.col("doc_id") != owner) | F.col("again"))
+    again = again.select("doc_id", "part", "place", owner.alias("owner")).groupBy("doc_id", "part", "place").agg(F.min("owner").alias("owner"))
+    again = again.select("*", F.shiftright("place", 32).alias("start"), F.col("place").bitwiseAND((1 << 32) - 1).alias("end"))
+    before = Window.partitionBy("doc_id", "part").orderBy("place")
     new = F.coalesce(F.col("start") >= F.max("end").over(before.rowsBetween(Window.unboundedPreceding, -1)), F.lit(True)).cast("int")
     runs = again.withColumn("new", new).withColumn("run", F.sum("new").over(before.rowsBetween(Window.unboundedPreceding, 0))).groupBy("doc_id", "part", "run")
-    out = runs.agg(F.min("start").alias("start"), F.max("end").alias("end"), F.count("*").alias("n_stretches"), F.min("owner").alias("first_doc_id"))
+    out = runs.agg(F.min("start").cast("int").alias("start"), F.max("end").cast("int").alias("end"), F.count("*").alias("n_stretches"), F.min("owner").alias("first_doc_id"))
     return out.select("doc_id", "start", "end", (F.col("end") - F.col("start")).cast("long").alias("n_bytes"), "n_stretches", "first_doc_id")
 
 

@@ -124,6 +124,17 @@ def test_whole_passages_have_their_real_ends(spark):
     assert whole_passages(df.limit(0)).collect() == []
 
 
+def test_frequent_keys_that_are_dealt_out_change_nothing(spark, monkeypatch):
+    docs = [*passages_corpus(), *passages_corpus()[:30], *((d + 100, t) for d, t in passages_corpus() if d is not None)]
+    df = spark.createDataFrame([(d, t, "1", "2", "3", "4") for d, t in docs], DOCS)
+    plain = sorted(tuple(x) for x in whole_passages(df).collect())
+    monkeypatch.setattr("reelspark.llm.substring_dedup.SAMPLE", 1)
+    monkeypatch.setattr("reelspark.llm.substring_dedup.HOT_LEAST", 2)
+    assert sorted(tuple(x) for x in whole_passages(df).collect()) == plain
+    monkeypatch.setattr("reelspark.llm.substring_dedup.HOT", 3)
+    assert sorted(tuple(x) for x in whole_passages(df).collect()) == plain
+
+
 def test_passages_of_an_empty_table(spark):
     assert whole_passages(spark.createDataFrame([], DOCS)).collect() == []
 
