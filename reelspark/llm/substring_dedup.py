@@ -230,7 +230,8 @@ def whole_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     hot = tried.join(F.broadcast(frequent(stretches(in_sample(rows), in_sample(regions)), keys)), keys).groupBy(*keys).agg(F.min("doc_id").alias("hot_least")).withColumn("hot", F.lit(True))
     owner = F.coalesce("hot_least", "least")
     again = _with_occurrences(tried, keys, hot).where(f"hot or {_REPEATED}").where((F.col("doc_id") != owner) | F.col("again"))
-    again = again.select("doc_id", "part", "place", owner.alias("owner")).groupBy("doc_id", "part", "place").agg(F.min("owner").alias("owner"))
+    # dealt by text first, so that the run below needs no other shuffle
+    again = again.select("doc_id", "part", "place", owner.alias("owner")).repartition("doc_id", "part").groupBy("doc_id", "part", "place").agg(F.min("owner").alias("owner"))
     again = again.select("*", F.shiftright("place", 32).alias("start"), F.col("place").bitwiseAND((1 << 32) - 1).alias("end"))
     before = Window.partitionBy("doc_id", "part").orderBy("place")
     new = F.coalesce(F.col("start") >= F.max("end").over(before.rowsBetween(Window.unboundedPreceding, -1)), F.lit(True)).cast("int")
