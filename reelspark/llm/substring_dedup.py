@@ -18,6 +18,7 @@ to their last.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -36,6 +37,7 @@ BYTE_HASH = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD1B54A32D192ED0
 FACTORS = (0x9E3779B97F4A7C15, 0xD1B54A32D192ED03)
 #: Digests that are frequent in one of SAMPLE ids, at most HOT of them, don't travel to one task each. Bounds a broadcast, never results.
 SAMPLE, HOT, HOT_LEAST = 64, 10_000, 16
+NONE = np.zeros(0, np.int64)
 
 
 def _slid(x: np.ndarray, size: int, of: np.ufunc) -> np.ndarray:
@@ -129,11 +131,11 @@ def _repeats(*keys: np.ndarray) -> np.ndarray:
     return again
 
 
-_CHUNK = [("digest", np.int64), ("doc_id", np.int64), ("part", np.int32), ("seq", np.int32), ("first", np.int32), ("words", np.int32), ("again", np.bool_)]
-_STRETCH = [("a", np.int64), ("b", np.int32), ("doc_id", np.int64), ("part", np.int32), ("place", np.int64), ("again", np.bool_)]
+_CHUNK = [("digest", np.int64), ("doc_id", np.int64), ("part", np.int32), ("seq", np.int32), ("first", np.int32), ("words", np.int32), ("again", np.bool_), ("hot", np.bool_)]
+_STRETCH = [("a", np.int64), ("b", np.int32), ("doc_id", np.int64), ("part", np.int32), ("place", np.int64), ("again", np.bool_), ("hot", np.bool_)]
 
 
-def _chunk_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _chunk_rows(hot: np.ndarray, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for block in blocks(batches, 128):
         out: list[list] = [[] for _ in _CHUNK]
         for doc_id, part, text in zip(*(block.column(x).to_pylist() for x in ("doc_id", "part", "text"))):
@@ -144,36 +146,40 @@ def _chunk_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             a, b = ends[:-1], ends[1:]
             digest = spans_hash(joined, a, b, FACTORS[0]).view(np.int64)
             first = np.searchsorted(at, a - BEFORE)
-            for column, values in zip(out, (digest, np.full(len(a), doc_id), np.full(len(a), part), np.arange(len(a)), first, np.searchsorted(at, b + BEHIND) - first, _repeats(digest))):
+            for column, values in zip(out, (digest, np.full(len(a), doc_id), np.full(len(a), part), np.arange(len(a)), first, np.searchsorted(at, b + BEHIND) - first, _repeats(digest), np.isin(digest, hot))):
                 column.append(values)
         yield _batch(out, _CHUNK)
 
 
-def chunks(rows: DataFrame) -> DataFrame:
-    """A row for each chunk between two ends: digest, document, place, the words that a repeated stretch with it can reach (the first of them and how many), and whether its text had it before."""
-    return rows.mapInArrow(_chunk_rows, "digest long, doc_id long, part int, seq int, first int, words int, again boolean")
+def chunks(rows: DataFrame, hot: np.ndarray = NONE) -> DataFrame:
+    """A row for each chunk between two ends: digest, document, place, the words that a repeated stretch with it can reach (the first of them and how many), whether its text had it before, and whether the digest is among hot."""
+    return rows.mapInArrow(partial(_chunk_rows, hot), "digest long, doc_id long, part int, seq int, first int, words int, again boolean, hot boolean")
 
 
-def frequent(rows: DataFrame, keys: list[str]) -> DataFrame:
+#: Of the rows of one key: first and last document, and whether one has it twice.
+_OCCURRENCES = {"least": "min(doc_id)", "last": "max(doc_id)", "any_again": "max(again)"}
+_REPEATED = "(last > least or any_again)"
+
+
+def _occurrences() -> list:
+    return [F.expr(x).alias(n) for n, x in _OCCURRENCES.items()]
+
+
+def frequent(rows: DataFrame, key: str) -> np.ndarray:
     """Keys that are frequent among these rows and occur in two documents, or twice in one: at most HOT."""
-    found = rows.groupBy(*keys).agg(F.count("*").alias("n"), *(F.expr(x).alias(n) for n, x in _OCCURRENCES.items())).where(f"n >= {HOT_LEAST} and {_REPEATED}")
-    return materialize(rows.sparkSession, found.orderBy(F.desc("n"), *keys).limit(HOT).select(*keys), "frequent")
+    found = rows.groupBy(key).agg(F.count("*").alias("n"), *_occurrences()).where(f"n >= {HOT_LEAST} and {_REPEATED}")
+    return np.array([r[0] for r in found.orderBy(F.desc("n"), key).limit(HOT).select(key).collect()], np.int64)
 
 
 def in_sample(rows: DataFrame) -> DataFrame:
     return rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(SAMPLE)) == 0)
 
 
-#: Of the rows of one key: first and last document, and whether one has it twice.
-_OCCURRENCES = {"least": "min(doc_id)", "last": "max(doc_id)", "any_again": "max(again)"}
-_REPEATED = "(last > least or any_again)"
-
-
-def _with_occurrences(rows: DataFrame, keys: list[str], hot: DataFrame) -> DataFrame:
-    """rows with the smallest and largest document of their keys, each sent once to its key's task; rows of hot keys are dealt by document, and know only of those dealt along."""
-    found = rows.join(F.broadcast(hot), keys, "left").withColumn("deal", F.when(F.col("hot"), F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20))))
+def _with_occurrences(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """rows with the first and last document of their keys, each sent once to its key's task; hot rows are dealt by document, and know only of those dealt along."""
+    dealt = rows.withColumn("deal", F.when(F.col("hot"), F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20))))
     w = Window.partitionBy(*keys, "deal")
-    return found.select("*", *(F.expr(x).over(w).alias(n) for n, x in _OCCURRENCES.items()))
+    return dealt.select("*", *(F.expr(x).over(w).alias(n) for n, x in _OCCURRENCES.items()))
 
 
 def common_chunks(rows: DataFrame) -> DataFrame:
@@ -182,8 +188,8 @@ def common_chunks(rows: DataFrame) -> DataFrame:
     Every chunk travels once, to its digest; those of frequent digests, found in
     a sample of the ids, are dealt out.
     """
-    hot = frequent(chunks(in_sample(rows)), ["digest"]).withColumn("hot", F.lit(True))
-    return _with_occurrences(chunks(rows), ["digest"], hot).where(f"hot or {_REPEATED}").select("doc_id", "part", "seq", "first", "words")
+    found = _with_occurrences(chunks(rows, frequent(chunks(in_sample(rows)), "digest")), ["digest"])
+    return found.where(f"hot or {_REPEATED}").select("doc_id", "part", "seq", "first", "words")
 
 
 def candidates(common: DataFrame) -> DataFrame:
@@ -193,7 +199,7 @@ def candidates(common: DataFrame) -> DataFrame:
     return runs.where(F.col("stop") - F.col("first") >= WORDS).groupBy("doc_id", "part").agg(F.collect_list(F.struct("first", "stop")).alias("regions"))
 
 
-def _stretch_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _stretch_rows(hot: np.ndarray, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for block in blocks(batches, 128):
         out: list[list] = [[] for _ in _STRETCH]
         for doc_id, part, text, regions in zip(*(block.column(x).to_pylist() for x in ("doc_id", "part", "text", "regions"))):
@@ -201,14 +207,14 @@ def _stretch_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             first = np.unique(np.concatenate([np.arange(r["first"], r["stop"] - WORDS + 1) for r in regions]))
             a, b = at[first], (at + ends - starts)[first + WORDS - 1]
             one, two = spans_hash(joined, a, b, FACTORS[0]).view(np.int64), (spans_hash(joined, a, b, FACTORS[1]) >> np.uint64(32)).astype(np.uint32).view(np.int32)
-            for column, values in zip(out, (one, two, np.full(len(a), doc_id), np.full(len(a), part), starts[first] << 32 | ends[first + WORDS - 1], _repeats(one, two))):
+            for column, values in zip(out, (one, two, np.full(len(a), doc_id), np.full(len(a), part), starts[first] << 32 | ends[first + WORDS - 1], _repeats(one, two), np.isin(one, hot))):
                 column.append(values)
         yield _batch(out, _STRETCH)
 
 
-def stretches(rows: DataFrame, regions: DataFrame) -> DataFrame:
-    """A row for each stretch of WORDS words in the regions of the texts: hash, document, place (first byte in the high half, the byte behind in the low one), and whether its text had it before."""
-    return rows.join(regions, ["doc_id", "part"]).mapInArrow(_stretch_rows, "a long, b int, doc_id long, part int, place long, again boolean")
+def hashed_stretches(rows: DataFrame, regions: DataFrame, hot: np.ndarray = NONE) -> DataFrame:
+    """A row for each stretch of WORDS words in the regions of the texts: hash, document, place (first byte in the high half, the byte behind in the low one), whether its text had it before, and whether the hash's first part is among hot."""
+    return rows.join(regions, ["doc_id", "part"]).mapInArrow(partial(_stretch_rows, hot), "a long, b int, doc_id long, part int, place long, again boolean, hot boolean")
 
 
 def whole_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -226,10 +232,11 @@ def whole_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     text = F.col(text_col).cast("string")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.hash(text).alias("part"), text.alias("text")).where(F.col("doc_id").isNotNull() & (F.octet_length("text") >= LEAST_BYTES))
     regions = materialize(docs.sparkSession, candidates(common_chunks(rows)), "regions")
-    keys, tried = ["a", "b"], stretches(rows, regions)
-    hot = tried.join(F.broadcast(frequent(stretches(in_sample(rows), in_sample(regions)), keys)), keys).groupBy(*keys).agg(F.min("doc_id").alias("hot_least")).withColumn("hot", F.lit(True))
-    owner = F.coalesce("hot_least", "least")
-    again = _with_occurrences(tried, keys, hot).where(f"hot or {_REPEATED}").where((F.col("doc_id") != owner) | F.col("again"))
+    tried = hashed_stretches(rows, regions, frequent(hashed_stretches(in_sample(rows), in_sample(regions)), "a"))
+    # first documents of the hot hashes, at most HOT of them but for those that share their first part
+    hot = tried.where("hot").groupBy("a", "b").agg(*_occurrences()).where(_REPEATED).select("a", "b", F.col("least").alias("hot_least"))
+    owner = F.when(F.col("hot"), F.col("hot_least")).when(F.expr(_REPEATED), F.col("least"))
+    again = _with_occurrences(tried, ["a", "b"]).join(F.broadcast(hot), ["a", "b"], "left").where(owner.isNotNull() & ((F.col("doc_id") != owner) | F.col("again")))
     # dealt by text first, so that the run below needs no other shuffle
     again = again.select("doc_id", "part", "place", owner.alias("owner")).repartition("doc_id", "part").groupBy("doc_id", "part", "place").agg(F.min("owner").alias("owner"))
     again = again.select("*", F.shiftright("place", 32).alias("start"), F.col("place").bitwiseAND((1 << 32) - 1).alias("end"))
