@@ -18,7 +18,7 @@ to their last.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import partial
+from functools import cache, partial
 
 import numpy as np
 import pyarrow as pa
@@ -67,30 +67,34 @@ def chunk_ends(data: bytes) -> np.ndarray:
     return np.flatnonzero(_slid(around, WINDOW, np.maximum) == h) + GRAM
 
 
-_powers: dict[int, np.ndarray] = {}
+#: Bytes of text whose sums are held at once, longer spans apart.
+SEGMENT = 1 << 18
 
 
+@cache
 def powers(factor: int, n: int) -> np.ndarray:
-    """factor ** 0, 1, 2, ... n in 64 bits, remembered up to a million."""
-    held = _powers.get(factor)
-    if held is None or len(held) <= n:
-        out = np.ones(max(n + 1, 1 << 16), np.uint64)
-        size = 1
-        while size < len(out):
-            out[size : 2 * size] = out[: min(size, len(out) - size)] * np.uint64(pow(factor, size, 1 << 64))
-            size *= 2
-        if n > 1 << 20:
-            return out
-        _powers[factor] = held = out
-    return held
+    """factor ** 0, 1, 2, ... n - 1 in 64 bits; n a power of two."""
+    out, size = np.ones(n, np.uint64), 1
+    while size < n:
+        out[size : 2 * size] = out[:size] * np.uint64(pow(factor, size, 1 << 64))
+        size *= 2
+    return out
 
 
 def spans_hash(data: bytes, starts: np.ndarray, ends: np.ndarray, factor: int) -> np.ndarray:
-    """64-bit polynomial hash of each span of bytes, from sums up to each byte."""
-    values = BYTE_HASH[np.frombuffer(data, np.uint8)]
-    sums = np.zeros(len(values) + 1, np.uint64)
-    np.cumsum(values * powers(factor, len(values))[: len(values)], out=sums[1:])
-    return mix((sums[ends] - sums[starts]) * powers(pow(factor, -1, 1 << 64), len(values))[starts])
+    """64-bit polynomial hash of each span of bytes, from sums up to each byte of a segment. Spans are ordered by start."""
+    out, all_bytes = np.zeros(len(starts), np.uint64), np.frombuffer(data, np.uint8)
+    i = 0
+    while i < len(starts):
+        at = int(starts[i])
+        j = max(i + 1, int(np.searchsorted(starts, at + SEGMENT)))
+        values = BYTE_HASH[all_bytes[at : int(ends[i:j].max())]]
+        n = 1 << max(18, len(values).bit_length())
+        sums = np.zeros(len(values) + 1, np.uint64)
+        np.cumsum(values * powers(factor, n)[: len(values)], out=sums[1:])
+        out[i:j] = (sums[ends[i:j] - at] - sums[starts[i:j] - at]) * powers(pow(factor, -1, 1 << 64), n)[starts[i:j] - at]
+        i = j
+    return mix(out)
 
 
 def word_bounds(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -235,6 +239,7 @@ def whole_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     tried = hashed_stretches(rows, regions, frequent(hashed_stretches(in_sample(rows), in_sample(regions)), "a"))
     # first documents of the hot hashes, at most HOT of them but for those that share their first part
     hot = tried.where("hot").groupBy("a", "b").agg(*_occurrences()).where(_REPEATED).select("a", "b", F.col("least").alias("hot_least"))
+    hot = materialize(docs.sparkSession, hot, "hot-stretches")
     owner = F.when(F.col("hot"), F.col("hot_least")).when(F.expr(_REPEATED), F.col("least"))
     again = _with_occurrences(tried, ["a", "b"]).join(F.broadcast(hot), ["a", "b"], "left").where(owner.isNotNull() & ((F.col("doc_id") != owner) | F.col("again")))
     # dealt by text first, so that the run below needs no other shuffle
