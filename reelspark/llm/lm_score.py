@@ -14,7 +14,7 @@ grow with the corpus. Words are counted first, in a Spark table. Then occurrence
 go to the shard of their word w, summed for each document before, as packed
 columns. There c(w) and c(h, w) are sums over the shard, and ln(c(w) + BETA) is due
 once for each time that a word follows w in the same document, so a shard gives its
-share of every document's losses; shares are summed by document. Words with a large
+share of every document's losses; shares are summed by block of documents. Words with a large
 part of all occurrences (a bounded number) are dealt by (h, w), with c(w) sent along.
 """
 
@@ -39,6 +39,8 @@ ALPHA, BETA = 0.1 * VOCABULARY, 4.0
 BROADCAST_IDS = 1_000_000
 #: Occurrences that a task packs at once, and that a shard has on average at most.
 PACK_TOKENS, SHARD_TOKENS = 1 << 20, 1 << 21
+#: Documents whose shares of losses travel and are summed together.
+BLOCK_DOCS = 4096
 #: At most so many words are dealt by (h, w).
 HOT_WORDS = 4000
 #: In place of a word before a text's first.
@@ -178,7 +180,12 @@ def _occurrences(rows: DataFrame, kind: str, m: Models, counts: bool, scored: bo
 
 
 def score(docs: DataFrame, models: Models, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_tokens, target_loss, background_loss, score) for every row; losses and score are means over tokens, 0 without tokens."""
+    """(doc_id, n_tokens, target_loss, background_loss, score) for every row; losses and score are means over tokens.
+
+    Null and empty texts have no tokens, and zeros. Rows that share an id, or have
+    none, are scored each. Other columns play no part; an empty table gives an
+    empty result.
+    """
     m, kind = models, dict(docs.select(F.col(id_col).alias("doc_id")).dtypes)["doc_id"]
     if docs is m.docs and m.columns == (id_col, text_col):
         found = _occurrences(m.rows, kind, m, True, True)
@@ -192,13 +199,13 @@ def score(docs: DataFrame, models: Models, id_col: str = "doc_id", text_col: str
     mass, hot, hot_counts = each * max(VOCABULARY, m.vocabulary), m.hot, m.hot_counts
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, parts = ["row", "doc_id", "n_tokens", "a", "b"], []
+        names, parts = ["block", "data", "row", "doc_id", "n_tokens"], []
         doc_type: pa.DataType | None = None
         for b in batches:
             doc_type = b.column("doc_id").type
             heads = b.filter(b.column("row").is_valid())
-            zero = pa.array(np.zeros(heads.num_rows))
-            yield pa.record_batch([heads.column("row"), heads.column("doc_id"), heads.column("n_tokens"), zero, zero], names)
+            block = pa.array(heads.column("row").to_numpy() // BLOCK_DOCS)
+            yield pa.record_batch([block, pa.nulls(heads.num_rows, pa.binary()), heads.column("row"), heads.column("doc_id"), heads.column("n_tokens")], names)
             for data, base, counts, scored in zip(*(b.filter(b.column("data").is_valid()).column(k).to_pylist() for k in ("data", "base", "counts", "scored"))):
                 n = int.from_bytes(data[:8], "little")
                 raw = pa.decompress(data[8:], n * sum(np.dtype(t).itemsize for _, t in PACKED), codec="zstd", asbytes=True)
@@ -230,12 +237,43 @@ def score(docs: DataFrame, models: Models, id_col: str = "doc_id", text_col: str
         ask = row >= 0
         rows_, at_row = np.unique(row[ask], return_inverse=True)
         share = [np.bincount(at_row, (loss[i][at_pair] * n + as_context[i][at_word][at_pair] * followed)[ask], minlength=len(rows_)) for i in (0, 1)]
-        for a in range(0, len(rows_), 50_000):
-            j = len(rows_[a : a + 50_000])
-            yield pa.record_batch([pa.array(rows_[a : a + j]), pa.nulls(j, doc_type), pa.nulls(j, pa.int64()), pa.array(share[0][a : a + j]), pa.array(share[1][a : a + j])], names)
+        # rows are ordered, so a block's shares lie together
+        block, first = np.unique(rows_ // BLOCK_DOCS, return_index=True)
+        for a in range(0, len(block), 64):
+            cuts = zip(first[a : a + 64].tolist(), np.append(first, len(rows_))[a + 1 : a + 65].tolist())
+            data = [b"".join([(rows_[i:j] % BLOCK_DOCS).astype("<u2").tobytes(), share[0][i:j].tobytes(), share[1][i:j].tobytes()]) for i, j in cuts]
+            k = len(data)
+            yield pa.record_batch([pa.array(block[a : a + 64]), pa.array(data, pa.binary()), pa.nulls(k, pa.int64()), pa.nulls(k, doc_type), pa.nulls(k, pa.int64())], names)
 
-    shares = found.repartitionById(m.shards, F.col("shard")).mapInArrow(run, f"row long, doc_id {kind}, n_tokens long, a double, b double")
-    of_doc = shares.groupBy("row").agg(F.first("doc_id", True).alias("doc_id"), F.max("n_tokens").alias("n_tokens"), F.sum("a").alias("a"), F.sum("b").alias("b"))
+    def combine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Sum up the shares of each block of documents; blocks come one after the other."""
+        held, heads, sums = None, [], np.zeros((2, BLOCK_DOCS))
+
+        def summed() -> Iterator[pa.RecordBatch]:
+            for h in heads:
+                at = h.column("row").to_numpy() % BLOCK_DOCS
+                yield pa.record_batch([h.column("doc_id"), h.column("n_tokens"), pa.array(sums[0][at]), pa.array(sums[1][at])], ["doc_id", "n_tokens", "a", "b"])
+
+        for b in batches:
+            blocks_ = b.column("block").to_numpy()
+            for at in np.split(np.arange(len(blocks_)), np.flatnonzero(np.diff(blocks_)) + 1):
+                if not len(at):
+                    continue
+                if held is not None and held != blocks_[at[0]]:
+                    yield from summed()
+                    heads, sums = [], np.zeros((2, BLOCK_DOCS))
+                held, part = blocks_[at[0]], b.slice(int(at[0]), len(at))
+                heads.append(part.filter(part.column("row").is_valid()))
+                for data in part.column("data").drop_null().to_pylist():
+                    n = len(data) // 18
+                    row = np.frombuffer(data, "<u2", n)
+                    sums[0][row] += np.frombuffer(data, np.float64, n, 2 * n)
+                    sums[1][row] += np.frombuffer(data, np.float64, n, 10 * n)
+        if held is not None:
+            yield from summed()
+
+    shares = found.repartitionById(m.shards, F.col("shard")).mapInArrow(run, f"block long, data binary, row long, doc_id {kind}, n_tokens long")
+    of_doc = shares.repartition("block").sortWithinPartitions("block").mapInArrow(combine, f"doc_id {kind}, n_tokens long, a double, b double")
     mean = lambda x: F.when(F.col("n_tokens") > 0, F.col(x) / F.col("n_tokens")).otherwise(0.0)
     return of_doc.select("doc_id", "n_tokens", mean("a").alias("target_loss"), mean("b").alias("background_loss")).withColumn("score", F.col("target_loss") - F.col("background_loss"))
 
