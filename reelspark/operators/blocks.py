@@ -1,170 +1,245 @@
-"""4 x 4 block codecs and byte-stream layouts as grouped rows (B and Z rows of the blueprint)."""
+"""4 x 4 block codecs (B rows of the blueprint) over rows of frame_no, block_y, block_x.
+
+A block's sixteen values are one array, in rows, so each block is grouped once and
+everything else is an expression over its row.
+"""
 
 from __future__ import annotations
 
-_PX = "select frame_no, y div 4 as block_y, x div 4 as block_x, (y % 4) * 4 + x % 4 as i, luma as v from px_luma"
-# 8-mode interpolates six steps of 1/7 between max and min; 6-mode four of 1/5 between the extremes inside 0..255, and has 0 and 255
-def _ends(px: str) -> str:
-    return f"""
-    select frame_no, block_y, block_x, max(v) as hi, min(v) as lo, min(case when v > 0 and v < 255 then v end) as mid_lo, max(case when v > 0 and v < 255 then v end) as mid_hi from ({px}) p group by frame_no, block_y, block_x"""
-
-
-_ENDS = _ends(_PX)
-# alpha where frames without an alpha channel count as opaque
-_ALPHA = "select frame_no, y div 4 as block_y, x div 4 as block_x, (y % 4) * 4 + x % 4 as i, case when frame_no % 3 = 0 then 255 else a end as v from px_rgba"
-
-
-def _palette(a: str, b: str, mode: int, half: int) -> list[str]:
-    """Palette entries of endpoints a and b; half is added before the division (encoders round, decoders cut off)."""
-    steps = 7 if mode == 8 else 5
-    out = [a, b] + [f"(({steps} - {k}) * {a} + {k} * {b} + {half}) div {steps}" for k in range(1, steps)]
-    return out if mode == 8 else [*out, "0", "255"]
-
-
-def _errors(entries: list[str], value: str) -> str:
-    return "least(" + ", ".join(f"abs({value} - ({e})) * 8 + {k}" for k, e in enumerate(entries)) + ")"
-
-
-def _pick(entries: list[str], code: str) -> str:
-    """The palette entry that a code names."""
-    return f"case {code} " + " ".join(f"when {k} then {e}" for k, e in enumerate(entries)) + " end"
-
-
-_E8, _E6 = _palette("hi", "lo", 8, 3), _palette("mid_lo", "mid_hi", 6, 2)
-
-
-def _encode(px: str) -> str:
-    """Scalar blocks with the better of both modes, eight steps on ties."""
-    return f"""
-        with e as ({_ends(px)}), p as ({px}),
-        c as (select p.frame_no, p.block_y, p.block_x, p.i, hi, lo, mid_lo, mid_hi, {_errors(_E8, "p.v")} as e8, case when mid_lo < mid_hi then {_errors(_E6, "p.v")} end as e6
-              from p join e on e.frame_no = p.frame_no and e.block_y = p.block_y and e.block_x = p.block_x),
-        s as (select *, sum(e8 div 8) over (partition by frame_no, block_y, block_x) as sum8, sum(e6 div 8) over (partition by frame_no, block_y, block_x) as sum6 from c)
-        select frame_no, cast(block_y as bigint) as block_y, cast(block_x as bigint) as block_x, cast(max(case when sum6 < sum8 then mid_lo else hi end) as bigint) as a0, cast(max(case when sum6 < sum8 then mid_hi else lo end) as bigint) as a1,
-          cast(sum((case when sum6 < sum8 then e6 % 8 else e8 % 8 end) * (cast(1 as bigint) << cast(3 * i as int))) as bigint) as indices, cast(max(least(sum8, coalesce(sum6, sum8))) as bigint) as error
-        from s group by frame_no, block_y, block_x"""
-
-
-def _squares(entries: list[str], value: str) -> str:
-    return "least(" + ", ".join(f"({value} - ({e})) * ({value} - ({e})) * 8 + {k}" for k, e in enumerate(entries)) + ")"
-
-
-def _short(value: str, top: int) -> str:
-    """An 8-bit value as one of top + 1 levels, to the nearest."""
-    return f"(({value} * {top} + 128 + (({value} * {top} + 128) >> 8)) >> 8)"
-
-
-def _ops(stream: str) -> str:
-    """Opcodes of a stream (source_id, channel, n, v) of blocks, the first of which has none: 3 is a new block
-    of eight bytes, 0 the block before 4 to 258 times more, 1 once more."""
-    return f"""
-        with b as (select source_id, channel, n, v, case when v = lag(v) over (partition by source_id, channel order by n) then 0 else 1 end as change from ({stream}) p),
-        r as (select source_id, channel, n, sum(change) over (partition by source_id, channel order by n rows between unbounded preceding and current row) as run from b),
-        g as (select source_id, channel, min(n) as start_at, count(*) - 1 as again from r group by source_id, channel, run),
-        m as (select source_id, channel, start_at, again div 258 as whole, again % 258 as rest from g where again > 0),
-        o as (select source_id, channel, start_at, whole, rest, explode(sequence(cast(1 as bigint), cast(whole + case when rest >= 4 then 1 else rest end as bigint))) as k from m)
-        select source_id, channel, cast(start_at as bigint) as block, cast(3 as bigint) as op, cast(1 as bigint) as covers, cast(8 as bigint) as bytes from g where start_at > 0
-        union all
-        select source_id, channel, cast(start_at + 1 + case when k <= whole or rest >= 4 then 258 * (k - 1) else 257 * whole + k - 1 end as bigint), cast(case when k <= whole or rest >= 4 then 0 else 1 end as bigint),
-          cast(case when k <= whole then 258 when rest >= 4 then rest else 1 end as bigint), cast(case when k <= whole or rest >= 4 then 1 else 0 end as bigint) from o"""
-
-
-OPERATORS: dict[str, str] = {
-    "plane_blocks": f"select frame_no, cast(block_y as bigint) as block_y, cast(block_x as bigint) as block_x, cast(i as bigint) as i, v from ({_PX}) p",
-    "bc1_constant": "select frame_no, cast(y div 4 as bigint) as block_y, cast(x div 4 as bigint) as block_x, min(r) = max(r) and min(g) = max(g) and min(b) = max(b) as constant, max(r) as r, max(g) as g, max(b) as b from px_rgb group by frame_no, y div 4, x div 4",
-    "bc1_block_stats": """
-        select frame_no, cast(y div 4 as bigint) as block_y, cast(x div 4 as bigint) as block_x, min(r) as min_r, max(r) as max_r, min(g) as min_g, max(g) as max_g, min(b) as min_b, max(b) as max_b,
-          cast((sum(r) + 8) div 16 as bigint) as mean_r, cast((sum(g) + 8) div 16 as bigint) as mean_g, cast((sum(b) + 8) div 16 as bigint) as mean_b,
-          cast(16 * sum(r * r) - sum(r) * sum(r) as bigint) as cov_rr, cast(16 * sum(r * g) - sum(r) * sum(g) as bigint) as cov_rg, cast(16 * sum(g * b) - sum(g) * sum(b) as bigint) as cov_gb
-        from px_rgb group by frame_no, y div 4, x div 4""",
-    "bc4_palette": "with e as (" + _ENDS + ") select frame_no, cast(block_y as bigint) as block_y, cast(block_x as bigint) as block_x, " + ", ".join(f"cast({e} as bigint) as p{k}" for k, e in enumerate(_E8)) + " from e",
-    # the error is in the high part and the entry in the low three bits, so the first smallest wins
-    "bc4_index": f"""
-        with e as ({_ENDS}), p as ({_PX})
-        select p.frame_no, cast(p.block_y as bigint) as block_y, cast(p.block_x as bigint) as block_x, cast(p.i as bigint) as i, cast({_errors(_E8, "p.v")} % 8 as bigint) as entry, cast({_errors(_E8, "p.v")} div 8 as bigint) as error
-        from p join e on e.frame_no = p.frame_no and e.block_y = p.block_y and e.block_x = p.block_x""",
-    "bc4_encode": _encode(_PX),
-    "hapa_blocks": _encode(_ALPHA),
-    # both modes with each endpoint up to three away from the extremes; squared errors, the first of the smallest
-    "bc4_refined": f"""
-        with e as ({_ENDS}), p as ({_PX}),
-        c as (select frame_no, block_y, block_x, hi, lo, explode(sequence(0, 97)) as k from e where lo < hi),
-        t as (select frame_no, block_y, block_x, k, least(255, greatest(0, hi + k % 7 - 3)) as h, least(255, greatest(0, lo + k div 7 % 7 - 3)) as l from c),
-        d as (select frame_no, block_y, block_x, k, case when k < 49 then greatest(h, l) else least(h, l) end as hi, case when k < 49 then least(h, l) else greatest(h, l) end as lo from t where h <> l),
-        x as (select d.frame_no, d.block_y, d.block_x, k, hi, lo, i, case when k < 49 then {_squares(_E8, "v")} else {_squares(_palette("hi", "lo", 6, 2), "v")} end as e
-              from d join p on d.frame_no = p.frame_no and d.block_y = p.block_y and d.block_x = p.block_x),
-        s as (select frame_no, block_y, block_x, k, max(hi) as a0, max(lo) as a1, sum((e % 8) * (cast(1 as bigint) << cast(3 * i as int))) as indices, sum(e div 8) as error from x group by frame_no, block_y, block_x, k),
-        f as (select *, row_number() over (partition by frame_no, block_y, block_x order by error, k) as n from s)
-        select frame_no, cast(block_y as bigint) as block_y, cast(block_x as bigint) as block_x, cast(a0 as bigint) as a0, cast(a1 as bigint) as a1, cast(indices as bigint) as indices, cast(error as bigint) as error from f where n = 1
-        union all select frame_no, cast(block_y as bigint), cast(block_x as bigint), cast(lo as bigint), cast(lo as bigint), cast(0 as bigint), cast(0 as bigint) from e where lo = hi""",
-    # pixels on the axis between the block's extremes in 5, 6 and 5 bits, told apart at the middles of the four colours
-    "bc1_match": f"""
-        with e as (select frame_no, y div 4 as block_y, x div 4 as block_x, {", ".join(f"{_short(f'{f}({c})', 63 if c == 'g' else 31)} as {c}{n}" for n, f in enumerate(("max", "min")) for c in "rgb")} from px_rgb group by frame_no, y div 4, x div 4),
-        w as (select frame_no, block_y, block_x, (r0 << 11) + (g0 << 5) + b0 as c0, (r1 << 11) + (g1 << 5) + b1 as c1, {", ".join(f"({c}{n} << {2 if c == 'g' else 3}) + ({c}{n} >> {4 if c == 'g' else 2}) as {c}{n}" for n in (0, 1) for c in "rgb")} from e),
-        d as (select *, r0 - r1 as dr, g0 - g1 as dg, b0 - b1 as db from w),
-        s as (select *, r0 * dr + g0 * dg + b0 * db as s0, r1 * dr + g1 * dg + b1 * db as s1,
-                (2 * r0 + r1) div 3 * dr + (2 * g0 + g1) div 3 * dg + (2 * b0 + b1) div 3 * db as s2, (2 * r1 + r0) div 3 * dr + (2 * g1 + g0) div 3 * dg + (2 * b1 + b0) div 3 * db as s3 from d),
-        m as (select s.frame_no, s.block_y, s.block_x, c0, c1, (p.y % 4) * 4 + p.x % 4 as i, p.r * dr + p.g * dg + p.b * db as dot, (s1 + s3) >> 1 as low, (s3 + s2) >> 1 as half, (s2 + s0) >> 1 as high
-              from s join px_rgb p on p.frame_no = s.frame_no and p.y div 4 = s.block_y and p.x div 4 = s.block_x)
-        select frame_no, cast(block_y as bigint) as block_y, cast(block_x as bigint) as block_x, cast(max(c0) as bigint) as c0, cast(max(c1) as bigint) as c1,
-          cast(sum((case when dot < half then case when dot < low then 1 else 3 end when dot < high then 2 else 0 end) * (cast(1 as bigint) << cast(2 * i as int))) as bigint) as mask from m group by frame_no, block_y, block_x""",
-    "cgo_ops": _ops("select source_id, 0 as channel, frame_no as n, size div 700 as v from packets_meta"),
-    "cgo_ops2": _ops("select source_id, 0 as channel, frame_no as n, size div 700 as v from packets_meta union all select source_id, 1 as channel, frame_no as n, event_id * 11 % 50 div 40 as v from packets_meta"),
-    # decoders cut off where encoders round
-    "bc4_decode": "with e as (" + _ENDS + ") select frame_no, cast(block_y as bigint) as block_y, cast(block_x as bigint) as block_x, " + ", ".join(f"cast({e} as bigint) as p{k}" for k, e in enumerate(_palette("hi", "lo", 8, 0))) + " from e",
-    "bc1_decode": """
-        with c as (select frame_no, y, x, r * 256 + g as c0, b * 256 + r as c1, luma % 4 as code from (select p.*, (r + g + b) as luma from px_rgb p) q),
-        k as (select frame_no, y, x, code, c0 > c1 as four, ((c0 >> 11) << 3) + (c0 >> 13) as r0, ((c1 >> 11) << 3) + (c1 >> 13) as r1 from c)
-        select frame_no, y, x, cast(case code when 0 then r0 when 1 then r1 when 2 then case when four then (2 * r0 + r1) div 3 else (r0 + r1) div 2 end else case when four then (r0 + 2 * r1) div 3 else 0 end end as bigint) as r,
-          case when not four and code = 3 then 0 else 255 end as a from k""",
-    # sixteen codes of three bits, the first in the lowest bits, as six bytes in hexadecimal digits
-    "bc4_pack": f"""
-        with e as ({_ENDS}), p as ({_PX}),
-        c as (select p.frame_no, p.block_y, p.block_x, max(hi) as a0, max(lo) as a1, sum(({_errors(_E8, "p.v")} % 8) * (cast(1 as bigint) << cast(3 * i as int))) as bits
-              from p join e on e.frame_no = p.frame_no and e.block_y = p.block_y and e.block_x = p.block_x group by p.frame_no, p.block_y, p.block_x)
-        select frame_no, cast(block_y as bigint) as block_y, cast(block_x as bigint) as block_x, printf('%02x%02x%02x%02x%02x%02x%02x%02x', cast(a0 as bigint), cast(a1 as bigint), {", ".join(f"cast(bits as bigint) >> {8 * k} & 255" for k in range(6))}) as packed from c""",
-    # two scalar blocks side by side, each with its own truncating palette
-    "bc5_decode": f"""
-        with e as ({_ENDS}), p as (select frame_no, y div 4 as block_y, x div 4 as block_x, (y % 4) * 4 + x % 4 as i, luma % 8 as code_r, luma div 8 % 8 as code_g from px_luma),
-        k as (select p.*, e.hi, e.lo from p join e on e.frame_no = p.frame_no and e.block_y = p.block_y and e.block_x = p.block_x)
-        select frame_no, cast(block_y as bigint) as block_y, cast(block_x as bigint) as block_x, cast(i as bigint) as i,
-          cast({_pick(_palette("hi", "lo", 8, 0), "code_r")} as bigint) as r, cast({_pick(_palette("hi", "lo", 8, 0), "code_g")} as bigint) as g from k""",
-    # always four colours, whatever the order of the endpoints, and an alpha palette of eight or six steps by the order of its own
-    "bc3_decode": f"""
-        with c as (select frame_no, y, x, r * 256 + g as c0, b * 256 + r as c1, (r + g + b) % 4 as code, g as a0, b as a1, r % 8 as alpha_code from px_rgb),
-        k as (select frame_no, y, x, code, alpha_code, a0, a1, ((c0 >> 11) << 3) + (c0 >> 13) as r0, ((c1 >> 11) << 3) + (c1 >> 13) as r1 from c)
-        select frame_no, y, x, cast({_pick(["r0", "r1", "(2 * r0 + r1) div 3", "(r0 + 2 * r1) div 3"], "code")} as bigint) as r,
-          cast(case when a0 > a1 then {_pick(_palette("a0", "a1", 8, 0), "alpha_code")} else {_pick(_palette("a0", "a1", 6, 0), "alpha_code")} end as bigint) as a from k""",
-    "dxt_unpack": "select frame_no, y, x, luma from px_luma where x < 6 and y < 7",
-    "edge_replicate": """
-        with t as (select y, x, least(y, 5) as sy, least(x, 6) as sx from (select explode(sequence(0, 7)) as y) ys cross join (select explode(sequence(0, 7)) as x) xs)
-        select p.frame_no, cast(t.y as bigint) as y, cast(t.x as bigint) as x, p.luma from t join px_luma p on p.y = t.sy and p.x = t.sx""",
-    # where the same key occurred last, strictly before
-    "lz_last_match": "select source_id, frame_no, size, frame_no - max(frame_no) over (partition by source_id, size order by frame_no rows between unbounded preceding and 1 preceding) as distance from (select source_id, frame_no, cast(size div 90 as bigint) as size from packets_meta) p",
-    "alpha_runs": """
-        with c as (select frame_no, y * 8 + x as i, luma div 64 as v, case when luma div 64 = lag(luma div 64) over (partition by frame_no order by y * 8 + x) then 0 else 1 end as change from px_luma),
-        r as (select frame_no, i, v, sum(change) over (partition by frame_no order by i rows between unbounded preceding and current row) as run from c)
-        select frame_no, cast(run as bigint) as run, cast(min(i) as bigint) as start_at, count(*) as length, cast(max(v) as bigint) as value from r group by frame_no, run""",
-    "run_count_bytes": "select event_id, event_id * 37 % 200000 as run, cast(case when event_id * 37 % 200000 < 255 then 1 else 1 + 2 * (1 + (event_id * 37 % 200000 - 255) div 65535) end as bigint) as bytes from events",
-    "opcode_stream": """
-        with s as (select frame_no, y, count(*) as n, min(luma div 128) as lo, max(luma div 128) as hi from px_luma group by frame_no, y)
-        select frame_no, y, cast(case when n = 0 then 1 when lo = hi then 2 else 1 + n end as bigint) as bytes from s""",
-    "hq_budgets": "select geom_id, name, cast(((src_w + 15) div 16 * 16) * ((src_h + 15) div 16 * 16) div 16 + 1 as bigint) as luma_ops, cast(((src_w + 15) div 16 * 16) * ((src_h + 15) div 16 * 16) div 32 + 1 as bigint) as chroma_ops from geom",
-    "dxv1_tag": "select event_id, (event_id * 2654435 >> 8) & 255 as version, (event_id * 2654435 & 1) = 1 as raw, event_id * 2654435 & 255 as flags from events",
-    "dxv3_header": "select source_id, frame_no, printf('%02x%02x%02x%02x', size % 256, size div 256 % 256, size div 65536 % 256, size div 16777216 % 256) as size_le from packets_meta",
-    "hq_packet_layout": "select source_id, cast(sum(size) as bigint) as payload, cast(sum(size) + 12 as bigint) as packet, cast(sum(case when frame_no % 2 = 0 then size + 8 else size + 12 end) as bigint) as op_offset from packets_meta group by source_id",
-    "snappy_token_cost": """
-        with t as (select event_id, 1 + event_id % 70000 as len, 1 + event_id * 31 % 60000 as dist from events)
-        select event_id, cast(len + case when len <= 60 then 1 when len <= 256 then 2 when len <= 65536 then 3 else 4 end as bigint) as literal, case when len between 4 and 11 and dist < 2048 then 2 when len <= 64 then 3 end as copy from t""",
-    "hap_section": "select source_id, frame_no, case when size * 40000 < 16777216 then 4 else 8 end as header_bytes, size * 40000 + case when size * 40000 < 16777216 then 4 else 8 end as section from packets_meta",
-    # equal shares, and the last chunk takes what is left
-    "hap_chunk_split": """
-        with c as (select frame_no, size as blocks, least(1 + frame_no % 8, size) as n, source_id from packets_meta)
-        select source_id, frame_no, n, cast(blocks div n as bigint) as base, cast(blocks - (n - 1) * (blocks div n) as bigint) as last_chunk from c""",
-    "hapm_compose": """
-        with c as (select frame_no, y, x, luma from px_luma where frame_no % 3 <> 0), a as (select frame_no, y, x, luma as alpha from px_luma where frame_no % 3 <> 1)
-        select coalesce(c.frame_no, a.frame_no) as frame_no, coalesce(c.y, a.y) as y, coalesce(c.x, a.x) as x, coalesce(luma, 255) as luma, coalesce(alpha, 255) as alpha from c full outer join a on a.frame_no = c.frame_no and a.y = c.y and a.x = c.x""",
-    "hap_dispatch": """
-        with d as (select * from (values (11, 'dxt1'), (14, 'dxt5'), (15, 'ycocg'), (1, 'bc4')) as t(low, kind)), w as (select * from (values (10, 'raw'), (11, 'snappy'), (12, 'chunked')) as t(high, wrap))
-        select event_id, kind, wrap from (select event_id, event_id % 256 as b from events) e left join d on d.low = e.b % 16 left join w on w.high = e.b div 16""",
-}
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from ..functions import Value, col, idiv, le_bytes, le_int, pick
+from .colour import expand565, matched, rgb565
+
+AT = ("frame_no", "block_y", "block_x")
+#: Halves added before a palette's division: encoders round, decoders cut off.
+ROUNDED, CUT = (3, 2), (0, 0)
+
+
+def blocks(pixels: DataFrame, channels: Sequence[str], w: int | None = None, h: int | None = None) -> DataFrame:
+    """frame_no, block_y, block_x, and for each channel the array of a block's sixteen values in rows."""
+    place = (F.col("y") % 4) * 4 + F.col("x") % 4
+    grouped = pixels.groupBy("frame_no", idiv("y", 4).alias("block_y"), idiv("x", 4).alias("block_x"))
+    found = grouped.agg(F.array_sort(F.collect_list(F.struct(place.cast("int").alias("i"), *channels))).alias("px"))
+    return found.select(*AT, *[F.col(f"px.{c}").alias(c) for c in channels])
+
+
+def pixels(rows: DataFrame, channels: Sequence[str], keep: Sequence[str] = ()) -> DataFrame:
+    """The way back: a row for each place of each block."""
+    zipped = rows.select(*AT, *keep, F.posexplode(F.arrays_zip(*channels)).alias("i", "p"))
+    return zipped.select("frame_no", (F.col("block_y") * 4 + idiv("i", 4)).alias("y"), (F.col("block_x") * 4 + F.col("i") % 4).alias("x"), *keep, *[F.col(f"p.{c}").alias(c) for c in channels])
+
+
+def palette(a: Value, b: Value, half: tuple[int, int] = ROUNDED, eight: Column | None = None) -> Column:
+    """The eight values of a scalar block: six steps between a and b if a > b (or as eight says), else four, 0 and 255."""
+    a, b = col(a), col(b)
+    step = lambda k, n, more: idiv(a * (n - k) + b * k + more, n)
+    long = F.array(a, b, *[step(k, 7, half[0]) for k in range(1, 7)])
+    short = F.array(a, b, *[step(k, 5, half[1]) for k in range(1, 5)], F.lit(0), F.lit(255))
+    return F.when(a > b if eight is None else eight, long.cast("array<bigint>")).otherwise(short.cast("array<bigint>"))
+
+
+def nearest(entries: Value, v: Column) -> Column:
+    """The place of the entry nearest to v, the first of equals."""
+    gaps = F.transform(col(entries), lambda e: F.abs(e - v))
+    return F.array_position(gaps, F.array_min(gaps)) - 1
+
+
+def total(values: Column) -> Column:
+    return F.aggregate(values, F.lit(0).cast("long"), lambda s, v: s + v)
+
+
+def packed(codes: Value, bits: int) -> Column:
+    """Codes of some bits as one integer, the first in the lowest bits."""
+    return total(F.transform(col(codes), lambda c, i: c.cast("long") * F.pow(F.lit(2), i * bits).cast("long")))
+
+
+def unpacked(v: Value, bits: int, n: int = 16) -> Column:
+    return F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.pmod(F.floor(col(v) / F.pow(F.lit(2), i * bits)), F.lit(1 << bits)))
+
+
+def constant_colours(rows: DataFrame) -> DataFrame:
+    """Blocks of one colour (r, g, b, and a where there is one) with c0, c1 and mask, whose third colour is the nearest to it."""
+    one = rows.where(F.expr(" and ".join(f"array_min({c}) = array_max({c})" for c in ("r", "g", "b", "a") if c in rows.columns)))
+    level = lambda low: matched(F.get("r", F.lit(0)), 5, low) * 2048 + matched(F.get("g", F.lit(0)), 6, low) * 32 + matched(F.get("b", F.lit(0)), 5, low)
+    return one.select(*AT, level(False).alias("c0"), level(True).alias("c1"), F.lit(0xAAAAAAAA).alias("mask"))
+
+
+def colour_stats(rows: DataFrame) -> DataFrame:
+    """Smallest, largest and rounded mean of each channel, and the six covariance sums about that mean."""
+    rgb = ("r", "g", "b")
+    out = rows.withColumns({f"mean_{c}": F.shiftright(total(F.col(c)) + 8, 4) for c in rgb} | {f"min_{c}": F.array_min(c) for c in rgb} | {f"max_{c}": F.array_max(c) for c in rgb})
+    pairs = [(a, b) for i, a in enumerate(rgb) for b in rgb[i:]]
+
+    def covariance(a: str, b: str) -> Column:
+        return total(F.zip_with(a, b, lambda x, y: (x - F.col(f"mean_{a}")) * (y - F.col(f"mean_{b}"))))
+
+    return out.withColumns({f"cov_{a}{b}": covariance(a, b) for a, b in pairs})
+
+
+def colour_endpoints(rows: DataFrame, steps: int = 4) -> DataFrame:
+    """c0 and c1: the pixels furthest along the main axis of a block's colours, found by power iteration in single precision, or along luma where that axis is short."""
+    out = colour_stats(rows)
+    cov = {p: (F.col(f"cov_{p}").cast("float") / F.lit(255.0).cast("float")).cast("float") for p in ("rr", "rg", "rb", "gg", "gb", "bb")}
+    out = out.withColumns({f"__{p}": v for p, v in cov.items()} | {f"__v{c}": (F.col(f"max_{c}") - F.col(f"min_{c}")).cast("float") for c in "rgb"})
+    fused = lambda s, v, c: (s.cast("double") + F.col(v).cast("double") * F.col(c).cast("double")).cast("float")
+    for _ in range(steps):
+        turned = {}
+        for c, (x, y, z) in {"r": ("rr", "rg", "rb"), "g": ("rg", "gg", "gb"), "b": ("rb", "gb", "bb")}.items():
+            first = (F.col("__vg") * F.col(f"__{y}")).cast("float")
+            turned[f"__v{c}"] = fused(fused(first, "__vr", f"__{x}"), "__vb", f"__{z}")
+        out = out.withColumns(turned)
+    size = F.greatest(*[F.abs(F.col(f"__v{c}")).cast("double") for c in "rgb"])
+    out = out.withColumn("__size", size)
+    axis = {f"__a{c}": F.when(F.col("__size") < 4.0, luma).otherwise((F.col(f"__v{c}").cast("double") * (512.0 / F.col("__size"))).cast("long")) for c, luma in (("r", 299), ("g", 587), ("b", 114))}
+    out = out.withColumns(axis).withColumn("__dots", F.transform(F.arrays_zip("r", "g", "b"), lambda p: p.r * F.col("__ar") + p.g * F.col("__ag") + p.b * F.col("__ab")))
+    at = {k: F.array_position("__dots", f("__dots")) - 1 for k, f in (("c0", F.array_max), ("c1", F.array_min))}
+    ends = {k: rgb565(*[F.get(c, i.cast("int")) for c in "rgb"]) for k, i in at.items()}
+    return out.withColumns(ends).drop(*[c for c in out.columns if c.startswith("__")])
+
+
+def colour_indices(rows: DataFrame) -> DataFrame:
+    """mask of blocks with r, g, b and endpoints c0 and c1: each pixel's place on the line between them, told apart at the middles of the four colours."""
+    e0, e1 = expand565("c0"), expand565("c1")
+    out = rows.withColumns({f"__{c}0": e0[i] for i, c in enumerate("rgb")} | {f"__{c}1": e1[i] for i, c in enumerate("rgb")})
+    out = out.withColumns({f"__d{c}": F.col(f"__{c}0") - F.col(f"__{c}1") for c in "rgb"})
+    dot = lambda r, g, b: r * F.col("__dr") + g * F.col("__dg") + b * F.col("__db")
+    third = lambda a, b: [idiv(2 * F.col(f"__{c}{a}") + F.col(f"__{c}{b}"), 3) for c in "rgb"]
+    stops = {"__s0": dot(*[F.col(f"__{c}0") for c in "rgb"]), "__s1": dot(*[F.col(f"__{c}1") for c in "rgb"]), "__s2": dot(*third(0, 1)), "__s3": dot(*third(1, 0))}
+    out = out.withColumns(stops)
+    middle = lambda a, b: F.shiftright(F.col(a) + F.col(b), 1)
+    low, half, high = middle("__s1", "__s3"), middle("__s3", "__s2"), middle("__s2", "__s0")
+    code = lambda d: F.when(d < half, F.when(d < low, 1).otherwise(3)).otherwise(F.when(d < high, 2).otherwise(0))
+    codes = F.transform(F.arrays_zip("r", "g", "b"), lambda p: code(dot(p.r, p.g, p.b)))
+    return out.withColumn("mask", packed(codes, 2)).drop(*[c for c in out.columns if c.startswith("__")])
+
+
+def ordered_ends(rows: DataFrame) -> DataFrame:
+    """c0, c1 and mask so that c0 isn't below c1, which means four colours: swapped ends swap the meaning of each code."""
+    swap = F.col("c0") < F.col("c1")
+    return rows.withColumns({"c0": F.greatest("c0", "c1"), "c1": F.least("c0", "c1"), "mask": F.when(swap, F.col("mask").cast("long").bitwiseXOR(F.lit(0x55555555))).otherwise(F.col("mask"))})
+
+
+def colour_bytes(rows: DataFrame) -> DataFrame:
+    """block: the eight bytes of c0, c1 and mask, in order of ordered_ends, as hexadecimal digits."""
+    return ordered_ends(rows).withColumn("block", F.concat(le_bytes("c0", 2), le_bytes("c1", 2), le_bytes("mask", 4)))
+
+
+def scalar_ends(rows: DataFrame, v: str = "v") -> DataFrame:
+    """hi and lo of a block's values, and mid_hi and mid_lo of those other than 0 and 255, null where there are none."""
+    inner = F.filter(v, lambda x: (x > 0) & (x < 255))
+    return rows.withColumns({"hi": F.array_max(v), "lo": F.array_min(v), "mid_lo": F.array_min(inner), "mid_hi": F.array_max(inner)})
+
+
+def _coded(rows: DataFrame, entries: str, v: str, power: int, into: str) -> DataFrame:
+    """Columns into_codes and into_error of a block's values in a palette."""
+    codes = F.transform(v, lambda x: nearest(entries, x))
+    gap = lambda x, k: F.abs(x - F.get(F.col(entries), k.cast("int")))
+    with_codes = rows.withColumn(f"{into}_codes", codes)
+    return with_codes.withColumn(f"{into}_error", total(F.zip_with(v, f"{into}_codes", lambda x, k: F.pow(gap(x, k), power).cast("long"))))
+
+
+def encode_scalars(rows: DataFrame, v: str = "v") -> DataFrame:
+    """a0, a1, indices and error of scalar blocks: the better of eight steps from hi to lo and, where two values lie inside, six from mid_lo to mid_hi; eight on ties."""
+    out = scalar_ends(rows, v)
+    long = palette("hi", "lo", eight=F.lit(True))
+    out = _coded(out.withColumns({"__e8": long, "__e6": palette("mid_lo", "mid_hi", eight=F.lit(False))}), "__e8", v, 1, "__8")
+    out = _coded(out, "__e6", v, 1, "__6")
+    six = F.coalesce((F.col("mid_lo") < F.col("mid_hi")) & (F.col("__6_error") < F.col("__8_error")), F.lit(False))
+    pick_ = lambda a, b: F.when(six, F.col(a)).otherwise(F.col(b))
+    out = out.withColumns({"a0": pick_("mid_lo", "hi"), "a1": pick_("mid_hi", "lo"), "indices": packed(pick_("__6_codes", "__8_codes"), 3), "error": pick_("__6_error", "__8_error")})
+    return out.drop("hi", "lo", "mid_lo", "mid_hi", *[c for c in out.columns if c.startswith("__")])
+
+
+def refine_scalars(rows: DataFrame, v: str = "v", reach: int = 3) -> DataFrame:
+    """As encode_scalars, by squared errors over both modes and all endpoints up to reach from hi and lo, the first of the smallest; a block of one value is exact."""
+    side, ends = 2 * reach + 1, scalar_ends(rows, v)
+    n = side * side
+
+    def tried(k: Column) -> Column:
+        h = F.least(F.lit(255), F.greatest(F.lit(0), F.col("hi") + k % side - reach))
+        low = F.least(F.lit(255), F.greatest(F.lit(0), F.col("lo") + idiv(k, side) % side - reach))
+        return F.when(h != low, F.struct(k.alias("k"), F.when(k < n, F.greatest(h, low)).otherwise(F.least(h, low)).alias("a0"), F.when(k < n, F.least(h, low)).otherwise(F.greatest(h, low)).alias("a1")))
+
+    def with_palette(t: Column) -> Column:
+        return F.struct(t.k.alias("k"), t.a0.cast("long").alias("a0"), t.a1.cast("long").alias("a1"), palette(t.a0, t.a1, eight=t.k < n).alias("entries"))
+
+    def with_error(t: Column) -> Column:
+        gap = lambda x: F.aggregate(t.entries, F.lit(1 << 20).cast("long"), lambda s, e: F.least(s, (e - x) * (e - x)))
+        return F.struct(F.aggregate(v, F.lit(0).cast("long"), lambda s, x: s + gap(x)).alias("error"), t.k.alias("k"), t.a0.alias("a0"), t.a1.alias("a1"))
+
+    candidates = F.filter(F.transform(F.sequence(F.lit(0), F.lit(2 * n - 1)), tried), lambda t: t.isNotNull())
+    best = F.array_min(F.transform(F.transform(candidates, with_palette), with_error))
+    out = ends.withColumn("__best", F.when(F.col("lo") < F.col("hi"), best))
+    out = out.withColumns({"a0": F.coalesce("__best.a0", "lo"), "a1": F.coalesce("__best.a1", "lo"), "error": F.coalesce("__best.error", F.lit(0))})
+    out = out.withColumn("__entries", palette("a0", "a1", eight=F.coalesce(F.col("__best.k") < n, F.lit(True))))
+    out = out.withColumn("indices", F.when(F.col("lo") == F.col("hi"), 0).otherwise(packed(F.transform(v, lambda x: nearest("__entries", x)), 3)))
+    return out.drop("hi", "lo", "mid_lo", "mid_hi", "__best", "__entries")
+
+
+def scalar_bytes(a0: Value, a1: Value, indices: Value) -> Column:
+    """The eight bytes of a scalar block as hexadecimal digits: endpoints, then sixteen codes of three bits, the first in the lowest bits."""
+    return F.concat(le_bytes(a0, 1), le_bytes(a1, 1), le_bytes(indices, 6))
+
+
+def scalars_of_bytes(rows: DataFrame, block: str = "block") -> DataFrame:
+    """a0, a1 and indices of a binary of eight bytes."""
+    data = F.col(block)
+    return rows.withColumns({"a0": le_int(data, 0, 1), "a1": le_int(data, 1, 1), "indices": le_int(F.substring(data, 3, 6), 0, 6)})
+
+
+def decode_scalars(a0: Value, a1: Value, indices: Value) -> Column:
+    """The sixteen values of a scalar block, with a palette that cuts off, in eight steps if a0 > a1, else six."""
+    return F.transform(unpacked(indices, 3), lambda k: F.get(palette(a0, a1, CUT), k.cast("int")))
+
+
+def _colours(c0: Value, c1: Value, always_four: bool) -> Column:
+    four = F.lit(True) if always_four else col(c0) > col(c1)
+    a, b = expand565(c0), expand565(c1)
+    colour = lambda rgb, alpha=255: F.struct(*[x.cast("long").alias(n) for x, n in zip(rgb, "rgb")], F.lit(alpha).cast("long").alias("a"))
+    mix = lambda p, q, n: [idiv(x * p + y * q, n) for x, y in zip(a, b)]
+    black = [F.lit(0)] * 3
+    long = F.array(colour(a), colour(b), colour(mix(2, 1, 3)), colour(mix(1, 2, 3)))
+    short = F.array(colour(a), colour(b), colour(mix(1, 1, 2)), colour(black, 0))
+    return F.when(four, long).otherwise(short)
+
+
+def decode_colours(rows: DataFrame, always_four: bool = False) -> DataFrame:
+    """r, g, b and a arrays of colour blocks (c0, c1, mask): four colours if c0 > c1, else three and transparent black; always four in blocks that have an alpha block beside them."""
+    out = rows.withColumn("__px", F.transform(unpacked("mask", 2), lambda k: F.get(_colours("c0", "c1", always_four), k.cast("int"))))
+    return out.withColumns({c: F.col(f"__px.{c}") for c in "rgba"}).drop("__px")
+
+
+def decode_colours_alpha(rows: DataFrame) -> DataFrame:
+    """r, g, b and a arrays of blocks with a0, a1 and indices beside c0, c1 and mask."""
+    return decode_colours(rows, always_four=True).withColumn("a", decode_scalars("a0", "a1", "indices"))
+
+
+def unpack_texture(rows: DataFrame, w: int, h: int, always_four: bool = False) -> DataFrame:
+    """Pixels of a texture of colour blocks, without its padding beyond w x h."""
+    return pixels(decode_colours(rows, always_four), ("r", "g", "b", "a")).where(f"x < {w} and y < {h}")
+
+
+def edge_replicate(plane: DataFrame, channels: Sequence[str], w: int, h: int, coded_w: int, coded_h: int) -> DataFrame:
+    """A plane of w x h carried on to coded_w x coded_h with its last column and row; places of the edge are dealt to theirs, without a join."""
+    spread = lambda c, side, coded: F.when(F.col(c) == side - 1, F.sequence(F.lit(side - 1), F.lit(coded - 1))).otherwise(F.array(F.col(c).cast("int")))
+    held = plane.where(f"x < {w} and y < {h}").select("frame_no", F.explode(spread("y", h, coded_h)).alias("y"), "x", *channels)
+    return held.select("frame_no", "y", F.explode(spread("x", w, coded_w)).alias("x"), *channels)
+
+
+def opaque_where(pixels_: DataFrame, has_alpha: Column, alpha: str = "a") -> DataFrame:
+    """Alpha of 255 for frames without any."""
+    return pixels_.withColumn(alpha, F.when(has_alpha, F.col(alpha)).otherwise(255))
+
+
+def compose_planes(colour: DataFrame, alpha: DataFrame, channels: Sequence[str], key: Sequence[str] = ("frame_no", "y", "x")) -> DataFrame:
+    """Colours and alpha of pixels, from whichever there is: white without colour, 255 without alpha."""
+    rows = colour.join(alpha, list(key), "full_outer")
+    return rows.select(*key, *[F.coalesce(c, F.lit(255)).alias(c) for c in [*channels, "a"]])
+
+
+def entry(entries: Value, code: Value) -> Column:
+    return pick(col(entries), col(code).cast("int"))

@@ -1,71 +1,206 @@
-"""Container metadata as relations: routing, sample tables, prefix sums (D and K rows of the blueprint)."""
+"""Container metadata as relations: routing, sample tables, packets and muxing rules (D and K rows of the blueprint)."""
 
 from __future__ import annotations
 
-_RUNS = "select source_id, frame_no, size, 1 + source_id % 5 as per_chunk from packets_meta"
-
-OPERATORS: dict[str, str] = {
-    "hap_filter": "select stream_id, fourcc from streams where fourcc in ('Hap1', 'Hap5', 'HapY', 'HapM', 'HapA')",
-    "route_reader": """
-        with dim_reader as (select * from (values ('DXT1', 'dxv'), ('DXT5', 'dxv'), ('YCG6', 'dxv'), ('YG10', 'dxv'), ('DXDI', 'dxv'), ('DXD3', 'dxv'), ('Hap1', 'hap'), ('Hap5', 'hap'), ('HapY', 'hap'), ('HapM', 'hap')) as t(fourcc, reader))
-        select stream_id, streams.fourcc, coalesce(reader, 'platform') as reader from streams left join dim_reader on dim_reader.fourcc = streams.fourcc""",
-    # runs of samples per chunk, chunk starts with a gap of 64 bytes, offsets by prefix sums within the chunk, times by prefix sums of deltas
-    "frame_index": f"""
-        with s as (select source_id, frame_no, size, frame_no div per_chunk as chunk, 500 + frame_no % 3 as delta from ({_RUNS}) r),
-        c as (select source_id, chunk, sum(size) + 64 as bytes from s group by source_id, chunk),
-        o as (select source_id, chunk, 36 + coalesce(sum(bytes) over (partition by source_id order by chunk rows between unbounded preceding and 1 preceding), 0) as chunk_offset from c)
-        select s.source_id, s.frame_no, s.size,
-          cast(o.chunk_offset + coalesce(sum(s.size) over (partition by s.source_id, s.chunk order by s.frame_no rows between unbounded preceding and 1 preceding), 0) as bigint) as file_offset,
-          cast(coalesce(sum(s.delta) over (partition by s.source_id order by s.frame_no rows between unbounded preceding and 1 preceding), 0) as double) / 15360 as pts
-        from s join o on o.source_id = s.source_id and o.chunk = s.chunk""",
-    "stts_expand": "select source_id, cast(nth as bigint) as nth, delta from (select o_orderkey as source_id, explode(sequence(1, 1 + o_orderkey % 4)) as nth, 500 + o_orderkey % 7 as delta from orders) r",
-    "stsz_expand": "select source_id, frame_no, case when source_id % 3 = 0 then 512 else size end as size from packets_meta",
-    "movie_rate": """
-        with p as (select source_id, frame_no, frame_no * 512 as ticks, count(*) over (partition by source_id) as n from packets_meta),
-        d as (select source_id, count(*) as frames, (max(ticks) + 512) / 15360.0e0 as duration from p group by source_id)
-        select source_id, frames, cast(duration as double) as duration, cast(case when duration > 0 then frames / duration else 30.0e0 end as double) as fps from d""",
-    "dims_resolve": "select geom_id, name, case when geom_id % 4 = 0 then dst_w else src_w end as w, case when geom_id % 4 = 0 then dst_h else src_h end as h from geom",
-    # entries of 256 to 258 bytes, in order, that cover all bytes of a text; the last one's may end early, and an empty text has one that reads none
-    "packet_slice": """
-        with d as (select doc_id, hex(text) as digits, 256 + doc_id % 3 as size from documents),
-        n as (select doc_id, digits, size, coalesce(length(digits) div 2, 0) as bytes from d),
-        e as (select doc_id, digits, size, bytes, explode(sequence(cast(0 as bigint), cast(greatest(0, bytes - 1) div size as bigint))) as idx from n)
-        select doc_id, idx, cast(idx * size as bigint) as file_offset, cast(size as bigint) as expected, cast(least(size, bytes - idx * size) as bigint) as actual,
-          coalesce(substring(digits, cast(2 * idx * size + 1 as int), cast(2 * size as int)), '') as packet, least(size, bytes - idx * size) < size as short_read from e""",
-    "frame_count_est": "select event_id, cast(round((event_id % 1000) / 8.0 * 25.0) as bigint) as frames from events",
-    "rational_fps": """
-        with t as (select event_id, case when event_id % 5 = 0 then 0 else 30000 end as timescale, case event_id % 3 when 0 then 1001 when 1 then 1000 else 0 end as ticks from events)
-        select event_id, case when timescale > 0 and ticks > 0 then cast(timescale as double) / ticks else cast(25.0 as double) end as fps from t""",
-    "alpha_probe": "select s.stream_id, coalesce(case when s.stream_id % 6 = 0 then s.stream_id % 12 = 0 end, case when s.fourcc in ('DXT5', 'YG10', 'Hap5', 'HapA', 'HapM') then true when s.fourcc in ('DXT1', 'YCG6', 'Hap1', 'HapY') then false end) as has_alpha from streams s",
-    "audio_rate_resolve": """
-        with a as (select event_id, case when event_id % 4 = 0 then 0 else 44100 end as source_rate, case when event_id % 3 = 0 then 48000 end as wanted, event_id % 70 as channels from events)
-        select event_id, channels between 1 and 64 as channels_ok, coalesce(wanted, nullif(source_rate, 0), 48000) as rate from a""",
-    # the tag at the head of the first packet overrides what the sample description says; an unknown or missing tag keeps it
-    "variant_peek": """
-        with dim_tag as (select * from (values (1, 'DXT1'), (2, 'DXT5'), (3, 'YCG6'), (4, 'YG10')) as t(tag, variant)),
-        f as (select source_id, size % 7 as tag, case when source_id % 2 = 0 then 'DXT1' else 'DXT5' end as described from packets_meta where frame_no = 0)
-        select f.source_id, coalesce(d.variant, f.described) as variant, d.variant is not null as peeked from f left join dim_tag d on d.tag = f.tag""",
-    "first_frame": "select source_id, frame_no, size from packets_meta where frame_no = 0",
-    "movie_filter": """
-        with n as (select page_id, url, lower(regexp_extract(url, '[.]([A-Za-z0-9]+)([?#].*)?$', 1)) as ext from pages)
-        select page_id, ext in ('mov', 'mp4', 'm4v', 'com') as kept, ext from n""",
-    "stco_offsets": "select source_id, frame_no, cast(36 + coalesce(sum(size) over (partition by source_id order by frame_no rows between unbounded preceding and 1 preceding), 0) as bigint) as file_offset from packets_meta",
-    "derive_timescale": """
-        with f as (select event_id, case event_id % 6 when 0 then 30.0 when 1 then 29.97 when 2 then 23.976 when 3 then 29.5 when 4 then 60.0 else 59.94 end as fps from events),
-        d as (select event_id, cast(fps as double) as fps from f)
-        select event_id, fps, cast(case when abs(fps - round(fps)) < 1e-6 then round(fps) * 512 when abs(fps - 29.97) < 1e-6 then 30000 when abs(fps - 23.976) < 1e-6 then 24000 end as bigint) as timescale,
-          cast(case when abs(fps - round(fps)) < 1e-6 then 512 when abs(fps - 29.97) < 1e-6 or abs(fps - 23.976) < 1e-6 then 1001 end as bigint) as delta from d""",
-    "movie_duration_ms": "select source_id, cast(greatest(count(*) * 1000 * 1001 div 30000, source_id % 2000) as bigint) as ms from packets_meta group by source_id",
-    "audio_entry_kind": "select event_id, case when (event_id * 977) % 96001 <= 65535 then 'in32' else 'lpcm' end as entry, case 1 + event_id % 8 when 1 then 'mono' when 2 then 'stereo' else 'discrete' end as layout from events",
-    "mux_guard": """
-        with m as (select source_id, cast(sum(cast(size as bigint) * 1000000) as bigint) as bytes from packets_meta group by source_id)
-        select source_id, bytes, case when bytes > 4294967295 then 'mdat over 4 GB' when bytes + 36 > 4294967295 then 'audio offset over 4 GB' end as error from m""",
-    "fourcc_guard": "select stream_id, fourcc is not null and length(fourcc) = 4 and REGEXP_LIKE(fourcc, '^[ -~]+$') as fine from streams",
-    "compression_props": """
-        select event_id, case when event_id % 2 = 0 then (event_id % 101) / 100.0e0 end as quality, case when event_id % 2 = 1 then cast((event_id % 50) * 1000000 as bigint) end as bit_rate,
-          case when event_id % 30 > 0 then event_id % 30 end as key_frame, case when event_id % 3 = 0 then 'high' end as profile from events""",
-    "densest_window": """
-        with w as (select source_id, frame_no, cast(sum(size) over (partition by source_id order by frame_no rows between 29 preceding and current row) as bigint) as bytes, row_number() over (partition by source_id order by frame_no) as n from packets_meta),
-        r as (select source_id, frame_no, bytes, row_number() over (partition by source_id order by bytes desc, frame_no) as best from w where n >= 5)
-        select source_id, frame_no as last_frame, bytes from r where best = 1""",
-}
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+from ..functions import Value, ascii_at, col, idiv, le_int, lookup
+from .naming import path_parts
+
+# Codes of the streams that each reader takes; the platform's takes the rest.
+DXV_CODES = ("DXT1", "DXT5", "YCG6", "YG10", "DXDI", "DXD3")
+HAP_CODES = ("Hap1", "Hap5", "HapY", "HapM", "HapA")
+ALPHA_CODES = {"ap4h": True, "ap4x": True, "Hap5": True, "HapM": True, "HapA": True, "apcn": False, "apch": False, "apcs": False, "apco": False, "HapY": False, "Hap1": False}
+#: Extensions of files that count as movies; a parameter where a system knows more.
+MOVIE_EXTENSIONS = ("mov", "qt", "mp4", "m4v", "mpg", "mpeg", "avi", "3gp", "3g2", "m2v", "mkv", "webm")
+VARIANTS = {"DXT1": "dxt1", "DXT5": "dxt5", "YCG6": "ycg6", "YG10": "yg10"}
+
+
+def hap_streams(streams: DataFrame) -> DataFrame:
+    return streams.where(F.col("fourcc").isin(*HAP_CODES))
+
+
+def route_readers(streams: DataFrame) -> DataFrame:
+    """reader: dxv, hap, or platform for every other code, HapA among them, and for none."""
+    readers = {c: "dxv" for c in DXV_CODES} | {c: "hap" for c in HAP_CODES if c != "HapA"}
+    return streams.withColumn("reader", lookup(readers, "fourcc", F.lit("platform")))
+
+
+def _before(order: list[str], *keys: str):
+    return Window.partitionBy("source_id", *keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+
+
+def frame_index(samples: DataFrame, chunks: DataFrame, runs: DataFrame, deltas: DataFrame, timescale: Value) -> DataFrame:
+    """(source_id, frame_no, size, file_offset, pts, delta) of a movie's sample tables.
+
+    samples: source_id, frame_no from 0, size. chunks: source_id, chunk from 1,
+    chunk_offset. runs: source_id, first_chunk, per_chunk, each for the chunks up to
+    the next run. deltas: source_id, nth, n, delta, runs of durations, the last of
+    which goes on (1 where there are none). Samples beyond the last chunk are left
+    out. Chunks find their run, and samples their chunk and duration, as the last
+    one that begins at or before them, so nothing is joined by range.
+    """
+    order = Window.partitionBy("source_id").orderBy("at", "kind")
+    sized = chunks.select("source_id", F.col("chunk").alias("at"), F.lit(1).alias("kind"), "chunk_offset", F.lit(None).cast("long").alias("per_chunk"))
+    sized = sized.unionByName(runs.select("source_id", F.col("first_chunk").alias("at"), F.lit(0).alias("kind"), F.lit(None).cast("long").alias("chunk_offset"), F.col("per_chunk").cast("long").alias("per_chunk")))
+    sized = sized.withColumn("per_chunk", F.last("per_chunk", ignorenulls=True).over(order)).where("kind = 1 and per_chunk > 0")
+    starts = sized.withColumn("first", F.coalesce(F.sum("per_chunk").over(_before(["at"])), F.lit(0)))
+    timed = deltas.where("n > 0").withColumns({"first": F.coalesce(F.sum("n").over(_before(["nth"])), F.lit(0)), "ticks": F.coalesce(F.sum(F.col("n") * F.col("delta")).over(_before(["nth"])), F.lit(0))})
+    chunk, run, size = (F.lit(None).cast(t) for t in ("struct<chunk:bigint,first:bigint,stop:bigint,chunk_offset:bigint>", "struct<first:bigint,ticks:bigint,delta:bigint>", "long"))
+    at = lambda df, c, kind, ch=chunk, rn=run, sz=size: df.select("source_id", F.col(c).cast("long").alias("at"), F.lit(kind).alias("kind"), ch.alias("chunk"), rn.alias("run"), sz.alias("size"))
+    long = lambda c, n: F.col(c).cast("long").alias(n)
+    rows = at(starts, "first", 0, ch=F.struct(long("at", "chunk"), long("first", "first"), (F.col("first") + F.col("per_chunk")).cast("long").alias("stop"), long("chunk_offset", "chunk_offset")))
+    rows = rows.unionByName(at(timed, "first", 0, rn=F.struct(long("first", "first"), long("ticks", "ticks"), long("delta", "delta")))).unionByName(at(samples, "frame_no", 1, sz=F.col("size").cast("long")))
+    known = rows.withColumns({"chunk": F.last("chunk", ignorenulls=True).over(order), "run": F.last("run", ignorenulls=True).over(order)}).where("kind = 1 and at < chunk.stop")
+    ticks = F.coalesce(F.expr("run.ticks + (at - run.first) * run.delta"), F.col("at"))
+    inside = F.coalesce(F.sum("size").over(Window.partitionBy("source_id", "chunk.chunk").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return known.select("source_id", F.col("at").alias("frame_no"), "size", (F.col("chunk.chunk_offset") + inside).alias("file_offset"), (ticks / col(timescale).cast("double")).alias("pts"), F.coalesce("run.delta", F.lit(1)).alias("delta"))
+
+
+def expand_deltas(deltas: DataFrame) -> DataFrame:
+    """A row for each sample of the runs of durations: frame_no and delta."""
+    rows = deltas.where("n > 0").withColumn("first", F.coalesce(F.sum("n").over(_before(["nth"])), F.lit(0)))
+    return rows.select("source_id", F.explode(F.sequence("first", F.col("first") + F.col("n") - 1)).alias("frame_no"), "delta")
+
+
+def sample_sizes(headers: DataFrame, table: DataFrame) -> DataFrame:
+    """(source_id, frame_no, size) of headers (source_id, constant, n) and table: the constant for n samples where it isn't zero, else what the table says."""
+    same = headers.where("constant > 0 and n > 0").select("source_id", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n").cast("long") - 1)).alias("frame_no"), F.col("constant").cast("long").alias("size"))
+    other = table.join(headers.where("constant = 0").select("source_id"), "source_id", "left_semi")
+    return same.unionByName(other.select("source_id", F.col("frame_no").cast("long").alias("frame_no"), F.col("size").cast("long").alias("size")))
+
+
+def movie_rate(index: DataFrame, timescale: Value) -> DataFrame:
+    """frames, duration (last time and last duration) and fps, 30 where nothing lasts."""
+    last = F.max_by(F.struct("pts", "delta"), "frame_no")
+    found = index.groupBy("source_id").agg(F.count("*").alias("frames"), last.alias("last")).withColumn("duration", F.col("last.pts") + F.col("last.delta") / col(timescale).cast("double"))
+    return found.select("source_id", "frames", "duration", F.when(F.col("duration") > 0, F.col("frames") / F.col("duration")).otherwise(30.0).alias("fps"))
+
+
+def legacy_format(kind: Column) -> Column:
+    """Texture format that the type byte of an older packet tells."""
+    version = F.pmod(kind.bitwiseAND(15) - 1, F.lit(256))
+    return F.when(kind.bitwiseAND(64) != 0, "dxt5").when((kind.bitwiseAND(32) != 0) | (version == 1), "dxt1")
+
+
+def peek_variants(packets: DataFrame) -> DataFrame:
+    """variant: what the head of the first packet says (generation dxv3: a tag back to front in 12 bytes; dxv1: a type byte), else what the sample description said (described)."""
+    tagged = F.when(F.octet_length("head") >= 12, lookup(VARIANTS, ascii_at("head", 0, 4, backwards=True)))
+    peeked = F.when(F.col("generation") == "dxv3", tagged).otherwise(legacy_format(le_int("head", 3, 1)))
+    return packets.withColumns({"variant": F.coalesce(peeked, "described"), "peeked": peeked.isNotNull()})
+
+
+def resolve_dims(headers: DataFrame) -> DataFrame:
+    """w and h: the sample description's, or where zero the track header's, which are in 1/65536."""
+    return headers.withColumns({s: F.when(F.col(f"stsd_{s}") > 0, F.col(f"stsd_{s}")).otherwise(F.shiftright(f"tkhd_{s}", 16)) for s in "wh"})
+
+
+def read_packets(index: DataFrame, contents: DataFrame) -> DataFrame:
+    """index (source_id, idx, file_offset, size) with packet, actual and short_read: size bytes of each source's content from the offset on, fewer where it ends before.
+
+    A source's entries come to its content as one list, so the content is carried once and not for each entry.
+    """
+    entries = index.groupBy("source_id").agg(F.collect_list(F.struct("idx", "file_offset", "size")).alias("entries"))
+    data = F.coalesce("content", F.lit(b""))
+    read = F.transform("entries", lambda e: F.struct(e.idx.alias("idx"), e.file_offset.alias("file_offset"), e["size"].alias("expected"), F.substring(data, (e.file_offset + 1).cast("int"), e["size"].cast("int")).alias("packet")))
+    rows = contents.join(entries, "source_id").select("source_id", F.inline(read))
+    return rows.withColumn("actual", F.octet_length("packet").cast("long")).withColumn("short_read", F.col("actual") < F.col("expected"))
+
+
+def entries_covering(contents: DataFrame, size: Value) -> DataFrame:
+    """An index of entries of size bytes that covers each source's content; the last one's may end early, and an empty content has one that reads none."""
+    n = F.coalesce(F.octet_length("content"), F.lit(0)).cast("long")
+    rows = contents.select("source_id", col(size).cast("long").alias("size"), F.explode(F.sequence(F.lit(0).cast("long"), idiv(F.greatest(F.lit(0), n - 1), size))).alias("idx"))
+    return rows.withColumn("file_offset", F.col("idx") * F.col("size"))
+
+
+def estimate_frames(duration: Value, fps: Value) -> Column:
+    return F.round(col(duration) * col(fps)).cast("long")
+
+
+def rational_fps(tracks: DataFrame) -> DataFrame:
+    """fps: timescale / value of the shortest frame's duration, else nominal."""
+    fine = (F.col("value") > 0) & (F.col("timescale") > 0)
+    return tracks.withColumn("fps", F.when(fine, F.col("timescale") / F.col("value")).otherwise(F.col("nominal").cast("double")))
+
+
+def probe_alpha(streams: DataFrame) -> DataFrame:
+    """has_alpha: what the stream says itself (contains_alpha), else its code, else null."""
+    return streams.withColumn("has_alpha", F.coalesce("contains_alpha", lookup(ALPHA_CODES, "fourcc")))
+
+
+def resolve_audio_rates(tracks: DataFrame) -> DataFrame:
+    """rate: the reader's (primary), else the track's (nominal), else an error where there is sound, and 48,000 without; channels_ok: 1 to 64."""
+    rate = F.when(F.col("primary") > 0, F.col("primary")).when(F.col("nominal") > 0, F.col("nominal")).when(~F.col("has_pcm"), 48_000)
+    return tracks.withColumns({"channels_ok": F.col("channels").between(1, 64), "rate": rate, "error": F.when(rate.isNull(), "unknown rate")})
+
+
+def first_frames(frames: DataFrame) -> DataFrame:
+    """The frame of smallest number of each source."""
+    return frames.groupBy("source_id").agg(F.min_by(F.struct(*[c for c in frames.columns if c != "source_id"]), "frame_no").alias("first")).select("source_id", "first.*")
+
+
+def movies(urls: DataFrame, path: str = "path", extensions: tuple[str, ...] = MOVIE_EXTENSIONS) -> DataFrame:
+    """Rows whose path ends in a movie's extension, in any case."""
+    return path_parts(urls, path).where(F.lower("ext").isin(*extensions)).select(urls.columns)
+
+
+def skipped_movies(urls: DataFrame, path: str = "path", extensions: tuple[str, ...] = MOVIE_EXTENSIONS) -> DataFrame:
+    """dropped and skipped: how many rows there are, and how many movies leaves out."""
+    return path_parts(urls, path).agg(F.count("*").alias("dropped"), F.count_if(~F.lower("ext").isin(*extensions)).alias("skipped"))
+
+
+def stco_offsets(packets: DataFrame, first: int = 36) -> DataFrame:
+    """file_offset of packets that follow each other from first on."""
+    return packets.withColumn("file_offset", F.coalesce(F.sum("size").over(_before(["frame_no"])), F.lit(0)) + first)
+
+
+def derive_timescale(rows: DataFrame) -> DataFrame:
+    """timescale and delta of fps: whole rates in 1/512, 29.97 and 23.976 in 1/1001, all within 1e-6; others have none."""
+    near = lambda x: F.abs(F.col("fps") - x) < 1e-6
+    whole = near(F.round("fps")) & (F.round("fps") > 0)
+    scale = F.when(whole, (F.round("fps") * 512).cast("long")).when(near(29.97), 30_000).when(near(23.976), 24_000)
+    return rows.withColumns({"timescale": scale, "delta": F.when(whole, 512).when(scale.isNotNull(), 1001), "error": F.when(scale.isNull(), "unsupported rate")})
+
+
+def movie_durations(movies: DataFrame) -> DataFrame:
+    """video_ms and ms: frames * delta / timescale in whole milliseconds, and the longer of it and audio_ms."""
+    video = idiv(F.col("frames") * 1000 * F.col("delta"), "timescale")
+    return movies.withColumns({"video_ms": video, "ms": F.greatest(video, F.coalesce("audio_ms", F.lit(0)))})
+
+
+def audio_entries(tracks: DataFrame) -> DataFrame:
+    """entry: in32 for rates of up to 65,535, which 16 bits hold, lpcm beyond; layout of the channels."""
+    return tracks.withColumns({"entry": F.when(F.col("rate") <= 65_535, "in32").otherwise("lpcm"), "layout": lookup({1: "mono", 2: "stereo"}, "channels", F.lit("discrete"))})
+
+
+def guard_muxes(movies: DataFrame) -> DataFrame:
+    """error of movies whose media (video_bytes and audio_bytes, behind 8 bytes of head) exceed 32 bits, or whose sound would begin beyond them."""
+    size = F.col("video_bytes") + F.coalesce("audio_bytes", F.lit(0)) + 8
+    late = F.coalesce("audio_bytes", F.lit(0)) > 0
+    return movies.withColumn("error", F.when(size > 0xFFFFFFFF, "mdat over 4 GB").when(late & (F.col("first") + F.col("video_bytes") > 0xFFFFFFFF), "audio offset over 4 GB"))
+
+
+def valid_fourcc(code: Value) -> Column:
+    """Four ASCII characters, of any kind."""
+    return F.coalesce(col(code).rlike(r"^[\x00-\x7f]{4}\z"), F.lit(False))
+
+
+def compression_properties(settings: DataFrame) -> DataFrame:
+    """What an encoder is told: quality or bit_rate (megabits * 1e6), key_frame if above zero, and profile for h264 only."""
+    by_rate = F.col("mode") == "bitrate"
+    return settings.select(
+        *[c for c in settings.columns if c not in ("quality", "megabits", "interval", "profile", "mode")],
+        F.when(~by_rate, F.col("quality")).alias("quality"),
+        F.when(by_rate, (F.col("megabits") * 1_000_000).cast("long")).alias("bit_rate"),
+        F.when(F.col("interval") > 0, F.col("interval")).alias("key_frame"),
+        F.when(F.col("codec") == "h264", F.col("profile")).alias("profile"),
+    )
+
+
+def densest_window(packets: DataFrame, frames: int = 30) -> DataFrame:
+    """last_frame and bytes of the window of that many frames with the most bytes, the first of equals; shorter sources have none."""
+    w = Window.partitionBy("source_id").orderBy("frame_no").rowsBetween(1 - frames, 0)
+    rows = packets.select("source_id", "frame_no", F.sum("size").over(w).alias("bytes"), F.count("*").over(w).alias("n")).where(F.col("n") == frames)
+    return rows.groupBy("source_id").agg(F.max_by(F.struct("frame_no", "bytes"), F.struct("bytes", -F.col("frame_no"))).alias("best")).select("source_id", F.col("best.frame_no").alias("last_frame"), "best.bytes")

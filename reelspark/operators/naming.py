@@ -1,84 +1,134 @@
-"""Names, timecodes, parsers and queue state (N and Q rows of the blueprint)."""
+"""Output names, timecodes and request parsers (N1-N7 of the blueprint), as columns added to rows."""
 
 from __future__ import annotations
 
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
-def mmsscc(frame: str, fps: str) -> str:
-    """MM.SS.CC of a frame with exact fps, centiseconds cut off; zeros where fps isn't positive."""
-    cs = f"cast(floor({frame} / {fps} * 100) as bigint)"
-    return f"case when {fps} > 0 then printf('%02d.%02d.%02d', {cs} div 6000, {cs} div 100 % 60, {cs} % 100) else '00.00.00' end"
-
-
-_N = "select doc_id as id, source as stem, cast(doc_id % 240 as bigint) as i, case when doc_id % 3 = 0 then null else cast(240 + doc_id % 100 as bigint) end as o, case when doc_id % 2 = 0 then 24.0e0 else 30.0e0 end as fps from documents"
-
-OPERATORS: dict[str, str] = {
-    "format_mmsscc": f"select id, {mmsscc('i', 'fps')} as label from ({_N}) n",
-    "auto_name": f"""
-        select id, concat(stem, '_', case id % 4 when 0 then 'DXV Normal Quality' when 1 then 'DXV High Quality With Alpha' when 2 then 'Hap' else 'Hap Q' end,
-          case when id % 5 = 0 then ' [640x360]' else '' end, case when id % 2 = 0 then concat(' [', {mmsscc('i', 'fps')}, '-', {mmsscc('coalesce(o, 339)', 'fps')}, ']') else '' end, '.mov') as name from ({_N}) n""",
-    # taken numbers count from the base's 1; the next is one more than the largest, gaps stay
-    "collision_free_name": """
-        with files as (select source as stem, concat(source, case when doc_id % 7 = 0 then '' when doc_id % 5 = 0 then '_take' else concat('_', cast(doc_id % 90 as varchar(20))) end, '.mov') as name from documents),
-        parsed as (select stem, name, regexp_extract(substring(name, length(stem) + 1), '^_([0-9]+)[.]mov$', 1) as digits from files),
-        taken as (select stem, case when digits <> '' then cast(digits as bigint) else cast(1 as bigint) end as n from parsed where digits <> '' or name = concat(stem, '.mov')),
-        best as (select stem, max(greatest(n, 1)) as top from taken group by stem),
-        wanted as (select distinct source as stem from documents)
-        select wanted.stem, case when top is null then concat(wanted.stem, '.mov') else concat(wanted.stem, '_', cast(top + 1 as varchar(20)), '.mov') end as name from wanted left join best on best.stem = wanted.stem""",
-    "timecode_format": """
-        with f as (select event_id, case event_id % 3 when 0 then 24 when 1 then 30 else 25 end as fps from events)
-        select event_id, printf('%02d:%02d:%02d:%02d', event_id div (3600 * fps), event_id div (60 * fps) % 60, event_id div fps % 60, event_id % fps) as timecode from f""",
-    # all four fields count, at the rounded rate of at least one; other than four fields of digits, or no positive rate, gives null
-    "timecode_parse": f"""
-        with t as (select event_id, case event_id % 5 when 0 then 24.0e0 when 1 then 29.97e0 when 2 then 59.94e0 when 3 then 0.3e0 else 0.0e0 end as fps,
-            concat(case when event_id % 11 = 0 then '  ' when event_id % 13 = 0 then '+' else '' end, cast(event_id div 2 % 30 as varchar(20)), ':', cast(event_id % 70 as varchar(20)), case when event_id % 9 = 0 then ': ' else ':' end, cast(event_id div 3 % 65 as varchar(20)),
-              case when event_id % 10 = 0 then '' else concat(':', cast(event_id div 7 % 61 as varchar(20))) end) as code from events),
-        p as (select event_id, code, fps, {", ".join(f"regexp_extract(trim(code), '^([+]?[0-9]+|-0+):([+]?[0-9]+|-0+):([+]?[0-9]+|-0+):([+]?[0-9]+|-0+)$', {k}) as {c}" for k, c in enumerate("hmsf", 1))} from t)
-        select event_id, code, fps, case when h <> '' and fps > 0 then cast((cast(h as bigint) * 3600 + cast(m as bigint) * 60 + cast(s as bigint)) * cast(greatest(1, floor(fps + 0.5e0)) as bigint) + cast(f as bigint) as bigint) end as frame from p""",
-    "crop_badge": "select geom_id, name, case when src_w = dst_w and src_h = dst_h then 'full' else concat(cast(src_w as varchar(20)), 'x', cast(src_h as varchar(20)), ' of ', name) end as badge from geom",
-    "parse_request": """
-        with r as (select event_id, concat(cast(event_id % 50 as varchar(20)), ':', case when event_id % 7 = 0 then 'x' else cast(event_id % 97 as varchar(20)) end) as span, event_id % 70 as chunks from events),
-        p as (select event_id, chunks, regexp_extract(span, '^([0-9]+):([0-9]+)$', 1) as lo, regexp_extract(span, '^([0-9]+):([0-9]+)$', 2) as hi from r)
-        select event_id, case when lo <> '' then cast(lo as bigint) end as lo, case when hi <> '' then cast(hi as bigint) end as hi,
-          case when lo = '' then 'bad range' when cast(lo as bigint) >= cast(hi as bigint) then 'empty range' when chunks < 1 or chunks > 64 then 'bad chunks' end as error from p""",
-    "enqueue_jobs": "select p.page_id, p.url, d.format, d.tier, 'queued' as status from pages p cross join (select format, tier from dim_format where format = 'dxt1') d",
-    # the last event of each job tells its state
-    "job_state": """
-        with e as (select user_id as job_id, event_id, case event_id % 4 when 0 then 'queued' when 1 then 'encoding' when 2 then 'done' else 'failed' end as status from events),
-        r as (select job_id, status, row_number() over (partition by job_id order by event_id desc) as n from e)
-        select job_id, status from r where n = 1""",
-    "collision_decision": """
-        with c as (select job_id, job_id % 2 = 0 as taken, case job_id % 3 when 0 then 'ask' when 1 then 'overwrite' else 'rename' end as policy, case job_id % 5 when 0 then 'overwrite' when 1 then 'rename' when 2 then 'skip' when 3 then 'cancel' end as answer from jobs)
-        select job_id, case when not taken then 'write' when policy <> 'ask' then policy else coalesce(answer, 'ask') end as decision from c""",
-    "tier_alpha_format": "select s.event_id, d.format, d.tier from (select event_id, event_id % 2 = 0 as alpha, case event_id % 3 when 0 then 'normal' when 1 then 'hq' else 'hap' end as tier from events) s join dim_format d on d.ui_tier = s.tier and d.has_alpha = s.alpha where d.format <> 'hapa'",
-    "prores_steer": """
-        with s as (select event_id, case event_id % 3 when 0 then true when 1 then false end as alpha, event_id % 2 = 0 as format_alpha, case event_id % 5 when 0 then 'ap4h' else 'apcn' end as variant from events)
-        select event_id, case when coalesce(alpha, format_alpha) then 'ap4h' else variant end as variant, coalesce(alpha, format_alpha) and variant <> 'ap4h' as flattens from s""",
-    "audio_clamp": """
-        with a as (select event_id, case event_id % 3 when 0 then 48000 when 1 then 96000 end as wanted, case event_id % 2 when 0 then 44100 else 192000 end as source_rate, case event_id % 5 when 0 then 48000 end as cap from events)
-        select event_id, coalesce(least(coalesce(wanted, source_rate), cap), coalesce(wanted, source_rate)) as rate, coalesce(coalesce(wanted, source_rate) > cap, false) as warned from a""",
-    "preset_upsert": """
-        with held as (select distinct lower(trim(source)) as k, min(doc_id) over (partition by lower(trim(source))) as id from documents where doc_id % 2 = 0),
-        fresh as (select lower(trim(source)) as k, max(doc_id) as id, max(n_chars) as size from documents where doc_id % 2 <> 0 group by lower(trim(source)))
-        select coalesce(held.k, fresh.k) as name, coalesce(held.id, fresh.id) as id, fresh.size as size from held full outer join fresh on fresh.k = held.k""",
-    "select_after_remove": """
-        with n as (select job_id, priority, lead(job_id) over (partition by priority order by job_id) as next_id, lag(job_id) over (partition by priority order by job_id) as last_id from jobs)
-        select job_id, coalesce(next_id, last_id) as selected from n""",
-    "probe_merge": """
-        with p as (select job_id, status, case when job_id % 3 = 0 then 24.0e0 end as fps, 25.0e0 as probed, case job_id % 7 when 0 then 'typed' when 1 then 'other' end as error from jobs)
-        select job_id, case when error is null then coalesce(fps, probed) else fps end as fps, case when error = 'typed' then 'failed' else status end as status from p""",
-    "trim_marker": """
-        with m as (select event_id, event_id % 100 as i, event_id % 80 as o, event_id % 90 as now from events)
-        select event_id, now as set_in, greatest(o, now) as out_after_in, now as set_out, least(i, now) as in_after_out from m""",
-    "scrub_map": "select event_id, cast(least(239, greatest(0, round((event_id % 1100 - 50) / 1000.0e0 * 239))) as bigint) as frame, (event_id % 240) / 239.0e0 * 1000 as x from events",
-    "crop_nudge": """
-        with c as (select geom_id, name, src_w, src_h, case when geom_id % 4 = 0 then null else (geom_id * 3) % 200 end as x, case geom_id % 2 when 0 then 4 else 16 end as step from geom)
-        select geom_id, name, cast(case when x is null then 0 else least(greatest(0, src_w - 64), greatest(0, x + step)) end as bigint) as x from c""",
-    "checker_parity": "select frame_no, y, x, cast((x div 2 + y div 2) % 2 as bigint) as dark from px_luma",
-    "audio_master_frame": """
-        with f as (select source_id, event_id, cast(least(239, greatest(0, round((event_id % 1000) / 100.0e0 * 24))) as bigint) as frame from packets_meta),
-        l as (select source_id, event_id, frame, lag(frame) over (partition by source_id order by event_id) as last_frame from f)
-        select source_id, event_id, frame from l where last_frame is null or last_frame <> frame""",
-    "buffered_open": "select source_id, event_id, greatest(event_id, 500) as delivered, event_id < 500 as was_buffered from packets_meta",
-    "text_commit": "select event_id, coalesce(nullif(trim(case event_id % 3 when 0 then '  ' when 1 then ' clip ' else 'take' end), ''), 'current') as name from events",
-    "preview_loadable": "select job_id, status <> 'failed' as loadable, coalesce('reelspark ' || case when job_id % 2 = 0 then '1.1' end, 'reelspark') as version from jobs",
-}
+from ..functions import Value, col, idiv, lookup
+
+# What a codec is called in names, the containers it may go into, and the multiple that its sides must be.
+CODEC_TOKENS = {
+    "dxt1": "DXV Normal Quality", "dxt5": "DXV Normal Quality With Alpha", "ycg6": "DXV High Quality", "yg10": "DXV High Quality With Alpha",
+    "hap1": "Hap1", "hap5": "Hap5", "hapy": "HapY", "hapa": "HapA", "hapm": "HapM",
+    "prores422": "ProRes 422", "prores422hq": "ProRes 422 HQ", "prores422lt": "ProRes 422 LT", "prores422proxy": "ProRes 422 Proxy", "prores4444": "ProRes 4444",
+    "h264": "H.264", "hevc": "HEVC", "mjpeg": "MotionJPEG",
+}
+MP4_CODECS = ("h264", "hevc")
+CONTAINERS = ("mov", "mp4")
+EDGES = r"^\s+|\s+$"
+
+
+def trimmed(text: Value) -> Column:
+    return F.regexp_replace(col(text), EDGES, "")
+
+
+def path_parts(rows: DataFrame, path: str = "path") -> DataFrame:
+    """dir (without its last slash), stem and ext; a leading or a last dot begins no extension."""
+    name = F.regexp_extract(path, "([^/]*)$", 1)
+    ext = F.regexp_extract(name, "[^/][.]([^./]+)$", 1)
+    parts = {"dir": F.regexp_extract(path, "^(.*)/[^/]*$", 1), "ext": ext}
+    return rows.withColumns(parts | {"stem": F.when(ext == "", name).otherwise(F.substring(name, F.lit(1), F.length(name) - F.length(ext) - 1))})
+
+
+def _time(frame: Value, fps: Value, pattern: str, unknown: str) -> Column:
+    """Minutes, seconds and hundredths of a frame at the exact rate, each cut off after the larger parts are taken away."""
+    fps = col(fps).cast("double")
+    total = F.greatest(F.lit(0.0), col(frame) / fps)
+    minutes = idiv(total.cast("long"), 60)
+    part = total - (minutes * 60).cast("double")
+    return F.when(fps > 0, F.format_string(pattern, minutes, part.cast("long"), ((part - part.cast("long").cast("double")) * 100).cast("long"))).otherwise(unknown)
+
+
+def mmsscc(frame: Value, fps: Value) -> Column:
+    """MM.SS.CC; zeros where the rate isn't positive."""
+    return _time(frame, fps, "%02d.%02d.%02d", "00.00.00")
+
+
+def auto_name(jobs: DataFrame) -> DataFrame:
+    """name of each job's output: stem of its path, codec, [WxH] of its crop (crop_w, crop_h), [in-out] of its trim, and container.
+
+    An open in is frame 0, an open out the last of total frames, or the in where
+    total isn't known; ends in the wrong order change places. trim_format is time
+    or frames. Codecs without a name give null.
+    """
+    parts = path_parts(jobs)
+    lo = F.coalesce("in_frame", F.lit(0))
+    hi = F.coalesce("out_frame", F.when(F.col("total") > 0, F.col("total") - 1), lo)
+    a, b = F.least(lo, hi), F.greatest(lo, hi)
+    by_time = F.concat(mmsscc(a, "fps"), F.lit("-"), mmsscc(b, "fps"))
+    bracket = F.when(F.col("trim_format") == "frames", F.concat_ws("-", a, b)).otherwise(by_time)
+    crop = F.when(F.col("crop_w").isNotNull(), F.format_string(" [%dx%d]", F.round("crop_w").cast("long"), F.round("crop_h").cast("long"))).otherwise("")
+    trim = F.when(F.coalesce("in_frame", "out_frame").isNotNull(), F.concat(F.lit(" ["), bracket, F.lit("]"))).otherwise("")
+    name = F.concat("stem", F.lit("_"), lookup(CODEC_TOKENS, "codec"), crop, trim, F.lit("."), "container")
+    return parts.withColumn("name", name).drop("dir", "ext", "stem")
+
+
+def collision_free(wanted: DataFrame, files: DataFrame) -> DataFrame:
+    """wanted (dir, stem, ext; others stay) with name: stem.ext where files (dir, name) have none, else stem_N.ext with N one above the largest number taken, 2 at least; gaps stay. Numbers beyond 64 bits don't count."""
+    base = F.concat("stem", F.when(F.col("ext") != "", F.concat(F.lit("."), "ext")).otherwise(""))
+    pattern = "^(.*)_([0-9]+)(?:[.]([^.]+))?$"
+    numbered = files.select("dir", *[F.regexp_extract("name", pattern, k).alias(n) for k, n in ((1, "stem"), (2, "n"), (3, "ext"))])
+    top = numbered.where("n <> ''").groupBy("dir", "stem", "ext").agg(F.max(F.expr("try_cast(n as bigint)")).alias("__top"))
+    held = files.select("dir", F.col("name").alias("__base"), F.lit(True).alias("__held")).distinct()
+    rows = wanted.withColumn("__base", base).join(held, ["dir", "__base"], "left").join(top, ["dir", "stem", "ext"], "left")
+    free = F.concat("stem", F.lit("_"), (F.greatest(F.lit(1), F.coalesce("__top", F.lit(1))) + 1).cast("string"), F.when(F.col("ext") != "", F.concat(F.lit("."), "ext")).otherwise(""))
+    return rows.withColumn("name", F.when(F.col("__held"), free).otherwise(F.col("__base"))).drop("__base", "__held", "__top")
+
+
+def rounded_rate(fps: Value) -> Column:
+    return F.greatest(F.lit(1), F.round(col(fps)).cast("long"))
+
+
+def timecode(frame: Value, fps: Value) -> Column:
+    """HH:MM:SS:FF at the rounded rate; dashes where it isn't positive."""
+    f, rate = F.greatest(F.lit(0), col(frame)), rounded_rate(fps)
+    seconds = idiv(f, rate)
+    text = F.format_string("%02d:%02d:%02d:%02d", idiv(seconds, 3600), idiv(seconds % 3600, 60), seconds % 60, (f % rate).cast("long"))
+    return F.when(col(fps) > 0, text).otherwise("—:—:—:—")
+
+
+def frame_of_timecode(text: Value, fps: Value) -> Column:
+    """The frame of a timecode; null where it hasn't four fields of digits (a plus or a minus zero may stand), or the rate isn't positive. Fields may be over 59."""
+    field = "([+]?[0-9]+|-0+)"
+    parts = [F.regexp_extract(trimmed(text), f"^{field}:{field}:{field}:{field}$", k) for k in (1, 2, 3, 4)]
+    h, m, s, f = (F.when(p != "", p).try_cast("long") for p in parts)
+    return F.when(col(fps) > 0, ((h * 3600 + m * 60 + s) * rounded_rate(fps) + f))
+
+
+def crop_badge(jobs: DataFrame) -> DataFrame:
+    """badge: while editing (editing) the size and place of pending (struct x, y, w, h), else the size of committed."""
+    n = lambda c, k: F.round(F.col(f"{c}.{k}")).cast("long")
+    pending = F.when(F.col("pending").isNull(), "—  (no crop yet)").otherwise(F.format_string("%dx%d @ (%d, %d)", n("pending", "w"), n("pending", "h"), n("pending", "x"), n("pending", "y")))
+    committed = F.when(F.col("committed").isNull(), "—  (no crop)").otherwise(F.format_string("%dx%d", n("committed", "w"), n("committed", "h")))
+    return jobs.withColumn("badge", F.when(F.col("editing"), pending).otherwise(committed))
+
+
+def card_time(jobs: DataFrame) -> DataFrame:
+    """card: what is kept of a clip, by times or frames (trim_format)."""
+    time = lambda c: _time(c, F.coalesce("fps", F.lit(0.0)), "%02d:%02d.%02d", "?")
+    shown = lambda c, text, open_: F.when(F.col(c).isNull(), open_).otherwise(text)
+    by_time = F.concat(shown("in_frame", time("in_frame"), "start"), F.lit(" → "), shown("out_frame", time("out_frame"), "end"))
+    by_frame = F.concat(F.lit("frame "), shown("in_frame", F.col("in_frame").cast("string"), "0"), F.lit(" → "), shown("out_frame", F.col("out_frame").cast("string"), "end"))
+    some = F.coalesce("in_frame", "out_frame").isNotNull()
+    return jobs.withColumn("card", F.when(~some, "—  (full clip)").when(F.col("trim_format") == "frames", by_frame).otherwise(by_time))
+
+
+def _integers(text: str, n: int) -> Column:
+    """The n integers between colons, empty ones left out; null where there are more or fewer, or one isn't an integer."""
+    parts = F.filter(F.split(text, ":"), lambda p: p != "")
+    fine = (F.size(parts) == n) & F.forall(parts, lambda p: p.rlike("^[+-]?[0-9]+$"))
+    return F.when(fine, F.transform(parts, lambda p: p.try_cast("long")))
+
+
+def parse_requests(requests: DataFrame) -> DataFrame:
+    """Typed values of codec, container, chunks, width, height, crop (x:y:w:h) and trim (start:end), and error: the first of them, in this order, that can't be read."""
+    codec, container = F.lower("codec"), F.lower("container")
+    crop, trim = _integers("crop", 4), _integers("trim", 2)
+    size = F.col("width").isNotNull() | F.col("height").isNotNull()
+    error = F.when(~codec.isin(*CODEC_TOKENS), "codec").when(~container.isin(*CONTAINERS) | ((container == "mp4") & ~codec.isin(*MP4_CODECS)), "container")
+    error = error.when(~F.col("chunks").between(1, 64), "chunks").when(size & ~F.coalesce((F.col("width") > 0) & (F.col("height") > 0), F.lit(False)), "size")
+    bad_trim = ~F.coalesce((trim[0] >= 0) & (trim[1] > trim[0]), F.lit(False))
+    error = error.when(F.col("crop").isNotNull() & crop.isNull(), "crop").when(F.col("trim").isNotNull() & bad_trim, "trim")
+    typed = {"codec": codec, "container": container, "error": error} | {f"crop_{k}": crop[i] for i, k in enumerate("xywh")}
+    return requests.withColumns(typed | {"lo": F.when(~bad_trim, trim[0]), "hi": F.when(~bad_trim, trim[1])})

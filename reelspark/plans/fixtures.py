@@ -1,11 +1,17 @@
-"""Projections of the test tables onto frames, pixels, packets, jobs and geometry, as SQL views in both dialects.
+"""Inputs of the registered queries: frames, pixels, packets, jobs and geometry as projections of the test tables.
 
-Each operator query runs on these. The Spark and DuckDB texts differ only in
-how arrays are unnested and integers divided.
+Each is SQL in both dialects; {name} stands for a table or another of these.
+Operators take DataFrames with such columns, wherever they come from.
 """
 
 from __future__ import annotations
 
+import re
+
+from pyspark.sql import DataFrame, SparkSession
+
+from ..operators.geometry import PRESETS
+
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages")
 
 #: name: (Spark SQL, DuckDB SQL)
@@ -16,72 +22,76 @@ def view(name: str, spark: str, duck: str | None = None) -> None:
     VIEWS[name] = (spark, duck or spark)
 
 
+class Inputs:
+    """Tables and views over the Parquet tables of a folder; the session's own views are left alone."""
+
+    def __init__(self, spark: SparkSession, folder: str):
+        self.spark, self.folder, self.made = spark, folder, {}
+
+    def __call__(self, name: str) -> DataFrame:
+        if name not in self.made:
+            if name in VIEWS:
+                text = VIEWS[name][0]
+                self.made[name] = self.spark.sql(text, **{n: self(n) for n in dict.fromkeys(re.findall(r"\{(\w+)\}", text))})
+            else:
+                self.made[name] = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        return self.made[name]
+
+
+def duck(sql: str) -> str:
+    """A DuckDB statement with the views that it uses."""
+    used: list[str] = []
+
+    def visit(text: str) -> None:
+        for name in re.findall(r"\{(\w+)\}", text):
+            if name in VIEWS and name not in used:
+                visit(VIEWS[name][1])
+                used.append(name)
+
+    visit(sql)
+    plain = lambda text: re.sub(r"\{(\w+)\}", r"\1", text)
+    head = ", ".join(f"{n} as ({plain(VIEWS[n][1])})" for n in used)
+    return (f"with {head} " if head else "") + plain(sql)
+
+
+# one row a frame with its plane of 8 x 8, then each pixel once
+view(
+    "planes",
+    "select vec_id as frame_no, transform(embedding, v -> cast(least(255, greatest(0, floor((cast(v as double) * 2 + 1) * 127.5))) as int)) as l from {embeddings}",
+    "select vec_id as frame_no, list_transform(embedding, lambda v: least(255, greatest(0, floor((v::double * 2 + 1) * 127.5)))::int) as l from {embeddings}",
+)
 view(
     "px_luma",
-    """select vec_id as frame_no, cast(pos div 8 as int) as y, cast(pos % 8 as int) as x,
-              cast(least(255, greatest(0, floor((cast(v as double) * 2 + 1) * 127.5))) as int) as luma
-       from embeddings lateral view posexplode(embedding) e as pos, v""",
-    """select vec_id as frame_no, ((pos - 1) // 8)::int as y, ((pos - 1) % 8)::int as x,
-              cast(least(255, greatest(0, floor((v::double * 2 + 1) * 127.5))) as int) as luma
-       from (select vec_id, unnest(embedding) as v, generate_subscripts(embedding, 1) as pos from embeddings)""",
+    "select frame_no, inline(transform(l, (v, i) -> named_struct('y', cast(i div 8 as int), 'x', cast(i % 8 as int), 'luma', v))) from {planes}",
+    "select frame_no, (i // 8)::int as y, (i % 8)::int as x, l[i + 1] as luma from {planes}, range(64) t(i)",
 )
+_RGB = "'y', cast(i div 8 as int), 'x', cast(i % 8 as int), 'r', v, 'g', l[cast((i div 8 + 3) % 8 * 8 + i % 8 as int)], 'b', l[cast(i div 8 * 8 + (i % 8 + 5) % 8 as int)]"
 view(
     "px_rgb",
-    """select r.frame_no, r.y, r.x, r.luma as r, g.luma as g, b.luma as b from px_luma r
-       join px_luma g on g.frame_no = r.frame_no and g.x = r.x and g.y = (r.y + 3) % 8
-       join px_luma b on b.frame_no = r.frame_no and b.y = r.y and b.x = (r.x + 5) % 8""",
+    f"select frame_no, inline(transform(l, (v, i) -> named_struct({_RGB}))) from {{planes}}",
+    "select p.frame_no, p.y, p.x, p.luma as r, g.luma as g, b.luma as b from {px_luma} p join {px_luma} g on g.frame_no = p.frame_no and g.x = p.x and g.y = (p.y + 3) % 8 join {px_luma} b on b.frame_no = p.frame_no and b.y = p.y and b.x = (p.x + 5) % 8",
 )
 view(
     "px_rgba",
-    """select p.*, a.luma as a from px_rgb p
-       join px_luma a on a.frame_no = (p.frame_no + 1) % (select count(*) from embeddings) and a.y = p.y and a.x = p.x""",
+    f"""select frame_no, inline(transform(l, (v, i) -> named_struct({_RGB}, 'a', alpha[i])))
+       from (select p.*, n.l as alpha from {{planes}} p join {{planes}} n on n.frame_no = (p.frame_no + 1) % (select count(*) from {{embeddings}}))""",
+    "select p.*, a.luma as a from {px_rgb} p join {px_luma} a on a.frame_no = (p.frame_no + 1) % (select count(*) from {embeddings}) and a.y = p.y and a.x = p.x",
 )
+# each frame beside the next
 view(
-    "packets_meta",
-    """select user_id as source_id, cast(row_number() over (partition by user_id order by event_id) - 1 as bigint) as frame_no,
-              100 + (event_id * 37) % 900 as size, event_id, ts from events""",
+    "px_pairs",
+    "select frame_no, inline(transform(l, (v, i) -> named_struct('y', cast(i div 8 as int), 'x', cast(i % 8 as int), 'a', v, 'b', next[i]))) from (select p.*, n.l as next from {planes} p join {planes} n on n.frame_no = p.frame_no + 1)",
+    "select p.frame_no, p.y, p.x, p.luma as a, n.luma as b from {px_luma} p join {px_luma} n on n.frame_no = p.frame_no + 1 and n.y = p.y and n.x = p.x",
 )
+view("packets_meta", "select user_id as source_id, row_number() over (partition by user_id order by event_id) - 1 as frame_no, 100 + (event_id * 37) % 900 as size, event_id, ts from {events}")
 view(
     "jobs",
     """select o_orderkey as job_id, case o_orderstatus when 'F' then 'done' when 'P' then 'encoding' else case when o_orderkey % 5 = 0 then 'failed' else 'queued' end end as status,
-              o_orderpriority as priority, (o_orderkey * 13) % 240 as written, 240 as total from orders""",
-)
-view(
-    "dim_resolution",
-    "select * from (values ('360p', 640, 360), ('480p', 854, 480), ('720p', 1280, 720), ('1080p', 1920, 1080), ('1440p', 2560, 1440), ('2160p', 3840, 2160)) as t(name, dst_w, dst_h)",
-)
-view("geom", "select p_partkey as geom_id, 16 + (p_partkey * 37) % 4000 as src_w, 16 + (p_partkey * 91) % 2200 as src_h, name, dst_w, dst_h from part cross join dim_resolution")
-view(
-    "dim_format",
-    """select * from (values ('dxt1', 'dxv3', 'normal', false, 'DXD3', 'normal'), ('dxt5', 'dxv3', 'normal', true, 'DXD3', 'normal'), ('ycg6', 'dxv3', 'hq', false, 'DXD3', 'hq'),
-       ('yg10', 'dxv3', 'hq', true, 'DXD3', 'hq'), ('hap1', 'hap', 'normal', false, 'Hap1', 'hap'), ('hap5', 'hap', 'normal', true, 'Hap5', 'hap'),
-       ('hapy', 'hap', 'hq', false, 'HapY', 'hap_q'), ('hapa', 'hap', 'normal', true, 'HapA', 'hap'), ('hapm', 'hap', 'hq', true, 'HapM', 'hap_q')) as t(format, family, tier, has_alpha, fourcc, ui_tier)""",
+              o_orderpriority as priority, (o_orderkey * 13) % 300 as written, case when o_orderkey % 11 = 0 then 0 else 240 + o_orderkey % 60 end as total from {orders}""",
 )
+view("presets", "select * from (values " + ", ".join(f"('{n}', {w}, {h})" for n, w, h in PRESETS) + ") as t(name, dst_w, dst_h)")
+view("geom", "select p_partkey as geom_id, case when p_partkey % 40 = 0 then dst_w * 2 else 16 + (p_partkey * 37) % 4000 end as src_w, case when p_partkey % 40 = 0 then dst_h * 2 else 16 + (p_partkey * 91) % 2200 end as src_h, name, dst_w, dst_h from {part} cross join {presets}")
 view(
     "streams",
-    "select e.event_id as stream_id, case e.event_id % 13 when 9 then 'DXDI' when 10 then 'YCG6' when 11 then 'avc1' when 12 then null else f.fourcc end as fourcc from events e left join (select row_number() over (order by format) - 1 as n, fourcc from dim_format) f on f.n = e.event_id % 13",
+    "select event_id as stream_id, case event_id % 17 when 0 then 'DXT1' when 1 then 'DXT5' when 2 then 'YCG6' when 3 then 'YG10' when 4 then 'DXD3' when 5 then 'Hap1' when 6 then 'Hap5' when 7 then 'HapY' when 8 then 'HapM' when 9 then 'HapA' when 10 then 'DXDI' when 11 then 'avc1' when 12 then 'ap4h' when 13 then 'apcn' when 14 then 'été1' when 15 then 'abc' end as fourcc from {events}",
 )
-
-
-def needed(sql: str) -> list[str]:
-    """The views that a statement uses, in the order of their definition."""
-    import re
-
-    used: set[str] = set()
-
-    def visit(text: str) -> None:
-        for name, pair in VIEWS.items():
-            if name not in used and re.search(rf"\b{name}\b", text):
-                used.add(name)
-                visit(pair[0])
-
-    visit(sql)
-    return [n for n in VIEWS if n in used]
-
-
-def with_views(sql: str, duck: bool) -> str:
-    names = needed(sql)
-    if not names:
-        return sql
-    parts = ", ".join(f"{n} as ({VIEWS[n][1 if duck else 0]})" for n in names)
-    return f"with {parts} {'' if not sql.lstrip().lower().startswith('with ') else ', '}{sql.lstrip()[5:] if sql.lstrip().lower().startswith('with ') else sql}"

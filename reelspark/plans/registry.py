@@ -1,37 +1,32 @@
-"""All registered queries of the media operators, and the same statements in DuckDB's dialect."""
+"""All registered queries of the media operators, with SQL of its own for each.
+
+A case names its columns and types once; both sides are cast to them.
+"""
 
 from __future__ import annotations
 
-import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from reelspark.operators import blocks, colour, container, geometry, metrics, naming
+from .fixtures import Inputs, duck
 
-from .fixtures import TABLES, with_views
+Query = Callable[[SparkSession, str], DataFrame]
 
-STATEMENTS: dict[str, str] = colour.OPERATORS | geometry.OPERATORS | container.OPERATORS | metrics.OPERATORS | naming.OPERATORS | blocks.OPERATORS
+QUERIES: dict[str, Query] = {}
+ORACLE_SQL: dict[str, str] = {}
+_DUCK = {"long": "bigint", "double": "double", "string": "varchar", "boolean": "boolean"}
 
 
-def run(statement: str) -> Callable[[SparkSession, str], DataFrame]:
-    """A query that runs the statement over the Parquet tables of a folder."""
-    sql = with_views(statement, duck=False)
-    used = [t for t in TABLES if re.search(rf"\b{t}\b", sql)]
+def case(name: str, columns: str, build: Callable[[Inputs], DataFrame], sql: str) -> None:
+    """Register a query: its columns ('a long, b string'), the operator on its inputs, and DuckDB SQL for the same rows."""
+    typed = [c.split() for c in columns.split(", ")]
 
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        for t in used:
-            spark.read.parquet(f"{sf_dir}/{t}.parquet").createOrReplaceTempView(t)
-        return spark.sql(sql)
-
-    return query
-
-
-def duck(statement: str) -> str:
-    sql = with_views(statement, duck=True)
-    sql = re.sub(r"\bdiv\b", "//", sql).replace("explode(sequence(", "unnest(generate_series(")
-    return sql.replace("REGEXP_LIKE", "regexp_matches").replace("varchar(20)", "varchar")
-
+        return build(Inputs(spark, sf_dir)).select([F.col(c).cast(t).alias(c) for c, t in typed])
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {k: run(v) for k, v in STATEMENTS.items()}
-ORACLE_SQL: dict[str, str] = {k: duck(v) for k, v in STATEMENTS.items()}
+    if name in QUERIES:
+        raise ValueError(f"{name} is registered twice")
+    QUERIES[name] = query
+    ORACLE_SQL[name] = duck(f"select {', '.join(f'cast({c} as {_DUCK[t]}) as {c}' for c, t in typed)} from ({sql}) q")
