@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -57,6 +57,11 @@ def pick(entries: Sequence[Column] | Column, at: Value) -> Column:
     return F.get(entries if isinstance(entries, Column) else F.array(*entries), col(at))
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that is computed once, however often body and the optimizer repeat it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def le_bytes(v: Value, n: int) -> Column:
     """The n low bytes of an integer, the lowest first, as hexadecimal digits."""
     return F.format_string("%02x" * n, *[F.shiftright(col(v).cast("long"), 8 * k).bitwiseAND(255) for k in range(n)])

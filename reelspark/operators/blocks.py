@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import Value, col, idiv, le_bytes, le_int, pick
+from ..functions import Value, col, idiv, le_bytes, le_int, let, pick
 from .colour import expand565, matched, rgb565
 
 AT = ("frame_no", "block_y", "block_x")
@@ -83,38 +83,44 @@ def colour_stats(rows: DataFrame) -> DataFrame:
 def colour_endpoints(rows: DataFrame, steps: int = 4) -> DataFrame:
     """c0 and c1: the pixels furthest along the main axis of a block's colours, found by power iteration in single precision, or along luma where that axis is short."""
     out = colour_stats(rows)
-    cov = {p: (F.col(f"cov_{p}").cast("float") / F.lit(255.0).cast("float")).cast("float") for p in ("rr", "rg", "rb", "gg", "gb", "bb")}
-    out = out.withColumns({f"__{p}": v for p, v in cov.items()} | {f"__v{c}": (F.col(f"max_{c}") - F.col(f"min_{c}")).cast("float") for c in "rgb"})
-    fused = lambda s, v, c: (s.cast("double") + F.col(v).cast("double") * F.col(c).cast("double")).cast("float")
-    for _ in range(steps):
-        turned = {}
-        for c, (x, y, z) in {"r": ("rr", "rg", "rb"), "g": ("rg", "gg", "gb"), "b": ("rb", "gb", "bb")}.items():
-            first = (F.col("__vg") * F.col(f"__{y}")).cast("float")
-            turned[f"__v{c}"] = fused(fused(first, "__vr", f"__{x}"), "__vb", f"__{z}")
-        out = out.withColumns(turned)
-    size = F.greatest(*[F.abs(F.col(f"__v{c}")).cast("double") for c in "rgb"])
-    out = out.withColumn("__size", size)
-    axis = {f"__a{c}": F.when(F.col("__size") < 4.0, luma).otherwise((F.col(f"__v{c}").cast("double") * (512.0 / F.col("__size"))).cast("long")) for c, luma in (("r", 299), ("g", 587), ("b", 114))}
-    out = out.withColumns(axis).withColumn("__dots", F.transform(F.arrays_zip("r", "g", "b"), lambda p: p.r * F.col("__ar") + p.g * F.col("__ag") + p.b * F.col("__ab")))
-    at = {k: F.array_position("__dots", f("__dots")) - 1 for k, f in (("c0", F.array_max), ("c1", F.array_min))}
-    ends = {k: rgb565(*[F.get(c, i.cast("int")) for c in "rgb"]) for k, i in at.items()}
-    return out.withColumns(ends).drop(*[c for c in out.columns if c.startswith("__")])
+    pairs = ("rr", "rg", "rb", "gg", "gb", "bb")
+    covariances = F.struct(*[(F.col(f"cov_{p}").cast("float") / F.lit(255.0).cast("float")).cast("float").alias(p) for p in pairs])
+    start = F.struct(*[(F.col(f"max_{c}") - F.col(f"min_{c}")).cast("float").alias(c) for c in "rgb"])
+    fused = lambda s, v, k: (s.cast("double") + v.cast("double") * k.cast("double")).cast("float")
+
+    def turned(k: Column, v: Column) -> Column:
+        axes = {"r": ("rr", "rg", "rb"), "g": ("rg", "gg", "gb"), "b": ("rb", "gb", "bb")}
+        return F.struct(*[fused(fused((v.g * k[y]).cast("float"), v.r, k[x]), v.b, k[z]).alias(c) for c, (x, y, z) in axes.items()])
+
+    def whole(v: Column) -> Column:
+        size = F.greatest(*[F.abs(v[c]).cast("double") for c in "rgb"])
+        return let(size, lambda n: F.struct(*[F.when(n < 4.0, luma).otherwise((v[c].cast("double") * (512.0 / n)).cast("long")).alias(c) for c, luma in (("r", 299), ("g", 587), ("b", 114))]))
+
+    def ends(dots: Column) -> Column:
+        at = F.struct((F.array_position(dots, F.array_max(dots)) - 1).cast("int").alias("c0"), (F.array_position(dots, F.array_min(dots)) - 1).cast("int").alias("c1"))
+        return let(at, lambda i: F.struct(*[rgb565(*[F.get(F.col(c), i[k]) for c in "rgb"]).alias(k) for k in ("c0", "c1")]))
+
+    axis = let(let(covariances, lambda k: F.aggregate(F.sequence(F.lit(1), F.lit(steps)), start, lambda v, _: turned(k, v))), whole)
+    dots = let(axis, lambda a: F.transform(F.arrays_zip("r", "g", "b"), lambda p: p.r * a.r + p.g * a.g + p.b * a.b))
+    return out.withColumn("__ends", let(dots, ends)).withColumns({"c0": F.col("__ends.c0"), "c1": F.col("__ends.c1")}).drop("__ends")
 
 
 def colour_indices(rows: DataFrame) -> DataFrame:
     """mask of blocks with r, g, b and endpoints c0 and c1: each pixel's place on the line between them, told apart at the middles of the four colours."""
-    e0, e1 = expand565("c0"), expand565("c1")
-    out = rows.withColumns({f"__{c}0": e0[i] for i, c in enumerate("rgb")} | {f"__{c}1": e1[i] for i, c in enumerate("rgb")})
-    out = out.withColumns({f"__d{c}": F.col(f"__{c}0") - F.col(f"__{c}1") for c in "rgb"})
-    dot = lambda r, g, b: r * F.col("__dr") + g * F.col("__dg") + b * F.col("__db")
-    third = lambda a, b: [idiv(2 * F.col(f"__{c}{a}") + F.col(f"__{c}{b}"), 3) for c in "rgb"]
-    stops = {"__s0": dot(*[F.col(f"__{c}0") for c in "rgb"]), "__s1": dot(*[F.col(f"__{c}1") for c in "rgb"]), "__s2": dot(*third(0, 1)), "__s3": dot(*third(1, 0))}
-    out = out.withColumns(stops)
-    middle = lambda a, b: F.shiftright(F.col(a) + F.col(b), 1)
-    low, half, high = middle("__s1", "__s3"), middle("__s3", "__s2"), middle("__s2", "__s0")
-    code = lambda d: F.when(d < half, F.when(d < low, 1).otherwise(3)).otherwise(F.when(d < high, 2).otherwise(0))
-    codes = F.transform(F.arrays_zip("r", "g", "b"), lambda p: code(dot(p.r, p.g, p.b)))
-    return out.withColumn("mask", packed(codes, 2)).drop(*[c for c in out.columns if c.startswith("__")])
+    ends = F.struct(*[v.alias(f"{c}{n}") for n, e in enumerate((expand565("c0"), expand565("c1"))) for c, v in zip("rgb", e)])
+
+    def middles(e: Column) -> Column:
+        gap = {c: e[f"{c}0"] - e[f"{c}1"] for c in "rgb"}
+        dot = lambda colour: sum((colour(c) * gap[c] for c in "gb"), colour("r") * gap["r"])
+        third = lambda a, b: dot(lambda c: idiv(2 * e[f"{c}{a}"] + e[f"{c}{b}"], 3))
+        stops = F.struct(dot(lambda c: e[f"{c}0"]).alias("s0"), dot(lambda c: e[f"{c}1"]).alias("s1"), third(0, 1).alias("s2"), third(1, 0).alias("s3"))
+        half = lambda s, a, b: F.shiftright(s[a] + s[b], 1)
+        return let(stops, lambda s: F.struct(*[gap[c].alias(c) for c in "rgb"], half(s, "s1", "s3").alias("low"), half(s, "s3", "s2").alias("half"), half(s, "s2", "s0").alias("high")))
+
+    def code(m: Column, p: Column) -> Column:
+        return let(p.r * m.r + p.g * m.g + p.b * m.b, lambda d: F.when(d < m.half, F.when(d < m.low, 1).otherwise(3)).otherwise(F.when(d < m.high, 2).otherwise(0)))
+
+    return rows.withColumn("mask", packed(let(let(ends, middles), lambda m: F.transform(F.arrays_zip("r", "g", "b"), lambda p: code(m, p))), 2))
 
 
 def ordered_ends(rows: DataFrame) -> DataFrame:
