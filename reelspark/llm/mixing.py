@@ -14,12 +14,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import materialize, table, unused
 
 SEED = 20240229
 RATE_STEP = 32.0
 #: Terms of the distribution; beyond them less than 1e-40 is left at RATE_STEP.
 TERMS = 160
+#: Rates of up to so many sources, about 14 MB, are broadcast.
+BROADCAST_SOURCES = 10_000
 #: Target weights of the registered query: a source's rows to this power.
 POWER = 0.5
 
@@ -59,16 +61,23 @@ def replicate(docs: DataFrame, weights: DataFrame | None = None, id_col: str = "
 
     Rows with the same id get the same count. A null id is drawn as the text
     'null'. An empty table gives an empty result. Columns named copy or
-    shuffle_key are replaced; clashes with other names can't occur.
+    shuffle_key are replaced; other names don't clash, whatever they are. Texts
+    may be null or of any length.
+
+    Sources are counted first: rates of up to BROADCAST_SOURCES go to the
+    documents, which then aren't shuffled by source; beyond that both are, with
+    the same result.
     """
-    # the distribution travels in a table with a row for each source; AQE broadcasts it if small and splits hot sources if not
-    r = rates(docs, weights, source_col, power).select(F.col("source").alias("__source"), F.col("draws").alias("__draws"), F.col("distribution").alias("__distribution"))
+    plain = docs.drop("copy", "shuffle_key")
+    source, draws, dist = (unused(plain, x) for x in ("mix_source", "mix_draws", "mix_distribution"))
+    r = materialize(docs.sparkSession, rates(docs, weights, source_col, power).select(F.col("source").alias(source), F.col("draws").alias(draws), F.col("distribution").alias(dist)), "rates")
+    if r.count() <= BROADCAST_SOURCES:
+        r = F.broadcast(r)
     key = F.coalesce(F.col(id_col).cast("string"), F.lit("null"))
     # each uniform number is bound to a lambda's variable, so that it is computed once and not for each term
-    uniforms = F.transform(F.sequence(F.lit(0), F.col("__draws") - 1), lambda j: uniform(seed, key, j.cast("string")))
-    n = F.aggregate(uniforms, F.lit(0), lambda s, u: s + F.size(F.filter("__distribution", lambda c: c <= u)))
-    plain = docs.drop("copy", "shuffle_key")
-    out = plain.join(r, plain[source_col].eqNullSafe(r["__source"]))
+    uniforms = F.transform(F.sequence(F.lit(0), F.col(draws) - 1), lambda j: uniform(seed, key, j.cast("string")))
+    n = F.aggregate(uniforms, F.lit(0), lambda s, u: s + F.size(F.filter(dist, lambda c: c <= u)))
+    out = plain.join(r, plain[source_col].eqNullSafe(F.col(source)))
     out = out.withColumn("copy", F.explode(F.slice(F.sequence(F.lit(0), n), F.lit(1), n)))
     out = out.withColumn("shuffle_key", F.md5(F.concat_ws(":", F.lit(f"{seed}:shuffle"), key, F.col("copy").cast("string"))))
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WordHashes, blocks, cut, materialize, mix, shingles, table
+from .common import WordHashes, blocks, cut, materialize, mix, shingles, table, unused
 from .components import components
 
 SKETCH, BANDS, ROWS = 128, 32, 4
@@ -249,9 +249,18 @@ def _settle(members: DataFrame, texts: DataFrame, labels: DataFrame, failed: Dat
 
 
 def keep_one_each(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with only the smallest id of each near-duplicate group; every column as it was."""
+    """docs with only the smallest id of each near-duplicate group, in one row; every column as it was.
+
+    Of rows that share an id, which are one node, that with the smallest text
+    stays, a null text before all; of equal ones any. Rows without an id stay, as
+    do rows with texts of their own. Columns with clashing names don't matter.
+    """
     gone = near_duplicates(spark, docs, id_col, text_col).where("not kept").select(F.col("doc_id").alias(id_col)).distinct()
-    return docs.join(gone, id_col, "left_anti").select(docs.columns)
+    rest = docs.join(gone, id_col, "left_anti").select(docs.columns)
+    nth = unused(docs, "nth")
+    # rows without an id are dealt by their texts, not to one task
+    w = Window.partitionBy(id_col, F.when(F.col(id_col).isNull(), F.xxhash64(text_col))).orderBy(text_col)
+    return rest.withColumn(nth, F.row_number().over(w)).where((F.col(nth) == 1) | F.col(id_col).isNull()).select(docs.columns)
 
 
 def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -49,7 +49,14 @@ def test_against_all_pairs(spark):
         assert row.kept == (row.doc_id is None or row.component_id == row.doc_id)
     kept = keep_one_each(spark, df)
     assert kept.columns == df.columns
-    assert sorted(r.doc_id for r in kept.collect() if r.doc_id is not None) == sorted(d for d, _ in docs if d is not None and want[d] == d)
+    assert sorted(r.doc_id for r in kept.collect() if r.doc_id is not None) == sorted({d for d, _ in docs if d is not None and want[d] == d})
+
+
+def test_repeated_rows_leave_one(spark):
+    docs = [(1, "a b c d e f"), (1, "a b c d e f"), (2, "g h i j k l"), (2, None), (2, "A other"), (3, "g h i j k l"), (None, "x"), (None, "x")]
+    df = spark.createDataFrame([(d, t, 7, 8) for d, t in docs], "doc_id long, text string, nth int, component_id int")
+    got = sorted((tuple(r) for r in keep_one_each(spark, df).collect()), key=str)
+    assert got == sorted([(1, "a b c d e f", 7, 8), (2, None, 7, 8), (None, "x", 7, 8), (None, "x", 7, 8)], key=str)
 
 
 def test_an_id_with_several_texts_is_one_node(spark):

@@ -177,3 +177,11 @@ def test_mix_of_an_empty_table(spark):
     assert replicate(df).collect() == [] and replicate(df, spark.createDataFrame([], "source string, weight double")).collect() == []
     one = spark.createDataFrame([(1, "a", "s")], df.schema)
     assert replicate(one, spark.createDataFrame([], "source string, weight double")).collect() == []
+
+
+def test_mix_with_shuffled_rates_and_clashing_names(spark, monkeypatch):
+    names = "doc_id long, source string, text string, mix_source string, MIX_DRAWS int, mix_distribution int"
+    df = spark.createDataFrame([(i, f"s{i % 3}", f"t{i}", "x", 1, 2) for i in range(60)] + [(70, None, None, None, None, None)], names)
+    few = sorted((tuple(r) for r in replicate(df).collect()), key=str)
+    monkeypatch.setattr("reelspark.llm.mixing.BROADCAST_SOURCES", 1)
+    assert sorted((tuple(r) for r in replicate(df).collect()), key=str) == few and few
