@@ -172,6 +172,41 @@ def test_odd_vectors(spark):
     assert ann.nearest(spark, df.where(F.col("vec_id") == 20)).collect() == []
 
 
+def test_equal_vectors_tie_to_smaller_ids(spark):
+    r = np.random.default_rng(9)
+    for seed in range(3):
+        one, rest = r.normal(size=(1, 64)), r.normal(size=(200, 64))
+        x = np.concatenate([np.repeat(one, 301, 0), rest])[r.permutation(501)]
+        df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+        got = {}
+        for row in ann.nearest(spark, df, factor=1.0, shard_vectors=(170, 501, 60)[seed]).orderBy("query_id", "rank").collect():
+            got.setdefault(row.query_id, []).append(row.vec_id)
+        score = lambda a, b: sum(float(p) * float(q) for p, q in zip(a, b))
+        for i in range(0, 501, 20):
+            want = sorted((j for j in range(501) if j != i), key=lambda j: (-score(x[i], x[j]), j))[: ann.K]  # noqa: B023
+            assert got[i] == want
+
+
+def test_vectors_of_another_length_take_no_part(spark):
+    rows = [(0, [1.0, 0.0]), (20, [1.0, 2.0, 3.0]), (1, [2.0, 1.0]), (2, [1.0] * 4), (3, [0.0, 1.0]), (4, [1.0, 1.0, 1.0])]
+    got = ann.nearest(spark, spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    assert sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in got) == [(0, 1, 1, 2.0), (0, 2, 3, 0.0)]
+
+
+def test_the_default_factor_skips_and_still_finds():
+    """Recall and the share of pairs looked at, on clustered vectors."""
+    r = np.random.default_rng(5)
+    x = r.normal(size=(200, 64))[r.integers(0, 200, 50_000)] + 0.25 * r.normal(size=(50_000, 64))
+    ids, asked = np.arange(50_000), np.arange(0, 50_000, 200)
+    tree = ann.Tree(ids, x, float(np.sqrt((x * x).sum(1)).max()))
+    found, _ = tree.search(asked, x[asked], ann.K, ann.FACTOR)
+    scores = x[asked] @ x.T
+    scores[np.arange(len(asked)), asked] = -np.inf
+    want = np.argpartition(-scores, ann.K, 1)[:, : ann.K]
+    assert np.mean([len(set(a) & set(b)) / ann.K for a, b in zip(found.tolist(), want.tolist())]) >= 0.9
+    assert tree.scored / (len(asked) * len(ids)) < 0.7
+
+
 def test_tree_survives_a_file(spark):
     r = np.random.default_rng(3)
     x = r.normal(size=(900, 8))
