@@ -135,6 +135,13 @@ def _repeats(*keys: np.ndarray) -> np.ndarray:
     return again
 
 
+def _among(keys: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Whether each key is one of the known ones, which are in order."""
+    if not len(known):
+        return np.zeros(len(keys), bool)
+    return known[np.minimum(np.searchsorted(known, keys), len(known) - 1)] == keys
+
+
 _CHUNK = [("digest", np.int64), ("doc_id", np.int64), ("part", np.int32), ("seq", np.int32), ("first", np.int32), ("words", np.int32), ("again", np.bool_), ("hot", np.bool_)]
 _STRETCH = [("a", np.int64), ("b", np.int32), ("doc_id", np.int64), ("part", np.int32), ("place", np.int64), ("again", np.bool_), ("hot", np.bool_)]
 
@@ -150,7 +157,7 @@ def _chunk_rows(hot: np.ndarray, batches: Iterator[pa.RecordBatch]) -> Iterator[
             a, b = ends[:-1], ends[1:]
             digest = spans_hash(joined, a, b, FACTORS[0]).view(np.int64)
             first = np.searchsorted(at, a - BEFORE)
-            for column, values in zip(out, (digest, np.full(len(a), doc_id), np.full(len(a), part), np.arange(len(a)), first, np.searchsorted(at, b + BEHIND) - first, _repeats(digest), np.isin(digest, hot))):
+            for column, values in zip(out, (digest, np.full(len(a), doc_id), np.full(len(a), part), np.arange(len(a)), first, np.searchsorted(at, b + BEHIND) - first, _repeats(digest), _among(digest, hot))):
                 column.append(values)
         yield _batch(out, _CHUNK)
 
@@ -170,9 +177,9 @@ def _occurrences() -> list:
 
 
 def frequent(rows: DataFrame, key: str) -> np.ndarray:
-    """Keys that are frequent among these rows and occur in two documents, or twice in one: at most HOT."""
+    """Keys that are frequent among these rows and occur in two documents, or twice in one: at most HOT, in order."""
     found = rows.groupBy(key).agg(F.count("*").alias("n"), *_occurrences()).where(f"n >= {HOT_LEAST} and {_REPEATED}")
-    return np.array([r[0] for r in found.orderBy(F.desc("n"), key).limit(HOT).select(key).collect()], np.int64)
+    return np.sort(np.array([r[0] for r in found.orderBy(F.desc("n"), key).limit(HOT).select(key).collect()], np.int64))
 
 
 def in_sample(rows: DataFrame) -> DataFrame:
@@ -211,7 +218,7 @@ def _stretch_rows(hot: np.ndarray, batches: Iterator[pa.RecordBatch]) -> Iterato
             first = np.unique(np.concatenate([np.arange(r["first"], r["stop"] - WORDS + 1) for r in regions]))
             a, b = at[first], (at + ends - starts)[first + WORDS - 1]
             one, two = spans_hash(joined, a, b, FACTORS[0]).view(np.int64), (spans_hash(joined, a, b, FACTORS[1]) >> np.uint64(32)).astype(np.uint32).view(np.int32)
-            for column, values in zip(out, (one, two, np.full(len(a), doc_id), np.full(len(a), part), starts[first] << 32 | ends[first + WORDS - 1], _repeats(one, two), np.isin(one, hot))):
+            for column, values in zip(out, (one, two, np.full(len(a), doc_id), np.full(len(a), part), starts[first] << 32 | ends[first + WORDS - 1], _repeats(one, two), _among(one, hot))):
                 column.append(values)
         yield _batch(out, _STRETCH)
 
