@@ -1,8 +1,8 @@
 """Operator 2: benchmark decontamination by rare seeds and Smith-Waterman alignment.
 
 Words are lower-cased runs of letters and digits. Three words in a row of a test
-item are a seed; an item that a passage repeats with up to a quarter of its
-words edited still shares one with it. Seeds that chance alone would bring about
+item are a seed; an item of nine words and more that a passage repeats with up to
+a quarter of its words replaced still shares one with it. Seeds that chance alone would bring about
 often are left out: those whose words' frequencies in the whole corpus multiply
 to more than COMMON. (What counts is what the words' frequencies predict, not how
 often the seed occurs, so a passage copied into a third of all documents stays
