@@ -4,8 +4,9 @@ Inputs of a score come from the text alone: hashed words (log counts, unit
 length), structure statistics, and the length that the table states as
 metadata. The score is w0 + w.x + 1/2 * sum over factors of
 ((V.x) ** 2 - (V ** 2).(x ** 2)): the sum-of-squares identity gives all pairwise
-interactions in time linear in the non-zero inputs (Rendle, Factorization
-Machines, ICDM 2010).
+interactions in time linear in the inputs (Rendle, Factorization Machines, ICDM
+2010). Rows to be fitted are held without their zeros; batches of some hundred
+rows are dense.
 
 It is fitted on the driver from at most `sample` labelled rows (SAMPLE unless
 given) outside the held-out fold, those of smallest hash; everything else runs
@@ -77,6 +78,22 @@ def inputs(texts: list[str | None], n_chars: list[float | None], hashes: WordHas
     return out
 
 
+class Rows:
+    """Inputs of many rows, of which only those that aren't zero are held; x[rows] has all of some rows."""
+
+    def __init__(self, places: list[bytes], values: list[bytes], width: int):
+        self.places, self.values, self.shape = places, values, (len(places), width)
+
+    def __len__(self) -> int:
+        return len(self.places)
+
+    def __getitem__(self, rows: np.ndarray) -> np.ndarray:
+        out = np.zeros((len(rows), self.shape[1]), np.float32)
+        for i, row in enumerate(rows.tolist()):
+            out[i, np.frombuffer(self.places[row], "<u2")] = np.frombuffer(self.values[row], np.float32)
+        return out
+
+
 @dataclass
 class Machine:
     """A fitted factorisation machine: scores are probabilities of label 1."""
@@ -92,10 +109,11 @@ class Machine:
         return 1 / (1 + np.exp(-np.clip(self.margin(x).astype(np.float64), -40, 40)))
 
     @classmethod
-    def fit(cls, x: np.ndarray, y: np.ndarray, epochs: int = 30, rate: float = 0.5, decay: float = 1e-5, seed: int = 7, batch: int = 128) -> Machine:
+    def fit(cls, x: np.ndarray | Rows, y: np.ndarray, epochs: int = 30, rate: float = 0.5, decay: float = 1e-5, seed: int = 7, batch: int = 128) -> Machine:
         """AdaGrad on log loss; the rows of x in their order decide the result. Without rows every score is 0.5."""
         random = np.random.default_rng(seed)
-        x = x.astype(np.float32, copy=False)
+        if isinstance(x, np.ndarray):
+            x = x.astype(np.float32, copy=False)
         m = cls(0.0, np.zeros(x.shape[1], np.float32), random.normal(0, 0.02, (x.shape[1], FACTORS)).astype(np.float32))
         if not len(x):
             m.factors[:] = 0
@@ -150,10 +168,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     nth = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("at", "x"), "at", "x"))
     some = rows.mapInArrow(prepare, "doc_id string, y int, at binary, x binary").withColumn("nth", nth).where(F.col("nth") <= ID_ROWS).drop("nth")
     got = some.toArrow().sort_by([("doc_id", "ascending"), ("at", "ascending"), ("x", "ascending")])
-    x = np.zeros((got.num_rows, BUCKETS + STRUCTURE), np.float32)
-    for i, (at, value) in enumerate(zip(got["at"].to_pylist(), got["x"].to_pylist())):
-        x[i, np.frombuffer(at, "<u2")] = np.frombuffer(value, np.float32)
-    return Machine.fit(x, np.array(got["y"].to_pylist(), np.float32))
+    return Machine.fit(Rows(got["at"].to_pylist(), got["x"].to_pylist(), BUCKETS + STRUCTURE), np.array(got["y"].to_pylist(), np.float32))
 
 
 def score(docs: DataFrame, model: Machine, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:

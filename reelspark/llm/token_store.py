@@ -39,7 +39,7 @@ END_ID = 0
 #: Bits of a level for each remaining key.
 GAMMA = 2.0
 #: Bytes of text that are encoded at once, whole texts at least, and runs that go through the library in one text.
-TEXT_BYTES, RUNS_AT_ONCE = 32 << 20, 1000
+TEXT_BYTES, RUNS_AT_ONCE = 24 << 20, 1000
 #: Bytes of ids from which a shard ends and the task begins the next.
 SHARD_BYTES = 1 << 30
 
@@ -103,7 +103,8 @@ class Encoder:
             return out
         split = pc.split_pattern(pc.binary_join_element_wise(_FIRST, texts.take(pa.array(at)), ""), " ")
         runs = split.flatten().dictionary_encode()
-        names = runs.dictionary
+        ends_of, names, codes = split.offsets.to_numpy(), runs.dictionary, runs.indices.to_numpy()
+        del split, runs
         alone, first = (np.asarray(x) for x in (pc.match_substring_regex(names, _ALONE), pc.starts_with(names, _FIRST)))
         parts, order = [], []
         for which, said in ((~alone & ~first, lambda r: " " + r), (~alone & first, lambda r: r[1:])):
@@ -115,8 +116,8 @@ class Encoder:
         place[np.concatenate(order)] = np.arange(len(names), dtype=np.int32)
         ends = np.concatenate([[0], *(n for _, n in parts)]).cumsum() * self.dtype.itemsize
         ids = pa.Array.from_buffers(pa.large_binary(), len(names), [None, pa.py_buffer(ends), pa.py_buffer(np.concatenate([x for x, _ in parts]))])
-        ids = ids.take(pa.array(place[runs.indices.to_numpy()]))
-        ends = np.frombuffer(ids.buffers()[1], np.int64)[split.offsets.to_numpy()].tolist()
+        ids = ids.take(pa.array(place[codes]))
+        ends = np.frombuffer(ids.buffers()[1], np.int64)[ends_of].tolist()
         raw = memoryview(ids.buffers()[2])
         for i, a, b in zip(at.tolist(), ends, ends[1:]):
             out[i] = bytes(raw[a:b])
