@@ -82,8 +82,9 @@ def decode_stats(decodes: DataFrame, interval: float = 1.0) -> DataFrame:
 def drop_intermediate(requests: DataFrame, services: DataFrame) -> DataFrame:
     """What each service (player_id, seconds) does with the requests (player_id, seconds, frame) that came since the one before: the last is served, the others are dropped. Requests after the last service aren't in it."""
     rows = requests.select("player_id", "seconds", "frame", F.lit(None).cast("double").alias("service")).unionByName(services.select("player_id", "seconds", F.lit(None).cast("long").alias("frame"), F.col("seconds").cast("double").alias("service")))
-    w = Window.partitionBy("player_id").orderBy("seconds", F.col("service").isNotNull()).rowsBetween(0, Window.unboundedFollowing)
-    dealt = rows.withColumn("service", F.first("service", ignorenulls=True).over(w)).where("frame is not null and service is not null")
+    # from the end, so that the frame only grows
+    w = Window.partitionBy("player_id").orderBy(F.desc("seconds"), F.col("service").isNull()).rowsBetween(Window.unboundedPreceding, 0)
+    dealt = rows.withColumn("service", F.last("service", ignorenulls=True).over(w)).where("frame is not null and service is not null")
     return dealt.groupBy("player_id", "service").agg(F.max_by("frame", "seconds").alias("served"), (F.count("*") - 1).alias("dropped"))
 
 

@@ -44,6 +44,13 @@ def test_queries_leave_the_sessions_views_alone(spark):
     spark.catalog.dropTempView("events")
 
 
+@pytest.mark.parametrize("key, scans", [("ycocg_forward", 1), ("scaled_ycocg", 1), ("crop_pixels", 1), ("bc1_endpoints", 1), ("bc1_match", 1), ("bc4_encode", 1), ("bc4_refined", 1), ("ssim_8x8", 2), ("channel_delta", 2), ("psnr", 2)])
+def test_planes_are_read_once_for_each_side(spark, key, scans):
+    plan = plans.QUERIES[key](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan parquet") == scans
+    assert plan.count("Join") == scans - 1
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
 
