@@ -191,6 +191,11 @@ def scalar_bytes(a0: Value, a1: Value, indices: Value) -> Column:
     return F.concat(le_bytes(a0, 1), le_bytes(a1, 1), le_bytes(indices, 6))
 
 
+def colour_alpha_bytes(rows: DataFrame) -> DataFrame:
+    """block: the sixteen bytes of an alpha block (a0, a1, indices) and the colour block beside it."""
+    return colour_bytes(rows).withColumn("block", F.concat(scalar_bytes("a0", "a1", "indices"), "block"))
+
+
 def scalars_of_bytes(rows: DataFrame, block: str = "block") -> DataFrame:
     """a0, a1 and indices of a binary of eight bytes."""
     data = F.col(block)

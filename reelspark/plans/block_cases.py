@@ -120,6 +120,9 @@ case(
 case("bc1_bytes", _AT + ", block string", lambda t: b.colour_bytes(t("coded_blocks")),
      f"""with o as (select {_KEY}, greatest(c0, c1) as p, least(c0, c1) as q, if(c0 < c1, xor(mask, 1431655765::bigint), mask) as m from {{coded_blocks}})
          select {_KEY}, printf('%02x%02x%02x%02x%02x%02x%02x%02x', p % 256, p // 256, q % 256, q // 256, m & 255, (m >> 8) & 255, (m >> 16) & 255, (m >> 24) & 255) as block from o""")
+case("bc3_bytes", _AT + ", block string", lambda t: b.colour_alpha_bytes(t("coded_blocks")),
+     f"""with o as (select *, greatest(c0, c1) as p, least(c0, c1) as q, if(c0 < c1, xor(mask, 1431655765::bigint), mask) as m from {{coded_blocks}})
+         select {_KEY}, printf('%02x%02x', a0, a1) || {" || ".join(f"printf('%02x', (indices >> {8 * k}) & 255)" for k in range(6))} || printf('%02x%02x%02x%02x%02x%02x%02x%02x', p % 256, p // 256, q % 256, q // 256, m & 255, (m >> 8) & 255, (m >> 16) & 255, (m >> 24) & 255) as block from o""")
 case("bc4_palette", _AT + ", eight string, six string", lambda t: b.scalar_ends(_scalar(t)).select(*b.AT, _STRING(b.palette("hi", "lo", eight=F.lit(True))).alias("eight"), _STRING(b.palette("mid_lo", "mid_hi", eight=F.lit(False))).alias("six")),
      f"select {_KEY}, array_to_string(e8, ',') as eight, coalesce(array_to_string(e6, ','), '') as six from {_scalars('{px_luma}', 'luma')}")
 case(
