@@ -39,7 +39,7 @@ END_ID = 0
 #: Bits of a level for each remaining key.
 GAMMA = 2.0
 #: Bytes of text that are encoded at once, whole texts at least, and runs that go through the library in one text.
-TEXT_BYTES, RUNS_AT_ONCE = 24 << 20, 1000
+TEXT_BYTES, RUNS_AT_ONCE = 40 << 20, 1000
 #: Bytes of ids from which a shard ends and the task begins the next.
 SHARD_BYTES = 1 << 30
 
@@ -83,10 +83,10 @@ class Encoder:
     def _ids(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, self.dtype) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _of_runs(self, runs: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Parts of (ids, number of ids of each run), in order."""
+    def _of_runs(self, runs: list[str], before: str) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Parts of (ids, number of ids of each run), in order; before stands before each run."""
         for at in range(0, len(runs), RUNS_AT_ONCE):
-            (ids,) = self._ids([_END.join(runs[at : at + RUNS_AT_ONCE]) + _END])
+            (ids,) = self._ids([before + (_END + before).join(runs[at : at + RUNS_AT_ONCE]) + _END])
             ends = np.flatnonzero(ids == self.end)
             yield np.delete(ids, ends), np.diff(ends, prepend=-1) - 1
 
@@ -107,9 +107,10 @@ class Encoder:
         del split, runs
         alone, first = (np.asarray(x) for x in (pc.match_substring_regex(names, _ALONE), pc.starts_with(names, _FIRST)))
         parts, order = [], []
-        for which, said in ((~alone & ~first, lambda r: " " + r), (~alone & first, lambda r: r[1:])):
+        for which, before in ((~alone & ~first, " "), (~alone & first, "")):
             order.append(np.flatnonzero(which))
-            parts += self._of_runs(list(map(said, names.filter(pa.array(which)).to_pylist())))
+            said = names.filter(pa.array(which)).to_pylist()
+            parts += self._of_runs(said if before else [r[1:] for r in said], before)
         order.append(np.flatnonzero(alone))
         parts += [(x, np.array([len(x)])) for x in self._ids([r[1:] if r[:1] == _FIRST else " " + r for r in names.filter(pa.array(alone)).to_pylist()])]
         place = np.empty(len(names), np.int32)
