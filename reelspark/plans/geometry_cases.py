@@ -61,10 +61,8 @@ case(
     lambda t: g.resize_bilinear(t("px_luma"), ["luma"], 8, 8, 12, 5),
     """with a as (select t, greatest(0, (t + 0.5) * 8 / n - 0.5) as c, n from (select unnest([12, 5]) as n) s, lateral (select unnest(range(n)) as t) r),
        k as (select t, n, least(7, floor(c))::int as lo, least(7, floor(c) + 1)::int as hi, round((c - floor(c)) * 2 * n)::int as part from a)
-       select p00.frame_no, v.t as y, h.t as x,
-         ((10 - v.part) * ((24 - h.part) * p00.luma + h.part * p01.luma) + v.part * ((24 - h.part) * p10.luma + h.part * p11.luma) + 120) // 240 as luma
-       from k h join k v on h.n = 12 and v.n = 5 join {px_luma} p00 on p00.y = v.lo and p00.x = h.lo join {px_luma} p01 on p01.frame_no = p00.frame_no and p01.y = v.lo and p01.x = h.hi
-       join {px_luma} p10 on p10.frame_no = p00.frame_no and p10.y = v.hi and p10.x = h.lo join {px_luma} p11 on p11.frame_no = p00.frame_no and p11.y = v.hi and p11.x = h.hi""",
+       select frame_no, v.t as y, h.t as x, ((10 - v.part) * ((24 - h.part) * l[v.lo * 8 + h.lo + 1] + h.part * l[v.lo * 8 + h.hi + 1]) + v.part * ((24 - h.part) * l[v.hi * 8 + h.lo + 1] + h.part * l[v.hi * 8 + h.hi + 1]) + 120) // 240 as luma
+       from {planes} cross join k h cross join k v where h.n = 12 and v.n = 5""",
 )
 case(
     "resize_lanczos",

@@ -1,6 +1,7 @@
 """Every media query against DuckDB SQL of its own, and golden rows of operators on tables made here."""
 
 import math
+import threading
 
 import duckdb
 import pytest
@@ -37,6 +38,20 @@ def test_query_matches_sql(spark, duck, key):
     assert rows(got.columns, got.collect()) == rows(columns, want.fetchall())
 
 
+def test_every_sql_ends_under_an_outer_limit(duck):
+    stalled = []
+    for key, sql in sorted(plans.ORACLE_SQL.items()):
+        timer = threading.Timer(10, duck.interrupt)
+        timer.start()
+        try:
+            duck.execute(f"select * from ({sql}) q limit 2000000").fetchall()
+        except duckdb.InterruptException:
+            stalled.append(key)
+        finally:
+            timer.cancel()
+    assert not stalled
+
+
 def test_queries_leave_the_sessions_views_alone(spark):
     spark.range(3).createOrReplaceTempView("events")
     plans.QUERIES["first_frame"](spark, SF).collect()
