@@ -9,6 +9,7 @@ from .lm_score import op6_lm_score
 from .mixing import OP7_SQL, op7_poisson_mix
 from .near_dup import op4_near_duplicates
 from .quality import op10_quality
+from .resample import OP13_SQL, op13_importance_resample
 from .substring_dedup import op3_substring_dedup
 from .token_store import op8_token_store
 from .warc import OP1_SQL, op1_warc
@@ -24,6 +25,7 @@ QUERIES = {
     "op8_token_store": op8_token_store,
     "op9_nearest": op9_nearest,
     "op10_quality": op10_quality,
+    "op13_importance_resample": op13_importance_resample,
 }
 
-ORACLE_SQL = {"op1_warc": OP1_SQL, "op5_chat_format": OP5_SQL, "op7_poisson_mix": OP7_SQL}
+ORACLE_SQL = {"op1_warc": OP1_SQL, "op5_chat_format": OP5_SQL, "op7_poisson_mix": OP7_SQL, "op13_importance_resample": OP13_SQL}
