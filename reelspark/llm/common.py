@@ -4,12 +4,14 @@ lineage, files in that folder, and hashing of words."""
 from __future__ import annotations
 
 import atexit
+import itertools
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 
@@ -104,6 +106,15 @@ def blocks(batches: Iterable[pa.RecordBatch], rows: int = BLOCK_ROWS) -> Iterato
             yield batch.slice(at, rows)
 
 
+def sized(batches: Iterable[pa.RecordBatch], most: int, column: int = 1) -> Iterator[pa.RecordBatch]:
+    """The same rows in pieces of up to so many bytes of a text column, or of one row."""
+    for batch in batches:
+        sizes = np.asarray(pc.fill_null(pc.binary_length(batch.column(column)), 0), np.int64)
+        cuts = np.flatnonzero(np.diff(sizes.cumsum() // most)) + 1
+        for a, b in itertools.pairwise([0, *cuts.tolist(), batch.num_rows]):
+            yield batch.slice(a, b - a)
+
+
 def words(text: str | None) -> list[bytes]:
     """Words [^\\x20\\x09-\\x0D]+ of the text in UTF-8, with A-Z in lower case."""
     return text.encode("utf-8", "surrogatepass").lower().split() if text else []
