@@ -12,6 +12,7 @@ from .quality import op10_quality
 from .resample import OP13_SQL, op13_importance_resample
 from .substring_dedup import op3_substring_dedup
 from .token_store import op8_token_store
+from .token_align import op11_token_align
 from .trie_bpe import op12_trie_bpe
 from .warc import OP1_SQL, op1_warc
 
@@ -26,6 +27,7 @@ QUERIES = {
     "op8_token_store": op8_token_store,
     "op9_nearest": op9_nearest,
     "op10_quality": op10_quality,
+    "op11_token_align": op11_token_align,
     "op12_trie_bpe": op12_trie_bpe,
     "op13_importance_resample": op13_importance_resample,
 }
