@@ -37,7 +37,9 @@ from .common import blocks, materialize, sized, table
 from .token_store import tokenizer_file
 
 #: Bytes of text in a block, whole texts at least, and rows at most; and bytes of distinct runs that are aligned at once.
-BLOCK_BYTES, BLOCK_ROWS, ALIGN_BYTES = 24 << 20, 1 << 15, 1 << 21
+BLOCK_BYTES, BLOCK_ROWS, ALIGN_BYTES = 12 << 20, 1 << 15, 1 << 19
+#: Linked pairs of texts, repeats included, that are sorted at once, or those of one text.
+SLICE = 1 << 21
 #: Ids of B in a pair's number, a * IDS_B + b; also more than any id of either tokenizer.
 IDS_B = 1 << 16
 _SPACES = r"\t\n\x0b\x0c\r\x1c-\x1f \x{85}\x{a0}\x{1680}\x{180e}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
@@ -102,7 +104,7 @@ class Aligner:
         plain_a = not how.get("normalizer") and split.get("type") == "ByteLevel" and split.get("use_regex", True) and not split.get("add_prefix_space")
         self.by_run = plain_a and not any("▁" in p.lstrip("▁") for p in pieces)
         #: What is said of an id: of A within and at the end of a group, then of B.
-        self.words = pa.array([b"%d%s" % (i, mark) for mark in (b",", b"|", b",", b";") for i in range(IDS_B)], pa.binary())
+        self.words = pa.array([b"%d%s" % (i, mark) for mark in (b",", b"|", b",", b";") for i in range(IDS_B)], pa.large_binary())
 
     def ids(self, runs: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """ids and number of ids of each run, of A and of B; runs come without the space before them."""
@@ -160,7 +162,7 @@ class Aligner:
         last_a, last_b = np.diff(group_a, append=-1) != 0, np.diff(group_b, append=-1) != 0
         order = np.argsort(np.concatenate([group_a * 2, group_b * 2 + 1]), kind="stable")
         codes = np.concatenate([ids_a + IDS_B * last_a, ids_b + IDS_B * (2 + last_b)])[order]
-        taken = self.words.cast(pa.large_binary()).take(pa.array(codes))
+        taken = self.words.take(pa.array(codes))
         at = np.frombuffer(taken.buffers()[1], np.int64)[: len(codes) + 1] if len(codes) else np.zeros(1, np.int64)
         said = pa.Array.from_buffers(pa.large_binary(), n, [None, pa.py_buffer(at[_ends(sizes[:, 0] + sizes[:, 1])]), taken.buffers()[2] or pa.py_buffer(b"")])
         # pairs: each distinct id of A in a group with each of B, so that a long group of few ids has few
@@ -226,14 +228,9 @@ def _block(aligner_: Aligner, ids: pa.Array, texts: pa.Array, number: int, with_
     said = [raw[a : b - 1] if b > a and not w else b"" for a, b, w in zip(at.tolist(), at[1:].tolist(), bad.tolist())]
     # pairs of runs by their place in the block's list of distinct pairs, then of documents
     listed, place = np.unique(runs.pairs, return_inverse=True)
-    has = np.diff(runs.pair_ends)[codes[kept]]
-    from_run = _spread(runs.pair_ends[codes[kept]], has)
-    keys = np.repeat(doc[kept], has) * max(1, len(listed)) + place[from_run]
-    order = np.argsort(keys, kind="stable")
-    keys, times = keys[order], runs.times[from_run][order]
-    first = np.flatnonzero(np.diff(keys, prepend=-1))
-    times, keys = (np.add.reduceat(times, first) if len(first) else times), keys[first]
-    of, places = np.divmod(keys, max(1, len(listed)))
+    parts = [_pairs_of(runs, place, codes[ends[i] : ends[j]][kept[ends[i] : ends[j]]], doc[ends[i] : ends[j]][kept[ends[i] : ends[j]]]) for i, j in _slices(np.bincount(doc, np.diff(runs.pair_ends)[codes], n))]
+    of, places, times = (np.concatenate([p[k] for p in parts] or [np.zeros(0, np.int64)]) for k in range(3))
+    del parts, doc, kept
     cuts = _ends(np.bincount(of, minlength=n)).tolist()
     held = np.bincount(places, minlength=len(listed))
     one = lambda values, kind: pa.concat_arrays([pa.array(values, kind), pa.nulls(1, kind)])
@@ -255,6 +252,25 @@ def _block(aligner_: Aligner, ids: pa.Array, texts: pa.Array, number: int, with_
     }
 
 
+def _slices(weights: np.ndarray) -> list[tuple[int, int]]:
+    """Successive ranges of about SLICE in weight, or of one place."""
+    cuts = np.flatnonzero(np.diff(np.cumsum(weights) // SLICE)) + 1
+    return list(itertools.pairwise([0, *cuts.tolist(), len(weights)])) if len(weights) else []
+
+
+def _pairs_of(runs: Aligned, place: np.ndarray, codes: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct pairs of texts: the text, the pair's place, and how often it is linked, from which runs stand in which text."""
+    has = np.diff(runs.pair_ends)[codes]
+    from_run = _spread(runs.pair_ends[codes], has)
+    n = int(place.max()) + 1 if len(place) else 1
+    keys = np.repeat(doc.astype(np.int64) * n, has) + place[from_run]
+    order = np.argsort(keys)
+    keys, times = keys[order], runs.times[from_run[order]]
+    first = np.flatnonzero(np.diff(keys, prepend=-1))
+    of, places = np.divmod(keys[first], n)
+    return of.astype(np.int32), places.astype(np.int32), np.add.reduceat(times, first) if len(first) else times
+
+
 def _blocks(docs: DataFrame, path_a: str, path_b: str, id_col: str, text_col: str, with_groups: bool) -> DataFrame:
     with open(path_a, encoding="utf-8") as f:
         json_a = f.read()
