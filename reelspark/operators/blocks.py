@@ -11,8 +11,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import Value, col, idiv, le_bytes, le_int, let, pick
-from .colour import expand565, matched, rgb565
+from ..functions import Value, clamp, col, idiv, le_bytes, le_int, let, pick
+from .colour import expand565, matched, pad, rgb565, scaled_ycocg
 
 AT = ("frame_no", "block_y", "block_x")
 #: Halves added before a palette's division: encoders round, decoders cut off.
@@ -123,6 +123,76 @@ def colour_indices(rows: DataFrame) -> DataFrame:
     return rows.withColumn("mask", packed(let(let(ends, middles), lambda m: F.transform(F.arrays_zip("r", "g", "b"), lambda p: code(m, p))), 2))
 
 
+def average_match(rows: DataFrame) -> DataFrame:
+    """c0 and c1 whose third colour is the nearest to a block's rounded mean colour."""
+    mean = {c: F.shiftright(total(F.col(c)) + 8, 4).cast("int") for c in "rgb"}
+    level = lambda low: matched(mean["r"], 5, low) * 2048 + matched(mean["g"], 6, low) * 32 + matched(mean["b"], 5, low)
+    return rows.withColumns({"c0": level(False), "c1": level(True)})
+
+
+def refined_ends(rows: DataFrame) -> DataFrame:
+    """c0 and c1 of blocks with r, g, b and mask, moved to where the squared error of these codes is least.
+
+    A code's colour is (w * c0 + (3 - w) * c1) / 3, so the normal equations are sums
+    over the block's sixteen places, solved in single precision with the sum and
+    product of the last step rounded once, then cut to the levels of 5 and 6 bits.
+    A block that has one code only leaves them singular, and takes the ends that
+    match its mean colour.
+    """
+    single = lambda v: v.cast("float").cast("double")
+    weights = F.transform(unpacked("mask", 2), lambda k: pick(F.array(*[F.lit(w) for w in (3, 0, 2, 1)]), k.cast("int")).cast("long"))
+
+    def sums(w: Column) -> Column:
+        of = {"xx": lambda x: x * x, "yy": lambda x: (3 - x) * (3 - x), "xy": lambda x: x * (3 - x)}
+        own = [total(F.transform(w, f)).alias(name) for name, f in of.items()]
+        firsts = [total(F.zip_with(w, c, lambda x, v: x * v)).alias(f"{c}0") for c in "rgb"]
+        lasts = [total(F.zip_with(w, c, lambda x, v: (3 - x) * v)).alias(f"{c}1") for c in "rgb"]
+        return F.struct(*own, *firsts, *lasts, (F.array_min(w) == F.array_max(w)).alias("one"))
+
+    def solved(s: Column) -> Column:
+        unit = single(single(F.lit(93.0) / 255.0) / (s.xx * s.yy - s.xy * s.xy))
+
+        def ends(f: Column) -> Column:
+            scale = {"r": f, "g": single(single(f * 63.0) / 31.0), "b": f}
+            top = {"r": 31, "g": 63, "b": 31}
+            level = lambda c, n: clamp(single(n.cast("double") * scale[c] + 0.5).cast("long"), 0, top[c])
+            at = lambda own, a, b: [level(c, s[f"{c}{a}"] * s[own] - s[f"{c}{b}"] * s["xy"]) for c in "rgb"]
+            packed_ = lambda r, g, b: r * 2048 + g * 32 + b
+            return F.struct(packed_(*at("yy", 0, 1)).alias("c0"), packed_(*at("xx", 1, 0)).alias("c1"))
+
+        return let(unit, ends)
+
+    made = average_match(rows).withColumn("__sums", let(weights, sums))
+    made = made.withColumn("__ends", F.when(~F.col("__sums.one"), let(F.col("__sums"), solved)))
+    return made.withColumns({c: F.coalesce(F.col(f"__ends.{c}"), F.col(c)) for c in ("c0", "c1")}).drop("__sums", "__ends")
+
+
+def encode_colours(rows: DataFrame) -> DataFrame:
+    """c0, c1 and mask of blocks with arrays r, g and b: ends on the main axis, matched, refined by least squares and matched again.
+
+    Blocks of one colour (and one alpha, where there is one) are exact to the tables'
+    best, all codes 2. ordered_ends or colour_bytes put the larger end first. Other
+    columns stay.
+    """
+    found = colour_indices(refined_ends(colour_indices(colour_endpoints(rows))))
+    channels = [c for c in ("r", "g", "b", "a") if c in rows.columns]
+    flat = F.expr(" and ".join(f"array_min({c}) = array_max({c})" for c in channels))
+    kept = [c for c in rows.columns if c not in ("c0", "c1", "mask")]
+    return average_match(found.withColumnsRenamed({"c0": "__c0", "c1": "__c1"})).select(*kept, *[F.when(flat, F.col(c)).otherwise(F.col(f"__{c}")).cast("long").alias(c) for c in ("c0", "c1")], F.when(flat, F.lit(0xAAAAAAAA)).otherwise(F.col("mask")).alias("mask"))
+
+
+def encode_colours_alpha(rows: DataFrame) -> DataFrame:
+    """encode_colours with a0, a1 and indices of the alpha array a beside it; block is the sixteen bytes of both."""
+    return colour_alpha_bytes(encode_scalars(encode_colours(rows), "a").drop("error"))
+
+
+def hapy_blocks(pixels_: DataFrame, w: int, h: int) -> DataFrame:
+    """block: sixteen bytes for each 4 x 4 block of a frame of w x h: the scaled differences and their factor as colours, luma as alpha; places beyond the frame are black."""
+    whole = pad(pixels_.select("frame_no", "y", "x", "r", "g", "b"), ["r", "g", "b"], w, h, (w + 3) // 4 * 4, (h + 3) // 4 * 4, 0)
+    planes = scaled_ycocg(whole).select("frame_no", "y", "x", F.col("co8").alias("r"), F.col("cg8").alias("g"), F.col("scale_byte").alias("b"), F.col("luma").alias("a"))
+    return encode_colours_alpha(blocks(planes, ("r", "g", "b", "a")))
+
+
 def ordered_ends(rows: DataFrame) -> DataFrame:
     """c0, c1 and mask so that c0 isn't below c1, which means four colours: swapped ends swap the meaning of each code."""
     swap = F.col("c0") < F.col("c1")

@@ -24,8 +24,8 @@ def ycocg_forward(pixels: DataFrame) -> DataFrame:
 
 
 def pad(plane: DataFrame, channels: list[str], w: int, h: int, coded_w: int, coded_h: int, value: int) -> DataFrame:
-    """A plane of w x h filled up to coded_w x coded_h with a value, which comes from each frame's first place."""
-    places = plane.where("x = 0 and y = 0").select("frame_no", F.explode(F.sequence(F.lit(0), F.lit(coded_w * coded_h - 1))).alias("i"))
+    """A plane of w x h filled up to coded_w x coded_h with a value, in every frame that has a place at all."""
+    places = plane.select("frame_no").distinct().select("frame_no", F.explode(F.sequence(F.lit(0), F.lit(coded_w * coded_h - 1))).alias("i"))
     at = places.select("frame_no", idiv("i", coded_w).alias("y"), (F.col("i") % coded_w).cast("long").alias("x")).where(f"x >= {w} or y >= {h}")
     held = plane.select("frame_no", F.col("y").cast("long").alias("y"), F.col("x").cast("long").alias("x"), *[F.col(c).cast("long").alias(c) for c in channels])
     return held.unionByName(at.select("*", *[F.lit(value).cast("long").alias(c) for c in channels]))
