@@ -58,7 +58,7 @@ def packed(codes: Value, bits: int) -> Column:
 
 
 def unpacked(v: Value, bits: int, n: int = 16) -> Column:
-    return F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.pmod(F.floor(col(v) / F.pow(F.lit(2), i * bits)), F.lit(1 << bits)))
+    return let(col(v), lambda whole: F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.pmod(F.floor(whole / F.pow(F.lit(2), i * bits)), F.lit(1 << bits))))
 
 
 def constant_colours(rows: DataFrame) -> DataFrame:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import functools
+
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -118,6 +121,7 @@ def lerp13(a: Value, b: Value) -> Column:
     return idiv(2 * col(a) + col(b), 3)
 
 
+@functools.cache
 def match_table(bits: int) -> list[tuple[int, int]]:
     """For each 8-bit value the pair (high, low) of levels whose colour at a third comes nearest, the first in order of low, then high."""
     grown = [(v << (8 - bits)) | (v >> (2 * bits - 8)) for v in range(1 << bits)]
@@ -127,4 +131,4 @@ def match_table(bits: int) -> list[tuple[int, int]]:
 
 def matched(v: Value, bits: int, low: bool) -> Column:
     """The high or low level of match_table for an 8-bit value."""
-    return pick(F.array(*[F.lit(pair[low]) for pair in match_table(bits)]), v)
+    return pick(F.lit(np.array([pair[low] for pair in match_table(bits)], np.int32)), v)
