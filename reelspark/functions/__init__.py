@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 Value = Column | str | int | float | bool | None
@@ -80,3 +80,11 @@ def ascii_at(data: Value, at: int, n: int, backwards: bool = False) -> Column:
     text = F.concat(*[F.chr(le_int(data, at + k, 1)) for k in order])
     fine = [le_int(data, at + k, 1) < 128 for k in range(n)]
     return F.when(sum((x.cast("int") for x in fine[1:]), fine[0].cast("int")) == n, text)
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """A column name like this that df doesn't have, in any case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name

@@ -99,12 +99,12 @@ def resolve_dims(headers: DataFrame) -> DataFrame:
 def read_packets(index: DataFrame, contents: DataFrame) -> DataFrame:
     """index (source_id, idx, file_offset, size) with packet, actual and short_read: size bytes of each source's content from the offset on, fewer where it ends before.
 
-    A source's entries come to its content as one list, so the content is carried once and not for each entry.
+    A source's entries come to its content as one list, so the content is carried once and not for each entry. Entries of a source without content read nothing.
     """
     entries = index.groupBy("source_id").agg(F.collect_list(F.struct("idx", "file_offset", "size")).alias("entries"))
     data = F.coalesce("content", F.lit(b""))
     read = F.transform("entries", lambda e: F.struct(e.idx.alias("idx"), e.file_offset.alias("file_offset"), e["size"].alias("expected"), F.substring(data, (e.file_offset + 1).cast("int"), e["size"].cast("int")).alias("packet")))
-    rows = contents.join(entries, "source_id").select("source_id", F.inline(read))
+    rows = entries.join(contents, "source_id", "left").select("source_id", F.inline(read))
     return rows.withColumn("actual", F.octet_length("packet").cast("long")).withColumn("short_read", F.col("actual") < F.col("expected"))
 
 

@@ -138,10 +138,10 @@ def letterbox_rect(geometry: DataFrame) -> DataFrame:
 
 
 def letterbox(pixels: DataFrame, channels: list[str], w: int, h: int, canvas_w: int, canvas_h: int) -> DataFrame:
-    """w x h pixels centred on an opaque black canvas; black comes from each frame's first pixel, without a join."""
+    """w x h pixels centred on an opaque black canvas, for every frame that has a pixel at all."""
     x0, y0 = (canvas_w - w) // 2, (canvas_h - h) // 2
     inner = pixels.select("frame_no", (F.col("y") + y0).cast("long").alias("y"), (F.col("x") + x0).cast("long").alias("x"), *channels, F.lit(255).alias("a"))
-    canvas = pixels.where("x = 0 and y = 0").select("frame_no", F.explode(F.sequence(F.lit(0), F.lit(canvas_w * canvas_h - 1))).alias("i"))
+    canvas = pixels.select("frame_no").distinct().select("frame_no", F.explode(F.sequence(F.lit(0), F.lit(canvas_w * canvas_h - 1))).alias("i"))
     at = canvas.select("frame_no", idiv("i", canvas_w).alias("y"), (F.col("i") % canvas_w).cast("long").alias("x"))
     black = at.where(~(F.col("x").between(x0, x0 + w - 1) & F.col("y").between(y0, y0 + h - 1)))
     return inner.unionByName(black.select("*", *[F.lit(0).alias(c) for c in channels], F.lit(255).alias("a")))

@@ -103,15 +103,16 @@ def frames_at(clocks: DataFrame) -> DataFrame:
     return clocks.withColumns({"frame": frame, "paused": runs & ~F.col("looping") & (target >= last)})
 
 
-def job_progress(jobs: DataFrame) -> DataFrame:
-    """progress: 1 for done, written / total up to 1 while encoding (null where total isn't known), 0 else."""
-    share = F.when(F.col("total") > 0, F.least(F.lit(1.0), F.col("written") / F.col("total")))
+def job_progress(jobs: DataFrame, lo: Value = 0) -> DataFrame:
+    """progress: 1 for done; while encoding the share written of the frames from lo up to total, of one frame where that range is empty or total isn't known; 0 else."""
+    frames = F.greatest(F.lit(1), F.coalesce("total", F.lit(0)) - F.greatest(F.lit(0), col(lo)))
+    share = F.least(F.lit(1.0), F.coalesce("written", F.lit(0)) / frames)
     return jobs.withColumn("progress", F.when(F.col("status") == "done", 1.0).when(F.col("status") == "encoding", share).otherwise(0.0))
 
 
 def overall_progress(jobs: DataFrame, *keys: str) -> DataFrame:
-    """Mean progress of all jobs, those unknown as none; null without jobs."""
-    return job_progress(jobs).groupBy(*keys).agg(F.avg(F.coalesce("progress", F.lit(0.0))).alias("progress"))
+    """Mean progress of all jobs; null without jobs."""
+    return job_progress(jobs).groupBy(*keys).agg(F.avg("progress").alias("progress"))
 
 
 def with_pair(frames: DataFrame, shift: Value = 1) -> DataFrame:

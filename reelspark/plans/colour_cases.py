@@ -103,6 +103,6 @@ case("frame_at_time", "event_id long, frame long, paused boolean", lambda t: m.f
      """with k as (select *, start + floor(elapsed * fps)::bigint as target, fps > 0 and total > 0 as runs from {clocks})
         select event_id, case when not runs then start when looping then target % total when target > total - 1 then total - 1 else target end as frame, runs and not looping and target > total - 2 as paused from k""")
 case("job_progress", "job_id long, progress double", lambda t: m.job_progress(t("jobs")),
-     "select job_id, case when status = 'done' then 1.0 when status = 'encoding' and total = 0 then null when status = 'encoding' and written >= total then 1.0 when status = 'encoding' then written::double / total else 0.0 end as progress from {jobs}")
+     "select job_id, case when status = 'done' then 1.0 when status = 'encoding' then least(1.0::double, written::double / greatest(total, 1)) else 0.0 end as progress from {jobs}")
 case("queue_progress", "priority string, progress double", lambda t: m.overall_progress(t("jobs"), "priority"),
-     "select priority, sum(case when status = 'done' then 1.0::double when status = 'encoding' and total > 0 then least(1.0::double, written::double / total) else 0.0 end) / count(*) as progress from {jobs} group by priority")
+     "select priority, sum(case when status = 'done' then 1.0::double when status = 'encoding' then least(1.0::double, written::double / if(total < 1, 1, total)) else 0.0 end) / count(*) as progress from {jobs} group by priority")

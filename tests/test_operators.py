@@ -324,3 +324,21 @@ def test_a_cancelled_session_runs_no_more(spark):
     jobs = [(0, True, "ask", "overwrite", False), (1, True, "ask", "skip", True), (2, True, "overwrite", None, False), (3, False, "ask", None, False), (4, True, "ask", "cancel", False)]
     df = spark.createDataFrame([(1, *j) for j in jobs] + [(2, 0, True, "ask", "cancel", True), (2, 1, False, "ask", None, False)], "session_id long, position long, taken boolean, policy string, decision string, for_all boolean")
     assert [r.action for r in queue.collision_actions(df).orderBy("session_id", "position").collect()] == ["proceed", "skip", "skip", "proceed", "skip", "cancel", "not_run"]
+
+
+def test_progress_of_trims_and_unknown_totals(spark):
+    jobs = spark.createDataFrame([(1, "encoding", 5, 10), (2, "encoding", 1, None), (3, "encoding", 0, 0), (4, "done", 0, 9), (5, "queued", 3, 9), (6, "encoding", 30, 10)], "job_id long, status string, written long, total long")
+    assert [r.progress for r in metrics.job_progress(jobs, lo=4).orderBy("job_id").collect()] == [5 / 6, 1.0, 0.0, 1.0, 0.0, 1.0]
+
+
+def test_frames_without_their_first_pixel_are_framed_and_padded(spark):
+    px = spark.createDataFrame([(1, 1, 1, 9)], "frame_no long, y int, x int, luma int")
+    got = {(r.y, r.x): (r.luma, r.a) for r in geometry.letterbox(px, ["luma"], 2, 2, 4, 4).collect()}
+    assert got[2, 2] == (9, 255) and len(got) == 13 and all(got[0, x] == (0, 255) for x in range(4))
+
+
+def test_entries_without_content_read_nothing(spark):
+    index = spark.createDataFrame([(1, 0, 0, 4), (2, 0, 0, 4)], "source_id long, idx long, file_offset long, size long")
+    contents = spark.createDataFrame([(1, b"abcdef"), (3, b"x")], "source_id long, content binary")
+    got = container.read_packets(index, contents).orderBy("source_id").collect()
+    assert [(r.source_id, bytes(r.packet), r.actual, r.short_read) for r in got] == [(1, b"abcd", 4, False), (2, b"", 0, True)]
