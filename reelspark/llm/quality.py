@@ -23,6 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 
 from .common import WordHashes, blocks, table
 
@@ -141,8 +142,13 @@ def held_out(doc_id) -> F.Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % FOLDS == 0, F.lit(False))
 
 
+def _has_length(docs: DataFrame) -> bool:
+    """Whether docs has numbers in n_chars; a column of that name and another type is some other thing, and plays no part."""
+    return any(f.name == "n_chars" and isinstance(f.dataType, NumericType) for f in docs.schema.fields)
+
+
 def _text_rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    length = F.col("n_chars").cast("double") if "n_chars" in docs.columns else F.lit(None).cast("double")
+    length = F.col("n_chars").cast("double") if _has_length(docs) else F.lit(None).cast("double")
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"), length.alias("n_chars"))
 
 
@@ -187,7 +193,7 @@ def score(docs: DataFrame, model: Machine, id_col: str = "doc_id", text_col: str
 
 def keep_good(docs: DataFrame, model: Machine, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """docs without the rows that the model rejects, scored where they stand; every column as it was."""
-    at = [docs.columns.index(text_col), docs.columns.index("n_chars") if "n_chars" in docs.columns else None]
+    at = [docs.columns.index(text_col), docs.columns.index("n_chars") if _has_length(docs) else None]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import blocks, materialize, mix, table
+from .common import blocks, materialize, mix, table, unused
 
 WORDS, GRAM, WINDOW = 50, 16, 42
 #: Bytes by which a repeated stretch can go on before and behind its common chunks.
@@ -260,14 +260,15 @@ def whole_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 
 def without_passages(docs: DataFrame, passages: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with the reported passages cut out of the texts; every row and other column stays."""
-    spans = passages.groupBy(F.col("doc_id").alias("__id")).agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("__spans"))
+    """docs with the reported passages cut out of the texts; every row and other column stays, whatever its name."""
+    key, held = unused(docs, "passage_id"), unused(docs, "passage_spans")
+    spans = passages.groupBy(F.col("doc_id").alias(key)).agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias(held))
     at, names = docs.columns.index(text_col), docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in blocks(batches):
             texts = []
-            for text, cut in zip(b.column(at).to_pylist(), b.column("__spans").to_pylist()):
+            for text, cut in zip(b.column(at).to_pylist(), b.column(len(names)).to_pylist()):
                 if text and cut:
                     data, parts, pos = text.encode("utf-8", "surrogatepass"), [], 0
                     for s in cut:
@@ -277,7 +278,7 @@ def without_passages(docs: DataFrame, passages: DataFrame, id_col: str = "doc_id
                 texts.append(text)
             yield pa.record_batch([pa.array(texts, pa.string()) if i == at else b.column(i) for i in range(len(names))], names)
 
-    joined = docs.join(spans, F.col(id_col).cast("long") == F.col("__id"), "left").select(*names, "__spans")
+    joined = docs.join(spans, F.col(id_col).cast("long") == F.col(key), "left").select(*[F.col(f"`{c}`") for c in names], held)
     return joined.mapInArrow(run, docs.schema)
 
 
