@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from ..operators import lzblocks
 from ..operators import streams as s
 from .fixtures import view
 from .registry import case
@@ -96,3 +97,37 @@ case("hap_chunk_split", _SF + "chunk long, first_block long, n_blocks long", lam
 case("hap_dispatch", "event_id long, texture string, wrapping string, error string", lambda t: s.dispatch_sections(t("kinds")),
      """with d as (select * from (values (171, 'dxt1', 'raw'), (187, 'dxt1', 'snappy'), (203, 'dxt1', 'chunked'), (174, 'dxt5', 'raw'), (190, 'dxt5', 'snappy'), (206, 'dxt5', 'chunked'), (175, 'ycocg', 'raw'), (191, 'ycocg', 'snappy'), (207, 'ycocg', 'chunked'), (161, 'bc4', 'raw'), (177, 'bc4', 'snappy'), (193, 'bc4', 'chunked')) as t(kind, texture, wrapping))
         select event_id, texture, wrapping, if(texture is null, 'unsupported section', null) as error from {kinds} k left join d on d.kind = k.kind""")
+
+# each user's events, and all of them as one long stream, as blocks whose parts come again at various distances
+
+
+def _lz_rows(d: str) -> str:
+    row = "select {id} as source_id, {n} as n, concat(printf('%016x', {n} {d} 3 % 4 + {n} % 1000 {d} 997), printf('%08x', event_id * 7 % {k} + event_id * 3 % 5), printf('%08x', event_id {d} 2 % {m})) as block from {rows}"
+    return row.format(id="source_id", n="frame_no", d=d, k=3, m=2, rows="{packets_meta}") + " union all " + row.format(id="-1", n="event_id", d=d, k=450, m=40, rows="{events}")
+
+
+view("lz_blocks", _lz_rows("div"), _lz_rows("//"))
+
+
+def _lz(alpha: bool) -> str:
+    """The stream in SQL: last equal parts by lag, runs as islands, operations numbered and packed."""
+    back = lambda d, literal: f"case when {d} is null then {literal} when {d} >= 258 then printf('%02x%02x', ({d} - 258) % 256, ({d} - 258) // 256) when {d} >= 2 then printf('%02x', {d} - 2) else '' end"
+    op = lambda d: f"case when {d} is null then 0 when {d} >= 258 then 3 when {d} >= 2 then 2 else 1 end"
+    far = lambda c: f"case when n - lag(n) over (partition by source_id, {c} order by n) <= 65793 then n - lag(n) over (partition by source_id, {c} order by n) end as d_{c}"
+    runs = "case when run < 255 then printf('%02x', run) else 'ff' || repeat('ffff', (run - 255) // 65535) || printf('%02x%02x', (run - 255) % 65535 % 256, (run - 255) % 65535 // 256) end"
+    alphas = f"""select source_id, n, 0 as k, 1 as op, {runs} as operand from (select source_id, n, len - 2 as run from i where place = 2)
+        union all select source_id, n, 0, case when d_alpha <= 65537 then 2 else 3 end, case when d_alpha <= 65537 then printf('%02x%02x', (d_alpha - 2) % 256, (d_alpha - 2) // 256) else alpha end from i where place = 1 and n > 0 union all """
+    return f"""with b as (select source_id, n, block[1:16] as alpha, block[{17 if alpha else 1}:{32 if alpha else 16}] as colour, block[{17 if alpha else 1}:{24 if alpha else 8}] as ends, block[{25 if alpha else 9}:{32 if alpha else 16}] as codes, block from {{lz}}),
+        d as (select *, {far("alpha")}, {far("colour")}, {far("ends")}, {far("codes")}, (alpha is distinct from lag(alpha) over (partition by source_id order by n))::int as new from b),
+        r as (select *, sum(new) over (partition by source_id order by n) as island from d), i as (select *, count(*) over (partition by source_id, island) as len, row_number() over (partition by source_id, island order by n) as place from r),
+        o as ({alphas if alpha else ""} select source_id, n, 1 as k, {op("d_colour")} as op, {back("d_colour", "''")} as operand from i where n > 0
+            union all select source_id, n, 2, {op("d_ends")}, {back("d_ends", "ends")} from i where n > 0 and d_colour is null union all select source_id, n, 3, {op("d_codes")}, {back("d_codes", "codes")} from i where n > 0 and d_colour is null),
+        s as (select *, row_number() over (partition by source_id order by n, k) - 1 as seq from o),
+        w as (select source_id, seq // 16 as word, sum(op * 4 ** (seq % 16))::bigint as bits, string_agg(operand, '' order by seq) as operands from s group by all),
+        t as (select source_id, string_agg(printf('%02x%02x%02x%02x', bits % 256, bits // 256 % 256, bits // 65536 % 256, bits // 16777216) || operands, '' order by word) as words from w group by source_id)
+        select b.source_id, b.block || coalesce(words, '') as data from b left join t on t.source_id = b.source_id where n = 0"""
+
+
+view("lz_colours", "select source_id, n, substring(block, 17) as block from {lz_blocks}", "select source_id, n, block[17:] as block from {lz_blocks}")
+case("dxt1_lz", "source_id long, data string", lambda t: lzblocks.encode_stream(t("lz_colours"), "source_id"), _lz(False).replace("{lz}", "{lz_colours}"))
+case("dxt5_lz", "source_id long, data string", lambda t: lzblocks.encode_stream(t("lz_blocks"), "source_id", alpha=True), _lz(True).replace("{lz}", "{lz_blocks}"))
