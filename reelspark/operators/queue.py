@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import Value, clamp, col, idiv, lookup
+from ..functions import Value, clamp, col, idiv, lookup, unused
 from .naming import frame_of_timecode, trimmed
 
 # Formats by quality tier and alpha, and the tier of each.
@@ -30,6 +30,37 @@ def job_states(events: DataFrame) -> DataFrame:
     return by_job.select("job_id", status.alias("status"), F.when(F.col("end") == "cancel", "Cancelled").alias("error"))
 
 
+def serial_runs(jobs: DataFrame, queue: str = "queue_id", order: str = "position") -> DataFrame:
+    """start_ms, end_ms, status and error of jobs that each queue runs one after another, in order.
+
+    arrival_ms: when a job is there; cost_ms: how long it takes. cancelled: while it
+    waited, so it never starts and takes no time. stopped_ms: cancelled so long after
+    its start, if that is before its end. fails: ends with an error. stop_all_ms: when
+    its whole queue is cancelled, which ends the job that runs and keeps later ones
+    from starting. Nulls of these mean never, and 0 for times. status is done or failed,
+    error what went wrong; jobs that never start have no times.
+
+    A job starts at its arrival or at the end before it, whichever is later. Unrolled,
+    that is the time spent before it and the largest of (arrival - time spent before)
+    up to it: two running windows of a queue, no job-by-job loop.
+    """
+    number = lambda c: F.coalesce(F.col(c).cast("long"), F.lit(0).cast("long"))
+    runs, stopped = ~F.coalesce("cancelled", F.lit(False)), F.col("stopped_ms").cast("long")
+    halted = F.coalesce(stopped < number("cost_ms"), F.lit(False))
+    spent, before, slack = (unused(jobs, c) for c in ("spent", "before", "slack"))
+    w = Window.partitionBy(queue).orderBy(order)
+    rows = jobs.withColumn(spent, F.when(runs, F.when(halted, F.greatest(stopped, F.lit(0))).otherwise(number("cost_ms"))).otherwise(0))
+    rows = rows.withColumn(before, F.coalesce(F.sum(spent).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    rows = rows.withColumn(slack, F.max(F.when(runs, number("arrival_ms") - F.col(before))).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    start, stop = F.col(before) + F.col(slack), F.col("stop_all_ms").cast("long")
+    end = start + F.col(spent)
+    started = runs & F.coalesce(start < stop, F.lit(True))
+    cut = F.coalesce(stop < end, F.lit(False))
+    error = F.when(~started | cut | halted, "Cancelled").when(F.coalesce("fails", F.lit(False)), "Failed")
+    made = {"start_ms": F.when(started, start), "end_ms": F.when(started, F.when(cut, stop).otherwise(end)), "status": F.when(error.isNull(), "done").otherwise("failed"), "error": error}
+    return rows.withColumns(made).drop(spent, before, slack)
+
+
 def collision_actions(jobs: DataFrame) -> DataFrame:
     """action of each job of a session, in order of position: proceed, rename, skip, cancel or not_run.
 

@@ -200,3 +200,21 @@ case("text_commit", "event_id long, value string, changed boolean", lambda t: q.
      "with r as (select *, regexp_replace(text, '^\\s+|\\s+$', '', 'g') as cut from {renames}) select event_id, if(cut = '', current, cut) as value, cut not in ('', current) as changed from r")
 case("preview_loadable", "job_id long, loadable boolean, writer string", lambda t: q.previewable(t("jobs").withColumn("version", F.when(F.col("job_id") % 2 == 0, "1.1"))),
      "select job_id, status in ('queued', 'encoding', 'done') as loadable, if(job_id % 2 = 0, 'reelspark 1.1', 'reelspark') as writer from {jobs}")
+
+view(
+    "queued_runs",
+    """select o_orderkey as job_id, o_custkey % 40 as queue_id, row_number() over (partition by o_custkey % 40 order by o_orderkey) as position, (o_orderkey * 7919) % 90000 as arrival_ms, 100 + o_orderkey % 700 as cost_ms, o_orderkey % 9 = 0 as cancelled,
+       case when o_orderkey % 5 = 0 then o_orderkey % 500 end as stopped_ms, o_orderkey % 11 = 0 as fails, case when o_custkey % 40 % 4 = 1 then 100000 + o_custkey % 40 * 50 end as stop_all_ms from {orders}""",
+)
+case(
+    "serial_run",
+    "job_id long, start_ms long, end_ms long, status string, error string",
+    lambda t: q.serial_runs(t("queued_runs")),
+    # one job after another, as the queue would run them
+    """with recursive j as (select *, not cancelled as runs, if(coalesce(stopped_ms, cost_ms) < cost_ms, stopped_ms, cost_ms) as takes from {queued_runs}),
+       r as (select queue_id, 0::bigint as position, 0::bigint as free, null::bigint as began, null::bigint as ended from j group by queue_id
+             union all select j.queue_id, j.position, if(runs, greatest(free, arrival_ms) + takes, free), if(runs, greatest(free, arrival_ms), null), if(runs, greatest(free, arrival_ms) + takes, null) from r join j on j.queue_id = r.queue_id and j.position = r.position + 1),
+       f as (select j.*, if(began < coalesce(stop_all_ms, 9e15), began, null) as b, ended from r join j on j.queue_id = r.queue_id and j.position = r.position)
+       select job_id, b as start_ms, if(b is null, null, least(ended, coalesce(stop_all_ms, ended))) as end_ms, if(b is null or ended > coalesce(stop_all_ms, 9e15) or takes < cost_ms or fails, 'failed', 'done') as status,
+         case when b is null or ended > coalesce(stop_all_ms, 9e15) or takes < cost_ms then 'Cancelled' when fails then 'Failed' end as error from f""",
+)

@@ -1,6 +1,7 @@
 """Every media query against DuckDB SQL of its own, and golden rows of operators on tables made here."""
 
 import math
+import random
 import threading
 
 import duckdb
@@ -342,3 +343,28 @@ def test_entries_without_content_read_nothing(spark):
     contents = spark.createDataFrame([(1, b"abcdef"), (3, b"x")], "source_id long, content binary")
     got = container.read_packets(index, contents).orderBy("source_id").collect()
     assert [(r.source_id, bytes(r.packet), r.actual, r.short_read) for r in got] == [(1, b"abcd", 4, False), (2, b"", 0, True)]
+
+
+def test_serial_runs_against_a_simulation(spark):
+    rnd = random.Random(4)
+    maybe = lambda p, v: v if rnd.random() < p else None
+    jobs, want = [], {}
+    for queue_ in range(60):
+        stop_all, free = maybe(0.4, rnd.randrange(400)), 0
+        for place in range(rnd.randrange(12)):
+            arrival, cost = rnd.choice((None, rnd.randrange(300))), rnd.choice((None, 0, rnd.randrange(80)))
+            cancelled, stopped, fails = maybe(0.5, rnd.random() < 0.3), maybe(0.3, rnd.randrange(90)), maybe(0.5, rnd.random() < 0.3)
+            jobs.append((queue_, place, arrival, cost, cancelled, stopped, fails, stop_all))
+            start, end, error = max(free, arrival or 0), None, "Cancelled"
+            if not cancelled:
+                takes = min(cost or 0, stopped) if stopped is not None else cost or 0
+                free = end = start + takes
+                error = "Cancelled" if takes < (cost or 0) else "Failed" if fails else None
+            if cancelled or (stop_all is not None and start >= stop_all):
+                start, end, error = None, None, "Cancelled"
+            elif stop_all is not None and end > stop_all:
+                end, error = stop_all, "Cancelled"
+            want[queue_, place] = (start, end, "failed" if error else "done", error)
+    df = spark.createDataFrame(jobs, "queue_id int, position int, arrival_ms int, cost_ms long, cancelled boolean, stopped_ms int, fails boolean, stop_all_ms int")
+    got = {(r.queue_id, r.position): (r.start_ms, r.end_ms, r.status, r.error) for r in queue.serial_runs(df.withColumn("before", F.lit(1))).collect()}
+    assert got == want
