@@ -59,7 +59,9 @@ def decode_stats(decodes: DataFrame, interval: float = 1.0) -> DataFrame:
 
     decodes: player_id, seconds, ms, dropped (requests dropped since the
     decode before). Each player's decodes pass in order through one task, which
-    holds only the sums since the last report.
+    holds only the sums since the last report. A report depends on when the last one
+    was, and so on all before it: no window tells that, and a loop over a player's
+    decodes is its price.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

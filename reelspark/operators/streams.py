@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import Value, ascii_at, col, idiv, le_bytes, le_int, lookup
+from ..functions import Value, ascii_at, col, idiv, le_bytes, le_int, let, lookup
 from .container import legacy_format
 
 # Low and high halves of a section's type byte.
@@ -13,6 +13,7 @@ TEXTURES = {0xB: "dxt1", 0xE: "dxt5", 0xF: "ycocg", 0x1: "bc4"}
 WRAPPINGS = {0xA: "raw", 0xB: "snappy", 0xC: "chunked"}
 COMPOSITE = 0x0D
 LONG_RUN = 258
+RAW = 0x0A
 
 
 def last_matches(rows: DataFrame, key: str, *streams: str, order: str = "n") -> DataFrame:
@@ -142,6 +143,81 @@ def chunk_split(frames: DataFrame) -> DataFrame:
     return rows.select(*frames.columns, F.inline(parts))
 
 
+def chunked_sections(frames: DataFrame, blocks: str = "blocks", kind: Value = 0xCB) -> DataFrame:
+    """section (binary) and error of frames with blocks (binary), block_size and chunks: a section of that kind whose payload is a table of chunks and then these, as they are.
+
+    The table is a section 1 of a section 2, a byte for each chunk that tells it isn't
+    packed, and a section 3, four bytes with each chunk's size; sizes are whole blocks
+    as in chunk_split. error: fewer than two chunks, or blocks cut short.
+    """
+    have, size = F.coalesce(F.octet_length(blocks), F.lit(0)).cast("long"), F.col("block_size").cast("long")
+    error = F.when(F.coalesce(F.col("chunks"), F.lit(0)) < 2, "fewer than two chunks").when((F.coalesce(size, F.lit(0)) < 1) | (have % size != 0), "no whole blocks")
+    count = idiv(have, size)
+    n = F.least(F.col("chunks").cast("long"), F.greatest(F.lit(1), count))
+
+    def section(k: Column) -> Column:
+        share = idiv(count, k) * size
+        sizes = F.array_join(F.transform(F.sequence(F.lit(1).cast("long"), k), lambda i: le_bytes(F.when(i < k, share).otherwise(have - (k - 1) * share), 4)), "")
+        table = F.concat(section_header(k, 2), F.repeat(F.lit(f"{RAW:02x}"), k.cast("int")), section_header(k * 4, 3), sizes)
+        inner = let(table, lambda t: F.concat(section_header(idiv(F.length(t), 2), 1), t, F.lower(F.hex(F.coalesce(F.col(blocks), F.lit(b""))))))
+        return let(inner, lambda x: F.concat(section_header(idiv(F.length(x), 2), kind), x))
+
+    return frames.withColumn("error", error).withColumn("section", F.when(F.col("error").isNull(), F.unhex(let(n, section))))
+
+
+def chunk_tables(sections: DataFrame, data: str = "payload") -> DataFrame:
+    """chunks (array of chunk, packing, file_offset and size) and error of payloads of chunked sections.
+
+    The table's sections may come in any order, and those of other kinds don't count;
+    of two alike the last does. packing is raw or snappy; what is packed stays so.
+    error: no table, one that is cut off, as many kinds as sizes missing, chunks beyond
+    the payload, or a packing that isn't known; null data is too small.
+    """
+    outer = sections.withColumn("data", F.coalesce(F.col(data), F.lit(b""))) if data != "data" else sections
+    rows = section_headers(outer).withColumnRenamed("error", "__head_error")
+    body = F.when(F.col("__head_error").isNull() & (F.col("kind") == 1), F.substring(F.col("data"), F.col("payload_at") + 1, F.col("payload_size").cast("int")))
+    empty = F.struct(F.lit(0).cast("long").alias("at"), F.lit(b"").alias("kinds"), F.lit(b"").alias("sizes"), F.lit(None).cast("string").alias("error"))
+
+    def read(t: Column) -> Column:
+        """What a table's sections say, one after another; each has a head of four bytes at least."""
+        have = F.octet_length(t).cast("long")
+
+        def step(s: Column, _: Column) -> Column:
+            byte = lambda k: F.conv(F.hex(F.substring(t, (s["at"] + k + 1).cast("int"), F.lit(1))), 16, 10).cast("long")
+            little = lambda first, n: sum((byte(first + k) * 256**k for k in range(1, n)), byte(first))
+
+            def moved(h: Column) -> Column:
+                content = F.substring(t, (s["at"] + h.head + 1).cast("int"), h["size"].cast("int"))
+                fine = h.error.isNull()
+                return F.struct((s["at"] + h.head + F.coalesce(h["size"], F.lit(0))).cast("long").alias("at"), F.when(fine & (h.kind == 2), content).otherwise(s.kinds).alias("kinds"), F.when(fine & (h.kind == 3), content).otherwise(s.sizes).alias("sizes"), h.error.alias("error"))
+
+            def checked(h: Column) -> Column:
+                wrong = F.when(s["at"] + 4 > have, "table too small").when(s["at"] + h.head > have, "table's long head cut off").when(s["at"] + h.head + h["size"] > have, "table truncated")
+                return let(F.struct(h.head.alias("head"), h["size"].alias("size"), h.kind.alias("kind"), wrong.alias("error")), moved)
+
+            sized = lambda short: F.struct(F.when(F.coalesce(short, F.lit(0)) == 0, 8).otherwise(4).cast("long").alias("head"), F.when(short == 0, little(4, 4)).otherwise(short).alias("size"), byte(3).alias("kind"))
+            return F.when(s.error.isNotNull() | (s["at"] >= have), s).otherwise(let(let(little(0, 3), sized), checked))
+
+        return F.aggregate(F.sequence(F.lit(0).cast("long"), idiv(have, 4)), empty, step)
+
+    def listed(r: Column) -> Column:
+        """The chunks behind the table, each at the end of the one before."""
+        size = lambda k: F.conv(F.concat(*[F.hex(F.substring(r.sizes, (k * 4 + 4 - i).cast("int"), F.lit(1))) for i in range(4)]), 16, 10).cast("long")
+        kind = lambda k: lookup({"0A": "raw", "0B": "snappy"}, F.hex(F.substring(r.kinds, (k + 1).cast("int"), F.lit(1))))
+        chunks = F.transform(F.sequence(F.lit(0), F.octet_length(r.kinds) - 1), lambda k: F.struct(k.alias("chunk"), kind(k).alias("packing"), size(k).alias("size")))
+        start = F.struct(F.col("__stop").alias("at"), F.array().cast("array<struct<chunk:int,packing:string,file_offset:bigint,size:bigint>>").alias("all"))
+        return F.aggregate(chunks, start, lambda s, c: F.struct((s["at"] + c["size"]).alias("at"), F.concat(s["all"], F.array(F.struct(c.chunk.alias("chunk"), c.packing.alias("packing"), s["at"].alias("file_offset"), c["size"].alias("size")))).alias("all")))
+
+    def told(r: Column) -> Column:
+        wrong = F.coalesce(r.error, F.when((F.octet_length(r.kinds) == 0) | (F.octet_length(r.kinds) != idiv(F.octet_length(r.sizes), 4)), "kinds and sizes differ"))
+        return F.when(wrong.isNotNull(), F.struct(wrong.alias("error"), F.lit(None).cast("bigint").alias("at"), F.lit(None).cast("array<struct<chunk:int,packing:string,file_offset:bigint,size:bigint>>").alias("all"))).otherwise(let(listed(r), lambda p: F.struct(F.lit(None).cast("string").alias("error"), p["at"].alias("at"), p["all"].alias("all"))))
+
+    # columns are bound before lambdas use them, as the optimizer would otherwise compute them again within
+    rows = rows.withColumn("__stop", (F.col("payload_at") + F.col("payload_size")).cast("long")).withColumn("__told", let(let(body, read), told))
+    error = F.coalesce(F.col("__head_error"), F.when(F.col("kind") != 1, "no table of chunks"), F.col("__told.error"), F.when(F.exists("__told.all", lambda c: c.packing.isNull()), "unknown packing"), F.when(F.col("__told.at") > F.octet_length("data"), "chunks beyond the payload"))
+    return rows.withColumn("__error", error).select(*sections.columns, F.when(F.col("__error").isNull(), F.col("__told.all")).alias("chunks"), F.col("__error").alias("error"))
+
+
 def dispatch_sections(sections: DataFrame, kind: Value = "kind") -> DataFrame:
     """texture and wrapping of a section's type byte; error for any but the twelve that are known."""
     k = col(kind)

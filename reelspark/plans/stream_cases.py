@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from ..operators import lzblocks
 from ..operators import streams as s
+from .container_cases import _S
 from .fixtures import view
 from .registry import case
 
@@ -131,3 +132,35 @@ def _lz(alpha: bool) -> str:
 view("lz_colours", "select source_id, n, substring(block, 17) as block from {lz_blocks}", "select source_id, n, block[17:] as block from {lz_blocks}")
 case("dxt1_lz", "source_id long, data string", lambda t: lzblocks.encode_stream(t("lz_colours"), "source_id"), _lz(False).replace("{lz}", "{lz_colours}"))
 case("dxt5_lz", "source_id long, data string", lambda t: lzblocks.encode_stream(t("lz_blocks"), "source_id", alpha=True), _lz(True).replace("{lz}", "{lz_blocks}"))
+
+view(
+    "block_frames",
+    "select source_id, unhex(rpad(hex(content), cast(ceil(octet_length(content) / 8.0) * 16 as int), '0')) as blocks, 8 as block_size, 2 + source_id % 7 as chunks from {contents} where content is not null",
+    "select source_id, unhex(rpad(hex(content), (ceil(octet_length(content) / 8.0) * 16)::int, '0')) as blocks, 8 as block_size, 2 + source_id % 7 as chunks from {contents} where content is not null",
+)
+_CHUNKED = """(select *, least(chunks, greatest(1, size // 8)) as n, size // 8 // least(chunks, greatest(1, size // 8)) * 8 as share from (select *, octet_length(blocks) as size from {block_frames}))"""
+_SECTION_HEAD = lambda v, kind: f"case when {v} between 1 and 16777215 then printf('%02x%02x%02x{kind:02x}', {v} % 256, {v} // 256 % 256, {v} // 65536) else printf('000000{kind:02x}%02x%02x%02x%02x', {v} % 256, {v} // 256 % 256, {v} // 65536 % 256, {v} // 16777216) end"
+_CHUNK_SIZES = "list_transform(range(n), lambda k: if(k < n - 1, share, size - (n - 1) * share))"
+case(
+    "hap_chunked",
+    _S + "n long, bytes long, digest string, start string",
+    lambda t: s.chunked_sections(t("block_frames")).select("source_id", F.least("chunks", F.greatest(F.lit(1), F.expr("octet_length(blocks) div 8"))).alias("n"), F.octet_length("section").alias("bytes"), F.md5("section").alias("digest"), F.lower(F.hex(F.expr("substring(section, 1, 40)"))).alias("start")),
+    f"""with t as (select *, {_SECTION_HEAD("n", 2)} || repeat('0a', n) || {_SECTION_HEAD("n * 4", 3)} || array_to_string(list_transform({_CHUNK_SIZES}, lambda v: printf('%02x%02x%02x%02x', v::bigint % 256, v::bigint // 256 % 256, v::bigint // 65536 % 256, v::bigint // 16777216)), '') as tab from {_CHUNKED}),
+       i as (select *, {_SECTION_HEAD("(length(tab) // 2)", 1)} || tab || lower(hex(blocks)) as inside from t), o as (select *, {_SECTION_HEAD("(length(inside) // 2)", 0xCB)} || inside as section from i)
+       select source_id, n, length(section) // 2 as bytes, md5(unhex(section)) as digest, section[1:80] as start from o""",
+)
+
+
+def _read_chunks(t):
+    # kept once, as a file of sections would be; else each byte that is read would build its section again
+    written = s.section_headers(s.chunked_sections(t("block_frames")).select("source_id", F.col("section").alias("data")).persist())
+    read = s.chunk_tables(written.select("source_id", F.expr("substring(data, payload_at + 1)").alias("payload")).persist())
+    return read.select("source_id", "payload", F.inline("chunks")).select("source_id", "chunk", "packing", "size", F.md5(F.expr("substring(payload, cast(file_offset as int) + 1, cast(size as int))")).alias("digest"))
+
+
+case(
+    "hap_chunk_tables",
+    _S + "chunk long, packing string, size long, digest string",
+    _read_chunks,
+    f"select source_id, k as chunk, 'raw' as packing, sizes[k + 1] as size, md5(unhex(hex(blocks)[2 * k * share + 1:2 * (k * share + sizes[k + 1])])) as digest from (select *, {_CHUNK_SIZES} as sizes, unnest(range(n)) as k from {_CHUNKED})",
+)
