@@ -41,8 +41,8 @@ BROADCAST_IDS = 1_000_000
 PACK_TOKENS, SHARD_TOKENS = 1 << 20, 1 << 21
 #: Documents whose shares of losses travel and are summed together.
 BLOCK_DOCS = 4096
-#: At most so many words are dealt by (h, w).
-HOT_WORDS = 4000
+#: At most so many words are dealt by (h, w), some 6 MB that go with the tasks' code. A word that isn't has at most this part of all occurrences, and they are in one shard.
+HOT_WORDS = 1 << 18
 #: In place of a word before a text's first.
 START = np.zeros(1, np.uint64)
 PACKED = [("w", "<u8"), ("h", "<u8"), ("doc", "<u4"), ("n", "<u4"), ("followed", "<u4"), ("good", "u1")]
