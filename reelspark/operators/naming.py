@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import Value, col, idiv, lookup
+from ..functions import Value, col, idiv, lookup, unused
 
 # What a codec is called in names, the containers it may go into, and the multiple that its sides must be.
 CODEC_TOKENS = {
@@ -68,12 +68,13 @@ def collision_free(wanted: DataFrame, files: DataFrame) -> DataFrame:
     """wanted (dir, stem, ext; others stay) with name: stem.ext where files (dir, name) have none, else stem_N.ext with N one above the largest number taken, 2 at least; gaps stay. Numbers beyond 64 bits don't count."""
     base = F.concat("stem", F.when(F.col("ext") != "", F.concat(F.lit("."), "ext")).otherwise(""))
     pattern = "^(.*)_([0-9]+)(?:[.]([^.]+))?$"
+    plain, taken, most = (unused(wanted, c) for c in ("base_name", "is_taken", "top_number"))
     numbered = files.select("dir", *[F.regexp_extract("name", pattern, k).alias(n) for k, n in ((1, "stem"), (2, "n"), (3, "ext"))])
-    top = numbered.where("n <> ''").groupBy("dir", "stem", "ext").agg(F.max(F.expr("try_cast(n as bigint)")).alias("__top"))
-    held = files.select("dir", F.col("name").alias("__base"), F.lit(True).alias("__held")).distinct()
-    rows = wanted.withColumn("__base", base).join(held, ["dir", "__base"], "left").join(top, ["dir", "stem", "ext"], "left")
-    free = F.concat("stem", F.lit("_"), (F.greatest(F.lit(1), F.coalesce("__top", F.lit(1))) + 1).cast("string"), F.when(F.col("ext") != "", F.concat(F.lit("."), "ext")).otherwise(""))
-    return rows.withColumn("name", F.when(F.col("__held"), free).otherwise(F.col("__base"))).drop("__base", "__held", "__top")
+    top = numbered.where("n <> ''").groupBy("dir", "stem", "ext").agg(F.max(F.expr("try_cast(n as bigint)")).alias(most))
+    held = files.select("dir", F.col("name").alias(plain), F.lit(True).alias(taken)).distinct()
+    rows = wanted.withColumn(plain, base).join(held, ["dir", plain], "left").join(top, ["dir", "stem", "ext"], "left")
+    free = F.concat("stem", F.lit("_"), (F.greatest(F.lit(1), F.coalesce(most, F.lit(1))) + 1).cast("string"), F.when(F.col("ext") != "", F.concat(F.lit("."), "ext")).otherwise(""))
+    return rows.withColumn("name", F.when(F.col(taken), free).otherwise(F.col(plain))).drop(plain, taken, most)
 
 
 def rounded_rate(fps: Value) -> Column:

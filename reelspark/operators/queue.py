@@ -72,12 +72,13 @@ def collision_actions(jobs: DataFrame) -> DataFrame:
     asks = F.col("taken") & (F.col("policy") == "ask")
     # nothing is asked once an answer holds for all, so the first such answer is the one
     answer = F.when(asks & F.col("for_all") & (F.col("decision") != "cancel"), F.col("decision"))
-    rows = jobs.withColumn("__held", F.first(answer, ignorenulls=True).over(w))
-    asked = asks & F.col("__held").isNull()
-    rows = rows.withColumn("__over", F.coalesce(F.bool_or(asked & (F.col("decision") == "cancel")).over(w), F.lit(False)))
-    chosen = F.coalesce("__held", F.when(asks, F.col("decision")).otherwise(F.col("policy")))
-    action = F.when(F.col("__over"), "not_run").when(~F.col("taken") | (chosen == "overwrite"), "proceed").otherwise(chosen)
-    return rows.withColumn("action", action).drop("__held", "__over")
+    held, over = unused(jobs, "held_answer"), unused(jobs, "is_over")
+    rows = jobs.withColumn(held, F.first(answer, ignorenulls=True).over(w))
+    asked = asks & F.col(held).isNull()
+    rows = rows.withColumn(over, F.coalesce(F.bool_or(asked & (F.col("decision") == "cancel")).over(w), F.lit(False)))
+    chosen = F.coalesce(held, F.when(asks, F.col("decision")).otherwise(F.col("policy")))
+    action = F.when(F.col(over), "not_run").when(~F.col("taken") | (chosen == "overwrite"), "proceed").otherwise(chosen)
+    return rows.withColumn("action", action).drop(held, over)
 
 
 def format_of(tier: Value, alpha: Value) -> Column:
@@ -118,12 +119,13 @@ def selected_after_removal(jobs: DataFrame, queue: str = "queue_id", order: str
 def merge_probes(jobs: DataFrame, probes: DataFrame) -> DataFrame:
     """Jobs with width, height, fps and frame_count filled in from probes (job_id, the same, error and typed); what is known stays. A typed error fails the job, another leaves it as it is."""
     fields = ["width", "height", "fps", "frame_count"]
-    found = probes.select("job_id", *[F.col(c).alias(f"__{c}") for c in fields], F.col("error").alias("__error"), F.col("typed").alias("__typed"))
-    rows = jobs.join(found, "job_id", "left")
-    failed = F.coalesce(F.col("__error").isNotNull() & F.col("__typed"), F.lit(False))
-    filled = {c: F.when(F.col("__error").isNull(), F.coalesce(c, f"__{c}")).otherwise(F.col(c)) for c in fields}
-    out = {"status": F.when(failed, "failed").otherwise(F.col("status")), "message": F.when(failed, F.concat(F.lit("Unusable source: "), "__error"))}
-    return rows.withColumns(filled | out).select(*jobs.columns, "message")
+    probe = unused(jobs, "probe")
+    found = probes.select("job_id", F.struct(*fields, "error", "typed").alias(probe))
+    rows, of = jobs.join(found, "job_id", "left"), lambda c: F.col(f"{probe}.{c}")
+    failed = F.coalesce(of("error").isNotNull() & of("typed"), F.lit(False))
+    filled = {c: F.when(of("error").isNull(), F.coalesce(F.col(c), of(c))).otherwise(F.col(c)) for c in fields}
+    out = {"status": F.when(failed, "failed").otherwise(F.col("status")), "message": F.when(failed, F.concat(F.lit("Unusable source: "), of("error")))}
+    return rows.withColumns(filled | out).select(*[c for c in jobs.columns if c != "message"], "message")
 
 
 def edit_trim(edits: DataFrame) -> DataFrame:
@@ -165,14 +167,16 @@ def audio_master_frames(ticks: DataFrame, player: str = "player_id", order: str
     ended = ~F.col("looping") & (F.col("time") >= F.col("duration") - 0.5 / F.col("fps"))
     frame = F.when(ended, last).otherwise(clamp(F.round(F.col("time") * F.col("fps")).cast("long"), 0, F.col("total") - 1))
     w = Window.partitionBy(player).orderBy(order)
-    rows = ticks.where("fps > 0").withColumn("frame", frame).withColumn("__before", F.lag("frame").over(w))
-    return rows.where("__before is null or __before <> frame").drop("__before")
+    before = unused(ticks, "frame_before")
+    rows = ticks.where("fps > 0").withColumn("frame", frame).withColumn(before, F.lag("frame").over(w))
+    return rows.where(F.col(before).isNull() | (F.col(before) != F.col("frame"))).drop(before)
 
 
 def deliver_opened(opened: DataFrame, receivers: DataFrame, session: str = "session_id") -> DataFrame:
     """opened (session, seq) with delivered_at and nth: what came before the session's receiver (installed_at) waits for it and is handed over once, in order; null without one."""
-    rows = opened.join(receivers.groupBy(session).agg(F.min("installed_at").alias("__at")), session, "left")
-    rows = rows.withColumn("delivered_at", F.when(F.col("__at").isNotNull(), F.greatest("seq", "__at"))).drop("__at")
+    at = unused(opened, "first_receiver")
+    rows = opened.join(receivers.groupBy(session).agg(F.min("installed_at").alias(at)), session, "left")
+    rows = rows.withColumn("delivered_at", F.when(F.col(at).isNotNull(), F.greatest("seq", at))).drop(at)
     nth = F.row_number().over(Window.partitionBy(session).orderBy("delivered_at", "seq"))
     return rows.withColumn("nth", F.when(F.col("delivered_at").isNotNull(), nth))
 

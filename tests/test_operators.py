@@ -368,3 +368,12 @@ def test_serial_runs_against_a_simulation(spark):
     df = spark.createDataFrame(jobs, "queue_id int, position int, arrival_ms int, cost_ms long, cancelled boolean, stopped_ms int, fails boolean, stop_all_ms int")
     got = {(r.queue_id, r.position): (r.start_ms, r.end_ms, r.status, r.error) for r in queue.serial_runs(df.withColumn("before", F.lit(1))).collect()}
     assert got == want
+
+
+def test_columns_of_any_name_stay(spark):
+    wanted = spark.createDataFrame([("d", "a", "mov", "mine", "yours")], "dir string, stem string, ext string, __base string, is_taken string")
+    files = spark.createDataFrame([("d", "a.mov"), ("d", "a_7.mov")], "dir string, name string")
+    got = naming.collision_free(wanted, files).first()
+    assert (got.name, got["__base"], got.is_taken) == ("a_8.mov", "mine", "yours")
+    jobs = spark.createDataFrame([(1, 0, True, "ask", "skip", True, "x"), (1, 1, True, "ask", None, False, "y")], "session_id long, position long, taken boolean, policy string, decision string, for_all boolean, __held string")
+    assert [(r.action, r["__held"]) for r in queue.collision_actions(jobs).orderBy("position").collect()] == [("skip", "x"), ("skip", "y")]
