@@ -8,8 +8,12 @@ gathered; only assemble, for files of bounded size, puts parts together.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, LongType, StringType, StructType
 
 from ..functions import Value, col, idiv, let, unused
 from .container import stco_offsets, valid_fourcc
@@ -132,22 +136,26 @@ def assemble(parts: DataFrame) -> DataFrame:
     return listed.select("source_id", F.unhex(F.array_join(F.transform("parts", lambda p: F.hex(p.part)), "")).alias("content"))
 
 
-_NUMBER = "cast(conv(hex(substring(rest, {at}, {n})), 16, 10) as decimal(20))"
-_WALK = f"""
-with recursive place(source_id, parent, start, rest) as (
-  select source_id, '', 0L, content from {{contents}} where octet_length(content) >= 8
-  union all
-  select source_id, next.parent, next.start, next.rest from (
-    select source_id, explode(filter(array(
-        if(kind in ({", ".join(f"'{c}'" for c in CONTAINERS)}), named_struct('parent', concat(parent, '/', kind), 'start', start + head, 'rest', substring(rest, head + 1, cast(total as int) - head)), null),
-        named_struct('parent', parent, 'start', start + cast(total as bigint), 'rest', substring(rest, cast(total as int) + 1))
-      ), x -> x is not null and octet_length(x.rest) >= 8)) as next
-    from (select *, {{total}} as total, {{head}} as head, {{kind}} as kind from place)
-    where total >= head and total <= octet_length(rest)
-  )
-)
-select * from place
-"""
+#: Boxes, and bytes of their bodies, that a task hands on at once.
+BOXES_AT_ONCE, BODIES_AT_ONCE = 10_000, 1 << 24
+
+
+def _opened(data: memoryview) -> Iterator[tuple[str, str, int, int, int, bytes | None, str | None]]:
+    """path, kind, start, head, size, body and error of the boxes in a content; each range's boxes in order."""
+    ranges = [("", 0, len(data))]
+    while ranges:
+        parent, at, end = ranges.pop()
+        while end - at >= 8:
+            size, kind = int.from_bytes(data[at : at + 4]), str(data[at + 4 : at + 8], "latin-1")
+            head, path = 16 if size == 1 else 8, f"{parent}/{kind}"
+            size = int.from_bytes(data[at + 8 : min(at + 16, end)]) if size == 1 else size or end - at
+            if size < head or size > end - at:
+                yield path, kind, at, head, min(size, 2**63 - 1), None, "truncated"
+                break
+            if kind in CONTAINERS:
+                ranges.append((path, at + head, at + size))
+            yield path, kind, at, head, size, None if kind in CONTAINERS or kind == "mdat" else bytes(data[at + head : at + size]), None
+            at += size
 
 
 def walk_boxes(contents: DataFrame) -> DataFrame:
@@ -157,24 +165,34 @@ def walk_boxes(contents: DataFrame) -> DataFrame:
     A box that ends beyond what holds it, or within its own head, is an error, and
     what follows beside it isn't opened; fewer than eight bytes are no box. path leads
     through the boxes around it; body is null for boxes that hold boxes, for mdat and
-    for errors. A recursive query: each step opens the first box of each range and
-    carries the ranges within and behind it, so that steps count boxes along one path,
-    and a content is carried once for each box beside its media. Spark stops a
-    recursion, with an error, at spark.sql.cteRecursionRowLimit boxes (a million
-    unless raised or -1) and at spark.sql.cteRecursionLevelLimit steps.
+    for errors. Each content is read once, from box to box, in Arrow batches; there
+    may be any number of boxes, within each other to any depth.
     """
-    short = _NUMBER.format(at=1, n=4)
-    total = f"case {short} when 1 then {_NUMBER.format(at=9, n=8)} when 0 then octet_length(rest) else {short} end"
-    total = f"coalesce({total}, 0)"
-    head = f"if({short} = 1, 16, 8)"
-    kind = "decode(substring(rest, 5, 4), 'iso-8859-1')"
-    # placeholders of sql() are DataFrames, the rest is put in here
-    text = _WALK.replace("{total}", total).replace("{head}", head).replace("{kind}", kind)
-    rows = contents.sparkSession.sql(text, contents=contents.select("source_id", "content"))
-    rows = rows.withColumns({"kind": F.expr(kind), "head": F.expr(head).cast("long"), "size": F.expr(f"cast(least({total}, 9223372036854775807) as bigint)")})
-    bad = (F.col("size") < F.col("head")) | (F.col("size") > F.octet_length("rest"))
-    leaf = ~bad & ~F.col("kind").isin(*CONTAINERS, "mdat")
-    return rows.select("source_id", F.concat("parent", F.lit("/"), "kind").alias("path"), "kind", "start", "head", "size", F.when(leaf, F.expr("substring(rest, cast(head as int) + 1, cast(size - head as int))")).alias("body"), F.when(bad, "truncated").alias("error"))
+    asked = contents.select("source_id", "content")
+    made = pa.schema([("path", pa.string()), ("kind", pa.string()), ("start", pa.int64()), ("head", pa.int64()), ("size", pa.int64()), ("body", pa.binary()), ("error", pa.string())])
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found, owners, held = [], [], 0
+
+            def rows() -> pa.RecordBatch:
+                columns = zip(*found) if found else [[]] * len(made)
+                return pa.record_batch([batch.column(0).take(pa.array(owners, pa.int64())), *[pa.array(list(c), f.type) for c, f in zip(columns, made)]], ["source_id", *made.names])
+
+            for k, content in enumerate(batch.column(1)):
+                for box_ in _opened(memoryview(content.as_buffer())) if content.is_valid else ():
+                    found.append(box_)
+                    owners.append(k)
+                    held += len(box_[5] or b"")
+                    if len(found) >= BOXES_AT_ONCE or held >= BODIES_AT_ONCE:
+                        yield rows()
+                        found, owners, held = [], [], 0
+            yield rows()
+
+    types = StructType([asked.schema["source_id"]])
+    for f in made:
+        types = types.add(f.name, {pa.string(): StringType(), pa.int64(): LongType(), pa.binary(): BinaryType()}[f.type])
+    return asked.mapInArrow(walk, types)
 
 
 def _uint(data: Value, at: Value, n: int) -> Column:

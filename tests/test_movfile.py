@@ -75,3 +75,24 @@ def test_written_files_are_read_back(spark):
     assert [(r.source_id, r["size"], r.file_offset, r.delta) for r in index] == [(1, 3, 36, 512), (1, 5, 39, 512), (1, 0, 44, 512), (1, 0, 44, 512)]
     big = spark.createDataFrame([(1, 0, 2**32)], "source_id long, frame_no long, size long")
     assert [r.error for r in movfile.layouts(movies.where("source_id = 1"), big).collect()] == ["mdat over 4 GB"]
+
+
+def test_more_boxes_than_a_recursion_may_have(spark):
+    limit = "spark.sql.cteRecursionRowLimit"
+    spark.conf.set(limit, "100")
+    try:
+        wide, deep = box(b"free") * 60, b""
+        for _ in range(150):
+            deep = box(b"udta", deep)
+        assert [len(walked(spark, *contents)) for contents in ([wide, wide], [deep])] == [120, 150]
+    finally:
+        spark.conf.unset(limit)
+
+
+def test_bodies_and_any_kind_of_id(spark, monkeypatch):
+    monkeypatch.setattr(movfile, "BOXES_AT_ONCE", 3)
+    content = box(b"\xa9swr", b"x" * 9) + box(b"free") + box(b"mdat", b"media") + box(b"moov", box(b"mvhd", b"\x00\xff"))
+    df = spark.createDataFrame([("a", content), (None, content), ("b", None)], "source_id string, content binary")
+    got = {(r.source_id, r.path): r.body for r in movfile.walk_boxes(df).collect()}
+    want = {"/\xa9swr": b"x" * 9, "/free": b"", "/mdat": None, "/moov": None, "/moov/mvhd": b"\x00\xff"}
+    assert got == {(s, p): b for s in ("a", None) for p, b in want.items()}
