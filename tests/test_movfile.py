@@ -2,6 +2,7 @@
 
 import struct
 
+from reelspark import plans
 from reelspark.operators import container, movfile
 
 
@@ -96,3 +97,16 @@ def test_bodies_and_any_kind_of_id(spark, monkeypatch):
     got = {(r.source_id, r.path): r.body for r in movfile.walk_boxes(df).collect()}
     want = {"/\xa9swr": b"x" * 9, "/free": b"", "/mdat": None, "/moov": None, "/moov/mvhd": b"\x00\xff"}
     assert got == {(s, p): b for s in ("a", None) for p, b in want.items()}
+
+
+def under_a_low_limit(spark, key):
+    limit = "spark.sql.cteRecursionRowLimit"
+    spark.conf.set(limit, "100")
+    try:
+        return plans.QUERIES[key](spark, "/root/testdata/sf0.001").count()
+    finally:
+        spark.conf.unset(limit)
+
+
+def test_demux_index_of_more_boxes_than_a_recursion_may_have(spark):
+    assert under_a_low_limit(spark, "demux_index") > 100
