@@ -110,3 +110,7 @@ def under_a_low_limit(spark, key):
 
 def test_demux_index_of_more_boxes_than_a_recursion_may_have(spark):
     assert under_a_low_limit(spark, "demux_index") > 100
+
+
+def test_fourcc_probe_of_more_boxes_than_a_recursion_may_have(spark):
+    assert under_a_low_limit(spark, "fourcc_probe") == 200
