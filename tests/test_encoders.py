@@ -1,5 +1,7 @@
 """Block encoders against blocks worked by hand, sequential arithmetic and all ways to cut a block."""
 
+import random
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -141,3 +143,27 @@ def test_planes_are_padded_without_their_first_place(spark):
     px = spark.createDataFrame([(1, 0, 1, 9)], "frame_no long, y int, x int, luma int")
     got = colour.pad(px, ["luma"], 2, 1, 4, 2, 5).orderBy("y", "x").collect()
     assert [(r.y, r.x, r.luma) for r in got] == [(0, 1, 9), (0, 2, 5), (0, 3, 5), (1, 0, 5), (1, 1, 5), (1, 2, 5), (1, 3, 5)]
+
+
+def test_refined_scalars_against_brute_force(spark):
+    rnd = random.Random(5)
+    data = [[rnd.randrange(*rnd.choice([(0, 256), (100, 110), (0, 4), (250, 256)])) for _ in range(rnd.choice((16, 16, 8, 4)))] for _ in range(300)] + [[7] * 16, [0, 255] * 8]
+
+    def best(px):
+        found = []
+        for k in range(98):
+            h, low = (min(255, max(0, e + d - 3)) for e, d in ((max(px), k % 7), (min(px), k // 7 % 7)))
+            a, b = (max(h, low), min(h, low)) if k < 49 else (min(h, low), max(h, low))
+            entries = [a, b] + ([(a * (7 - j) + b * j + 3) // 7 for j in range(1, 7)] if k < 49 else [(a * (5 - j) + b * j + 2) // 5 for j in range(1, 5)] + [0, 255])
+            codes = [min(range(8), key=lambda j, p=p: (abs(entries[j] - p), j)) for p in px]
+            if a != b:
+                found.append((sum((entries[c] - p) ** 2 for c, p in zip(codes, px)), k, a, b, sum(c << 3 * i for i, c in enumerate(codes))))
+        error, _, a, b, indices = min(found)
+        return (px[0], px[0], 0, 0) if min(px) == max(px) else (a, b, indices, error)
+
+    df = spark.createDataFrame([(k, px, "kept") for k, px in enumerate([*data, None, [], [1, None]])], "searched int, v array<int>, error string")
+    made = blocks.refine_scalars(df)
+    # 98 palettes for each block are array arithmetic, not expressions that are interpreted one by one
+    assert "MapInArrow" in made._jdf.queryExecution().executedPlan().toString()
+    got = [(r.a0, r.a1, r.indices, r.error) for r in made.orderBy("searched").collect()]
+    assert got == [best(px) for px in data] + [(None, None, None, 0)] * 3
