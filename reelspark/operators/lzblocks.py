@@ -8,11 +8,13 @@ operations in order, numbered once, and nothing goes block by block.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import Value, col, idiv, le_bytes, let, unused
-from .streams import run_bytes
+from ..functions import Value, col, idiv, le_bytes, let
+from .streams import PART, islands, numbered, run_bytes
 
 # How far back, in blocks, a value is known, and what the operands' bytes can say beyond two and 0x102.
 LOOKBACK = 0x10101
@@ -20,8 +22,20 @@ NEAR, FAR, FARTHEST_ALPHA = 2, 0x102, 2 + 0xFFFF
 OPS_IN_WORD = 16
 
 
-def _distance(key: str, streams: tuple[str, ...], order: str) -> Column:
-    return F.col(order) - F.lag(order).over(Window.partitionBy(*streams, key).orderBy(order))
+#: Words that are joined before all of a stream's are.
+WORDS_IN_PAGE = 4096
+
+
+def _dealt(rows: DataFrame, last: str, lookback: int, size: int) -> DataFrame:
+    """rows in the part they lie in (own), and in those where their last place is still known."""
+    on = F.sequence(idiv(last, size), idiv(F.col(last) + lookback, size))
+    return rows.withColumn("own", idiv("n", size)).withColumn("part", F.explode(F.array_union(F.array("own"), on)))
+
+
+def _distance(key: str | Column, keys: Sequence[str], last: str, lookback: int) -> Column:
+    """How far back the key came last, of rows as _dealt leaves them; null beyond lookback."""
+    d = F.col("n") - F.lag(last).over(Window.partitionBy(*keys, "part", key).orderBy("n"))
+    return F.when(d <= lookback, d)
 
 
 def _item(k: int, op: Value, operand: Value, when: Column | bool = True) -> Column:
@@ -38,7 +52,7 @@ def _back(k: int, distance: str, literal: Column | None, when: Column | bool = T
     return _item(k, op, operand.alias("operand"), when)
 
 
-def encode_stream(rows: DataFrame, *streams: str, value: str = "block", order: str = "n", alpha: bool = False, lookback: int = LOOKBACK) -> DataFrame:
+def encode_stream(rows: DataFrame, *streams: str, value: str = "block", order: str = "n", alpha: bool = False, lookback: int = LOOKBACK, size: int = PART) -> DataFrame:
     """streams and data (hexadecimal digits) of streams of colour blocks: rows with order from 0 and value, a block's sixteen digits, or thirty-two with an alpha block before it.
 
     The first block is written as it is. Then, for each block, with alpha: 1 and a
@@ -46,39 +60,38 @@ def encode_stream(rows: DataFrame, *streams: str, value: str = "block", order: s
     distance, two bytes, to the last block of that alpha; else 3 and the alpha. Then
     the distance to the last block of that colour half; where there is none, those to
     the last of its two ends and of its codes, each with the value where it is new.
-    Distances beyond lookback aren't known. A stream's blocks are in one task, a
-    window's rows and a list of operations.
+    Distances beyond lookback aren't known, so a part of a stream, size places long,
+    needs no more than lookback places before it, and no task holds a stream but for
+    the one that joins its bytes: data is one value, of up to two gigabytes of digits.
     """
-    names = {c: unused(rows, c) for c in ("alpha", "colour", "ends", "codes", "d_alpha", "d_colour", "d_ends", "d_codes", "new_run", "run_length", "item", "seq", "words", "first")}
-    n, at = F.col(order), 16 if alpha else 0
-    cut = lambda start, size: F.substring(F.lower(col(value)), start + 1, size)
-    parts = {"colour": cut(at, 16), "ends": cut(at, 8), "codes": cut(at + 8, 8)} | ({"alpha": cut(0, 16)} if alpha else {})
-    found = rows.select(*streams, order, col(value).alias(value), *[v.alias(names[k]) for k, v in parts.items()])
-    known = lambda k: F.when(F.col(names[f"d_{k}"]) <= lookback, F.col(names[f"d_{k}"]))
-    for k in parts:
-        found = found.withColumn(names[f"d_{k}"], _distance(names[k], streams, order)).withColumn(names[f"d_{k}"], known(k))
-    items = []
+    keys, at = [f"s{i}" for i in range(len(streams))], 16 if alpha else 0
+    named = [F.col(s).alias(k) for s, k in zip(streams, keys)]
+    given = rows.select(*named, F.col(order).cast("long").alias("n"), F.lower(col(value)).alias("block"))
+    colours = _dealt(given.select(*keys, "n", F.substring("block", at + 1, 16).alias("colour")), "n", lookback, size)
+    parts = {"colour": F.col("colour"), "ends": F.substring("colour", 1, 8), "codes": F.substring("colour", 9, 8)}
+    for k, v in parts.items():
+        colours = colours.withColumn(f"d_{k}", _distance(v, keys, "n", lookback))
+    colours = colours.where("part = own and n > 0")
+    fresh = F.col("d_colour").isNull()
+    counts = colours.groupBy(*keys, "part").agg(F.sum(F.when(fresh, 3).otherwise(1)).alias("n"))
+    some = lambda *items: F.inline(F.filter(F.array(*items), lambda x: x.isNotNull()))
+    written = colours.select(*keys, "n", "part", some(_back(1, "d_colour", None), _back(2, "d_ends", parts["ends"], fresh), _back(3, "d_codes", parts["codes"], fresh)))
     if alpha:
-        along = Window.partitionBy(*streams).orderBy(order)
-        same = F.coalesce(F.col(names["alpha"]) == F.lag(names["alpha"]).over(along), F.lit(False))
-        # of each run, at its second block: how many blocks of that alpha are left
-        found = found.withColumn(names["new_run"], F.sum(F.when(same, 0).otherwise(1)).over(along))
-        in_run = Window.partitionBy(*streams, names["new_run"])
-        place = F.row_number().over(in_run.orderBy(order))
-        found = found.withColumn(names["run_length"], F.count("*").over(in_run)).withColumn(names["seq"], place)
-        d, second = F.col(names["d_alpha"]), F.col(names["seq"]) == 2
-        again = (d <= FARTHEST_ALPHA) & d.isNotNull()
-        items.append(F.when(second, _item(0, 1, run_bytes(F.col(names["run_length"]) - 2).alias("operand"))).when(F.col(names["seq"]) == 1, F.when(again, _item(0, 2, le_bytes(d - NEAR, 2).alias("operand"))).otherwise(_item(0, 3, F.col(names["alpha"]).alias("operand")))))
-    fresh = F.col(names["d_colour"]).isNull()
-    items += [_back(1, names["d_colour"], None), _back(2, names["d_ends"], F.col(names["ends"]), fresh), _back(3, names["d_codes"], F.col(names["codes"]), fresh)]
-    written = found.where(n > 0).select(*streams, order, F.inline(F.filter(F.array(*items), lambda x: x.isNotNull())))
-    seq = F.row_number().over(Window.partitionBy(*streams).orderBy(order, "k")) - 1
-    numbered = written.withColumn(names["seq"], seq)
-    word = F.col(names["seq"])
-    grouped = numbered.groupBy(*streams, idiv(word, OPS_IN_WORD).alias(names["words"])).agg(F.array_sort(F.collect_list(F.struct(word.alias("seq"), "op", "operand"))).alias(names["item"]))
-    bits = F.aggregate(names["item"], F.lit(0).cast("long"), lambda s, x: s + F.call_function("shiftleft", x.op.cast("long"), (2 * (x.seq % OPS_IN_WORD)).cast("int")))
-    said = F.concat(let(bits, lambda b: le_bytes(b, 4)), F.array_join(F.transform(names["item"], lambda x: x.operand), ""))
-    whole = grouped.select(*streams, F.struct(F.col(names["words"]).alias("at"), said.alias("said")).alias(names["item"]))
-    joined = whole.groupBy(*streams).agg(F.array_join(F.transform(F.array_sort(F.collect_list(names["item"])), lambda x: x.said), "").alias(names["words"]))
-    heads = found.where(n == 0).select(*streams, F.lower(col(value)).alias(names["first"]))
-    return heads.join(joined, list(streams), "left").select(*streams, F.concat(names["first"], F.coalesce(names["words"], F.lit(""))).alias("data"))
+        found = islands(given.withColumn("alpha", F.substring("block", 1, 16)), "alpha", *keys, size=size).withColumnRenamed("start_at", "n")
+        d, first, again = F.col("d"), F.col("n") > 0, F.col("length") > 1
+        counts = counts.unionByName(found.groupBy(*keys, idiv("n", size).alias("part")).agg(F.sum(first.cast("int") + again.cast("int")).alias("n")))
+        found = _dealt(found, "end_at", lookback, size).withColumn("d", _distance("value", keys, "end_at", lookback)).where("part = own")
+        known = F.when(d <= FARTHEST_ALPHA, _item(0, 2, le_bytes(d - NEAR, 2).alias("operand"))).otherwise(_item(0, 3, F.col("value").alias("operand")))
+        # a run's count belongs to its second block, before its colours: right after those of the first
+        written = written.unionByName(found.select(*keys, "n", "part", some(F.when(first, known), _item(4, 1, run_bytes(F.col("length") - 2).alias("operand"), again))))
+    seq = F.col("seq")
+    ops = numbered(written, counts, keys, "part", ["n", "k"], "seq")
+    grouped = ops.groupBy(*keys, idiv(seq, OPS_IN_WORD).alias("word")).agg(F.array_sort(F.collect_list(F.struct("seq", "op", "operand"))).alias("items"))
+    bits = F.aggregate("items", F.lit(0).cast("long"), lambda s, x: s + F.call_function("shiftleft", x.op.cast("long"), (2 * (x.seq % OPS_IN_WORD)).cast("int")))
+    said = F.concat(let(bits, lambda b: le_bytes(b, 4)), F.array_join(F.transform("items", lambda x: x.operand), ""))
+    joined = lambda df, *by: df.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("at", "said"))).alias("list"))
+    text = F.array_join(F.transform("list", lambda x: x.said), "")
+    pages = joined(grouped.select(*keys, F.col("word").alias("at"), idiv("word", WORDS_IN_PAGE).alias("page"), said.alias("said")), *keys, "page").select(*keys, F.col("page").alias("at"), text.alias("said"))
+    heads = given.where("n = 0").select(*keys, F.lit(-1).cast("long").alias("at"), F.col("block").alias("said"))
+    whole = joined(heads.unionByName(pages), *keys).where(F.get("list", F.lit(0)).at == -1)
+    return whole.select(*[F.col(k).alias(s) for s, k in zip(streams, keys)], F.when(F.get("list", F.lit(0)).said.isNotNull(), text).alias("data"))

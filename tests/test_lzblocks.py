@@ -5,6 +5,7 @@ import random
 import pytest
 
 from reelspark.operators import lzblocks
+from reelspark.operators.streams import runs
 
 
 def read(data, n_blocks, alpha):
@@ -106,3 +107,32 @@ def test_clashing_names_and_two_keys(spark):
     assert got.columns == ["seq", "item", "data"] and got.count() == 2
     for r in got.collect():
         assert read(bytes.fromhex(r.data), 20, False) == [bytes([k // 4] * 8) for k in range(r.seq, 40, 2)]
+
+
+@pytest.mark.parametrize("alpha", [False, True])
+def test_parts_of_a_stream_give_the_same_bytes(spark, alpha):
+    streams = {"random": random_blocks(400, alpha, 8), "one value": [bytes(16 if alpha else 8)] * 300}
+    whole = encoded(spark, streams, alpha=alpha, lookback=30)
+    assert read(whole["random"], 400, alpha) == streams["random"]
+    for size in (7, 64):
+        assert encoded(spark, streams, alpha=alpha, lookback=30, size=size) == whole
+
+
+def test_no_window_holds_a_whole_stream(spark):
+    rows = spark.createDataFrame([("s", 0, "00" * 16)], "stream string, n long, block string")
+    plan = lzblocks.encode_stream(rows, "stream", alpha=True)._jdf.queryExecution().optimizedPlan().toString()
+    # windows over all of a stream take its parts, or the first and last runs of each
+    windows = [line for line in plan.splitlines() if "Window [" in line and "windowspecdefinition(s0" in line]
+    assert windows and all("part#" in line or "sum(before" in line or "goes_on" in line or "start_at" in line for line in windows)
+
+
+def test_runs_across_parts(spark):
+    rnd = random.Random(2)
+    values = {s: [v for _ in range(40) for v in [rnd.choice(["a", "b", None])] * rnd.choice((1, 2, 30))] for s in (1, 2, None)}
+    df = spark.createDataFrame([(s, n * 3, v) for s, vs in values.items() for n, v in enumerate(vs)], "s int, n long, v string").repartition(5)
+    want = []
+    for s, vs in values.items():
+        starts = [n for n in range(len(vs)) if not n or vs[n] != vs[n - 1]]
+        want += [(s, k + 1, n * 3, m - n, vs[n]) for k, (n, m) in enumerate(zip(starts, [*starts[1:], len(vs)]))]
+    for size in (5, 50, 1 << 18):
+        assert set(map(tuple, runs(df, "v", "s", size=size).collect())) == set(want)
