@@ -221,18 +221,28 @@ def probe_fourcc(contents: DataFrame, boxes: DataFrame | None = None) -> DataFra
     return contents.select("source_id").join(first, "source_id", "left")
 
 
+_STBL = "/moov/trak/mdia/minf/stbl/"
+#: Boxes that sample tables are read from.
+_TABLE_PATHS = ("/moov/trak", "/moov/trak/tkhd", "/moov/trak/mdia/mdhd", "/moov/trak/mdia/hdlr", *(_STBL + k for k in ("stsd", "stts", "stsc", "stsz", "stco", "co64")))
+
+
+def video_boxes(boxes: DataFrame) -> DataFrame:
+    """(source_id, path, body) of the boxes that sample tables are read from, within each source's first video track: one pass over boxes, and one shuffle of what its tables hold."""
+    inside = _trak(boxes.where("error is null and source_id is not null").where(F.col("path").isin(*_TABLE_PATHS)).select("source_id", "path", "start", "body"))
+    vide = F.expr("path = '/moov/trak/mdia/hdlr' and octet_length(body) >= 12 and substring(body, 9, 4) = cast('vide' as binary)")
+    first = F.min(F.when(vide, F.col("track"))).over(Window.partitionBy("source_id"))
+    return inside.withColumn("video", first).where("track = video").select("source_id", "path", "body")
+
+
 def sample_tables(boxes: DataFrame) -> dict[str, DataFrame]:
-    """What frame_index and resolve_dims take, from the boxes of each source's first video track. boxes is read for each table: give it written or persisted.
+    """What frame_index and resolve_dims take, from the boxes of each source's first video track, which are kept in Spark's storage, so that boxes is read once and not for each table.
 
     tracks: source_id, fourcc, timescale, stsd_w, stsd_h, tkhd_w, tkhd_h. headers:
     constant and n of the sizes. table: frame_no and size. chunks, runs and deltas as
     frame_index has them; co64 stands for stco where it is there. A table that is
     shorter than its count says is left out.
     """
-    inside = _trak(boxes.where("error is null"))
-    video = inside.where("path = '/moov/trak/mdia/hdlr' and octet_length(body) >= 12 and substring(body, 9, 4) = cast('vide' as binary)").groupBy("source_id").agg(F.min("track").alias("track"))
-    kept = inside.join(video, ["source_id", "track"], "left_semi")
-    stbl = "/moov/trak/mdia/minf/stbl/"
+    kept, stbl = video_boxes(boxes).persist(), _STBL
 
     def rows(name: str, first: int, count: int, width: int, columns: dict[str, Column]) -> DataFrame:
         n = _uint("body", count, 4)

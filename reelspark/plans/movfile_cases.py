@@ -93,7 +93,7 @@ case("fourcc_probe", _S + "fourcc string", lambda t: m.probe_fourcc(_cut(t)), "s
 
 
 def _read_back(t):
-    tables = m.sample_tables(m.walk_boxes(_files(t)).persist())
+    tables = m.sample_tables(m.walk_boxes(_files(t)))
     sizes = c.sample_sizes(tables["headers"], tables["table"])
     index = c.frame_index(sizes, tables["chunks"], tables["runs"], tables["deltas"], F.lit(1))
     dims = c.resolve_dims(tables["tracks"])

@@ -114,3 +114,18 @@ def test_demux_index_of_more_boxes_than_a_recursion_may_have(spark):
 
 def test_fourcc_probe_of_more_boxes_than_a_recursion_may_have(spark):
     assert under_a_low_limit(spark, "fourcc_probe") == 200
+
+
+def test_sample_tables_read_contents_once(spark):
+    content = box(b"moov", track(b"soun", b"lpcm"), track(b"vide", b"Hap1", box(b"stsz", bytes(4), struct.pack(">III", 0, 1, 9))))
+    df = spark.createDataFrame([(k, content) for k in range(7)] + [(None, content)], "source_id long, content binary")
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            read.add(b.num_rows)
+            yield b
+
+    tables = movfile.sample_tables(movfile.walk_boxes(df.mapInArrow(counted, df.schema)))
+    assert {name: t.count() for name, t in tables.items()} == {"tracks": 7, "headers": 7, "table": 7, "chunks": 0, "runs": 0, "deltas": 0}
+    assert read.value == 8
