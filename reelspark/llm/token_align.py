@@ -37,9 +37,9 @@ from .common import blocks, materialize, sized, table
 from .token_store import tokenizer_file
 
 #: Bytes of text in a block, whole texts at least, and rows at most; and bytes of distinct runs that are aligned at once.
-BLOCK_BYTES, BLOCK_ROWS, ALIGN_BYTES = 12 << 20, 1 << 15, 1 << 19
-#: Linked pairs of texts, repeats included, that are sorted at once, or those of one text.
-SLICE = 1 << 21
+BLOCK_BYTES, BLOCK_ROWS, ALIGN_BYTES = 8 << 20, 1 << 15, 1 << 17
+#: Linked pairs of texts, repeats included, that are sorted at once, and whose texts' groups are written at once, or those of one text.
+SLICE = 1 << 18
 #: Ids of B in a pair's number, a * IDS_B + b; also more than any id of either tokenizer.
 IDS_B = 1 << 16
 _SPACES = r"\t\n\x0b\x0c\r\x1c-\x1f \x{85}\x{a0}\x{1680}\x{180e}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
@@ -222,17 +222,26 @@ def _block(aligner_: Aligner, ids: pa.Array, texts: pa.Array, number: int, with_
     bad[doc[~runs.fine[codes]]] = True
     kept = ~bad[doc]
     sizes = np.stack([np.bincount(doc[kept], runs.sizes[codes[kept], k], n) for k in range(4)], 1).astype(np.int64)
-    taken = runs.said.take(pa.array(codes))
-    at = np.frombuffer(taken.buffers()[1], np.int64)[ends] if len(codes) else np.zeros(n + 1, np.int64)
-    raw = memoryview(taken.buffers()[2] or b"")
-    said = [raw[a : b - 1] if b > a and not w else b"" for a, b, w in zip(at.tolist(), at[1:].tolist(), bad.tolist())]
-    # pairs of runs by their place in the block's list of distinct pairs, then of documents
+    # pairs of runs by their place in the block's list of distinct pairs, then of documents, some documents at a time
     listed, place = np.unique(runs.pairs, return_inverse=True)
-    parts = [_pairs_of(runs, place, codes[ends[i] : ends[j]][kept[ends[i] : ends[j]]], doc[ends[i] : ends[j]][kept[ends[i] : ends[j]]]) for i, j in _slices(np.bincount(doc, np.diff(runs.pair_ends)[codes], n))]
-    of, places, times = (np.concatenate([p[k] for p in parts] or [np.zeros(0, np.int64)]) for k in range(3))
-    del parts, doc, kept
-    cuts = _ends(np.bincount(of, minlength=n)).tolist()
-    held = np.bincount(places, minlength=len(listed))
+    place, held = place.astype(np.int32), np.zeros(len(listed), np.int64)
+    placed, counts, times, said, digests = [], [], [], [], []
+    for i, j in _slices(np.bincount(doc, np.diff(runs.pair_ends)[codes], n)):
+        at = slice(ends[i], ends[j])
+        for raw, w in zip(_groups_of(runs, codes[at], ends[i : j + 1] - ends[i]), bad[i:j].tolist(), strict=True):
+            m = b"" if w else raw
+            digests.append(hashlib.sha256(m).hexdigest() if len(m) else "")
+            if with_groups:
+                said.append(str(m, "ascii"))
+        of, places, linked = _pairs_of(runs, place, codes[at][kept[at]], doc[at][kept[at]] - i)
+        cuts = _ends(np.bincount(of, minlength=j - i))
+        held += np.bincount(places, minlength=len(listed))
+        placed.append(places)
+        counts.append(np.diff(cuts))
+        times += [_packed(linked[a:b]) for a, b in itertools.pairwise(cuts.tolist())]
+    places, cuts = (np.concatenate([np.zeros(0, np.int32), *x]) for x in (placed, counts))
+    cuts = _ends(cuts).tolist()
+    del placed, doc, kept
     one = lambda values, kind: pa.concat_arrays([pa.array(values, kind), pa.nulls(1, kind)])
     lists = lambda values, kind: pa.concat_arrays([pa.nulls(n, pa.list_(kind)), pa.array([values], pa.list_(kind))])
     seen = held > 0
@@ -243,15 +252,24 @@ def _block(aligner_: Aligner, ids: pa.Array, texts: pa.Array, number: int, with_
         "block": pa.array(np.full(n + 1, number, np.int64)),
         "id": pa.concat_arrays([ids, pa.nulls(1, ids.type)]),
         **{name: one(sizes[:, k], pa.int64()) for k, name in enumerate(("n_a", "n_b", "n_groups", "n_links"))},
-        "groups": one([str(m, "ascii") for m in said], pa.string()) if with_groups else pa.nulls(n + 1, pa.string()),
-        "groups_sha256": one([hashlib.sha256(m).hexdigest() if len(m) else "" for m in said], pa.string()),
+        "groups": one(said, pa.string()) if with_groups else pa.nulls(n + 1, pa.string()),
+        "groups_sha256": one(digests, pa.string()),
         "places": one([places[a:b].tobytes() for a, b in itertools.pairwise(cuts)], pa.binary()),
-        "times": one([_packed(times[a:b]) for a, b in itertools.pairwise(cuts)], pa.binary()),
+        "times": one(times, pa.binary()),
         "pairs": lists(listed[seen], pa.int64()),
         "docs": lists(held[seen], pa.int32()),
     }
 
 
+def _groups_of(runs: Aligned, codes: np.ndarray, ends: np.ndarray) -> Iterator[memoryview]:
+    """The groups of texts that have these runs, without the last mark; ends tells where each text's runs end."""
+    taken = runs.said.take(pa.array(codes))
+    at = np.frombuffer(taken.buffers()[1], np.int64)[ends].tolist() if len(codes) else [0] * len(ends)
+    raw = memoryview(taken.buffers()[2] or b"")
+    for a, b in itertools.pairwise(at):
+        yield raw[a : b - 1] if b > a else raw[:0]
+
+
 def _slices(weights: np.ndarray) -> list[tuple[int, int]]:
     """Successive ranges of about SLICE in weight, or of one place."""
     cuts = np.flatnonzero(np.diff(np.cumsum(weights) // SLICE)) + 1

@@ -4,6 +4,7 @@ import bisect
 import hashlib
 import math
 import re
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
@@ -193,6 +194,24 @@ def test_packed_numbers(values):
     assert token_align._unpacked(token_align._packed(np.array(values, np.int64)), len(values)).tolist() == values
 
 
+def test_token_align_works_on_some_texts_of_a_block_at_once(monkeypatch):
+    docs = pq.read_table(f"{SF}/documents.parquet", columns=["doc_id", "text"])
+    docs = pa.concat_tables([docs] * -(-(16 << 20) // docs.nbytes)).combine_chunks()
+    block = max(token_align._filled(docs.to_batches()), key=lambda b: b.nbytes)
+    with open(tokenizer_file(), encoding="utf-8") as a, open(tokenizer_file("piece_bpe_32k.model"), "rb") as b:
+        it = token_align.aligner(a.read(), b.read())
+    tracemalloc.start()
+    try:
+        token_align._block(it, block.column(0), block.column(1), 0, False)
+        assert tracemalloc.get_traced_memory()[1] < 90 << 20
+    finally:
+        tracemalloc.stop()
+    few = block.slice(0, 40)
+    whole = token_align._block(it, few.column(0), few.column(1), 0, True)
+    monkeypatch.setattr(token_align, "SLICE", 1)
+    assert token_align._block(it, few.column(0), few.column(1), 0, True) == whole
+
+
 # operator 13
 
 
